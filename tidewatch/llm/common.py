@@ -52,32 +52,35 @@ class Work:
             self.drop()
 
 
-class Memo:
-    """A bounded table of what is known of words: two generations of at most `items` entries, the
-    older of which goes when the younger is full; words over `chars` characters are never held."""
+class Memo(dict):
+    """A bounded table of what is known of words. Words are numbered as they are first met; when the
+    table holds more than `items` words or `chars` characters it starts anew."""
 
-    def __init__(self, items: int, chars: int = 64) -> None:
-        self.items, self.chars = items // 2, chars
-        self.young: dict = {}
-        self.old: dict = {}
+    def __init__(self, items: int, chars: int = 1 << 25) -> None:
+        self.items, self.chars = items, chars
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.values_: list = []
+        self.pending: list = []
+        self.held = 0
+
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self.values_) + len(self.pending)
+        self.pending.append(word)
+        return n
 
     def look_up(self, words: list, learn: Callable[[list], Iterable]) -> list:
-        """A value (not None) for each word; learn gives those of distinct unknown words."""
-        found = list(map(self.young.get, words))
-        if None not in found:
-            return found
-        own, unknown, old = {}, [], self.old.get
-        for x in {x for x, y in zip(words, found) if y is None}:
-            if (y := old(x)) is None:
-                unknown.append(x)
-            else:
-                own[x] = y
-        if unknown:
-            own.update(zip(unknown, learn(unknown)))
-        if len(self.young) > self.items:
-            self.old, self.young = self.young, {}
-        self.young.update((x, y) for x, y in own.items() if len(x) <= self.chars)
-        return [own[x] if y is None else y for x, y in zip(words, found)]
+        """A value for each word; learn gives those of distinct unknown words."""
+        if len(self) > self.items or self.held > self.chars:
+            self.reset()
+        numbers = list(map(self.__getitem__, words))
+        if self.pending:
+            self.held += sum(map(len, self.pending))
+            self.values_.extend(learn(self.pending))
+            self.pending = []
+        return list(map(self.values_.__getitem__, numbers))
 
 
 def groups(texts: Iterable, chars: int = 1 << 20) -> Iterator[list[str]]:

@@ -60,6 +60,18 @@ def script(text: str) -> str:
     return best if n[best] else "other"
 
 
+class Numbers(dict):
+    """Numbers words as they are first met."""
+
+    def __init__(self) -> None:
+        self.pending: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.pending.append(word)
+        return n
+
+
 class Words:
     """Numbers words and knows their characters, tokens and byte-fallback tokens."""
 
@@ -69,26 +81,25 @@ class Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = Numbers()
         self.chars = np.zeros(1024, np.int64)
         self.starts = np.zeros(1025, np.int64)  # of each word's tokens
         self.bytes_ = np.zeros(1024, np.int64)
         self.tokens = np.zeros(8192, np.int32)
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        get = self.number.get
-        found = list(map(get, words))
-        if None in found:
-            if len(self.number) > TABLE_WORDS:
-                self.clear()
-                get = self.number.get
-            self.learn(list(dict.fromkeys(x for x in words if x not in self.number)))
-            found = list(map(get, words))
+        if len(self.number) > TABLE_WORDS:
+            self.clear()
+        found = list(map(self.number.__getitem__, words))
+        if self.number.pending:
+            self.learn(self.number.pending)
+            self.number.pending = []
         return np.array(found, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         texts = [x.decode("utf-8", "replace") for x in words]
-        k, at = len(self.number), int(self.starts[len(self.number)])
+        k = len(self.number) - len(words)
+        at = int(self.starts[k])
         ids = self.model.encode(texts, num_threads=1)
         sizes = np.array([len(x) for x in ids], np.int64)
         self.chars, self.bytes_, self.starts, self.tokens = (self.room(a, n) for a, n in ((self.chars, k + len(words)), (self.bytes_, k + len(words)), (self.starts, k + len(words) + 1), (self.tokens, at + int(sizes.sum()))))
@@ -99,7 +110,6 @@ class Words:
         ends = np.concatenate([[0], np.cumsum(self.is_byte[flat])])
         own = self.starts[k : k + len(words) + 1] - at
         self.bytes_[k : k + len(words)] = ends[own[1:]] - ends[own[:-1]]
-        self.number.update((x, k + i) for i, x in enumerate(words))
 
     @staticmethod
     def room(a: np.ndarray, n: int) -> np.ndarray:

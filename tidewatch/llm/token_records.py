@@ -15,6 +15,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -31,6 +32,9 @@ MAGIC = b"TWIX"
 MASK = 0xA282EAD8
 MEMO_ITEMS = 1_000_000
 PIECE = re.compile(r"[^ \t\n\r]+")
+#: What takes a text out of the plain ones, and the pieces of plain texts in lower case.
+UNPLAIN = re.compile("[^\x00-\x26\x28-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
+PLAIN_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+", re.ASCII)
 
 
 def masked(data: bytes) -> int:
@@ -66,19 +70,48 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 class Encoder:
     """Ids of texts, as the library gives them. No rule of the tokenizer (normalization, lower case,
     white space dropped, pattern, added tokens) reaches across ASCII white space, so each distinct
-    word is encoded once for each worker; the memo is bounded."""
+    word is encoded once for each worker, in a bounded table.
+
+    In texts of ASCII and Latin-1 letters without apostrophes and "<|", the pattern's pieces are
+    runs of letters, single digits and runs of other characters, each of which ends with a token
+    that marks the end of a piece. Those are looked up in lower case; unknown ones are encoded
+    joined by spaces and cut at the end marks."""
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.memo = load(path), Memo(MEMO_ITEMS)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.tokenizer, self.words, self.plain = load(path), Memo(MEMO_ITEMS // 2), Memo(MEMO_ITEMS)
+        n = self.tokenizer.get_vocab_size()
+        self.code = "H" if n <= 1 << 16 else "I"
+        self.dtype = f"<u{array(self.code).itemsize}"
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for x, i in vocab.items() if x.endswith("</w>")]] = True
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        words = [PIECE.findall(x) for x in texts]
-        ids = iter(self.memo.look_up(list(chain.from_iterable(words)), self._learn))
-        return [b"".join(islice(ids, len(x))) for x in words]
+        plain = [not UNPLAIN.search(x) for x in texts]
+        pieces = [PLAIN_PIECE.findall(x.lower()) if y else PIECE.findall(x) for x, y in zip(texts, plain)]
+        ids = iter(self.plain.look_up(list(chain.from_iterable(x for x, y in zip(pieces, plain) if y)), self._learn_plain))
+        rest = iter(self.words.look_up(list(chain.from_iterable(x for x, y in zip(pieces, plain) if not y)), self._learn))
+        return [b"".join(islice(ids if y else rest, len(x))) for x, y in zip(pieces, plain)]
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [self._bytes(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn_plain(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 4096):
+            some = pieces[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(some):  # a tokenizer of another kind
+                out.extend(self._learn(some))
+                continue
+            data, size = ids.astype(self.dtype).tobytes(), int(self.dtype[-1])
+            at = [0, *(cuts * size).tolist()]
+            out.extend(data[x:y] for x, y in zip(at, at[1:]))
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}

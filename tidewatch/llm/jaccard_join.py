@@ -35,6 +35,7 @@ FREQUENT = 4  # a sketch cell that holds so many times the mean counts as freque
 BITS = 2048  # of a signature
 LEAF, FAN = 8, 8
 BLOCK = 2048
+MIXED = np.iinfo(np.int64).min
 ROUTE_BITS = 23
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -214,10 +215,10 @@ def near_sizes(a: str, b: str, similar: int) -> str:
 def routed(sets: DataFrame) -> bytes:
     """A bitmap of fixed size of the documents' (sid) hashes, built in the executors; its parts are at most 2**ROUTE_BITS bits together."""
     place = F.pmod(F.xxhash64("sid"), F.lit(1 << ROUTE_BITS))
-    parts = sets.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    parts = sets.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     size = 1 << 12
     out = bytearray((1 << ROUTE_BITS) // 8 + size)
-    for bucket, bits in parts:  # bucket numbers start with 1
+    for bucket, bits in parts:  # both functions count from 1
         out[(bucket - 1) * size : bucket * size] = bits.ljust(size, b"\0")
     return bytes(out)
 
@@ -264,19 +265,19 @@ def signatures(arrays: Iterable[np.ndarray]) -> np.ndarray:
 
 class Tree:
     """Levels of nodes over sets sorted by size, from leaves of LEAF sets up to one root. A node holds the OR of its
-    bitmaps, the range of sizes, the most that tokens exceed bits, and the one component of its sets (or -1)."""
+    bitmaps, the range of sizes, the most that tokens exceed bits, and the one component of its sets (or MIXED)."""
 
     def __init__(self, sets: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray) -> None:
         order = np.lexsort((sets, comps, sizes))
         self.sets, self.comps = sets[order], comps[order]
         excess = sizes[order] - np.bitwise_count(bitmaps[order]).sum(axis=1)
-        self.levels = [(bitmaps[order], sizes[order], sizes[order], excess, np.unique(self.comps, return_inverse=True)[1])]
+        self.levels = [(bitmaps[order], sizes[order], sizes[order], excess, self.comps)]
         fan = LEAF
         while len(self.levels[-1][1]) > 1:
             b, low, high, e, c = self.levels[-1]
             at = np.arange(0, len(low), fan)
             one = np.minimum.reduceat(c, at) == np.maximum.reduceat(c, at)
-            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at), np.where(one, c[at], -1)))
+            self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at), np.where(one, c[at], MIXED)))
             fan = FAN
 
     def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,7 +296,7 @@ def dual(one: Tree, two: Tree, similar: int) -> Iterator[tuple[np.ndarray, np.nd
         i, j, x, y = stack.pop()
         bx, lx, hx, ex, cx = (v[x] for v in one.levels[i])
         by, ly, hy, ey, cy = (v[y] for v in two.levels[j])
-        ok = (100 * hx >= similar * ly) & (100 * hy >= similar * lx) & ((cx != cy) | (cx < 0))
+        ok = (100 * hx >= similar * ly) & (100 * hy >= similar * lx) & ((cx != cy) | (cx == MIXED))
         if own and i == j:
             ok &= x <= y
         shared = np.zeros(len(x), np.int64)

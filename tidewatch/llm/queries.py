@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat_format, pieces, quality, sharding, token_counts, token_records, url_filters
+from tidewatch.llm import chat_format, decontam, jaccard_join, pieces, quality, sharding, token_counts, token_records, url_filters
 from tidewatch.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op4_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 8)
 
@@ -35,11 +39,15 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
 def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op4_qgram_decontamination, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op9_jaccard_join, op10_link_trust)}
 
 
 ORACLE_SQL: dict[str, str] = {}

@@ -406,3 +406,21 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))
     out = docs.join(named, ["set", "digest"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of df without those that link reaches from a smaller id; all columns and nothing else.
+
+    Of rows that repeat an id that stays, one is kept. Rows with a null id can't be told apart and
+    stay, as do rows without words. The moved data are one exchange of df against the ids to drop.
+    """
+    work = Work(df.sparkSession, "keep")
+    told = work.write(link(df, id_col, text_col, **how).where("doc_id is not null"), "told")
+    drop = told.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    out = df.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    again = told.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    again = work.write(again, "again")
+    if again.limit(1).count():
+        several = out.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
+        out = out.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(several)
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat_format, decontam, jaccard_join, pieces, quality, sharding, token_counts, token_records, url_filters
+from tidewatch.llm import chat_format, decontam, jaccard_join, pieces, quality, sharding, suffix_dedup, token_counts, token_records, url_filters
 from tidewatch.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_lyndon_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op4_qgram_decontamination, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op9_jaccard_join, op10_link_trust)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op4_qgram_decontamination, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op8_lyndon_dedup, op9_jaccard_join, op10_link_trust)}
 
 
 ORACLE_SQL: dict[str, str] = {}

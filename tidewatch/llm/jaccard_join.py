@@ -16,17 +16,14 @@ is verified on the full sets. Lists beyond BLOCK sets are dealt in pairs of bloc
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, Work, groups
+from tidewatch.llm.common import Work, groups
 from tidewatch.llm.components import components
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least Jaccard index in hundredths
@@ -47,26 +44,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+BASE = 0x9E3779B97F4A7C55
+SPACES = np.zeros(256, bool)
+SPACES[[9, 10, 11, 12, 13, 32]] = True
+
+
 class Shingler:
-    """Sets of 64-bit shingle hashes; words are hashed once for each worker (a bounded table)."""
+    """Sets of 64-bit shingle hashes of many texts at once, by array arithmetic over their bytes: a word's
+    hash is a difference of prefix sums of bytes times powers of BASE, scaled back to the word's start."""
 
     def __init__(self) -> None:
-        self.memo = Memo(1_000_000)
+        self.powers, self.inverse = self._table(BASE), self._table(pow(BASE, -1, 1 << 64))
+
+    def _table(self, base: int, n: int = 1 << 16) -> np.ndarray:
+        out = np.full(n, base, np.uint64)
+        out[0] = 1
+        return np.multiply.accumulate(out)
+
+    def _room(self, n: int) -> None:
+        if n > len(self.powers):
+            n = max(n, 2 * len(self.powers))
+            self.powers, self.inverse = self._table(BASE, n), self._table(pow(BASE, -1, 1 << 64), n)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
-        words = [x.encode("utf-8", "replace").translate(UPPER).split() for x in texts]
-        flat = np.array(self.memo.look_up(list(chain.from_iterable(words)), lambda x: list(map(xxhash.xxh64_intdigest, x))), np.uint64)
+        raw = [x.encode("utf-8", "replace").translate(UPPER) for x in texts]
+        b = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
+        self._room(len(b) + 1)
+        space = SPACES[b]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # words start and end here, in turn
+        start, end = edge[::2], edge[1::2]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.powers[: len(b)])])
+        flat = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * M1)
         rolled = mix(flat + M1)
         for i in range(1, WORDS):
-            rolled = mix(rolled[:-1] * M1 + flat[i:]) if len(flat) > i else rolled[:0]
-        out, at = [], 0
-        for own in words:
-            n = len(own)
+            rolled = mix(rolled[:-1] * M1 + flat[i:]) if len(rolled) > 1 else rolled[:0]
+        ends = np.cumsum([len(x) + 1 for x in raw]) + 1
+        bounds = np.searchsorted(start, np.concatenate([[0], ends])).tolist()
+        out = []
+        for at, to in zip(bounds, bounds[1:]):
+            n = to - at
             if n >= WORDS:
-                out.append(np.unique(rolled[at : at + n - WORDS + 1]))
-            else:
-                out.append(np.array([xxhash.xxh64_intdigest(b"\0".join(own), seed=n)], np.uint64) if n else np.zeros(0, np.uint64))
-            at += n
+                x = np.sort(rolled[at : to - WORDS + 1])
+                out.append(x[np.append(True, x[1:] != x[:-1])])
+            else:  # the whole sequence; its length keeps it apart from shingles
+                own = np.uint64(n)
+                for x in flat[at:to]:
+                    own = mix(np.array([own], np.uint64) * M2 + x)[0]
+                out.append(np.array([own] if n else [], np.uint64))
         return out
 
 
@@ -74,6 +98,7 @@ _SHINGLER: list[Shingler] = []
 
 
 def shingler() -> Shingler:
+    """One for each worker process, for its tables of powers."""
     if not _SHINGLER:
         _SHINGLER.append(Shingler())
     return _SHINGLER[0]
@@ -83,6 +108,14 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """The signature of each set: the bits of its elements."""
+    out = np.zeros((len(sets), BITS), np.uint8)
+    which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    out[which, (mix(np.concatenate(sets) ^ M1) % np.uint64(BITS)).astype(np.int64)] = 1
+    return [x.tobytes() for x in np.packbits(out, axis=1, bitorder="little")]
+
+
 def digests(sets: list[np.ndarray]) -> np.ndarray:
     return np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
 
@@ -95,37 +128,57 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
 
-def sketch(rows: DataFrame, bits: int) -> np.ndarray:
-    """Counts of shingles over all sets in 2**bits cells; summed in parts, and of a fixed size wherever it goes."""
+def read_all(rows: DataFrame, bits: int) -> DataFrame:
+    """Rows of two kinds from one pass: doc_id, n_shingles, set, digest, bitmap of each text; and, for each task, part and cells:
+    counts of its shingles in 2**bits cells, in parts."""
     part = 1 << min(14, bits)
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(1 << bits, np.int64)
         for batch in batches:
+            sizes, marks, bits_ = [], [], []
             for texts in groups(batch.column(1)):
-                own += np.bincount((np.concatenate(shingler().sets(texts)) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        yield _parts(own)
-
-    def _parts(own: np.ndarray) -> pa.RecordBatch:
+                sets = shingler().sets(texts)
+                own += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                sizes.extend(map(len, sets))
+                marks.append(digests(sets))
+                bits_.extend(bitmaps(sets))
+            d, n = np.concatenate(marks) if marks else np.zeros((0, 2), np.int64), batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bits_, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         cells = own.reshape(-1, part)
         keep = np.flatnonzero(cells.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(keep, pa.int32()), pa.array([cells[i].astype("<u4" if cells[i].max() < 1 << 32 else "<u8").tobytes() for i in keep], pa.binary())], ["part", "cells"])
+        nulls = [pa.nulls(len(keep), pa.int64())] * 4
+        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(keep), pa.binary()), pa.array(keep, pa.int32()), pa.array([packed(cells[i]) for i in keep], pa.binary())], names)
+
+    names = ["doc_id", "n_shingles", "set", "digest", "bitmap", "part", "cells"]
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set long, digest long, bitmap binary, part int, cells binary")
+
+
+def packed(cells: np.ndarray) -> bytes:
+    """A byte that gives the width, then the counts in as few bytes as hold them all."""
+    width = next(w for w in (1, 2, 4, 8) if cells.max() < 1 << (8 * w - (w == 8)))
+    return bytes([width]) + cells.astype(f"<u{width}").tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
-    def read(x: bytes) -> np.ndarray:
-        return np.frombuffer(x, f"<u{len(x) // part}").astype(np.int64)
+
+def sketch(parts: DataFrame, bits: int) -> np.ndarray:
+    """The sum of the parts over all tasks; of a fixed size wherever it goes."""
+    part = 1 << min(14, bits)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + read(x)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<u8").tobytes() for x in sums.values()], pa.binary())], ["part", "cells"])
+                sums[i] = sums.get(i, 0) + unpacked(x)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([packed(x) for x in sums.values()], pa.binary())], ["part", "cells"])
 
-    kind = "part int, cells binary"
     n = (1 << bits) // part
     out = np.zeros((n, part), np.int64)
-    for i, x in rows.mapInArrow(count, kind).repartition(n, "part").mapInArrow(add, kind).collect():
-        out[i] += read(x)
+    for i, x in parts.repartition(n, "part").mapInArrow(add, "part int, cells binary").collect():
+        out[i] += unpacked(x)
     return out.reshape(-1)
 
 
@@ -224,7 +277,7 @@ def routed(sets: DataFrame) -> bytes:
 
 
 def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """set, sid, shingles of the wanted sets (set, digest, sid), from the texts of their documents sid again.
+    """set, sid, shingles of the wanted sets (set, digest, sid), from the texts of their documents sid.
     A bitmap of fixed size keeps most other texts from being hashed; the join is exact."""
     spark = rows.sparkSession
     bits = spark.sparkContext.broadcast(routed(wanted))
@@ -242,8 +295,27 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.join(wanted, ["sid", "set", "digest"]).dropDuplicates(["set", "digest"]).select("set", "sid", "shingles")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """u, v (documents) of the pairs (a, b of sets) whose Jaccard index is high enough, on the full sets."""
+def bounded(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """Of pairs (a, b of sets) those whose bitmaps and sizes allow the index."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            m, k = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(n, -1) for i in (4, 5))
+            excess = np.minimum(m - np.bitwise_count(x).sum(axis=1), k - np.bitwise_count(y).sum(axis=1))
+            most = np.minimum(np.bitwise_count(x & y).sum(axis=1) + excess, np.minimum(m, k))
+            yield batch.filter(pa.array((100 + similar) * most >= similar * (m + k))).select(["a", "b"])
+
+    one = sets.select(F.col("set").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x"))
+    two = sets.select(F.col("set").alias("b"), F.col("size").alias("k"), F.col("bitmap").alias("y"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "k", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, work: Work, name: str, similar: int) -> DataFrame:
+    """u, v (documents) of the pairs (a, b of sets) whose Jaccard index is high enough, on the full sets, which are read from the texts again."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(distinct.where("sid is not null"), "set").select("set", "digest", "sid")
+    sets = work.write(full_sets(rows, work.write(wanted, f"{name}-wanted")), f"{name}-sets")
     one = sets.select(F.col("set").alias("a"), F.col("sid").alias("u"), F.col("shingles").alias("x"))
     two = sets.select(F.col("set").alias("b"), F.col("sid").alias("v"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b").where("u <> v")
@@ -254,15 +326,6 @@ def verified(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 # -- signature trees --
 
 
-def signatures(arrays: Iterable[np.ndarray]) -> np.ndarray:
-    out = []
-    for x in arrays:
-        bits = np.zeros(BITS, np.uint8)
-        bits[(mix(x.view(np.uint64) ^ M1) % np.uint64(BITS)).astype(np.int64)] = 1
-        out.append(np.packbits(bits, bitorder="little").view(np.uint64))
-    return np.array(out, np.uint64).reshape(-1, BITS // 64)
-
-
 class Tree:
     """Levels of nodes over sets sorted by size, from leaves of LEAF sets up to one root. A node holds the OR of its
     bitmaps, the range of sizes, the most that tokens exceed bits, and the one component of its sets (or MIXED)."""
@@ -369,39 +432,26 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     work = Work(spark, "jaccard")
     rows = _texts(df, id_col, text_col)
 
-    def digest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x for texts in groups(batch.column(1)) for x in shingler().sets(texts)]
-            d = digests(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "n_shingles", "set", "digest"])
-
-    docs = work.write(rows.mapInArrow(digest, "doc_id long, n_shingles long, set long, digest long"), "docs")
-    distinct = work.write(docs.where("n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid")), "sets")
-    counts = sketch(rows, sketch_bits)
+    read = work.write(read_all(rows, sketch_bits), "docs")
+    docs = read.where("part is null").select("doc_id", "n_shingles", "set", "digest", "bitmap")
+    distinct = docs.where("n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
+    distinct = work.write(distinct, "distinct")
+    counts = sketch(read.where("part is not null").select("part", "cells"), sketch_bits)
     lists = work.write(live(postings(rows, counts, similar).repartition("shingle").sortWithinPartitions("shingle", "set")), "live")
 
     # First pass: each set with the head of its lists.
     heads = lists.where(f"set <> head and {near_sizes('size', 'head_size', similar)}").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
-    heads = work.write(heads, "heads")
-    wanted = lists.select("set").distinct().join(distinct.where("sid is not null"), "set").select("set", "digest", "sid")
-    sets = work.write(full_sets(rows, wanted), "full")
-    edges = work.write(verified(heads, sets, similar), "edges")
+    heads = work.write(bounded(heads, distinct, similar), "heads")
+    edges = work.write(verified(heads, distinct, rows, work, "heads", similar), "edges")
     comps = work.write(components(edges, work, "first"), "comps")
 
-    # Second pass: pairs across components in lists that hold several.
-    sets = sets.select("set", "sid", "shingles").join(comps, F.col("sid") == F.col("node"), "left").select("set", "sid", "shingles", F.coalesce("component", "sid").alias("comp"))
-    member = lists.select("shingle", "set", "size").join(sets.select("set", "comp"), "set")
-    mixed_lists = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
-    mixed = member.join(mixed_lists, "shingle")
-
-    def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            maps = signatures(np.asarray(x.as_py() or [], np.int64) for x in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in maps], pa.binary())], ["set", "bitmap"])
-
-    signed_sets = sets.select("set", "shingles").mapInArrow(sign, "set long, bitmap binary")
-    pairs = work.write(tree_pairs(mixed.join(signed_sets, "set"), similar, block), "pairs")
-    more = work.write(verified(pairs, sets, similar), "more")
+    # Second pass: the other pairs, across components, in lists that hold several.
+    named = distinct.where("sid is not null").join(comps, F.col("sid") == F.col("node"), "left").select("set", F.coalesce("component", "sid").alias("comp"), "bitmap")
+    member = work.write(lists.where("set <> head").select("shingle", "set", "size").join(named.select("set", "comp"), "set"), "members")
+    lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
+    mixed = member.join(lots, "shingle").join(named.select("set", "bitmap"), "set")
+    pairs = work.write(tree_pairs(mixed, similar, block), "pairs")
+    more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))
     out = docs.join(named, ["set", "digest"], "left")

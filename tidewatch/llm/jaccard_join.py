@@ -10,7 +10,7 @@ components. Lists whose sets are all in one component have nothing more to tell.
 others, every pair across components is searched: the list's sets form a tree whose nodes hold
 the OR of their token bitmaps, the range of set sizes and what tokens exceed bits; a dual
 traversal drops pairs of nodes whose maximum possible overlap is too small, and what is left
-is verified on the full sets. Lists beyond BLOCK sets are dealt in pairs of blocks.
+is bounded once more by longer bitmaps and verified on the full sets. Lists beyond BLOCK sets are dealt in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -109,11 +109,20 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
-    """The signature of each set: the bits of its elements."""
-    out = np.zeros((len(sets), BITS), np.uint8)
-    which = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    out[which, (mix(np.concatenate(sets) ^ M1) % np.uint64(BITS)).astype(np.int64)] = 1
-    return [x.tobytes() for x in np.packbits(out, axis=1, bitorder="little")]
+    """The signature of each set: a bit for each element, of at least BITS and four times its size (a power of two); halves fold onto each other."""
+    out = []
+    for x in sets:
+        n = 1 << max(BITS.bit_length() - 1, (4 * len(x) - 1).bit_length())
+        bits = np.zeros(n, np.uint8)
+        bits[(mix(x ^ M1) & np.uint64(n - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def folded(bitmap: bytes, size: int = BITS // 8) -> np.ndarray:
+    """A signature of fewer bytes: what it would be if it had been made so long."""
+    x = np.frombuffer(bitmap, np.uint64)
+    return x if len(bitmap) == size else np.bitwise_or.reduce(x.reshape(-1, size // 8), axis=0)
 
 
 def digests(sets: list[np.ndarray]) -> np.ndarray:
@@ -129,7 +138,7 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def read_all(rows: DataFrame, bits: int) -> DataFrame:
-    """Rows of two kinds from one pass: doc_id, n_shingles, set, digest, bitmap of each text; and, for each task, part and cells:
+    """Rows of two kinds from one pass: doc_id, n_shingles, set, digest, bitmap (folded) and wide (whole signature) of each text; and, for each task, part and cells:
     counts of its shingles in 2**bits cells, in parts."""
     part = 1 << min(14, bits)
 
@@ -144,14 +153,14 @@ def read_all(rows: DataFrame, bits: int) -> DataFrame:
                 marks.append(digests(sets))
                 bits_.extend(bitmaps(sets))
             d, n = np.concatenate(marks) if marks else np.zeros((0, 2), np.int64), batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bits_, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([folded(x).tobytes() for x in bits_], pa.binary()), pa.array(bits_, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         cells = own.reshape(-1, part)
         keep = np.flatnonzero(cells.any(axis=1))
         nulls = [pa.nulls(len(keep), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(keep), pa.binary()), pa.array(keep, pa.int32()), pa.array([packed(cells[i]) for i in keep], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.binary()), pa.array(keep, pa.int32()), pa.array([packed(cells[i]) for i in keep], pa.binary())], names)
 
-    names = ["doc_id", "n_shingles", "set", "digest", "bitmap", "part", "cells"]
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set long, digest long, bitmap binary, part int, cells binary")
+    names = ["doc_id", "n_shingles", "set", "digest", "bitmap", "wide", "part", "cells"]
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set long, digest long, bitmap binary, wide binary, part int, cells binary")
 
 
 def packed(cells: np.ndarray) -> bytes:
@@ -300,15 +309,16 @@ def bounded(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            m, k = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(n, -1) for i in (4, 5))
-            excess = np.minimum(m - np.bitwise_count(x).sum(axis=1), k - np.bitwise_count(y).sum(axis=1))
-            most = np.minimum(np.bitwise_count(x & y).sum(axis=1) + excess, np.minimum(m, k))
-            yield batch.filter(pa.array((100 + similar) * most >= similar * (m + k))).select(["a", "b"])
-
-    one = sets.select(F.col("set").alias("a"), F.col("size").alias("m"), F.col("bitmap").alias("x"))
-    two = sets.select(F.col("set").alias("b"), F.col("size").alias("k"), F.col("bitmap").alias("y"))
+            keep = []
+            for m, k, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                size = min(len(x), len(y))
+                x, y = folded(x, size), folded(y, size)
+                p, q, both = (int(np.bitwise_count(z).sum()) for z in (x, y, x & y))
+                keep.append((100 + similar) * min(both + min(m - p, k - q), m, k) >= similar * (m + k))
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    one = sets.select(F.col("set").alias("a"), F.col("size").alias("m"), F.col("wide").alias("x"))
+    two = sets.select(F.col("set").alias("b"), F.col("size").alias("k"), F.col("wide").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "m", "k", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -416,7 +426,7 @@ def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
             yield from search(held)
 
     ordered = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return ordered.mapInArrow(run, "a long, b long")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, sketch_bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
@@ -433,8 +443,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     rows = _texts(df, id_col, text_col)
 
     read = work.write(read_all(rows, sketch_bits), "docs")
-    docs = read.where("part is null").select("doc_id", "n_shingles", "set", "digest", "bitmap")
-    distinct = docs.where("n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"))
+    docs = read.where("part is null").drop("part", "cells")
+    distinct = docs.where("n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     distinct = work.write(distinct, "distinct")
     counts = sketch(read.where("part is not null").select("part", "cells"), sketch_bits)
     lists = work.write(live(postings(rows, counts, similar).repartition("shingle").sortWithinPartitions("shingle", "set")), "live")
@@ -448,9 +458,11 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     # Second pass: the other pairs, across components, in lists that hold several.
     named = distinct.where("sid is not null").join(comps, F.col("sid") == F.col("node"), "left").select("set", F.coalesce("component", "sid").alias("comp"), "bitmap")
     member = work.write(lists.where("set <> head").select("shingle", "set", "size").join(named.select("set", "comp"), "set"), "members")
-    lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high").select("shingle", "n")
-    mixed = member.join(lots, "shingle").join(named.select("set", "bitmap"), "set")
-    pairs = work.write(tree_pairs(mixed, similar, block), "pairs")
+    lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *(f("set").alias(k) for f, k in ((F.min, "a"), (F.max, "b"))), F.min("size").alias("least"), F.max("size").alias("most")).where("low < high")
+    lots = work.write(lots, "lots")
+    two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b")  # a list of two is one pair
+    mixed = member.join(lots.where("n > 2").select("shingle", "n"), "shingle").join(named.select("set", "bitmap"), "set")
+    pairs = work.write(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, similar), "pairs")
     more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))

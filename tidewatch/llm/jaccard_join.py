@@ -27,8 +27,8 @@ from tidewatch.llm.common import Work, groups
 from tidewatch.llm.components import components
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least Jaccard index in hundredths
-SKETCH_BITS = 19
-FREQUENT = 4  # a sketch cell that holds so many times the mean counts as frequent
+SKETCH_BITS = 21
+FREQUENT = 2  # a sketch cell that holds so many times the mean counts as frequent
 BITS = 2048  # of a signature
 LEAF, FAN = 8, 8
 BLOCK = 2048
@@ -143,17 +143,28 @@ def read_all(rows: DataFrame, bits: int) -> DataFrame:
     part = 1 << min(14, bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << bits, np.int64)
+        own = np.zeros(1 << bits, np.int32)
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            nonlocal own
+            if held:
+                own += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+                held.clear()
+
         for batch in batches:
             sizes, marks, bits_ = [], [], []
             for texts in groups(batch.column(1)):
                 sets = shingler().sets(texts)
-                own += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                held.extend(sets)
+                if len(held) > 4096 or sum(map(len, sets)) > 1 << 20:
+                    count()
                 sizes.extend(map(len, sets))
                 marks.append(digests(sets))
                 bits_.extend(bitmaps(sets))
             d, n = np.concatenate(marks) if marks else np.zeros((0, 2), np.int64), batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([folded(x).tobytes() for x in bits_], pa.binary()), pa.array(bits_, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        count()
         cells = own.reshape(-1, part)
         keep = np.flatnonzero(cells.any(axis=1))
         nulls = [pa.nulls(len(keep), pa.int64())] * 4

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -80,12 +81,24 @@ class Memo(dict):
             self.reset()
         numbers = list(map(self.__getitem__, words))
         if self.pending:
+            gc.freeze()  # the table's many entries are no garbage; they needn't be walked again
             self.held += sum(map(len, self.pending))
             self.values_.extend(learn(self.pending))
             self.pending = []
         return list(map(self.values_.__getitem__, numbers))
 
 
+_TABLES: dict = {}
+
+
+def worker_table(key: tuple, make: Callable):
+    """The table that this worker process keeps from task to task for one operator; those of others are given up."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
 def groups(texts: Iterable, chars: int = 1 << 20) -> Iterator[list[str]]:
     """Arrow strings as lists of Python strings of about `chars` characters together; null is empty."""
     own, n = [], 0

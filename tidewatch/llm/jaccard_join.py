@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Work, groups
+from tidewatch.llm.common import Work, groups, worker_table
 from tidewatch.llm.components import components
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least Jaccard index in hundredths
@@ -94,14 +94,9 @@ class Shingler:
         return out
 
 
-_SHINGLER: list[Shingler] = []
-
-
 def shingler() -> Shingler:
     """One for each worker process, for its tables of powers."""
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
+    return worker_table(("shingles",), Shingler)
 
 
 def signed(x: np.ndarray) -> pa.Array:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
 
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, groups
+from tidewatch.llm.common import Memo, groups, worker_table
 
 MARK = "▁"
 CHUNK = re.compile(" +[^ ]*")
-TABLE_ITEMS = 500_000
+TABLE_ITEMS = 400_000
 
 
 def load(path: str):
@@ -52,33 +53,32 @@ class ChunkTable:
         check_model(path)
         self.model, self.table = load(path), Memo(TABLE_ITEMS)
         self.mark = self.model.piece_to_id(MARK)
+        self.code = "H" if self.model.get_piece_size() <= 1 << 16 else "I"
 
-    def segment(self, chunks: list[str]) -> list[tuple[int, ...]]:
-        """The ids of chunks that start with a marker, each segmented alone; the library sets their first marker."""
+    def segment(self, chunks: list[str]) -> list[tuple[bytes, str]]:
+        """The ids of chunks that start with a marker, each segmented alone, packed and as decimal text; the library sets their first marker."""
         given = [x[1:] for x in chunks]
-        ids = self.model.encode(given, num_threads=1)
-        return [tuple(y) if x else (self.mark,) for x, y in zip(given, ids)]
+        ids = [y if x else [self.mark] for x, y in zip(given, self.model.encode(given, num_threads=1))]
+        return [(array(self.code, y).tobytes(), ",".join(map(str, y))) for y in ids]
 
-    def chunks(self, texts: list[str]) -> list[list[tuple[int, tuple[int, ...], str]]]:
-        """For each text its chunks in order: number of ids, ids, ids as decimal text."""
+    def chunks(self, texts: list[str]) -> list[list[tuple[bytes, str]]]:
+        """For each text its chunks in order: ids packed, and as decimal text."""
         parts = [CHUNK.findall(" " + x.replace(MARK, " ")) if x else [] for x in texts]
-        found = iter(self.table.look_up(list(chain.from_iterable(parts)), lambda x: [(len(y), y, ",".join(map(str, y))) for y in self.segment(x)]))
+        found = iter(self.table.look_up(list(chain.from_iterable(parts)), self.segment))
         return [list(islice(found, len(x))) for x in parts]
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(x[1] for x in self.chunks([text])[0]))
+        return self.ids(self.chunks([text])[0])
+
+    def ids(self, chunks: list[tuple[bytes, str]]) -> list[int]:
+        return array(self.code, b"".join([x[0] for x in chunks])).tolist()
 
     def decode(self, ids: list[int]) -> str:
         return self.model.decode(ids)
 
 
-_TABLES: dict[str, ChunkTable] = {}
-
-
 def chunk_table(path: str) -> ChunkTable:
-    if path not in _TABLES:
-        _TABLES[path] = ChunkTable(path)
-    return _TABLES[path]
+    return worker_table(("pieces", path), lambda: ChunkTable(path))
 
 
 def encode_column(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -106,9 +106,10 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             n, encoded, decoded = [], [], []
             for chunks in (x for texts in groups(batch.column(1)) for x in one.chunks(texts)):
-                n.append(sum(c[0] for c in chunks))
-                encoded.append(sha(",".join([c[2] for c in chunks]).encode()).hexdigest())
-                decoded.append(sha(one.decode(list(chain.from_iterable([c[1] for c in chunks]))).encode()).hexdigest())
+                ids = one.ids(chunks)
+                n.append(len(ids))
+                encoded.append(sha(",".join([c[1] for c in chunks]).encode()).hexdigest())
+                decoded.append(sha(one.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     given = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

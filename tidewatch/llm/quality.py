@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import groups
+from tidewatch.llm.common import groups, worker_table
 from tidewatch.llm.pieces import load
 
 SPACE = " \t\n\v\f\r"
 SYMBOLS = "#*$%&|<>"
-TABLE_WORDS = 600_000
+TABLE_WORDS = 400_000
 
 
 @dataclass(frozen=True)
@@ -172,7 +172,6 @@ def measure(text: str, ids: np.ndarray, words: Words, lang: str | None, bands: d
 
 COLUMNS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.int64()), ("n_dup_lines", pa.int64()), ("n_repeat_words", pa.int64()), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("n_tokens", pa.int64()), ("n_byte_tokens", pa.int64()), ("token_entropy", pa.float64()))
 SQL_TYPES = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
-_WORDS: dict[str, Words] = {}
 
 
 def score(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict[str, Band] | None = None, keep: bool = False) -> DataFrame:
@@ -188,9 +187,7 @@ def score(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
     schema = df.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _WORDS:
-            _WORDS[path] = Words(path)
-        words = _WORDS[path]
+        words = worker_table(("quality", path), lambda: Words(path))
         for batch in batches:
             i = batch.schema.names.index(text_at)
             j = batch.schema.names.index(lang_at)

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, groups
+from tidewatch.llm.common import Memo, groups, worker_table
 
 WINDOW = 1 << 15
 OVERLAP = 1 << 8
 LIMIT = 1024
-MEMO_ITEMS = 1_000_000
+MEMO_ITEMS = 800_000
 
 #: A run of ASCII white space with what follows it: pieces of a text cut at its stable positions.
 PIECE = re.compile(r"\s*\S+|\s+", re.ASCII)
@@ -120,17 +120,6 @@ class Counter:
         return next((m.start() for m in STABLE.finditer(text, low + 1, high) if m.start() in both), None)
 
 
-_COUNTERS: dict[tuple, Counter] = {}
-
-
-def counter(path: str, window: int, overlap: int) -> Counter:
-    """One for each worker process, so that its memo serves all its tasks."""
-    key = (path, window, overlap)
-    if key not in _COUNTERS:
-        _COUNTERS[key] = Counter(*key)
-    return _COUNTERS[key]
-
-
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row.
 
@@ -140,7 +129,7 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = counter(path, window, overlap)
+        one = worker_table(("counts", path, window, overlap), lambda: Counter(path, window, overlap))
         for batch in batches:
             n = [k for texts in groups(batch.column(1)) for k in one.count_all(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

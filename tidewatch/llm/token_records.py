@@ -25,12 +25,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, Work, groups
+from tidewatch.llm.common import Memo, Work, groups, worker_table
 from tidewatch.llm.token_counts import load
 
 MAGIC = b"TWIX"
 MASK = 0xA282EAD8
-MEMO_ITEMS = 1_000_000
+MEMO_ITEMS = 800_000
 PIECE = re.compile(r"[^ \t\n\r]+")
 #: What takes a text out of the plain ones, and the pieces of plain texts in lower case.
 UNPLAIN = re.compile("[^\x00-\x26\x28-\x7fÀ-ÖØ-öø-ÿ]|<\\|")
@@ -114,13 +114,8 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return worker_table(("records", path), lambda: Encoder(path))
 
 
 class ShardWriter:

@@ -24,7 +24,7 @@ UNIT = 10**15
 #: Share of a rank that follows links, in hundredths.
 DAMPING = 85
 ROUNDS = 8
-#: Distrust, in hundredths of a blocked seed's own share, from which a host is blocked.
+#: Distrust, in hundredths of what a blocked seed has without any link, from which a host is blocked.
 THRESHOLD = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)href\s*=\s*["']?([^"'\s>]+)"""
@@ -115,6 +115,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
     seeds = work.write(seeds_of(rows.select("host", F.col("own").alias("verdict"))), "marked")
     ranks = propagate(edges, seeds, rounds, work)
     own = seeds.agg(F.coalesce(F.expr(f"case when sum(blocked) > 0 then {UNIT} div sum(blocked) end"), F.lit(0)).alias("own"))
-    bad = ranks.crossJoin(F.broadcast(own)).where(f"distrust > trust and distrust >= own * {threshold} div 100").select("host", F.lit("block").alias("host_verdict"))  # own is one row
+    bad = ranks.crossJoin(F.broadcast(own)).where(f"distrust > trust and distrust >= own * {(100 - DAMPING) * threshold} div 10000").select("host", F.lit("block").alias("host_verdict"))  # own is one row
     verdict = F.coalesce("host_verdict", F.lit("allow"))
     return rows.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("own", verdict).alias("verdict"), verdict.alias("host_verdict"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,6 @@ def public_ips(addresses: DataFrame, ip: str) -> DataFrame:
 
     Only distinct values reach Python, in Arrow batches.
     """
-    import pandas as pd
-
     def public(x: str) -> bool:
         try:
             a = ipaddress.ip_address(x)

@@ -78,8 +78,9 @@ def csv_records(text: str) -> Iterator[tuple[int, dict[str, str], str, bool]]:
         if not cells:
             continue
         number += 1
-        by_header = dict(zip(headers, cells))
-        yield number, {normal_header(h): v for h, v in by_header.items()}, " ".join(f"{h}={v}" for h, v in by_header.items() if v), len(cells) > len(headers)
+        by_header = dict(zip(headers, cells + [None] * (len(headers) - len(cells))))
+        named = {normal_header(h): by_header[h] for h in headers}
+        yield number, {h: v for h, v in named.items() if v is not None}, " ".join(f"{h}={v}" for h, v in by_header.items() if v), len(cells) > len(headers)
 
 
 def _contents(spark: SparkSession, files: Sequence[tuple[int, Path]]) -> DataFrame:

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewatch.session import ship
 
@@ -92,13 +97,23 @@ _TABLES: dict = {}
 
 
 def worker_table(key: tuple, make: Callable):
-    """The table that this worker process keeps from task to task for one operator; those of others are given up."""
+    """The table that this worker process keeps from task to task for one operator. Those of others are given
+    up, and what earlier tasks have freed goes back to the system: workers live on from stage to stage."""
     if key not in _TABLES:
         _TABLES.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+    if key not in _TABLES:
         _TABLES[key] = make()
     return _TABLES[key]
 
 
+def no_table(operator: str) -> None:
+    """For tasks of operators that keep nothing."""
+    worker_table((operator,), object)
+
+
 def groups(texts: Iterable, chars: int = 1 << 20) -> Iterator[list[str]]:
     """Arrow strings as lists of Python strings of about `chars` characters together; null is empty."""
     own, n = [], 0
@@ -110,3 +125,33 @@ def groups(texts: Iterable, chars: int = 1 << 20) -> Iterator[list[str]]:
             own, n = [], 0
     if own:
         yield own
+
+
+#: Bits of a routing bitmap: a fixed size, whatever the number of ids.
+ROUTE_BITS = 23
+
+
+def routed(ids: DataFrame, *cols: str) -> bytes:
+    """A bitmap of fixed size of the hashes of columns, built in the executors."""
+    place = F.pmod(F.xxhash64(*cols), F.lit(1 << ROUTE_BITS)) + 1  # both functions count from 1
+    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    size = 1 << 12
+    out = bytearray((1 << ROUTE_BITS) // 8)
+    for bucket, bits in parts:
+        out[(bucket - 1) * size : bucket * size] = bits.ljust(size, b"\0")
+    return bytes(out)
+
+
+def picked(rows: DataFrame, ids: DataFrame, *cols: str) -> DataFrame:
+    """Those rows that the bitmap of ids lets through (all that match, and a few more), so that most rows are not moved by the join that follows."""
+    spark = rows.sparkSession
+    bits = spark.sparkContext.broadcast(routed(ids, *cols))
+    schema = rows.schema
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
+        for batch in batches:
+            keep = held[batch.column(batch.num_columns - 1).to_numpy()]
+            yield batch.filter(pa.array(keep)).select(schema.names)
+
+    return rows.withColumn("__place", F.pmod(F.xxhash64(*cols), F.lit(1 << ROUTE_BITS)).cast("int")).mapInArrow(run, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import groups
+from tidewatch.llm.common import groups, no_table
 
 #: Characters of a q-gram; edits allowed, per hundred characters of the pattern.
 Q, EDITS = 12, 5
@@ -176,6 +176,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
             held = spark.sparkContext.broadcast(p)
 
             def kept(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+                no_table("leaks")
                 for batch in batches:
                     i = batch.schema.names.index(text_col)
                     yield batch.filter(pa.array([not held.value.find(x) for texts in groups(batch.column(i)) for x in texts], pa.bool_()))
@@ -188,6 +189,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         held = spark.sparkContext.broadcast(p)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            no_table("leaks")
             for batch in batches:
                 rows = []
                 before = zip(*(batch.column(i).to_pylist() for i in range(2, 7)))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Work, groups, worker_table
+from tidewatch.llm.common import ROUTE_BITS, Work, groups, no_table, picked, routed, worker_table
 from tidewatch.llm.components import components
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least Jaccard index in hundredths
@@ -33,7 +33,6 @@ BITS = 2048  # of a signature
 LEAF, FAN = 8, 8
 BLOCK = 2048
 MIXED = np.iinfo(np.int64).min
-ROUTE_BITS = 23
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -232,6 +231,7 @@ def live(lists: DataFrame) -> DataFrame:
     """Of postings, those whose shingle leads at least two sets, with the first set of the list; streamed over sorted partitions."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("links")
         first: tuple | None = None  # shingle, set, size of the current list's head
         shown = False  # whether the head has been emitted
         last: tuple | None = None
@@ -280,22 +280,11 @@ def near_sizes(a: str, b: str, similar: int) -> str:
     return f"100 * least({a}, {b}) >= {similar} * greatest({a}, {b})"
 
 
-def routed(sets: DataFrame) -> bytes:
-    """A bitmap of fixed size of the documents' (sid) hashes, built in the executors; its parts are at most 2**ROUTE_BITS bits together."""
-    place = F.pmod(F.xxhash64("sid"), F.lit(1 << ROUTE_BITS))
-    parts = sets.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    size = 1 << 12
-    out = bytearray((1 << ROUTE_BITS) // 8 + size)
-    for bucket, bits in parts:  # both functions count from 1
-        out[(bucket - 1) * size : bucket * size] = bits.ljust(size, b"\0")
-    return bytes(out)
-
-
 def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """set, sid, shingles of the wanted sets (set, digest, sid), from the texts of their documents sid.
     A bitmap of fixed size keeps most other texts from being hashed; the join is exact."""
     spark = rows.sparkSession
-    bits = spark.sparkContext.broadcast(routed(wanted))
+    bits = spark.sparkContext.broadcast(routed(wanted, "sid"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << ROUTE_BITS)).cast("int")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,8 +299,10 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return some.join(wanted, ["sid", "set", "digest"]).dropDuplicates(["set", "digest"]).select("set", "sid", "shingles")
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """Of pairs (a, b of sets) those whose bitmaps and sizes allow the index."""
+def bounded(pairs: DataFrame, sets: DataFrame, work: Work, name: str, similar: int) -> DataFrame:
+    """Of pairs (a, b of sets) those whose bitmaps and sizes allow the index; only bitmaps of sets in pairs are moved."""
+    pairs = work.write(pairs, f"{name}-pairs")
+    sets = work.write(picked(sets.select("set", "size", "wide"), pairs.select(F.explode(F.array("a", "b")).alias("set")), "set"), f"{name}-bitmaps")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -411,6 +402,8 @@ def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
     dealt = dealt.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "size", "comp", "bitmap")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("links")
+
         def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             trees = {}
             for k in {r[3] for r in rows}:
@@ -457,7 +450,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
 
     # First pass: each set with the head of its lists.
     heads = lists.where(f"set <> head and {near_sizes('size', 'head_size', similar)}").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
-    heads = work.write(bounded(heads, distinct, similar), "heads")
+    heads = work.write(bounded(heads, distinct, work, "heads", similar), "heads")
     edges = work.write(verified(heads, distinct, rows, work, "heads", similar), "edges")
     comps = work.write(components(edges, work, "first"), "comps")
 
@@ -468,7 +461,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     lots = work.write(lots, "lots")
     two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b")  # a list of two is one pair
     mixed = member.join(lots.where("n > 2").select("shingle", "n"), "shingle").join(named.select("set", "bitmap"), "set")
-    pairs = work.write(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, similar), "pairs")
+    pairs = work.write(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, work, "more", similar), "pairs")
     more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Work
+from tidewatch.llm.common import Work, no_table, picked
 from tidewatch.llm.lyndon import repeated
 
 LENGTH = 400
@@ -34,7 +34,6 @@ MOST = 8192
 BATCH = 60_000
 #: Long texts are hashed in parts of so many bytes.
 PART = 1 << 22
-ROUTE_BITS = 23
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -82,6 +81,7 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     A text seen before in the same task is left out; later steps don't need it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("repeats")
         seen: set = set()
         for batch in batches:
             rows: list[tuple] = []
@@ -121,6 +121,7 @@ def live(all_runs: DataFrame) -> DataFrame:
     bytes of the list's first run (head), whether it is the first with its bytes, and whether others have the same (twin)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("repeats")
         held: np.ndarray | None = None  # the last row, not yet out: what follows tells whether it is alive
         before: np.ndarray | None = None  # the row before it
         head = 0
@@ -167,6 +168,7 @@ def cut_blocks(texts: DataFrame, length: int, step: int) -> DataFrame:
     """The blocks of runs: texts has raw and spans, an array of (key, bytes, anchor, low, high)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("repeats")
         for batch in batches:
             rows: list[tuple] = []
             for raw, spans in zip(batch.column(0), batch.column(1)):
@@ -190,6 +192,7 @@ def sort_blocks(blocks: DataFrame, step: int, batch_symbols: int = BATCH) -> Dat
     """key, bytes, offset and a mask of the windows that repeat, of the blocks that have any. Blocks come sorted by core."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("repeats")
         groups: list[list[tuple]] = []  # lists of one core: (left, right, [(key, bytes, offset), ...])
         own: list[tuple] = []
         core: tuple | None = None
@@ -254,32 +257,6 @@ def count_windows(blocks: DataFrame, step: int) -> DataFrame:
     return hits.groupBy("key", "bytes", "offset").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
 
 
-def routed(ids: DataFrame, *cols: str) -> bytes:
-    """A bitmap of fixed size of the hashes of columns, built in the executors."""
-    place = F.pmod(F.xxhash64(*cols), F.lit(1 << ROUTE_BITS)) + 1  # both functions count from 1
-    parts = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    size = 1 << 12
-    out = bytearray((1 << ROUTE_BITS) // 8)
-    for bucket, bits in parts:
-        out[(bucket - 1) * size : bucket * size] = bits.ljust(size, b"\0")
-    return bytes(out)
-
-
-def picked(texts: DataFrame, ids: DataFrame, *cols: str) -> DataFrame:
-    """Rows of texts that the bitmap of ids lets through (all that match, and a few more), so that most texts are not moved by the join that follows."""
-    spark = texts.sparkSession
-    bits = spark.sparkContext.broadcast(routed(ids, *cols))
-    schema = texts.schema
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(np.frombuffer(bits.value, np.uint8), bitorder="little").astype(bool)
-        for batch in batches:
-            keep = held[batch.column(batch.num_columns - 1).to_numpy()]
-            yield batch.filter(pa.array(keep)).select(schema.names)
-
-    return texts.withColumn("__place", F.pmod(F.xxhash64(*cols), F.lit(1 << ROUTE_BITS)).cast("int")).mapInArrow(run, schema)
-
-
 def cover(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal runs [start, end) of bytes under windows given as ranges of starts (first, last)."""
     out: list[tuple[int, int]] = []
@@ -368,6 +345,7 @@ def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int) -> Da
     kind = [("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("repeats")
         for batch in batches:
             rows = []
             for t1, t2, raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):

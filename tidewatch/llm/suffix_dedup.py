@@ -34,6 +34,8 @@ MOST = 8192
 BATCH = 60_000
 #: Long texts are hashed in parts of so many bytes.
 PART = 1 << 22
+#: Runs, and digests of texts, that a task remembers.
+HELD = 200_000
 PLACE = np.uint64((1 << 24) - 1)
 
 
@@ -77,30 +79,54 @@ def digest64(x: bytes) -> int:
 
 
 def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """key, bytes (hash of the run's bytes), t1, t2, anchor, low, high of each run; texts has t1, t2, raw.
-    A text seen before in the same task is left out; later steps don't need it."""
+    """key, bytes (hash of the run's bytes), t1, t2, anchor, low, high of each run, with many (the task met the same
+    run again) and again (it is such a further one); texts has t1, t2, raw.
+
+    So a run that is found everywhere leaves a row or so in each task for the exchange by key; its further
+    rows are known to repeat without it. A text seen before in the same task is left out; later steps don't need it.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
         seen: set = set()
+        held: dict[tuple[int, int], tuple] = {}
+        many: set[tuple[int, int]] = set()
+
+        def flush() -> pa.RecordBatch:
+            out = _batch([(*row, k in many, False) for k, row in held.items()], MET)
+            held.clear()
+            many.clear()
+            return out
+
         for batch in batches:
             rows: list[tuple] = []
             for t1, t2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if (t1, t2) in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < HELD:
                     seen.add((t1, t2))
                 data = raw.as_py()
-                rows.extend((key, digest64(data[low : high + length]), t1, t2, a, low, high) for key, a, low, high in runs(np.frombuffer(data, np.uint8), length, gram))
+                for key, a, low, high in runs(np.frombuffer(data, np.uint8), length, gram):
+                    own = (key, digest64(data[low : high + length]))
+                    row = (*own, t1, t2, a, low, high)
+                    if own in held:
+                        many.add(own)
+                        rows.append((*row, True, True))
+                    else:
+                        held[own] = row
+                if len(held) > HELD:
+                    yield flush()
                 if len(rows) > 20_000:
-                    yield _batch(rows, RUN)
+                    yield _batch(rows, MET)
                     rows = []
-            yield _batch(rows, RUN)
+            yield _batch(rows, MET)
+        yield flush()
 
-    return texts.where(F.octet_length("raw") >= length).mapInArrow(run, ", ".join(f"{x} long" for x, _ in RUN))
+    return texts.where(F.octet_length("raw") >= length).mapInArrow(run, ddl(MET))
 
 
 RUN = [(x, pa.int64()) for x in ("key", "bytes", "t1", "t2", "anchor", "low", "high")]
+MET = [*RUN, ("many", pa.bool_()), ("again", pa.bool_())]
 LIVE = [*RUN, ("head", pa.int64()), ("first", pa.bool_()), ("twin", pa.bool_())]
 BLOCK = [("c1", pa.int64()), ("c2", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("key", pa.int64()), ("bytes", pa.int64()), ("offset", pa.int64())]
 MARK = [("key", pa.int64()), ("bytes", pa.int64()), ("offset", pa.int64()), ("mask", pa.int64())]
@@ -117,7 +143,7 @@ def _batch(rows: list[tuple], kind: list) -> pa.RecordBatch:
 
 
 def live(all_runs: DataFrame) -> DataFrame:
-    """Of all runs, those whose anchor occurs again, streamed over partitions sorted by key: with the
+    """Of runs (with many as a number), those whose anchor occurs again, streamed over partitions sorted by key: with the
     bytes of the list's first run (head), whether it is the first with its bytes, and whether others have the same (twin)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +152,11 @@ def live(all_runs: DataFrame) -> DataFrame:
         before: np.ndarray | None = None  # the row before it
         head = 0
         for batch in batches:
-            rows = np.stack([c.to_numpy() for c in batch.columns]) if batch.num_rows else np.zeros((len(RUN), 0), np.int64)
+            rows = np.stack([c.to_numpy() for c in batch.columns]) if batch.num_rows else np.zeros((len(RUN) + 1, 0), np.int64)
             if held is not None:
                 rows = np.concatenate([held, rows], axis=1)
             if rows.shape[1] > 1:
-                repeat = np.append(False, (rows[:, 1:] == rows[:, :-1]).all(axis=0))  # a run of a copy dealt to another task
+                repeat = np.append(False, (rows[:-1, 1:] == rows[:-1, :-1]).all(axis=0))  # a run of a copy dealt to another task
                 rows = rows[:, ~repeat]
             if not rows.shape[1]:
                 continue
@@ -150,14 +176,15 @@ def live(all_runs: DataFrame) -> DataFrame:
         i = np.arange(n) + lead
         after_key = np.append(same_key[1:], False)[i]
         after = np.append(same[1:], False)[i]
-        alive = same_key[i] | after_key
+        met = own[len(RUN)] > 0
+        alive = same_key[i] | after_key | met
         heads = np.zeros(n, np.int64)
         starts = np.flatnonzero(~same_key[i])
         if n:
             of = np.cumsum(~same_key[i]) - 1
             heads = np.where(of < 0, head, own[1][starts[np.maximum(of, 0)]] if len(starts) else head)
             head = int(heads[-1])
-        cols = [pa.array(x[alive]) for x in own] + [pa.array(heads[alive]), pa.array(~same[i][alive]), pa.array((same[i] | after)[alive])]
+        cols = [pa.array(x[alive]) for x in own[: len(RUN)]] + [pa.array(heads[alive]), pa.array(~same[i][alive]), pa.array((same[i] | after | met)[alive])]
         out = pa.RecordBatch.from_arrays(cols, [x for x, _ in LIVE])
         return out, head, own[:, -1:] if n else before, rows[:, -1:]
 
@@ -280,8 +307,11 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(F.col(id_col).alias("doc_id"), half(1).alias("t1"), half(17).alias("t2"), F.encode(text, "UTF-8").alias("raw"))
     by_text = texts.where(F.octet_length("raw") >= length).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
     known = work.write(by_text, "texts")
-    found = anchored(texts.select("t1", "t2", "raw"), length, gram)
-    alive = work.write(live(found.repartition("key").sortWithinPartitions("key", "bytes", "t1", "t2", "low")), "live")
+    found = work.write(anchored(texts.select("t1", "t2", "raw"), length, gram), "runs")
+    lists = found.where("not again").select(*(x for x, _ in RUN), F.col("many").cast("long").alias("many"))
+    further = found.where("again").select(*(x for x, _ in RUN), F.col("bytes").alias("head"), F.lit(False).alias("first"), F.lit(True).alias("twin"))
+    alive = work.write(live(lists.repartition("key").sortWithinPartitions("key", "bytes", "t1", "t2", "low", F.col("many").desc())).unionByName(further), "live")
+    work.drop("runs")
     # Anchors with several different runs: one run of each kind is cut into blocks.
     mixed = alive.where("bytes <> head").select("key").distinct()
     reps = alive.where("first").join(mixed, "key", "left_semi").join(known.select("t1", "t2", "rep"), ["t1", "t2"])

@@ -11,8 +11,9 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.session import ship
@@ -155,3 +156,17 @@ def picked(rows: DataFrame, ids: DataFrame, *cols: str) -> DataFrame:
             yield batch.filter(pa.array(keep)).select(schema.names)
 
     return rows.withColumn("__place", F.pmod(F.xxhash64(*cols), F.lit(1 << ROUTE_BITS)).cast("int")).mapInArrow(run, schema)
+
+
+def among(ids: DataFrame, ids_cols: list[str], cols: list[Column]) -> Column:
+    """A condition that holds for all rows whose cols are among ids, and for few others. Only the hash's place goes to
+    Python, so that long texts stay where they are. The types of ids_cols and cols must be the same."""
+    bits = ids.sparkSession.sparkContext.broadcast(routed(ids, *ids_cols))
+
+    @F.pandas_udf("boolean")
+    def told(place: pd.Series) -> pd.Series:
+        x = place.to_numpy()
+        held = np.frombuffer(bits.value, np.uint8)
+        return pd.Series((held[x >> 3] >> (x & 7)) & 1 == 1)
+
+    return told(F.pmod(F.xxhash64(*cols), F.lit(1 << ROUTE_BITS)).cast("int"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import ROUTE_BITS, Work, groups, no_table, picked, routed, worker_table
+from tidewatch.llm.common import ROUTE_BITS, Work, among, groups, no_table, picked, routed, worker_table
 from tidewatch.llm.components import components
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least Jaccard index in hundredths
@@ -441,11 +441,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     work = Work(spark, "jaccard")
     rows = _texts(df, id_col, text_col)
 
-    read = work.write(read_all(rows, sketch_bits), "docs")
-    docs = read.where("part is null").drop("part", "cells")
-    distinct = docs.where("n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
+    read = work.write(read_all(rows, sketch_bits), "read")
+    docs = work.write(read.where("part is null").select("doc_id", "n_shingles", "set", "digest"), "docs")
+    distinct = read.where("part is null and n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
     distinct = work.write(distinct, "distinct")
     counts = sketch(read.where("part is not null").select("part", "cells"), sketch_bits)
+    work.drop("read")
     lists = work.write(live(postings(rows, counts, similar).repartition("shingle").sortWithinPartitions("shingle", "set")), "live")
 
     # First pass: each set with the head of its lists.
@@ -457,6 +458,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     # Second pass: the other pairs, across components, in lists that hold several.
     named = distinct.where("sid is not null").join(comps, F.col("sid") == F.col("node"), "left").select("set", F.coalesce("component", "sid").alias("comp"), "bitmap")
     member = work.write(lists.where("set <> head").select("shingle", "set", "size").join(named.select("set", "comp"), "set"), "members")
+    work.drop("live")
     lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *(f("set").alias(k) for f, k in ((F.min, "a"), (F.max, "b"))), F.min("size").alias("least"), F.max("size").alias("most")).where("low < high")
     lots = work.write(lots, "lots")
     two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b")  # a list of two is one pair
@@ -464,6 +466,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     pairs = work.write(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, work, "more", similar), "pairs")
     more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
+    for x in ("members", "lots", "heads-pairs", "heads-bitmaps", "heads-wanted", "heads-sets", "more-pairs", "more-bitmaps", "more-wanted", "more-sets"):
+        work.drop(x)
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))
     out = docs.join(named, ["set", "digest"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -473,12 +477,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     """The rows of df without those that link reaches from a smaller id; all columns and nothing else.
 
     Of rows that repeat an id that stays, one is kept. Rows with a null id can't be told apart and
-    stay, as do rows without words. The moved data are one exchange of df against the ids to drop.
+    stay, as do rows without words. Only rows that a bitmap of fixed size lets through, which are
+    those to drop and a few more, are moved to meet the ids to drop; all others pass.
     """
     work = Work(df.sparkSession, "keep")
     told = work.write(link(df, id_col, text_col, **how).where("doc_id is not null"), "told")
-    drop = told.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    out = df.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")
+    drop = work.write(told.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "drop")
+    near = among(drop, ["__drop"], [F.col(id_col).cast("long")])
+    out = df.where(~near).unionByName(df.where(near).join(drop, F.col(id_col) == F.col("__drop"), "left_anti"))
     again = told.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     again = work.write(again, "again")
     if again.limit(1).count():

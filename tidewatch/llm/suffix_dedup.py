@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Work, no_table, picked
+from tidewatch.llm.common import Work, among, no_table, picked
 from tidewatch.llm.lyndon import repeated
 
 LENGTH = 400
@@ -391,14 +391,18 @@ def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int) -> Da
 
 def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = LENGTH, **how) -> DataFrame:
     """df with the repeated strings cut out of text_col, all columns and nothing else; size_col (where df
-    has it) becomes the characters left. A character that is cut in part goes whole. Null texts stay null."""
+    has it) becomes the characters left. A character that is cut in part goes whole. Null texts stay null.
+    Only rows with something to cut (and a few more that a bitmap lets through) are moved."""
     work = Work(df.sparkSession, "cut")
     known, windows = find_repeats(df, id_col, text_col, length, work=work, **how)
     cut = removed(df, windows, text_col, length).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("kept").alias("__kept"))
     often = known.where("n > 1").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.lit("").alias("__kept"))
-    out = _keyed(df, text_col).join(cut.unionByName(often), ["__t1", "__t2"], "left")
+    keyed, names = _keyed(df, text_col), ["__t1", "__t2"]
+    ids = windows.select("t1", "t2").unionByName(known.where("n > 1").select("t1", "t2"))
+    some = among(ids, ["t1", "t2"], [F.col(x) for x in names])
+    out = keyed.where(some).join(cut.unionByName(often), names, "left")
     now = F.when(F.col(text_col).isNull() | F.col("__kept").isNull(), F.col(text_col)).otherwise(F.col("__kept"))
     out = out.withColumn(text_col, now)
     if size_col and size_col in df.columns:
         out = out.withColumn(size_col, F.when(F.col("__kept").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(df.schema[size_col].dataType))
-    return out.select(df.columns)
+    return keyed.where(~some).select(df.columns).unionByName(out.select(df.columns))

@@ -35,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return (configured or held.get()).rstrip("/")
 
 
+#: Rows of a narrow table (a few numbers each, so a few MB) up to which it is broadcast, or worked on in one task.
+SMALL = 50_000
+
+
 class Work:
     """A folder in the shared one for the written tables and files of one operator call.
 
@@ -53,6 +57,11 @@ class Work:
         (df.write.partitionBy(*by) if by else df.write).option("compression", "zstd").mode("overwrite").parquet(self.at(name))
         return self.spark.read.parquet(self.at(name))
 
+    def narrow(self, df: DataFrame, name: str) -> DataFrame:
+        """Writes a table of a few numbers a row; if it has at most SMALL rows, joins get it by broadcast."""
+        out = self.write(df, name)
+        return F.broadcast(out) if out.count() <= SMALL else out
+
     def drop(self, name: str = "") -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

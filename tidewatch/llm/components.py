@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Work
+from tidewatch.llm.common import SMALL, Work
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,15 +24,24 @@ def components(edges: DataFrame, work: Work, name: str, rounds: int = 50) -> Dat
 
     Each round is two joins on the node, with partially aggregated minima, and is written to the
     shared folder; a round that changes nothing ends the loop. What the driver sees is two numbers a round.
+    At most SMALL edges are one partition, so that their rounds need no exchange.
     """
-    now = work.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-0")
+    at_once = False
+
+    def kept(df: DataFrame, i: int) -> DataFrame:
+        out = work.write(df, f"{name}-{i}")
+        return out.coalesce(1) if at_once else out
+
+    now = kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), 0)
     mark = lambda df: tuple(df.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0)")).first())
     seen = mark(now)
+    at_once = seen[0] <= SMALL  # stars never add edges beyond the first ones and their nodes
+    now = now.coalesce(1) if at_once else now
     for i in range(1, rounds + 1):
         if not seen[0]:
             break
         large = _stars(now, True)
-        now = work.write(_stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False), f"{name}-{i}")
+        now = kept(_stars(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False), i)
         work.drop(f"{name}-{i - 1}")
         before, seen = seen, mark(now)
         if seen == before:

@@ -301,7 +301,7 @@ def full_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def bounded(pairs: DataFrame, sets: DataFrame, work: Work, name: str, similar: int) -> DataFrame:
     """Of pairs (a, b of sets) those whose bitmaps and sizes allow the index; only bitmaps of sets in pairs are moved."""
-    pairs = work.write(pairs, f"{name}-pairs")
+    pairs = work.narrow(pairs, f"{name}-pairs")
     sets = work.write(picked(sets.select("set", "size", "wide"), pairs.select(F.explode(F.array("a", "b")).alias("set")), "set"), f"{name}-bitmaps")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, work: Work, name: str, similar: i
 def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, work: Work, name: str, similar: int) -> DataFrame:
     """u, v (documents) of the pairs (a, b of sets) whose Jaccard index is high enough, on the full sets, which are read from the texts again."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct().join(distinct.where("sid is not null"), "set").select("set", "digest", "sid")
-    sets = work.write(full_sets(rows, work.write(wanted, f"{name}-wanted")), f"{name}-sets")
+    sets = work.write(full_sets(rows, work.narrow(wanted, f"{name}-wanted")), f"{name}-sets")
     one = sets.select(F.col("set").alias("a"), F.col("sid").alias("u"), F.col("shingles").alias("x"))
     two = sets.select(F.col("set").alias("b"), F.col("sid").alias("v"), F.col("shingles").alias("y"))
     both = pairs.join(one, "a").join(two, "b").where("u <> v")
@@ -451,7 +451,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
 
     # First pass: each set with the head of its lists.
     heads = lists.where(f"set <> head and {near_sizes('size', 'head_size', similar)}").select(F.col("head").alias("a"), F.col("set").alias("b")).distinct()
-    heads = work.write(bounded(heads, distinct, work, "heads", similar), "heads")
+    heads = work.narrow(bounded(heads, distinct, work, "heads", similar), "heads")
     edges = work.write(verified(heads, distinct, rows, work, "heads", similar), "edges")
     comps = work.write(components(edges, work, "first"), "comps")
 
@@ -463,7 +463,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     lots = work.write(lots, "lots")
     two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b")  # a list of two is one pair
     mixed = member.join(lots.where("n > 2").select("shingle", "n"), "shingle").join(named.select("set", "bitmap"), "set")
-    pairs = work.write(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, work, "more", similar), "pairs")
+    pairs = work.narrow(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, work, "more", similar), "pairs")
     more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
     for x in ("members", "lots", "heads-pairs", "heads-bitmaps", "heads-wanted", "heads-sets", "more-pairs", "more-bitmaps", "more-wanted", "more-sets"):

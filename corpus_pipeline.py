@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts (and n_chars) without the strings that repeat."""
+    """All rows, their texts (and n_chars) without the strings and the passages of over 50 words that repeat."""
     ship(spark)
-    return suffix_dedup.cut_repeats(docs)
+    return suffix_dedup.cut_repeats(docs, words=suffix_dedup.WINDOW)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from tests.llm.fixtures import documents, empty, got, prose, rows, wanted
 from tidewatch.llm import jaccard_join, lyndon, suffix_dedup
 from tidewatch.llm.common import Work
@@ -89,6 +90,25 @@ def test_cut_texts_keep_whole_characters(spark):
     assert out == {1: ("xend", 4), 2: ("y", 1), 3: (None, None), 4: ("short", 5)}
 
 
+@pytest.mark.parametrize("n", [51, 55, 60])
+def test_pipeline_cuts_passages_of_over_fifty_short_words(spark, n):
+    rng = random.Random(n)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    text = lambda m, k: " ".join(word(k) for _ in range(m))
+    shared, line = text(n, 2), text(20, 6)  # the line repeats too, but is no passage of over 50 words
+    assert len(shared) < 400
+    around = [(text(90, 7), text(80, 7)) for _ in range(6)]
+    alone = text(150, 7) + " " + line
+    texts = [f"{a} {shared if i % 2 else shared.replace(' ', chr(10), 3)} {b} {line}" for i, (a, b) in enumerate(around)]
+    texts[4] = f"{around[4][0]} é{shared}x {around[4][1]}"  # glued to other letters on both sides
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, alone, "few words only", ""])] + [(99, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_strings(spark, df, "").collect()}
+    for i, (a, b) in enumerate(around):
+        left = f"{a} é{shared.split()[0]}  {shared.split()[-1]}x {b}" if i == 4 else f"{a}  {b} {line}"
+        assert out[i] == (left, len(left))
+    assert out[6][0] == alone and out[7][0] == "few words only" and out[8][0] == "" and out[99][0] is None
+
+
 # -- joins --
 
 

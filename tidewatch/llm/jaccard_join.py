@@ -65,15 +65,19 @@ class Shingler:
             n = max(n, 2 * len(self.powers))
             self.powers, self.inverse = self._table(BASE, n), self._table(pow(BASE, -1, 1 << 64), n)
 
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        raw = [x.encode("utf-8", "replace").translate(UPPER) for x in texts]
+    def words(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and hash of each word of the texts, which follow a space each."""
         b = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
         self._room(len(b) + 1)
         space = SPACES[b]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1  # words start and end here, in turn
         start, end = edge[::2], edge[1::2]
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * self.powers[: len(b)])])
-        flat = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * M1)
+        return start, end, mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * M1)
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        raw = [x.encode("utf-8", "replace").translate(UPPER) for x in texts]
+        start, _, flat = self.words(raw)
         rolled = mix(flat + M1)
         for i in range(1, WORDS):
             rolled = mix(rolled[:-1] * M1 + flat[i:]) if len(rolled) > 1 else rolled[:0]

@@ -10,6 +10,9 @@ anchor into blocks of at most STEP windows; all windows of a block share its cor
 meet by core, and the core can stand as one symbol. Strings of (bytes before the core, core,
 bytes after it) are sorted together by linear grouping over Lyndon prefixes (lyndon.py), and
 windows that repeat are neighbours in that order.
+
+Passages are also found by words, whatever their bytes: each word is a symbol of UNIT bytes, its
+hash, and windows are WINDOW words; of the windows found, those that start with a word count.
 """
 
 from __future__ import annotations
@@ -23,11 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Work, among, no_table, picked
+from tidewatch.llm.jaccard_join import shingler
 from tidewatch.llm.lyndon import repeated
 
 LENGTH = 400
 GRAM = 64
 STEP = 16
+#: Words of a window where passages are found by words: a passage of over 50 words has so many whole ones even if both its ends touch other letters.
+WINDOW = 49
+#: Bytes of a word's symbol.
+UNIT = 8
 #: Distinct strings about one core that a task sorts together; beyond it, single windows are counted instead.
 MOST = 8192
 #: Symbols that are sorted in one go.
@@ -78,7 +86,35 @@ def digest64(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def as_words(texts: DataFrame) -> DataFrame:
+    """texts (t1, t2, raw and others) with the symbols of its words in place of raw; white space is not told apart."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[bytes] = []
+            for raw in _byte_groups(batch.column(at)):
+                start, _, flat = shingler().words(raw)
+                bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
+                out.extend(flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
+
+    at = texts.columns.index("raw")
+    return texts.mapInArrow(run, texts.schema)
+
+
+def _byte_groups(column: pa.Array, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    own, n = [], 0
+    for x in column:
+        own.append(x.as_py())
+        n += len(own[-1])
+        if n >= size:
+            yield own
+            own, n = [], 0
+    if own:
+        yield own
+
+
+def anchored(texts: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
     """key, bytes (hash of the run's bytes), t1, t2, anchor, low, high of each run, with many (the task met the same
     run again) and again (it is such a further one); texts has t1, t2, raw.
 
@@ -86,6 +122,8 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
     rows are known to repeat without it. A text seen before in the same task is left out; later steps don't need it.
     """
 
+    kind = np.uint8 if unit == 1 else np.uint64
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
         seen: set = set()
@@ -106,7 +144,8 @@ def anchored(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(seen) < HELD:
                     seen.add((t1, t2))
                 data = raw.as_py()
-                for key, a, low, high in runs(np.frombuffer(data, np.uint8), length, gram):
+                for key, *places in runs(np.frombuffer(data, kind), length // unit, gram // unit):
+                    a, low, high = (x * unit for x in places)
                     own = (key, digest64(data[low : high + length]))
                     row = (*own, t1, t2, a, low, high)
                     if own in held:
@@ -295,9 +334,23 @@ def cover(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
-def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, most: int = MOST, work: Work | None = None) -> tuple[DataFrame, DataFrame]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The union of ranges [start, end)."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, most: int = MOST, work: Work | None = None, words: int = 0) -> tuple[DataFrame, DataFrame]:
     """(texts, windows): texts has doc_id, t1, t2 (digest of the text) and n (rows with that text);
-    windows has t1, t2 and windows, an array of (first, last) ranges of window starts that repeat, for texts that occur once."""
+    windows has t1, t2 and windows, an array of (first, last) ranges of window starts that repeat, for texts that occur once.
+    With words, windows are so many words, and their starts are numbers of words."""
+    unit = UNIT if words else 1
+    length = words * UNIT if words else length
     if not 0 < step <= length - gram or gram & (gram - 1):
         raise ValueError("gram must be a power of two, and step at most length - gram")
     spark = df.sparkSession
@@ -305,9 +358,10 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     half = lambda i: F.conv(F.substring(F.md5(text), i, 15), 16, 10).cast("long")
     texts = df.select(F.col(id_col).alias("doc_id"), half(1).alias("t1"), half(17).alias("t2"), F.encode(text, "UTF-8").alias("raw"))
+    texts = as_words(texts) if words else texts
     by_text = texts.where(F.octet_length("raw") >= length).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
     known = work.write(by_text, "texts")
-    found = work.write(anchored(texts.select("t1", "t2", "raw"), length, gram), "runs")
+    found = work.write(anchored(texts.select("t1", "t2", "raw"), length, gram, unit), "runs")
     lists = found.where("not again").select(*(x for x, _ in RUN), F.col("many").cast("long").alias("many"))
     further = found.where("again").select(*(x for x, _ in RUN), F.col("bytes").alias("head"), F.lit(False).alias("first"), F.lit(True).alias("twin"))
     alive = work.write(live(lists.repartition("key").sortWithinPartitions("key", "bytes", "t1", "t2", "low", F.col("many").desc())).unionByName(further), "live")
@@ -331,7 +385,10 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = F.expr(f"filter(sequence(0, {step - 1}), j -> (mask & shiftleft(1L, j)) <> 0)")
     part = once.where("not twin").join(marks, ["key", "bytes"]).select("t1", "t2", F.explode(bits).alias("j"), (F.col("low") + F.col("offset")).alias("at"))
     part = part.select("t1", "t2", (F.col("at") + F.col("j")).alias("first"), (F.col("at") + F.col("j")).alias("last"))
-    windows = work.write(whole.unionByName(part).groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "windows")
+    both = whole.unionByName(part)
+    if words:  # windows of whole symbols
+        both = both.select("t1", "t2", F.ceil(F.col("first") / unit).alias("first"), F.floor(F.col("last") / unit).alias("last")).where("first <= last")
+    windows = work.write(both.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "windows")
     for x in ("live", "blocks", "spans", "marks", "large"):
         work.drop(x)
     return known, windows
@@ -367,19 +424,25 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     )
 
 
-def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int) -> DataFrame:
-    """t1, t2, n_removed, n_spans, kept_sha256 and kept (the text of whole remaining characters) of the texts with windows."""
+def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int, words: int = 0) -> DataFrame:
+    """t1, t2, n_removed, n_spans, kept_sha256 and kept (the text of whole remaining characters) of the texts with windows.
+    With words, windows also has by_words, ranges of windows of so many words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = _keyed(df.select(F.col(text_col).alias(text_col)), text_col).select(F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.encode(text, "UTF-8").alias("raw"))
-    both = picked(texts, windows, "t1", "t2").join(windows, ["t1", "t2"]).select("t1", "t2", "raw", "windows")
+    both = picked(texts, windows, "t1", "t2").join(windows, ["t1", "t2"]).select("t1", "t2", "raw", "windows", *(["by_words"] if words else []))
     kind = [("t1", pa.int64()), ("t2", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
         for batch in batches:
             rows = []
-            for t1, t2, raw, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                data, spans = raw.as_py(), cover([(x["first"], x["last"]) for x in own.as_py()], length)
+            for t1, t2, raw, *own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+                data = raw.as_py()
+                ranges = [[(x["first"], x["last"]) for x in y.as_py() or ()] for y in own]
+                spans = cover(ranges[0], length)
+                if words and ranges[1]:
+                    start, end, _ = shingler().words([data])  # after a space
+                    spans = merged(spans + [(int(start[x]) - 1, int(end[y - 1]) - 1) for x, y in cover(ranges[1], words)])
                 edges = [0, *(y for x in spans for y in x), len(data)]
                 left = [data[x:y] for x, y in zip(edges[::2], edges[1::2])]
                 kept = b"".join(left)
@@ -389,13 +452,18 @@ def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int) -> Da
     return both.mapInArrow(run, ddl(kind))
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = LENGTH, **how) -> DataFrame:
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = LENGTH, words: int = 0, **how) -> DataFrame:
     """df with the repeated strings cut out of text_col, all columns and nothing else; size_col (where df
     has it) becomes the characters left. A character that is cut in part goes whole. Null texts stay null.
+    With words, passages of so many words that repeat, with any white space, are cut too, of fewer bytes than length as well.
     Only rows with something to cut (and a few more that a bitmap lets through) are moved."""
     work = Work(df.sparkSession, "cut")
     known, windows = find_repeats(df, id_col, text_col, length, work=work, **how)
-    cut = removed(df, windows, text_col, length).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("kept").alias("__kept"))
+    if words:
+        also, by_words = find_repeats(df, id_col, text_col, work=Work(df.sparkSession, "cut-words"), words=words)
+        windows = work.write(windows.join(by_words.withColumnRenamed("windows", "by_words"), ["t1", "t2"], "full_outer"), "all-windows")
+        known = known.where("n > 1").select("t1", "t2", "n").unionByName(also.where("n > 1").select("t1", "t2", "n")).distinct()
+    cut = removed(df, windows, text_col, length, words).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("kept").alias("__kept"))
     often = known.where("n > 1").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.lit("").alias("__kept"))
     keyed, names = _keyed(df, text_col), ["__t1", "__t2"]
     ids = windows.select("t1", "t2").unionByName(known.where("n > 1").select("t1", "t2"))

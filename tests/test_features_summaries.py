@@ -198,3 +198,14 @@ def test_catalog_has_sql_with_the_same_columns(spark, tmp_path):
             text = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))
             assert text(have) == text(want), name
     assert requests([1]) and synthetic.SCENARIOS
+
+
+def test_alert_order_numbers_all_rows(spark, tmp_path):
+    from tidewatch.plans import catalog
+
+    kinds = ["click", "view", "signup", "purchase", "error"]
+    rows = [(i, T0 + timedelta(minutes=i * 7919 % 3000 // 4), i % 31, kinds[i % 5], 1.0, "{}") for i in range(3000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    high = sorted((r[3] == "error", r[1], r[0]) for r in rows if r[3] in ("purchase", "error"))
+    have = catalog.queries()["o3_alert_order"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, have)) == [(i, r[2], "HIGH" if r[0] else "CRITICAL") for i, r in enumerate(high, 1)] and len(have) == 1200

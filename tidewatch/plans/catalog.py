@@ -329,13 +329,17 @@ def u3_distinct_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 with a as (select event_id, case event_type when 'error' then 'HIGH' when 'signup' then 'LOW' when 'purchase' then 'CRITICAL' else 'MEDIUM' end as severity, ts from events)
 select cast(row_number() over (order by case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, ts, event_id) as integer) as place, event_id, severity from a where severity in ('CRITICAL', 'HIGH') order by place limit 500""")
 def o3_alert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 500 places by severity and start among those of at least high severity."""
+    """The places by severity and start of all of at least high severity: rows are numbered inside each severity and hour, after those of earlier ones."""
     from pyspark.sql import Window
 
     e = rows(spark, sf_dir)
     named = e.select("event_id", "us", F.when(F.col("event_type") == "error", "HIGH").when(F.col("event_type") == "signup", "LOW").when(F.col("event_type") == "purchase", "CRITICAL").otherwise("MEDIUM").alias("severity"))
-    top = A.at_least(named, "HIGH").orderBy(A.rank(), "us", "event_id").limit(500)
-    return top.select(F.row_number().over(Window.orderBy(A.rank(), "us", "event_id")).alias("place"), "event_id", "severity")
+    top = A.at_least(named, "HIGH").withColumn("hour", instants.bucket(F.timestamp_micros("us"), 3_600))
+    counts = top.groupBy("severity", "hour").count()
+    before = counts.select(F.col("severity").alias("s"), F.col("hour").alias("h"), (F.sum("count").over(Window.orderBy(A.rank(), "hour")) - F.col("count")).alias("before"))  # a row for each severity and hour
+    own = F.row_number().over(Window.partitionBy("severity", "hour").orderBy("us", "event_id"))
+    placed = top.withColumn("own", own).join(F.broadcast(before), (F.col("severity") == F.col("s")) & F.col("hour").eqNullSafe(F.col("h")))
+    return placed.select((F.col("before") + F.col("own")).cast("int").alias("place"), "event_id", "severity")
 
 
 @query("""

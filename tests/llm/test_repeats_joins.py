@@ -101,11 +101,12 @@ def test_pipeline_cuts_passages_of_over_fifty_short_words(spark, n):
     alone = text(150, 7) + " " + line
     texts = [f"{a} {shared if i % 2 else shared.replace(' ', chr(10), 3)} {b} {line}" for i, (a, b) in enumerate(around)]
     texts[4] = f"{around[4][0]} é{shared}x {around[4][1]}"  # glued to other letters on both sides
-    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, alone, "few words only", ""])] + [(99, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, alone, "few words only", "", line, line])] + [(99, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_strings(spark, df, "").collect()}
     for i, (a, b) in enumerate(around):
         left = f"{a} é{shared.split()[0]}  {shared.split()[-1]}x {b}" if i == 4 else f"{a}  {b} {line}"
         assert out[i] == (left, len(left))
+    assert out[9][0] == out[10][0] == line  # copies of fewer words and bytes
     assert out[6][0] == alone and out[7][0] == "few words only" and out[8][0] == "" and out[99][0] is None
 
 

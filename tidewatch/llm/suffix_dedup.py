@@ -86,23 +86,19 @@ def digest64(x: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
 
 
-def as_words(texts: DataFrame) -> DataFrame:
-    """texts (t1, t2, raw and others) with the symbols of its words in place of raw; white space is not told apart."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[bytes] = []
-            for raw in _byte_groups(batch.column(at)):
-                start, _, flat = shingler().words(raw)
-                bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
-                out.extend(flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if i == at else batch.column(i) for i in range(batch.num_columns)], batch.schema.names)
-
-    at = texts.columns.index("raw")
-    return texts.mapInArrow(run, texts.schema)
-
-
-def _byte_groups(column: pa.Array, size: int = 1 << 20) -> Iterator[list[bytes]]:
+def symbols(column: pa.Array, unit: int) -> Iterator[bytes]:
+    """What windows are made of: the bytes of each text, or the symbols of its words (white space is not told apart)."""
+    table = shingler() if unit > 1 else None
+    for raw in _groups(column):
+        if table is None:
+            yield from raw
+            continue
+        start, _, flat = table.words(raw)
+        bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
+        yield from (flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
+
+
+def _groups(column: pa.Array, size: int = 1 << 18) -> Iterator[list[bytes]]:
     own, n = [], 0
     for x in column:
         own.append(x.as_py())
@@ -138,12 +134,13 @@ def anchored(texts: DataFrame, length: int, gram: int, unit: int = 1) -> DataFra
 
         for batch in batches:
             rows: list[tuple] = []
-            for t1, t2, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for t1, t2, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), symbols(batch.column(2), unit)):
                 if (t1, t2) in seen:
                     continue
                 if len(seen) < HELD:
                     seen.add((t1, t2))
-                data = raw.as_py()
+                if len(data) < length:
+                    continue
                 for key, *places in runs(np.frombuffer(data, kind), length // unit, gram // unit):
                     a, low, high = (x * unit for x in places)
                     own = (key, digest64(data[low : high + length]))
@@ -161,7 +158,12 @@ def anchored(texts: DataFrame, length: int, gram: int, unit: int = 1) -> DataFra
             yield _batch(rows, MET)
         yield flush()
 
-    return texts.where(F.octet_length("raw") >= length).mapInArrow(run, ddl(MET))
+    return texts.where(F.octet_length("raw") >= least(length, unit)).mapInArrow(run, ddl(MET))
+
+
+def least(length: int, unit: int) -> int:
+    """The fewest bytes of a text with a window: words have a byte or more, and white space between them."""
+    return length if unit == 1 else 2 * length // unit - 1
 
 
 RUN = [(x, pa.int64()) for x in ("key", "bytes", "t1", "t2", "anchor", "low", "high")]
@@ -230,15 +232,14 @@ def live(all_runs: DataFrame) -> DataFrame:
     return all_runs.mapInArrow(run, ddl(LIVE))
 
 
-def cut_blocks(texts: DataFrame, length: int, step: int) -> DataFrame:
+def cut_blocks(texts: DataFrame, length: int, step: int, unit: int = 1) -> DataFrame:
     """The blocks of runs: texts has raw and spans, an array of (key, bytes, anchor, low, high)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
         for batch in batches:
             rows: list[tuple] = []
-            for raw, spans in zip(batch.column(0), batch.column(1)):
-                data = raw.as_py()
+            for data, spans in zip(symbols(batch.column(0), unit), batch.column(1)):
                 for span in spans.as_py():
                     key, own, a, low, high = (span[x] for x in ("key", "bytes", "anchor", "low", "high"))
                     for block in range((low - a) // step, (high - a) // step + 1):
@@ -358,10 +359,11 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.coalesce(F.col(text_col), F.lit(""))
     half = lambda i: F.conv(F.substring(F.md5(text), i, 15), 16, 10).cast("long")
     texts = df.select(F.col(id_col).alias("doc_id"), half(1).alias("t1"), half(17).alias("t2"), F.encode(text, "UTF-8").alias("raw"))
-    texts = as_words(texts) if words else texts
-    by_text = texts.where(F.octet_length("raw") >= length).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
+    by_text = texts.where(F.octet_length("raw") >= least(length, unit)).groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"))
     known = work.write(by_text, "texts")
     found = work.write(anchored(texts.select("t1", "t2", "raw"), length, gram, unit), "runs")
+    if words:  # not all of those texts have so many words
+        known = work.write(known.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi"), "known")
     lists = found.where("not again").select(*(x for x, _ in RUN), F.col("many").cast("long").alias("many"))
     further = found.where("again").select(*(x for x, _ in RUN), F.col("bytes").alias("head"), F.lit(False).alias("first"), F.lit(True).alias("twin"))
     alive = work.write(live(lists.repartition("key").sortWithinPartitions("key", "bytes", "t1", "t2", "low", F.col("many").desc())).unionByName(further), "live")
@@ -373,7 +375,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = picked(texts.withColumnRenamed("doc_id", "rep"), spans, "rep", "t1", "t2")
     joined = own.join(spans, [own.rep.eqNullSafe(spans.rep), own.t1 == spans.t1, own.t2 == spans.t2]).select(own.t1, own.t2, "raw", "spans")
     single = joined.dropDuplicates(["t1", "t2"])
-    blocks = work.write(cut_blocks(single, length, step), "blocks")
+    blocks = work.write(cut_blocks(single, length, step, unit), "blocks")
     large = work.write(blocks.groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > most).select("c1", "c2"), "large")
     few = blocks.join(large, ["c1", "c2"], "left_anti").repartition("c1", "c2").sortWithinPartitions("c1", "c2", "left", "right")
     marks = sort_blocks(few.select([x for x, _ in BLOCK]), step)
@@ -434,14 +436,15 @@ def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int, words
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
+        table = shingler() if words else None
         for batch in batches:
             rows = []
             for t1, t2, raw, *own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
                 data = raw.as_py()
                 ranges = [[(x["first"], x["last"]) for x in y.as_py() or ()] for y in own]
                 spans = cover(ranges[0], length)
-                if words and ranges[1]:
-                    start, end, _ = shingler().words([data])  # after a space
+                if table and ranges[1]:
+                    start, end, _ = table.words([data])  # after a space
                     spans = merged(spans + [(int(start[x]) - 1, int(end[y - 1]) - 1) for x, y in cover(ranges[1], words)])
                 edges = [0, *(y for x in spans for y in x), len(data)]
                 left = [data[x:y] for x, y in zip(edges[::2], edges[1::2])]

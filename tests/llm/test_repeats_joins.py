@@ -134,8 +134,13 @@ def brute_classes(texts):
     return sets, [find(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("block", [jaccard_join.BLOCK, 2])
-def test_links_against_brute_force(spark, block):
+def brute_links(sets):
+    """For each set the number of others that it links with."""
+    return [sum(1 for j, b in enumerate(sets) if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in enumerate(sets)]
+
+
+@pytest.mark.parametrize(("block", "load"), [(jaccard_join.BLOCK, jaccard_join.LOAD), (2, 300)])
+def test_links_against_brute_force(spark, block, load):
     rng = random.Random(11)
     base = [[rng.choice("abcdefghij") * rng.randrange(1, 3) for _ in range(rng.randrange(5, 120))] for _ in range(12)]
     texts = ["", None, "one two", "ONE  two", "one two three", "a b c d e", "A B c d E"]
@@ -146,8 +151,8 @@ def test_links_against_brute_force(spark, block):
         texts.append(rng.choice([" ", "\n"]).join(w + (["tail"] if rng.random() < 0.2 else [])))
     sets, group = brute_classes(texts)
     df = spark.createDataFrame([(i, x, "clash", 2) for i, x in enumerate(texts)], "doc_id long, text string, set string, size int").repartition(3)
-    out = jaccard_join.link(df, sketch_bits=8, block=block)
-    assert got(out, "doc_id", "n_shingles", "component_id") == wanted((i, len(s), g) for i, (s, g) in enumerate(zip(sets, group)))
+    out = jaccard_join.link(df, sketch_bits=8, block=block, load=load)
+    assert got(out, "doc_id", "n_shingles", "component_id", "n_links") == wanted((i, len(s), g, n) for i, (s, g, n) in enumerate(zip(sets, group, brute_links(sets))))
     kept = jaccard_join.keep_one(df, sketch_bits=8)
     assert kept.columns == df.columns
     assert got(kept, "doc_id") == wanted((g,) for g in set(group))
@@ -176,21 +181,47 @@ def test_trees_lose_no_pair():
 
     rng = np.random.default_rng(5)
     sets = []
-    for _ in range(150):
-        base = rng.integers(0, 1 << 62, rng.integers(5, 200), dtype=np.uint64)
+    for size in [200] * 140 + [3000] * 10:
+        base = rng.integers(0, 1 << 62, rng.integers(5, size), dtype=np.uint64)
         sets.append(np.unique(base))
         sets.append(np.unique(np.concatenate([base[rng.integers(0, 3) :], rng.integers(0, 1 << 62, rng.integers(0, 4), dtype=np.uint64)])))
-    maps = np.array([jaccard_join.folded(x) for x in jaccard_join.bitmaps(sets)])
+    for n in (1020, 1024, 1028, 2050):  # about where bitmaps double
+        sets.extend(np.unique(np.append(np.arange(n, dtype=np.uint64) * np.uint64(7919), rng.integers(0, 1 << 62, 9, dtype=np.uint64))) for _ in range(3))
+    maps = jaccard_join.bitmaps(sets)
     sizes, comps = np.array([len(x) for x in sets]), rng.integers(0, 200, len(sets))
-    want = {(i, j) for i in range(len(sets)) for j in range(i) if comps[i] != comps[j] and 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (sizes[i] + sizes[j] - n)}
+    linked = {(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= 80 * (sizes[i] + sizes[j] - n)}
     ids = np.arange(len(sets))
-    one = jaccard_join.Tree(ids, sizes, maps, comps)
-    found = [(max(a, b), min(a, b)) for x, y in jaccard_join.dual(one, one, 80) for a, b in zip(x.tolist(), y.tolist())]
-    assert want <= set(found) and len(found) == len(set(found)) and len(found) < 5000
-    half = ids < 140
-    two = [jaccard_join.Tree(ids[h], sizes[h], maps[h], comps[h]) for h in (half, ~half)]
-    across = {(max(a, b), min(a, b)) for x, y in jaccard_join.dual(*two, 80) for a, b in zip(x.tolist(), y.tolist())}
-    assert {p for p in want if half[p[0]] != half[p[1]]} <= across
+    planted = lambda h: jaccard_join.plant(ids[h], sizes[h], [maps[i] for i in ids[h]], comps[h])
+    one = planted(ids >= 0)
+    assert len(one) > 2
+    for apart in (True, False):
+        want = {(i, j) for i, j in linked if not apart or comps[i] != comps[j]}
+        found = [(max(a, b), min(a, b)) for x, y in jaccard_join.meet(one, one, 80, apart) for a, b in zip(x.tolist(), y.tolist())]
+        assert want <= set(found) and len(found) == len(set(found)) and len(found) < len(want) + 200
+        half = ids % 3 > 0
+        two = [planted(h) for h in (half, ~half)]
+        across = {(max(a, b), min(a, b)) for x, y in jaccard_join.meet(*two, 80, apart) for a, b in zip(x.tolist(), y.tolist())}
+        assert {p for p in want if half[p[0]] != half[p[1]]} <= across
+
+
+def test_lists_of_the_same_sets_are_searched_once(spark):
+    """Documents that share a passage but don't link meet in the lists of all its prefix shingles; their pairs are made by few of them."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(200))
+    df = spark.createDataFrame([(i, passage + " " + " ".join(word() for _ in range(52))) for i in range(12)], "doc_id long, text string")
+    made = []
+    kept = jaccard_join.tree_pairs
+    jaccard_join.tree_pairs = lambda *a, **k: made.append(kept(*a, **k)) or made[0]
+    try:
+        work = jaccard_join.Work.drop
+        jaccard_join.Work.drop = lambda self, name="": None
+        out = jaccard_join.link(df)
+        assert {(r.doc_id, r.component_id, r.n_links) for r in out.collect()} == {(i, i, 0) for i in range(12)}
+        pairs = made[0]
+        assert pairs.count() == pairs.distinct().count() <= 55
+    finally:
+        jaccard_join.tree_pairs, jaccard_join.Work.drop = kept, work
 
 
 def test_components(spark):

@@ -5,12 +5,17 @@ first n - ceil(t n) + 1 elements of each in any fixed order of all shingles (pre
 sets meet in the lists of their prefix shingles. The order puts what a fixed-size sketch of
 document frequencies finds frequent last, so common passages are hardly in prefixes.
 
+Sets form signature trees, whose nodes hold the OR of their token bitmaps, the range of set sizes
+and what tokens exceed bits; a dual traversal drops pairs of nodes whose maximum possible overlap
+is too small. Bitmaps grow with the sets, so a tree holds sets of about one size, and trees of
+different sizes meet at the smaller one's bitmaps.
+
 In a first pass each set of a list is compared with the list's first one; verified links give
-components. Lists whose sets are all in one component have nothing more to tell. In the
-others, every pair across components is searched: the list's sets form a tree whose nodes hold
-the OR of their token bitmaps, the range of set sizes and what tokens exceed bits; a dual
-traversal drops pairs of nodes whose maximum possible overlap is too small, and what is left
-is bounded once more by longer bitmaps and verified on the full sets. Lists beyond BLOCK sets are dealt in pairs of blocks.
+components. Lists whose sets are all in one component can join no others. In the rest, the trees
+search all pairs across components; of lists with the same sets one is searched, and what is left
+is verified on the full sets. So components are known. All links lie inside them: a component's
+full sets meet once, its trees search all pairs, those left are verified, and each set's links are
+counted where they are found. Long lists and large components are dealt in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -27,11 +32,13 @@ from tidewatch.llm.common import ROUTE_BITS, Work, among, groups, no_table, pick
 from tidewatch.llm.components import components
 
 WORDS, SIMILAR = 5, 80  # words of a shingle; least Jaccard index in hundredths
-SKETCH_BITS = 21
+#: The sketch has a cell for so many shingles, within these bounds of its bits.
+PER_CELL, SKETCH_BITS = 16, (16, 22)
 FREQUENT = 2  # a sketch cell that holds so many times the mean counts as frequent
 BITS = 2048  # of a signature
 LEAF, FAN = 8, 8
-BLOCK = 2048
+BLOCK = 2048  # sets of a list that one tree search takes on each side
+LOAD = 1 << 19  # shingles of a component's sets that one search takes on each side
 MIXED = np.iinfo(np.int64).min
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -136,7 +143,7 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def read_all(rows: DataFrame, bits: int) -> DataFrame:
-    """Rows of two kinds from one pass: doc_id, n_shingles, set, digest, bitmap (folded) and wide (whole signature) of each text; and, for each task, part and cells:
+    """Rows of two kinds from one pass: doc_id, n_shingles, set, digest and wide (signature) of each text; and, for each task, part and cells:
     counts of its shingles in 2**bits cells, in parts."""
     part = 1 << min(14, bits)
 
@@ -161,15 +168,15 @@ def read_all(rows: DataFrame, bits: int) -> DataFrame:
                 marks.append(digests(sets))
                 bits_.extend(bitmaps(sets))
             d, n = np.concatenate(marks) if marks else np.zeros((0, 2), np.int64), batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([folded(x).tobytes() for x in bits_], pa.binary()), pa.array(bits_, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(bits_, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         count()
         cells = own.reshape(-1, part)
         keep = np.flatnonzero(cells.any(axis=1))
         nulls = [pa.nulls(len(keep), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(keep), pa.binary()), pa.nulls(len(keep), pa.binary()), pa.array(keep, pa.int32()), pa.array([packed(cells[i]) for i in keep], pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(len(keep), pa.binary()), pa.array(keep, pa.int32()), pa.array([packed(cells[i]) for i in keep], pa.binary())], names)
 
-    names = ["doc_id", "n_shingles", "set", "digest", "bitmap", "wide", "part", "cells"]
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set long, digest long, bitmap binary, wide binary, part int, cells binary")
+    names = ["doc_id", "n_shingles", "set", "digest", "wide", "part", "cells"]
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set long, digest long, wide binary, part int, cells binary")
 
 
 def packed(cells: np.ndarray) -> bytes:
@@ -339,13 +346,14 @@ def verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, work: Work,
 
 class Tree:
     """Levels of nodes over sets sorted by size, from leaves of LEAF sets up to one root. A node holds the OR of its
-    bitmaps, the range of sizes, the most that tokens exceed bits, and the one component of its sets (or MIXED)."""
+    bitmaps (all of one length), the range of sizes, the most that tokens exceed bits, and the one component of its sets (or MIXED)."""
 
     def __init__(self, sets: np.ndarray, sizes: np.ndarray, bitmaps: np.ndarray, comps: np.ndarray) -> None:
         order = np.lexsort((sets, comps, sizes))
-        self.sets, self.comps = sets[order], comps[order]
-        excess = sizes[order] - np.bitwise_count(bitmaps[order]).sum(axis=1)
-        self.levels = [(bitmaps[order], sizes[order], sizes[order], excess, self.comps)]
+        self.sets, self.sizes, self.bitmaps, self.comps = sets[order], sizes[order], bitmaps[order], comps[order]
+        self.shorter: dict[int, Tree] = {}
+        excess = self.sizes - np.bitwise_count(self.bitmaps).sum(axis=1)
+        self.levels = [(self.bitmaps, self.sizes, self.sizes, excess, self.comps)]
         fan = LEAF
         while len(self.levels[-1][1]) > 1:
             b, low, high, e, c = self.levels[-1]
@@ -354,6 +362,14 @@ class Tree:
             self.levels.append((np.bitwise_or.reduceat(b, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(e, at), np.where(one, c[at], MIXED)))
             fan = FAN
 
+    def folded(self, words: int) -> Tree:
+        """The tree with bitmaps of so many 64-bit words, or fewer if it has fewer."""
+        if words >= self.bitmaps.shape[1]:
+            return self
+        if words not in self.shorter:
+            self.shorter[words] = Tree(self.sets, self.sizes, np.bitwise_or.reduce(self.bitmaps.reshape(len(self.sets), -1, words), axis=1), self.comps)
+        return self.shorter[words]
+
     def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The children of nodes of a level, and the index of the parent of each."""
         fan = LEAF if level == 1 else FAN
@@ -362,15 +378,35 @@ class Tree:
         return kids[ok], np.nonzero(ok)[0]
 
 
-def dual(one: Tree, two: Tree, similar: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (a, b) of sets of different components that the bounds leave; for one tree with itself each pair once."""
+def plant(sets: np.ndarray, sizes: np.ndarray, bitmaps: list[bytes], comps: np.ndarray) -> list[Tree]:
+    """A tree for each length of bitmaps."""
+    lengths = np.array([len(x) for x in bitmaps])
+    out = []
+    for n in np.unique(lengths):
+        own = np.flatnonzero(lengths == n)
+        out.append(Tree(sets[own], sizes[own], np.frombuffer(b"".join(bitmaps[i] for i in own), np.uint64).reshape(len(own), -1), comps[own]))
+    return out
+
+
+def meet(one: list[Tree], two: list[Tree], similar: int, apart: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets of the trees of either side that the bounds leave; for one side with itself each pair once."""
+    for k, x in enumerate(one):
+        for y in two[k:] if one is two else two:
+            words = min(x.bitmaps.shape[1], y.bitmaps.shape[1])
+            yield from dual(x.folded(words), y.folded(words), similar, apart)
+
+
+def dual(one: Tree, two: Tree, similar: int, apart: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of sets (of different components, if apart) that the bounds leave; for one tree with itself each pair once."""
     own = one is two
     stack = [(len(one.levels) - 1, len(two.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         i, j, x, y = stack.pop()
         bx, lx, hx, ex, cx = (v[x] for v in one.levels[i])
         by, ly, hy, ey, cy = (v[y] for v in two.levels[j])
-        ok = (100 * hx >= similar * ly) & (100 * hy >= similar * lx) & ((cx != cy) | (cx == MIXED))
+        ok = (100 * hx >= similar * ly) & (100 * hy >= similar * lx)
+        if apart:
+            ok &= (cx != cy) | (cx == MIXED)
         if own and i == j:
             ok &= x <= y
         shared = np.zeros(len(x), np.int64)
@@ -393,8 +429,9 @@ def dual(one: Tree, two: Tree, similar: int) -> Iterator[tuple[np.ndarray, np.nd
         else:
             y, parent = two.children(j, y)
             x, j = x[parent], j - 1
-        for k in range(0, len(x), 1 << 16):
-            stack.append((i, j, x[k : k + (1 << 16)], y[k : k + (1 << 16)]))
+        few = max(64, (1 << 21) // bx.shape[1])  # 16 MB of bitmaps at once
+        for k in range(0, len(x), few):
+            stack.append((i, j, x[k : k + few], y[k : k + few]))
 
 
 def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
@@ -411,11 +448,11 @@ def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
         def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
             trees = {}
             for k in {r[3] for r in rows}:
-                mine = {r[4]: r for r in rows if r[3] == k}.values()
-                trees[k] = Tree(np.array([r[4] for r in mine], np.int64), np.array([r[5] for r in mine], np.int64), np.frombuffer(b"".join(r[7] for r in mine), np.uint64).reshape(-1, BITS // 64), np.array([r[6] for r in mine], np.int64))
+                mine = list({r[4]: r for r in rows if r[3] == k}.values())
+                trees[k] = plant(np.array([r[4] for r in mine], np.int64), np.array([r[5] for r in mine], np.int64), [r[7] for r in mine], np.array([r[6] for r in mine], np.int64))
             i, j = rows[0][1], rows[0][2]
             if i in trees and j in trees:
-                for a, b in dual(trees[i], trees[j], similar):
+                for a, b in meet(trees[i], trees[j], similar):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         held: list[tuple] = []
@@ -432,22 +469,85 @@ def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, sketch_bits: int = SKETCH_BITS, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) of each row.
+def count_links(sets: DataFrame, similar: int, load: int = LOAD) -> DataFrame:
+    """set, n (documents whose sets link with it) of the sets of components; sets: comp, set, copies (documents with
+    the set), shingles, total (shingles of the component's sets). A pair of blocks of a component is one search by trees;
+    what they leave is verified on the full sets. Links are counted where they are found: no row is made of one."""
+    n_blocks = F.ceil(F.col("total") / load).cast("int")
+    own = F.pmod(F.xxhash64("set"), n_blocks).cast("int")
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    dealt = dealt.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set", "copies", "shingles")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("links")
+
+        def search(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            i, j = key[1:]
+            sides = [x for x in ({r[0] for r in rows} & {i, j})]
+            flat, code = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+            sizes = np.array([len(r[3]) for r in rows], np.int64)
+            ends = np.cumsum(sizes)
+            maps = bitmaps([r[3].view(np.uint64) for r in rows])
+            side = np.array([r[0] for r in rows])
+            trees = {}
+            for k in sides:
+                at = np.flatnonzero(side == k)
+                trees[k] = plant(at, sizes[at], [maps[x] for x in at], at)
+            copies, found = np.array([r[2] for r in rows], np.int64), np.zeros(len(rows), np.int64)
+            held = np.zeros(len(flat), bool)
+            if i in trees and j in trees:
+                for a, b in meet(trees[i], trees[j], similar, apart=False):
+                    order = np.argsort(a, kind="stable")
+                    a, b = a[order], b[order]
+                    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+                    for at, to in zip(first, [*first[1:], len(a)]):
+                        x, ys = a[at], b[at:to]
+                        held[code[ends[x] - sizes[x] : ends[x]]] = True
+                        starts = np.cumsum(sizes[ys]) - sizes[ys]
+                        places = np.repeat(ends[ys] - sizes[ys] - starts, sizes[ys]) + np.arange(int(sizes[ys].sum()))
+                        shared = np.add.reduceat(held[code[places]].astype(np.int64), starts)
+                        ys = ys[100 * shared >= similar * (sizes[x] + sizes[ys] - shared)]
+                        held[code[ends[x] - sizes[x] : ends[x]]] = False
+                        found[x] += copies[ys].sum()
+                        np.add.at(found, ys, copies[x])
+            keep = np.flatnonzero(found)
+            return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in keep], pa.int64()), pa.array(found[keep])], ["set", "n"])
+
+        held, key = [], None
+        for batch in batches:
+            for comp, i, j, own, one, copies, shingles in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1]):
+                if key != (comp, i, j):
+                    if held:
+                        yield search(key, held)
+                    held, key = [], (comp, i, j)
+                held.append((own, one, copies, shingles.values.to_numpy()))
+        if held:
+            yield search(key, held)
+
+    found = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(run, "set long, n long")
+    return found.groupBy("set").agg(F.sum("n").alias("n"))
+
+
+def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: int = SIMILAR, sketch_bits: int | None = None, block: int = BLOCK, load: int = LOAD, count: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) and, with count, n_links (rows that link with it) of each row.
 
     Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct runs of five
     words, or the whole sequence if there are fewer. Null and empty texts have empty sets and link
-    with nothing. Repeated rows are copies of each other. Ids are taken to be unique; classes of
+    with nothing. Repeated rows are copies of each other and count as links. Ids are cast to long and
+    taken to be unique; an id that is no number fails under ANSI mode and is null otherwise. Classes of
     different texts whose least ids are equal are one. Rows with a null id keep it and get the least
-    id of their equal texts' class; if there is none, null. An empty table gives no rows.
+    id of their equal texts' class; if there is none, null, and their texts link with their copies alone. An empty table gives no rows.
     """
     spark = df.sparkSession
     work = Work(spark, "jaccard")
     rows = _texts(df, id_col, text_col)
 
+    if sketch_bits is None:  # by the bytes of all texts; a shingle starts about every six of them
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        sketch_bits = min(max((total // (6 * PER_CELL)).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
     read = work.write(read_all(rows, sketch_bits), "read")
     docs = work.write(read.where("part is null").select("doc_id", "n_shingles", "set", "digest"), "docs")
-    distinct = read.where("part is null and n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.first("n_shingles").alias("size"), F.first("bitmap").alias("bitmap"), F.first("wide").alias("wide"))
+    distinct = read.where("part is null and n_shingles > 0").groupBy("set", "digest").agg(F.min("doc_id").alias("sid"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("wide").alias("wide"))
     distinct = work.write(distinct, "distinct")
     counts = sketch(read.where("part is not null").select("part", "cells"), sketch_bits)
     work.drop("read")
@@ -459,22 +559,33 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     edges = work.write(verified(heads, distinct, rows, work, "heads", similar), "edges")
     comps = work.write(components(edges, work, "first"), "comps")
 
-    # Second pass: the other pairs, across components, in lists that hold several.
-    named = distinct.where("sid is not null").join(comps, F.col("sid") == F.col("node"), "left").select("set", F.coalesce("component", "sid").alias("comp"), "bitmap")
-    member = work.write(lists.where("set <> head").select("shingle", "set", "size").join(named.select("set", "comp"), "set"), "members")
+    # Second pass: the other pairs, across components, in lists that hold several. Lists of the same sets are one.
+    named = distinct.where("sid is not null").join(comps, F.col("sid") == F.col("node"), "left").select("set", F.coalesce("component", "sid").alias("comp"))
+    member = work.write(lists.where("set <> head").select("shingle", "set", "size").join(named, "set"), "members")
     work.drop("live")
-    lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *(f("set").alias(k) for f, k in ((F.min, "a"), (F.max, "b"))), F.min("size").alias("least"), F.max("size").alias("most")).where("low < high")
-    lots = work.write(lots, "lots")
+    same = [F.expr("bit_xor(xxhash64(set))").alias("h1"), F.expr("bit_xor(xxhash64(set, 7L))").alias("h2")]
+    lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *(f("set").alias(k) for f, k in ((F.min, "a"), (F.max, "b"))), F.min("size").alias("least"), F.max("size").alias("most"), *same).where("low < high")
+    lots = work.write(lots.groupBy("n", "a", "b", "least", "most", "h1", "h2").agg(F.min("shingle").alias("shingle")), "lots")
     two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b")  # a list of two is one pair
-    mixed = member.join(lots.where("n > 2").select("shingle", "n"), "shingle").join(named.select("set", "bitmap"), "set")
+    mixed = work.narrow(member.join(lots.where("n > 2").select("shingle", "n"), "shingle"), "mixed")
+    maps = work.write(picked(distinct.where("sid is not null").select("set", "wide"), mixed, "set"), "mixed-bitmaps")
+    mixed = mixed.join(maps.withColumnRenamed("wide", "bitmap"), "set")
     pairs = work.narrow(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, work, "more", similar), "pairs")
     more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
-    for x in ("members", "lots", "heads-pairs", "heads-bitmaps", "heads-wanted", "heads-sets", "more-pairs", "more-bitmaps", "more-wanted", "more-sets"):
-        work.drop(x)
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))
-    out = docs.join(named, ["set", "digest"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if count:  # every set that has a link was read for verification in one of the passes
+        full = spark.read.parquet(work.at("heads-sets"), work.at("more-sets")).dropDuplicates(["set"]).select("set", "sid", "shingles")
+        inside = full.join(every, F.col("sid") == F.col("node")).join(distinct.where("sid is not null").select("set", "copies"), "set").select(F.col("component").alias("comp"), "set", "copies", "shingles")
+        inside = work.write(inside, "inside")
+        totals = work.narrow(inside.groupBy("comp").agg(F.sum(F.size("shingles")).alias("total")), "totals")
+        linked = work.write(count_links(inside.join(totals, "comp"), similar, load), "linked")
+        named = named.join(distinct.select("set", "digest", "copies"), ["set", "digest"]).join(linked, "set", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
+        columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    for x in ("members", "lots", "mixed", "mixed-bitmaps", "inside", "heads-pairs", "heads-bitmaps", "heads-wanted", "heads-sets", "more-pairs", "more-bitmaps", "more-wanted", "more-sets"):
+        work.drop(x)
+    return docs.join(named, ["set", "digest"], "left").select(columns)
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -485,7 +596,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **ho
     those to drop and a few more, are moved to meet the ids to drop; all others pass.
     """
     work = Work(df.sparkSession, "keep")
-    told = work.write(link(df, id_col, text_col, **how).where("doc_id is not null"), "told")
+    told = work.write(link(df, id_col, text_col, count=False, **how).where("doc_id is not null"), "told")
     drop = work.write(told.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct(), "drop")
     near = among(drop, ["__drop"], [F.col(id_col).cast("long")])
     out = df.where(~near).unionByName(df.where(near).join(drop, F.col(id_col) == F.col("__drop"), "left_anti"))

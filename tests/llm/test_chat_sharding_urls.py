@@ -112,12 +112,12 @@ def brute_pages(pages, rules, rounds, threshold):
     seeds = {h for h in n if h}
     t0 = {h for h in seeds if a[h] and not b[h]}
     b0 = {h for h in seeds if 2 * b[h] >= n[h]}
-    share = {k: url_filters.UNIT // len(v) if v else 0 for k, v in (("t", t0), ("b", b0))}
-    trust, bad = defaultdict(int, dict.fromkeys(t0, share["t"])), defaultdict(int, dict.fromkeys(b0, share["b"]))
+    share = url_filters.UNIT // (len(t0) + len(b0)) if t0 or b0 else 0
+    trust, bad = defaultdict(int, dict.fromkeys(t0, share * 15 // 100)), defaultdict(int, dict.fromkeys(b0, share * 15 // 100))
     outs, ins = Counter(x for x, _ in edges), Counter(y for _, y in edges)
     for _ in range(rounds):
-        nt = defaultdict(int, {h: share["t"] * 15 // 100 for h in t0})
-        nb = defaultdict(int, {h: share["b"] * 15 // 100 for h in b0})
+        nt = defaultdict(int, {h: share * 15 // 100 for h in t0})
+        nb = defaultdict(int, {h: share * 15 // 100 for h in b0})
         for x, y in edges:
             nt[y] += trust[x] * 85 // 100 // outs[x]
             nb[x] += bad[y] * 85 // 100 // ins[y]
@@ -126,7 +126,7 @@ def brute_pages(pages, rules, rounds, threshold):
     for i, url, _ in pages:
         host, path = split(url)
         own = rule(host, path)
-        blocked = bad[host] > trust[host] and bad[host] >= share["b"] * 15 * threshold // 10000
+        blocked = bad[host] > trust[host] and bad[host] >= share * 15 * threshold // 10000
         out.append((i, host, path, own.name if own else None, own.verdict if own else "block" if host and blocked else "allow"))
     return out
 
@@ -142,3 +142,12 @@ def test_distrust_flows_back_and_trust_forward(spark):
     pages = [(1, "http://bad.net/a", ""), (2, "http://fan.com/", '<a href="http://bad.net/">'), (3, "http://good.org/fr/", '<a href="http://friend.com/">'), (4, "http://friend.com/", '<a href="http://bad.net/"><a href="http://fan.com/">'), (5, "http://lone.com/", "")]
     out = {r.page_id: r.verdict for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert out == {1: "block", 2: "block", 3: "allow", 4: "allow", 5: "allow"}
+
+
+def test_blocked_seeds_and_chains(spark):
+    """A host that the rules block is blocked itself however few trusted hosts there are, and so is what links to it over up to 14 hosts."""
+    chain = [(i, f"http://h{i}.com/", f'<a href="http://h{i + 1}.com/">') for i in range(20)]
+    pages = [*chain, (20, "http://h20.com/", '<a href="http://end.net/">'), (30, "http://end.net/a", ""), (31, "http://other.net/a", ""), (32, "http://x.org/fr/", "")]
+    out = {r.page_id: (r.verdict, r.host_verdict) for r in url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert out[30] == out[31] == ("block", "block") and out[32] == ("allow", "allow")
+    assert [i for i in range(21) if out[i][0] == "block"] == list(range(7, 21))

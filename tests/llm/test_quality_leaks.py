@@ -68,6 +68,24 @@ def test_repeated_words():
 # -- benchmark leaks --
 
 
+def test_bands_reject_what_the_vocabulary_cannot_spell(spark):
+    import base64
+
+    rng = random.Random(6)
+    some = lambda make: " ".join(make() for _ in range(80))
+    of = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    plain = "In the beginning was the Word and the Word was with God and the Word was God The same was in the beginning with God All things were made by him and without him was not any thing made that was made In him was life and the life was the light of men And the light shineth in darkness"
+    greek = "Εν αρχή ήτο ο Λόγος και ο Λόγος ήτο παρά τω Θεώ και Θεός ήτο ο Λόγος Ούτος ήτο εν αρχή παρά τω Θεώ Πάντα δι αυτού έγειναν και χωρίς αυτού δεν έγεινεν ουδέ εν το οποίον έγεινεν Εν αυτώ ήτο ζωή και η ζωή ήτο το φως των ανθρώπων Και το φως εν τη σκοτία φέγγει"
+    texts = [
+        (1, plain, "en", True), (2, greek, None, True), (3, greek, "en", False),
+        (4, some(lambda: base64.b64encode(rng.randbytes(12)).decode()), "en", False), (5, some(lambda: rng.randbytes(8).hex()), None, False),
+        (6, some(lambda: of("\ue000\ue001\ue002\ue003\ue123\ue234", 5)), "xx", False), (7, some(lambda: of("🙂🙃😀😁🎉🚀", 3)), None, False), (8, some(lambda: of("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 7)), "en", False),
+    ]
+    df = spark.createDataFrame([x[:3] for x in texts], "doc_id long, text string, lang string")
+    out = {r.doc_id: (r.base_failed, r.kept) for r in quality.score(df, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert out == {i: (False, kept) for i, _, _, kept in texts}
+
+
 def edits(rng, text, k):
     x = list(text)
     for _ in range(k):
@@ -113,15 +131,28 @@ def test_leaks_against_brute_force(spark):
 def test_leak_edges(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     out = {r.doc_id: r for r in decontam.find_leaks(documents(spark), items).collect()}
-    assert not any(r.contaminated for r in out.values())
-    long = spark.createDataFrame([(1, "a " + "z" * 800), (2, "z" * 300), (3, ITEMS[5][1][5:600]), (4, None)], "doc_id long, text string")
+    assert not any(r.contaminated for r in out.values())  # "too short" is in none of them
+    long = spark.createDataFrame([(1, "a " + "z" * 800), (2, "z" * 300), (3, ITEMS[5][1][5:640]), (4, None), (5, ITEMS[5][1][5:600])], "doc_id long, text string")
     hit = {r.doc_id: (r.contaminated, r.item_id) for r in decontam.find_leaks(long, items).collect()}
-    assert hit == {1: (True, 5), 2: (False, None), 3: (True, 6), 4: (False, None)}
+    assert hit == {1: (True, 5), 2: (False, None), 3: (True, 6), 4: (False, None), 5: (False, None)}  # whole items, within their edits
+    half = spark.createDataFrame([(1, ITEMS[5][1][:400])], "doc_id long, text string")
+    assert not decontam.find_leaks(half, items).first().contaminated
     assert decontam.find_leaks(empty(spark), items).count() == 0
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontam.find_leaks(documents(spark), none).where("contaminated").count() == 0
 
 
+def test_short_null_and_repeated_items(spark):
+    items = [(None, "a wholly nameless item of forty and more characters"), (None, "too short"), (7, "Why?"), (7, "who is the man there"), (8, "who is the man there"), (9, ""), (10, " \n"), (7, "Why?")]
+    docs = [(1, "so why? because"), (2, "so whywhy? because"), (3, "who is  the man\nthere"), (4, "who is the man thereof"), (5, "who is the men there"), (6, "TOO SHORT"), (7, "it is a wholly nameless item of forty and more characters and too short, why?"), (8, None), (8, "why?")]
+    want = [(1, True, 1, 7, 0), (2, False, 0, None, None), (3, True, 2, 7, 0), (4, False, 0, None, None), (5, False, 0, None, None), (6, True, 1, None, 0), (7, True, 2, 7, 0), (8, False, 0, None, None), (8, True, 1, 7, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    held = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (decontam.BLOCK, 30):
+        assert got(decontam.find_leaks(df, held, limit=limit), "doc_id", "contaminated", "n_items", "item_id", "edits") == wanted(want)
+    assert got(decontam.find_leaks(df, held, keep=True), "doc_id") == [(2,), (4,), (5,), (8,)]
+
+
 @pytest.mark.parametrize("q", [1, 2, 3, 5, 8, 12, 13])
 def test_grams(q):
     c = decontam.codes("abracadabra abracadabra")

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset (tests, one machine) a temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on one machine (tests), and a ValueError on a cluster."""
     context = spark.sparkContext
     held = context._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if held.isEmpty():
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='tidewatch-')}")
         held = context._jsc.sc().getCheckpointDir()
     return (configured or held.get()).rstrip("/")

@@ -5,12 +5,15 @@ m - q + 1 - k*q of its q-grams with it, at diagonals (place in the text less pla
 pattern) that differ by at most k to either side. Shared q-grams are counted in overlapping
 bands of diagonals, each of which holds every such run whole; bands that reach the bound are
 verified by an alignment limited to the band. Texts and patterns are compared in lower case
-with runs of white space as one space.
+with runs of white space as one space. Items of any length are found whole, within their edits;
+those under LEAST characters exactly and between word boundaries, and those too short for a
+q-gram by the hash of all of their characters.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +24,9 @@ from tidewatch.llm.common import groups, no_table
 
 #: Characters of a q-gram; edits allowed, per hundred characters of the pattern.
 Q, EDITS = 12, 5
-#: Shorter benchmark items are too common to tell anything and match nothing.
+#: Shorter items must occur without an edit, and neither follow nor precede a letter or digit.
 LEAST = 32
-#: Longer items are cut into patterns of this length (the last one ends with the item); any of them tells.
-LONGEST = 512
-#: Characters of patterns that one pass over the texts compares with; a larger benchmark takes more passes.
+#: Characters of patterns that one pass over the texts compares with (an item is never split); a larger benchmark takes more passes.
 BLOCK = 4_000_000
 TABLE_BITS = 22
 SEED = np.uint64(0x9E3779B97F4A7C15)
@@ -58,19 +59,16 @@ def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
 
 
 class Patterns:
-    """The benchmark's patterns and an index of their q-grams; at most BLOCK characters and a table of fixed size."""
-
-    def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: int = EDITS) -> None:
-        self.q, self.item, self.codes = q, [], []
-        for key, text in items:
-            c = codes(normal(text or ""))
-            if len(c) >= LEAST:
-                starts = range(0, len(c), LONGEST) if len(c) > LONGEST else (0,)
-                for own in ([c[min(s, len(c) - LONGEST) :][:LONGEST] for s in starts] if len(c) > LONGEST else [c]):
-                    self.item.append(key)
-                    self.codes.append(own)
+    """The benchmark's patterns and an index of their q-grams; about BLOCK characters and a table of fixed size."""
+
+    def __init__(self, items: list[tuple[int | None, str | None]], q: int = Q, edits: int = EDITS) -> None:
+        self.q = q
+        all_ = [(key, codes(normal(text or ""))) for key, text in items]
+        long = [(key, c) for key, c in all_ if len(c) >= q]
+        self.item, self.codes = [k for k, _ in long], [c for _, c in long]
         size = np.array([len(x) for x in self.codes], np.int64)
-        self.budget = np.minimum(size * edits // 100, np.maximum((size - q) // q, 0))
+        self.far = int(size.max(initial=0))
+        self.budget = np.where(size < LEAST, 0, np.minimum(size * edits // 100, np.maximum((size - q) // q, 0)))
         self.least = size - q + 1 - self.budget * q
         all_grams = [grams(x, q) for x in self.codes]
         flat = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
@@ -82,41 +80,70 @@ class Patterns:
         self.which, self.place = which[order], place[order]
         self.table = np.zeros(1 << TABLE_BITS, bool)
         self.table[(self.keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
-
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, edits, start, end) of the best match of each item; places are in the normalized text."""
+        self.tiny: dict[int, dict[int, list]] = {}  # by length, then by the hash of the whole item
+        for key, c in all_:
+            if 0 < len(c) < q:
+                self.tiny.setdefault(len(c), {}).setdefault(int(grams(c, len(c))[0]), []).append((key, c))
+
+    def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
+        """(item, edits, start, end) of the best match of each item, nulls last; places are in the normalized text."""
+        c = codes(normal(text or ""))
+        best: dict[int | None, tuple] = {}
+        for key, *found in chain(self._tiny(c), self._banded(c)):
+            if key not in best or found < best[key]:
+                best[key] = found
+        return sorted(((key, *found) for key, found in best.items()), key=by_item)
+
+    def _tiny(self, c: np.ndarray) -> Iterator[tuple]:
+        for n, known in self.tiny.items():
+            own = grams(c, n)
+            for at in np.flatnonzero(np.isin(own, np.array(list(known), np.uint64))).tolist():
+                for key, pattern in known[int(own[at])]:
+                    if (c[at : at + n] == pattern).all() and apart(c, at, at + n):
+                        yield key, 0, at, at + n
+
+    def _banded(self, c: np.ndarray) -> Iterator[tuple]:
         if not len(self.keys):
-            return []
-        c = codes(normal(text))
+            return
         own = grams(c, self.q)
         at = np.flatnonzero(self.table[(own >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
         if len(at) < self.least.min():
-            return []
+            return
         k = np.minimum(np.searchsorted(self.keys, own[at]), len(self.keys) - 1)
         same = self.keys[k] == own[at]
         at, k = at[same], k[same]
         sizes = self.ends[k + 1] - self.ends[k]
         if sizes.sum() < self.least.min():
-            return []
+            return
         post = np.repeat(self.ends[k] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(int(sizes.sum()))
-        which, diagonal = self.which[post], np.repeat(at, sizes) - self.place[post] + LONGEST
+        which, diagonal = self.which[post], np.repeat(at, sizes) - self.place[post] + self.far
         # Bands of 4k + 1 diagonals, one each 2k + 1: any 2k + 1 diagonals in a row lie in one of them.
         step = 2 * self.budget[which] + 1
         band = diagonal // step
         low = (diagonal - band * step < step - 1) & (band > 0)  # it also lies in the overlap with the band before
         key = np.concatenate([which, which[low]]) * np.int64(1 << 40) + np.concatenate([band, band[low] - 1])
         key, n = np.unique(key, return_counts=True)
-        held = key[n >= self.least[key >> 40]]
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for x in held:
+        exact: set = set()  # items found without an edit
+        for x in key[n >= self.least[key >> 40]]:
             p, b = int(x >> 40), int(x & ((1 << 40) - 1))
             k_ = int(self.budget[p])
-            if self.item[p] in best and best[self.item[p]][1] == 0:
+            if self.item[p] in exact:
                 continue
-            found = align(self.codes[p], c, b * (2 * k_ + 1) - LONGEST - k_, 4 * k_ + 1 + 2 * k_, k_)
-            if found and (self.item[p] not in best or found[0] < best[self.item[p]][1]):
-                best[self.item[p]] = (self.item[p], *found)
-        return sorted(best.values())
+            found = align(self.codes[p], c, b * (2 * k_ + 1) - self.far - k_, 4 * k_ + 1 + 2 * k_, k_)
+            if found and (len(self.codes[p]) >= LEAST or apart(c, *found[1:])):
+                yield self.item[p], *found
+                if not found[0]:
+                    exact.add(self.item[p])
+
+
+def apart(c: np.ndarray, start: int, end: int) -> bool:
+    """Whether no letter or digit stands right before start or at end."""
+    return not (start and chr(c[start - 1]).isalnum()) and not (end < len(c) and chr(c[end]).isalnum())
+
+
+def by_item(x: tuple) -> tuple:
+    """Orders matches by item, null last."""
+    return x[0] is None, x[0] or 0, *x[1:]
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
@@ -151,29 +178,29 @@ NAMES = ("contaminated", "n_items", "item_id", "edits", "start", "end")
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in parts of about `limit` characters, each collected on its own."""
+    """The benchmark in parts of about `limit` characters, each collected on its own; all texts of an id are in one part."""
     total = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // limit))
     for i in range(n):
-        part = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.pmod(F.xxhash64(id_col, text_col), F.lit(n)) == i)
-        yield [tuple(x) for x in part.collect()]
+        part = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.pmod(F.xxhash64(id_col), F.lit(n)) == i)
+        yield [tuple(x) for x in part.distinct().collect()]
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BLOCK, keep: bool = False) -> DataFrame:
     """doc_id, contaminated, n_items (that occur in the text), and the one with the fewest edits (then the smallest
     id): item_id, edits, start, end (of its place in the normalized text; nulls if there is none).
 
-    With keep, the rows of df that hold no item come back, all columns and nothing else. Null texts
+    With keep, the rows of df that hold no item come back, all columns and nothing else. Null and empty texts
     and items hold and match nothing; null ids and repeated rows are kept; an empty benchmark matches
-    nothing, an empty table gives no rows. Nothing is shuffled. A benchmark over `limit` characters
-    is compared in blocks, one pass over the texts for each, so what a task holds is bounded.
+    nothing, an empty table gives no rows. An item id that repeats is one item that any of its texts
+    tells; items with a null id are one item, last in ties. No text is shuffled. A benchmark over `limit`
+    characters is compared in blocks, one pass over the texts for each; the driver holds one block at a time.
     """
     spark, schema = df.sparkSession, df.schema
-    parts = [Patterns(x) for x in blocks(benchmark, item_id, item_text, limit)]
+    parts = (spark.sparkContext.broadcast(Patterns(x)) for x in blocks(benchmark, item_id, item_text, limit))
     if keep:
         out = df
-        for p in parts:
-            held = spark.sparkContext.broadcast(p)
+        for held in parts:
 
             def kept(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
                 no_table("leaks")
@@ -185,8 +212,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         return out
     kind = schema[id_col].dataType.simpleString()
     out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_items"), *(F.lit(None).cast("long").alias(x) for x in NAMES[2:]))
-    for p in parts:
-        held = spark.sparkContext.broadcast(p)
+    for held in parts:
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             no_table("leaks")
@@ -195,8 +221,8 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 before = zip(*(batch.column(i).to_pylist() for i in range(2, 7)))
                 for text, old in zip((x for texts in groups(batch.column(1)) for x in texts), before):
                     found = held.value.find(text)
-                    options = [(f[1], f[0], f[2], f[3]) for f in found] + ([(old[2], old[1], old[3], old[4])] if old[0] else [])
-                    edits, item, start, end = min(options) if options else (None,) * 4
+                    options = found + ([old[1:]] if old[0] else [])
+                    item, edits, start, end = min(options, key=lambda x: (x[1], *by_item(x))) if options else (None,) * 4
                     rows.append((old[0] + len(found), item, edits, start, end))
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", "text", *NAMES[1:]])

@@ -43,12 +43,15 @@ class Band:
         return self.min_chars * n_tokens <= n_chars <= self.max_chars * n_tokens and n_bytes <= self.max_bytes * n_tokens and (n_tokens < self.min_tokens or entropy >= self.min_entropy)
 
 
-#: By language, then by script, then the rest. Wide: they reject what a vocabulary can't spell and what repeats few tokens, not rare words.
+#: By language, then by script, then the rest. They reject what the vocabulary can't spell (codes, wrong languages, bytes) and
+#: what repeats few tokens, not rare words. Scripts that it spells by single characters have fewer characters and less entropy a token.
 BANDS = {
-    "en": Band(min_chars=1.4), "de": Band(min_chars=1.3), "fr": Band(min_chars=1.3), "es": Band(min_chars=1.3), "latin": Band(min_chars=1.2),
-    "cyrillic": Band(min_chars=1.0), "greek": Band(min_chars=0.7, max_bytes=0.5), "han": Band(min_chars=0.4, max_bytes=0.8), "other": Band(min_chars=0.2, max_bytes=1.0),
+    "en": Band(min_chars=1.5), "de": Band(min_chars=1.4), "fr": Band(min_chars=1.4), "es": Band(min_chars=1.4), "latin": Band(min_chars=1.2),
+    "cyrillic": Band(min_chars=1.0), "greek": Band(min_chars=0.6, min_entropy=3.5), "han": Band(min_chars=0.4, max_bytes=0.6, min_entropy=3.5),
+    "arabic": Band(min_chars=0.6, min_entropy=3.2), "hebrew": Band(min_chars=0.6, min_entropy=3.0), "indic": Band(min_chars=0.4, max_bytes=0.5, min_entropy=3.2), "thai": Band(min_chars=0.5, max_bytes=0.3, min_entropy=3.2),
+    "other": Band(min_chars=0.5, max_bytes=0.5, min_entropy=3.5),
 }
-SCRIPTS = {"latin": re.compile("[A-Za-zÀ-ɏ]"), "cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "han": re.compile("[぀-ヿ㐀-鿿가-힯]")}
+SCRIPTS = {"latin": re.compile("[A-Za-zÀ-ɏ]"), "cyrillic": re.compile("[Ѐ-ӿ]"), "greek": re.compile("[Ͱ-Ͽ]"), "han": re.compile("[぀-ヿ㐀-鿿가-힯]"), "arabic": re.compile("[؀-ۿ]"), "hebrew": re.compile("[֐-׿]"), "indic": re.compile("[ऀ-෿]"), "thai": re.compile("[฀-๿]")}
 
 
 def script(text: str) -> str:

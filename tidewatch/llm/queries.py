@@ -94,7 +94,7 @@ p as (select a.doc_id as u, b.doc_id as v, count(*) as k from s a join s b on a.
 e as (select u, v from p join n a on a.doc_id = u join n b on b.doc_id = v where 100 * k >= {similar} * (a.n + b.n - k)),
 l as (select u, v from e union all select v, u from e),
 c as (select doc_id as a, doc_id as b from documents union select c.a, l.v from c join l on c.b = l.u)
-select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id from documents d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from c group by a) m using (doc_id)"""
+select d.doc_id, coalesce(n.n, 0) as n_shingles, m.component_id, coalesce(k.n_links, 0) as n_links from documents d left join n using (doc_id) join (select a as doc_id, min(b) as component_id from c group by a) m using (doc_id) left join (select u as doc_id, count(*) as n_links from l group by u) k using (doc_id)"""
 
 
 def _pages_sql(rounds: int = url_filters.ROUNDS) -> str:
@@ -113,16 +113,17 @@ def _pages_sql(rounds: int = url_filters.ROUNDS) -> str:
         "f as (select *, count(*) over (partition by src) as n_out, count(*) over (partition by dst) as n_in from g)",
         "q as (select host, count(*) filter (own = 'allow') as a, count(*) filter (own = 'block') as b, count(*) as n from r where host <> '' group by host)",
         "s as (select host, case when a > 0 and b = 0 then 1 else 0 end as t, case when 2 * b >= n then 1 else 0 end as d from q)",
-        f"z as (select case when sum(t) > 0 then {u.UNIT} // sum(t)::bigint else 0 end as t1, case when sum(d) > 0 then {u.UNIT} // sum(d)::bigint else 0 end as d1 from s)",
-        "k0 as (select host, t * t1 as t, d * d1 as d from s, z where t + d > 0)",
-        f"k as (select host, t * {100 - u.DAMPING} // 100 as t, d * {100 - u.DAMPING} // 100 as d from k0)",
+        f"z as (select case when sum(t + d) > 0 then {u.UNIT} // sum(t + d)::bigint else 0 end as own from s)",
+        f"k0 as (select host, t * own * {100 - u.DAMPING} // 100 as t, d * own * {100 - u.DAMPING} // 100 as d from s, z where t + d > 0)",
+        f"""k as (select 0 as i, host, t::bigint as t, d::bigint as d from k0 union all
+ select i, host, sum(t)::bigint, sum(d)::bigint from (
+ select n.i + 1 as i, k0.host, k0.t, k0.d from k0, (select distinct i from k) n where n.i < {rounds}
+ union all select k.i + 1, dst, t * {u.DAMPING} // 100 // n_out, 0 from f join k on src = host where k.i < {rounds}
+ union all select k.i + 1, src, 0, d * {u.DAMPING} // 100 // n_in from f join k on dst = host where k.i < {rounds}) x(i, host, t, d) group by i, host)""",
     ]
-    for i in range(rounds):
-        flow = f"select dst, t * {u.DAMPING} // 100 // n_out, 0 from f join k{i} on src = host union all select src, 0, d * {u.DAMPING} // 100 // n_in from f join k{i} on dst = host"
-        ctes.append(f"k{i + 1} as (select host, sum(t)::bigint as t, sum(d)::bigint as d from (select * from k union all {flow}) x(host, t, d) group by host)")
-    bad = f"bad as (select host from k{rounds}, z where d > t and d >= d1 * {(100 - u.DAMPING) * u.THRESHOLD} // 10000)"
+    bad = f"bad as (select host from k, z where i = {rounds} and d > t and d >= own * {(100 - u.DAMPING) * u.THRESHOLD} // 10000)"
     verdict = "case when host in (select host from bad) then 'block' else 'allow' end"
-    return f"with {', '.join([*ctes, bad])} select page_id, host, path, rule, coalesce(own, {verdict}) as verdict, {verdict} as host_verdict from r"
+    return f"with recursive {', '.join([*ctes, bad])} select page_id, host, path, rule, coalesce(own, {verdict}) as verdict, {verdict} as host_verdict from r"
 
 
 #: Tokens, edit distances and CRC-32 sums are beyond SQL; those queries are tested against the libraries and brute force.

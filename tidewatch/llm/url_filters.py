@@ -4,10 +4,13 @@ All of it is DataFrame expressions. Hosts whose pages the rules mostly block are
 seeds, hosts with allowed pages and no blocked one are trusted seeds. Trust is personalised
 PageRank from the trusted seeds along host edges; distrust is the same from the blocked seeds
 along reversed edges (who links to a bad host is suspect). A page that no rule fits is blocked
-if its host's distrust reaches the threshold and exceeds its trust.
+if its host's distrust reaches the threshold and exceeds its trust. Every seed, trusted or
+blocked, has the same share, so the two can be compared.
 
-Ranks are integers (one seed's share is at most UNIT) with floor division, so sums don't
-depend on their order and the result is the same on any engine and partitioning.
+Ranks are integers (the seeds' shares are at most UNIT together) with floor division, so sums don't
+depend on their order and the result is the same on any engine and partitioning. They start from
+the teleport share and only grow; rounds end when no rank does, or after ROUNDS, when at most
+0.85 ** 33 = 0.5 % of all shares can still move. A single seed reaches the threshold over at most 14 links.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from tidewatch.llm.common import Work
 UNIT = 10**15
 #: Share of a rank that follows links, in hundredths.
 DAMPING = 85
-ROUNDS = 8
+ROUNDS = 32
 #: Distrust, in hundredths of what a blocked seed has without any link, from which a host is blocked.
 THRESHOLD = 10
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,18 +79,15 @@ def seeds_of(judged: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, work: Work | None = None) -> DataFrame:
-    """host, trust, distrust, distrust_share (a blocked seed's own share) after the given rounds. Each round is a
-    join of the edges with the ranks of their ends and a partially aggregated sum; it is checkpointed."""
+    """host, trust, distrust after the given rounds, or fewer if nothing changes. Each round is a join of the
+    edges with the ranks of their ends and a partially aggregated sum; it is written to the shared folder."""
     work = work or Work(edges.sparkSession, "ranks")
     out = edges.groupBy("src").agg(F.count("*").alias("n_out"))
     into = edges.groupBy("dst").agg(F.count("*").alias("n_in"))
     full = work.write(edges.join(out, "src").join(into, "dst"), "edges")
-    totals = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b"))
-    share = lambda n: F.expr(f"case when {n} > 0 then {UNIT} div {n} else 0L end")
-    base = seeds.crossJoin(F.broadcast(totals)).select("host", (F.col("trusted") * share("t")).alias("t0"), (F.col("blocked") * share("b")).alias("b0"), share("b").alias("own"))  # totals is one row
-    base = work.write(base, "seeds")
-    ranks = base.select("host", F.col("t0").alias("trust"), F.col("b0").alias("distrust"))
-    teleport = base.select("host", F.expr(f"t0 * {100 - DAMPING} div 100").alias("trust"), F.expr(f"b0 * {100 - DAMPING} div 100").alias("distrust"))
+    own = seed_share(seeds)
+    teleport = seeds.select("host", F.expr(f"trusted * {own} * {100 - DAMPING} div 100").alias("trust"), F.expr(f"blocked * {own} * {100 - DAMPING} div 100").alias("distrust"))
+    ranks, seen = teleport, None
     if full.limit(1).count():
         for i in range(rounds):
             down = full.join(ranks, full.src == ranks.host).select(F.col("dst").alias("host"), F.expr(f"trust * {DAMPING} div 100 div n_out").alias("trust"), F.lit(0).cast("long").alias("distrust"))
@@ -95,9 +95,16 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, work: Wo
             ranks = work.write(teleport.unionByName(down).unionByName(up).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), f"round-{i}")
             if i:
                 work.drop(f"round-{i - 1}")
-    else:  # no edge: every round gives the teleport share alone
-        ranks = teleport if rounds else ranks
-    return ranks.join(base.select("host", "own"), "host", "left").select("host", "trust", "distrust")
+            before, seen = seen, tuple(ranks.agg(F.sum("trust"), F.sum("distrust")).first())  # ranks never fall: equal sums are equal ranks
+            if seen == before:
+                break
+    return ranks
+
+
+def seed_share(seeds: DataFrame) -> int:
+    """What each seed gets of UNIT."""
+    n = seeds.agg(F.coalesce(F.sum(F.col("trusted") + F.col("blocked")), F.lit(0)).alias("n")).first()["n"]
+    return UNIT // n if n else 0
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rounds: int = ROUNDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -114,7 +121,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_i
     edges = work.write(host_edges(pages.select(host.alias("host"), F.col(html_col).alias("html"))), "links")
     seeds = work.write(seeds_of(rows.select("host", F.col("own").alias("verdict"))), "marked")
     ranks = propagate(edges, seeds, rounds, work)
-    own = seeds.agg(F.coalesce(F.expr(f"case when sum(blocked) > 0 then {UNIT} div sum(blocked) end"), F.lit(0)).alias("own"))
-    bad = ranks.crossJoin(F.broadcast(own)).where(f"distrust > trust and distrust >= own * {(100 - DAMPING) * threshold} div 10000").select("host", F.lit("block").alias("host_verdict"))  # own is one row
+    least = seed_share(seeds) * (100 - DAMPING) * threshold // 10000
+    bad = ranks.where(f"distrust > trust and distrust >= {least}").select("host", F.lit("block").alias("host_verdict"))
     verdict = F.coalesce("host_verdict", F.lit("allow"))
     return rows.join(bad, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("own", verdict).alias("verdict"), verdict.alias("host_verdict"))

@@ -59,6 +59,21 @@ def test_repeats_against_brute_force(spark, length, gram, step, most):
     assert got(suffix_dedup.digest(df, length=length, gram=gram, step=step, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted(want)
 
 
+def test_words_of_passages(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    shared = [text(n) for n in (8, 9, 10, 15, 40)]
+    texts = [" ".join(rng.choice(shared) if rng.random() < 0.5 else text(rng.randrange(1, 12)) for _ in range(rng.randrange(0, 6))).replace(" ", rng.choice([" ", "\n", "  "])) for _ in range(40)]
+    texts += [texts[3], texts[4] + " ", "", None, text(9), "a b " * 20]
+    words = [(x or "").split() for x in texts]
+    seen = Counter(tuple(w[i : i + 25]) for w in words for i in range(len(w) - 24))
+    want = [(k, len({i + j for i in range(len(w) - 24) if seen[tuple(w[i : i + 25])] > 1 for j in range(25)})) for k, w in enumerate(words)]
+    assert len({n for _, n in want}) > 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert got(suffix_dedup.digest(df, words=25), "doc_id", "n_passage_words") == wanted(want)
+
+
 def test_repeat_edges(spark):
     out = suffix_dedup.digest(documents(spark))
     raw = [(r[1] or "").encode() for r in rows()]

@@ -12,14 +12,15 @@ their groups.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 
 def suffix_array(symbols: Sequence[int]) -> list[int]:
-    """Starts of the suffixes of a sequence of integers in ascending order; a suffix sorts before those that it is a prefix of."""
+    """Starts of the suffixes of a sequence of integers (0 or more, few beyond its length) in ascending order; a suffix sorts before those that it is a prefix of."""
     n = len(symbols)
     if not n:
         return []
-    order = sorted(range(n), key=symbols.__getitem__)
+    order = by_symbol(symbols)
     place, group, size = [0] * n, [0] * n, [0] * n  # of a suffix in order; start of its group; of the group with that start
     first, last = 0, None
     for i, s in enumerate(order):
@@ -40,13 +41,25 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
             if p >= 0:
                 _raise((p,), order, place, group, size)
         else:
-            pointed: dict[int, int] = {}
-            for s in sorted(order[g : end + 1]):
+            chain: dict[int, int] = {}  # a suffix of this group to the one left of it that its pointer has to pass
+            for s in order[g : end + 1]:
                 p = s - 1
-                while p >= 0 and group[p] >= g:
+                while p >= 0 and group[p] > g:
                     p = before[p]
                 before[s] = p
-                if p >= 0:
+                if p >= 0 and group[p] == g:
+                    chain[s] = p
+            for s in chain:  # each link is followed once
+                passed, p = [], s
+                while p in chain and before[p] == chain[p]:
+                    passed.append(p)
+                    p = before[p]
+                p = before[p]
+                for x in passed:
+                    before[x] = p
+            pointed: dict[int, int] = {}
+            for s in order[g : end + 1]:
+                if (p := before[s]) >= 0:
                     pointed[p] = pointed.get(p, 0) + 1
             if pointed:
                 most = max(pointed.values())
@@ -80,6 +93,19 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     return out
 
 
+def by_symbol(symbols: Sequence[int]) -> list[int]:
+    """Places in the order of their symbols (0 or more), by counting."""
+    counts = [0] * (max(symbols) + 2)
+    for x in symbols:
+        counts[x + 1] += 1
+    at = list(accumulate(counts))
+    out = [0] * len(symbols)
+    for i, x in enumerate(symbols):
+        out[at[x]] = i
+        at[x] += 1
+    return out
+
+
 def _raise(suffixes, order: list[int], place: list[int], group: list[int], size: list[int]) -> None:
     """Moves suffixes out of their groups, into one new group right above each old one."""
     for s in suffixes:

@@ -71,7 +71,7 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || {text}
 from t group by conv_id"""
 
 
-def _repeats_sql(length: int = suffix_dedup.LENGTH) -> str:
+def _repeats_sql(length: int = suffix_dedup.LENGTH, words: int = suffix_dedup.WINDOW) -> str:
     return f"""
 with d as (select doc_id, encode(coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
 w as (select doc_id, i, md5(x[i + 1 : i + {length}]) as h from d, unnest(range(0, greatest(n - {length - 1}, 0))) as u(i)),
@@ -80,8 +80,11 @@ o as (select *, case when i - lag(i) over (partition by doc_id order by i) <= {l
 g as (select *, sum(opens) over (partition by doc_id order by i) as run from o),
 s as (select doc_id, min(i) as a, max(i) + {length} as b from g group by doc_id, run),
 k as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from s union all select d.doc_id, coalesce(max(s.b), 0), any_value(d.n) from d left join s using (doc_id) group by d.doc_id),
+l as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+v as (select doc_id, i, md5(array_to_string(ws[i + 1 : i + {words}], ' ')) as h from l, unnest(range(0, greatest(len(ws) - {words - 1}, 0))) as u(i)),
+p as (select doc_id, count(distinct i + j) as n from (select doc_id, i from v where h in (select h from v group by h having count(*) > 1)) y, unnest(range(0, {words})) as u(j) group by doc_id),
 c as (select k.doc_id, unhex(string_agg(hex(x[k.a + 1 : k.b]), '' order by k.a)) as kept from k join d using (doc_id) group by k.doc_id)
-select d.doc_id, cast(d.n as bigint) as n_bytes, cast(d.n - octet_length(kept) as bigint) as n_removed, (select count(*) from s where s.doc_id = d.doc_id) as n_spans, sha256(kept) as kept_sha256 from d join c using (doc_id)"""
+select d.doc_id, cast(d.n as bigint) as n_bytes, cast(d.n - octet_length(kept) as bigint) as n_removed, (select count(*) from s where s.doc_id = d.doc_id) as n_spans, sha256(kept) as kept_sha256, coalesce(p.n, 0) as n_passage_words from d join c using (doc_id) left join p using (doc_id)"""
 
 
 def _links_sql(words: int = jaccard_join.WORDS, similar: int = jaccard_join.SIMILAR) -> str:

@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Work, among, no_table, picked
@@ -34,6 +34,7 @@ GRAM = 64
 STEP = 16
 #: Words of a window where passages are found by words: a passage of over 50 words has so many whole ones even if both its ends touch other letters.
 WINDOW = 49
+WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a word's symbol.
 UNIT = 8
 #: Distinct strings about one core that a task sorts together; beyond it, single windows are counted instead.
@@ -402,8 +403,16 @@ def _keyed(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("__t1", half(1)).withColumn("__t2", half(17))
 
 
-def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, most: int = MOST) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row's text without the bytes of windows that repeat.
+def passage_words(windows: str, words: int) -> Column:
+    """How many words lie under windows, an array of (first, last) ranges of starts of windows of so many words."""
+    end = f"x.last + {words}L"
+    step = f"named_struct('at', greatest(acc.at, {end}), 'n', acc.n + greatest(0L, {end} - greatest(acc.at, x.first)))"
+    return F.expr(f"aggregate(array_sort({windows}), named_struct('at', 0L, 'n', 0L), (acc, x) -> {step}, acc -> acc.n)")
+
+
+def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, most: int = MOST, words: int = WINDOW) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row's text without the bytes of windows that repeat,
+    and n_passage_words: how many of its words lie in windows of so many words that also start anywhere else (white space is not told apart).
 
     Texts are their UTF-8 bytes, null counts as empty, and no window crosses texts. Repeated rows
     are copies of each other: all of their windows repeat. Null ids are kept. An empty table gives
@@ -411,11 +420,13 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     """
     work = Work(df.sparkSession, "repeats")
     known, windows = find_repeats(df, id_col, text_col, length, gram, step, most, work)
+    also, by_words = find_repeats(df, id_col, text_col, most=most, work=Work(df.sparkSession, "repeats-words"), words=words)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = _keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)), text_col).select("doc_id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"))
+    rows = _keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)), text_col).select("doc_id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
     cut = removed(df, windows, text_col, length).select("t1", "t2", "n_removed", "n_spans", "kept_sha256")
     often = known.where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
-    told = often.join(cut, ["t1", "t2"], "full_outer")
+    passages = by_words.select("t1", "t2", passage_words("windows", words).alias("n_passage_words")).unionByName(also.where("n > 1").select("t1", "t2", F.lit(-1).cast("long").alias("n_passage_words")))
+    told = often.join(cut, ["t1", "t2"], "full_outer").join(passages, ["t1", "t2"], "full_outer")
     out = rows.join(told, ["t1", "t2"], "left")
     copied = F.coalesce("copied", F.lit(False))
     return out.select(
@@ -423,6 +434,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(F.col("n_passage_words") < 0, F.col("n_words")).otherwise(F.coalesce("n_passage_words", F.lit(0))).alias("n_passage_words"),
     )
 
 

@@ -10,13 +10,15 @@ expressions of its own through the same fold, one record at a time.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.model import ALERT
 from tidewatch.operators.detectors import ORDER, _check, _timed
@@ -82,16 +84,28 @@ def same_context(a: Record, b: Record) -> bool:
     return not (a.host or b.host)
 
 
-def nearest(lead: Record, others: Iterable[Record], window: int, after: bool, free: bool = True) -> Record | None:
-    """The nearest record (the first of equals) before or after the lead, in the window and its context."""
-    best = None
-    for x in others:
-        gap = x.us - lead.us if after else lead.us - x.us
-        if (free and x.taken) or not 0 <= gap <= window or lead.account is None or x.account is None or not same_context(x, lead):
-            continue
-        if best is None or gap < best[0]:
-            best = (gap, x)
-    return best[1] if best else None
+class Timeline:
+    """Records in order of time, and of what is given where times are equal."""
+
+    def __init__(self, records: Iterable[Record]) -> None:
+        self.records = sorted(records, key=lambda r: r.us)
+        self.times = [r.us for r in self.records]
+
+    def nearest(self, lead: Record, window: int, after: bool, free: bool = True) -> Record | None:
+        """The nearest record (the first of equals) before or after the lead, in the window and its context."""
+        if lead.account is None:
+            return None
+        fits = lambda x: not (free and x.taken) and x.account is not None and same_context(x, lead)
+        if after:
+            some = range(bisect_left(self.times, lead.us), bisect_right(self.times, lead.us + window))
+            return next((self.records[i] for i in some if fits(self.records[i])), None)
+        best = None
+        for i in range(bisect_right(self.times, lead.us) - 1, bisect_left(self.times, lead.us - window) - 1, -1):
+            if best is not None and self.times[i] < best.us:
+                break
+            if fits(self.records[i]):
+                best = self.records[i]
+        return best
 
 
 def _iso(us: int) -> str:
@@ -108,8 +122,9 @@ class Fold:
 
     def __init__(self, records: Sequence[Record], window: int, process_window: int, minutes: float, process_minutes: float, trusted: frozenset[str]) -> None:
         self.of = {k: [r for r in records if r.kind == k] for k in KINDS.values()}
-        # Equal instants: assignments, then processes, then actions.
-        self.activity = sorted((r for k in ACTIVITY for r in self.of[k]), key=lambda r: r.us)
+        self.created, self.failures = Timeline(self.of["created"]), Timeline(self.of["failure"])
+        # Equal instants: assignments, then processes, then actions; failures before assignments.
+        self.activity, self.logins = Timeline(r for k in ACTIVITY for r in self.of[k]), Timeline(self.of["failure"] + self.of["assignment"])
         self.window, self.process_window, self.minutes, self.process_minutes, self.trusted = window, process_window, minutes, process_minutes, trusted
         self.out: list[tuple] = []
 
@@ -117,23 +132,22 @@ class Fold:
         for stage, group in ((s, g) for s in (1, 2, 3) for g in self.of["group"]):
             if group.taken:
                 continue
-            created = nearest(group, self.of["created"], self.window, False) if stage < 3 else None
-            acted = nearest(group, self.activity, self.window, True) if stage != 2 else None
+            created = self.created.nearest(group, self.window, False) if stage < 3 else None
+            acted = self.activity.nearest(group, self.window, True) if stage != 2 else None
             if (stage < 3 and not created) or (stage != 2 and not acted):
                 continue
             self.found(stage, (CHAIN, JOINED, ACTED)[stage - 1], [x for x in (created, group, acted) if x], group, created=created, group=group, acted=acted)
         for created in self.of["created"]:
-            acted = None if created.taken else nearest(created, self.activity, self.window, True)
+            acted = None if created.taken else self.activity.nearest(created, self.window, True)
             if acted:
                 self.found(4, NEW_ACTED, [created, acted], created, created=created, acted=acted)
-        logins = self.of["failure"] + self.of["assignment"]
         for process in self.of["process"]:
-            login = None if process.taken else nearest(process, logins, self.process_window, False, free=False)
+            login = None if process.taken else self.logins.nearest(process, self.process_window, False, free=False)
             if login:
                 self.after_login(5, PROCESS, login, process)
                 login.taken = True
         for assigned in self.of["assignment"]:
-            login = None if assigned.taken else nearest(assigned, self.of["failure"], self.process_window, False, free=False)
+            login = None if assigned.taken else self.failures.nearest(assigned, self.process_window, False, free=False)
             if login:
                 self.after_login(6, ASSIGNED, login, assigned)
         for place, kind in enumerate(ALONE):
@@ -220,9 +234,8 @@ class Fold:
 COLUMNS = ("kind", "us", "file_ord", "line_no", "account", "host", "src_ip", "event_id", "group_name", "process", "pid", "privileges", "action")
 
 
-def records_of(rows: pd.DataFrame) -> list[Record]:
-    none = rows.astype(object).where(rows.notna(), None)
-    return [Record(r.kind, int(r.us), (int(r.us), int(r.file_ord), int(r.line_no)), r.account, r.host, r.src_ip, r.event_id, r.group_name, r.process, r.pid, r.privileges, r.action) for r in none.sort_values(["us", "file_ord", "line_no"], kind="stable").itertuples(index=False)]
+def record(kind: str, us: int, file_ord: int, line_no: int, *rest: str | None) -> Record:
+    return Record(kind, us, (us, file_ord, line_no), *rest)
 
 
 @dataclass(frozen=True)
@@ -259,13 +272,27 @@ class PrivilegeEscalation:
         ship(events.sparkSession)
         minutes, process_minutes = self.correlation_window_minutes, self.process_correlation_window_minutes
         trusted = frozenset(x.lower() for x in (self.known_administrative_accounts or ()))
-        names = ALERT.fieldNames()
-
-        def fold(rows: pd.DataFrame) -> pd.DataFrame:
-            out = Fold(records_of(rows), round(minutes * 60_000_000), round(process_minutes * 60_000_000), minutes, process_minutes, trusted).run()
-            frame = pd.DataFrame(out, columns=names)
-            for c in ("time_start", "time_end"):
-                frame[c] = pd.to_datetime(frame[c], unit="us", utc=True)
-            return frame
-
-        return self.records(events).withColumn("key", F.lower("account")).groupBy("key", "run").applyInPandas(lambda rows: fold(rows), ALERT)
+        windows = round(minutes * 60_000_000), round(process_minutes * 60_000_000), minutes, process_minutes
+        schema = to_arrow_schema(ALERT)
+
+        def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Runs follow each other in order, so one is held at a time."""
+            held: list[Record] = []
+            last: tuple | None = None
+
+            def batch_of(alerts: list[tuple]) -> pa.RecordBatch:
+                cols = list(zip(*alerts)) or [()] * len(schema)
+                return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
+
+            for batch in batches:
+                out: list[tuple] = []
+                for key, run, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (key, run) != last:
+                        out += Fold(held, *windows, trusted).run()
+                        held, last = [], (key, run)
+                    held.append(record(*values))
+                yield batch_of(out)
+            yield batch_of(Fold(held, *windows, trusted).run())
+
+        keyed = self.records(events).select(F.lower("account").alias("key"), "run", *COLUMNS)
+        return keyed.repartition("key", "run").sortWithinPartitions("key", "run", *ORDER).mapInArrow(fold, ALERT)

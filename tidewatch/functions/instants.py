@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 SYSLOG = r"(?U)^([A-Z][a-z]{2})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})"
 
 
-def syslog(line: Column, year: int) -> Column:
-    """"Mon D HH:MM:SS" at the start of the line, in the given year; null for a date that doesn't exist."""
-    part = [F.regexp_extract(line, SYSLOG, i) for i in (1, 2, 3)]
-    return F.try_to_timestamp(F.concat_ws(" ", F.lit(f"{year:04d}"), *part), F.lit("yyyy MMM d HH:mm:ss"))
+def syslog(parts: Column, year: int) -> Column:
+    """"Mon D HH:MM:SS" in the given year, of the parts that text.cut makes of a line by SYSLOG; null for a date that doesn't exist or without one."""
+    some = F.concat_ws(" ", F.lit(f"{year:04d}"), *(F.get(parts, i) for i in range(3)))
+    return F.when(F.size(parts) == 4, F.try_to_timestamp(some, F.lit("yyyy MMM d HH:mm:ss")))
 
 
-def after_syslog(line: Column) -> Column:
-    return F.regexp_replace(line, SYSLOG, "")
+def after_syslog(parts: Column) -> Column:
+    return F.get(parts, 3)
 
 
 def common_log(text: Column) -> Column:

@@ -18,10 +18,16 @@ REDACTIONS = (
 )
 
 
+#: What any text that a rule fits holds.
+SUSPECT = r"(?i)-----BEGIN|sk-|AKIA|gh[pousr]_|https?://[^/@\s:]+:[^/@\s]+@|bearer|basic|passw|pwd|token|api[_ -]?key|secret|cookie|authorization|[?&](?:session|auth)"
+
+
 def redact(c: Column) -> Column:
+    """c is read more than once, so it should be a column or cheap."""
+    out = c
     for pattern, to in REDACTIONS:
-        c = F.regexp_replace(c, pattern, to)
-    return c
+        out = F.regexp_replace(out, pattern, to)
+    return F.when(c.rlike(SUSPECT), out).otherwise(c)
 
 
 def redact_text(text: str) -> str:
@@ -65,3 +71,15 @@ def integer_any_base(c: Column) -> Column:
 def taken(text: Column, pattern: str, group: int) -> Column:
     """A group of the first match; null without a match or where the group took no part or is empty."""
     return F.when(text.rlike(pattern), F.nullif(F.regexp_extract(text, pattern, group), F.lit("")))
+
+
+#: Set between groups by cut().
+MARK = "\x00"
+
+
+def cut(c: Column, pattern: str, n: int) -> Column:
+    """The n groups of a pattern that starts with ^, and what follows its match, by one search; an array of one text
+    where it doesn't match. A group that took no part is empty."""
+    each = F.array(*(F.regexp_extract(c, pattern, i) for i in range(1, n + 1)), F.regexp_replace(c, pattern, ""))
+    whole = F.split(F.regexp_replace(c, pattern, "".join(f"${i}{MARK}" for i in range(1, n + 1))), MARK, n + 1)
+    return F.when(~c.contains(MARK), whole).when(c.rlike(pattern), each).otherwise(F.array(c))

@@ -127,7 +127,7 @@ def _probe(spark: SparkSession, files: Sequence[tuple[int, Path]], limits: Limit
     longest = F.array_max(F.transform(F.split(F.col("text"), "\n"), lambda x: F.octet_length(x)))
     facts = raw.select("file_ord", "length", F.when(F.col("length") <= limits.max_file_size_bytes, longest).alias("longest"))
     lines = scan_lines(contents.where(F.col("length") <= limits.max_file_size_bytes)).where((F.col("line_no") <= SNIFF_LINES) & (F.trim("line") != ""))
-    scores = lines.groupBy("file_ord").agg(*(F.count(f(F.col("line"))).alias(k) for k, f in parsers.TEXT_FORMATS.items()))
+    scores = lines.groupBy("file_ord").agg(*(F.count_if(parsers.accepts(k, F.col("line"))).alias(k) for k in parsers.TEXT_FORMATS))
     out = {r["file_ord"]: r.asDict() for r in facts.join(scores, "file_ord", "left").collect()}  # a row a file
     return out
 

@@ -2,12 +2,14 @@
 
 A line frame has source, file_ord, line_no and line. parse() gives events and rejects from one
 frame; a reject is a line that its format does not accept.
+
+A format is a list of stages. A stage makes columns from those of earlier ones; each stage is a
+projection of its own, so what many fields share (a match, a message, a cell) is made once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ WINDOWS_TYPES = {
     "4624": "login_success", "4625": "login_failure", "4672": "privilege_assignment", "4720": "user_created",
     "4728": "privileged_group_membership", "4732": "privileged_group_membership", "4688": "process_creation",
 }
-#: Field of a Windows event, and the header spellings that name it.
+#: Field of a Windows event, and the header spellings that name it.
 WINDOWS_FIELDS = {
     "event_id": ("eventid", "event id"),
     "timestamp": ("timecreated systemtime", "timecreated", "timestamp"),
@@ -73,6 +75,7 @@ WINDOWS_GROUP_FIELDS = {"group_name": ("group name",), "member_name": ("memberna
 WINDOWS_GROUP_EVENTS = ("4720", "4728", "4732")
 WINDOWS_SUBJECT_EVENTS = ("4672", "4688")
 WINDOWS_NUMBERS = ("process_id", "new_process_id", "execution_process_id", "execution_thread_id")
+# What is said of lines that are not accepted.
 REJECTS = {
     "ssh": "malformed or unsupported SSH line", "firewall": "malformed or unsupported firewall line", "web": "malformed or unsupported web line",
     "windows": "malformed Windows Event Log row", "windows_csv": "malformed Windows CSV row",
@@ -85,123 +88,155 @@ def _metadata(*pairs: tuple[str, Column]) -> Column:
     return F.map_from_entries(F.filter(entries, lambda x: x["value"].isNotNull()))
 
 
-def _event(accepted: Column, **columns: Column) -> Column:
-    """A struct of the event's columns that a format fills, or null where the line is not accepted."""
-    own = {f.name: columns.get(f.name, F.lit(None)).cast(f.dataType) for f in EVENT.fields if f.name not in ("source", "file_ord", "line_no")}
-    return F.when(accepted, F.struct(*(c.alias(k) for k, c in own.items())))
-
-
-def _raw(line: Column) -> Column:
-    return text.redact(text.collapsed(line))
-
-
-def ssh(line: Column, year: int = DEFAULT_YEAR) -> Column:
-    when = instants.syslog(line, year)
-    rest = instants.after_syslog(line)
-    message = text.stripped(F.when(rest.rlike(SSHD), F.regexp_extract(rest, SSHD, 1)).otherwise(rest))
-    logins = ((FAILED, "login_failure", "failure", "password"), (ACCEPTED_PASSWORD, "login_success", "success", "password"), (ACCEPTED_KEY, "login_success", "success", "publickey"), (INVALID_USER, "login_failure", "failure", None))
-    actions = ((SUDO, "sudo"), (SU, "su"))
-
-    def first(value: Callable[[str, int], Column | None]) -> Column:
-        cases = [(message.rlike(p[0]), value(p, i)) for i, p in enumerate((*logins, *actions))]
-        return F.coalesce(*(F.when(ok, F.struct(v.cast("string").alias("v"))) for ok, v in cases))["v"]
-
-    login = lambda i: i < len(logins)
-    none = F.lit(None)
-    return _event(
-        line.rlike(instants.SYSLOG) & when.isNotNull() & reduce(lambda a, b: a | b, (message.rlike(p[0]) for p in (*logins, *actions))),
-        timestamp=when, log_type=F.lit("ssh"), raw_line=_raw(line),
-        event_type=first(lambda p, i: F.lit(p[1] if login(i) else "privilege_action")),
-        status=first(lambda p, i: F.lit(p[2] if login(i) else "executed")),
-        user=first(lambda p, i: F.regexp_extract(message, p[0], 1)),
-        src_ip=first(lambda p, i: F.regexp_extract(message, p[0], 2) if login(i) else none),
-        metadata=_metadata(("action", first(lambda p, i: none if login(i) else F.lit(p[1]))), ("service", first(lambda p, i: F.lit("sshd" if login(i) else p[1]))), ("authentication_method", first(lambda p, i: F.lit(p[3]) if login(i) else none))),
-    )
-
-
-def firewall(line: Column, year: int = DEFAULT_YEAR) -> Column:
-    when = instants.syslog(line, year)
-    rest = instants.after_syslog(line)
-    pairs = F.regexp_extract_all(rest, F.lit(PAIR), 0)
-
-    def value(key: str) -> Column:  # of the last pair with the key
-        last = F.try_element_at(F.filter(pairs, lambda x: F.upper(F.substring_index(x, "=", 1)) == key), F.lit(-1))
-        return F.substring(last, len(key) + 2, 1 << 30)
-
-    def number(first: str, second: str) -> Column:  # zero counts as missing in favour of the second
-        a, b = text.integer(value(first)), text.integer(value(second))
-        return F.when(a != 0, a).otherwise(b)
-
-    known = F.exists(pairs, lambda x: F.upper(F.substring_index(x, "=", 1)).isin(*IDENTIFYING))
-    some = lambda c: F.when(c != "", c)
-    return _event(
-        line.rlike(instants.SYSLOG) & when.isNotNull() & known,
-        timestamp=when, log_type=F.lit("firewall"), event_type=F.lit("network_connection"), raw_line=_raw(line),
-        src_ip=value("SRC"), dst_ip=value("DST"), dst_port=text.integer(value("DPT")).try_cast("int"), protocol=F.upper(some(value("PROTO"))),
-        status=F.when(rest.rlike(ACCEPT), "accepted").when(rest.rlike(DENY), "denied").when(rest.rlike(DROP), "dropped").otherwise("unknown"),
-        bytes_sent=number("LEN", "BYTES"),
-        metadata=_metadata(("in_interface", some(value("IN"))), ("out_interface", some(value("OUT"))), ("src_port", text.integer(value("SPT"))), ("packet_count", number("PKTS", "COUNT"))),
-    )
-
-
-def web(line: Column) -> Column:
-    own = text.stripped(line)
-    part = lambda i: F.regexp_extract(own, COMBINED, i)
-    when = instants.common_log(part(4))
-    request = text.stripped(part(5))
-    asked = lambda i: text.taken(request, REQUEST, i)
-    return _event(
-        own.rlike(COMBINED) & when.isNotNull(),
-        timestamp=when, log_type=F.lit("web"), event_type=F.lit("http_request"), raw_line=_raw(line),
-        src_ip=part(1), user=text.present(part(3)), status=text.present(part(6)), bytes_sent=text.present(part(7)).try_cast("bigint"), path=text.redact(asked(2)),
-        metadata=_metadata(("ident", text.present(part(2))), ("protocol_version", asked(3)), ("referrer", text.redact(text.present(part(8)))), ("user_agent", text.redact(text.present(part(9)))), ("method", asked(1))),
-    )
-
-
-def windows(cells: Column, raw: Column) -> Column:
-    """cells: a map of normalized header to cell."""
-
-    def named(aliases: tuple[str, ...]) -> Column:
-        return text.redact(F.coalesce(*(text.present(text.stripped(F.try_element_at(cells, F.lit(x)))) for x in aliases)))
-
-    field = {k: named(v) for k, v in WINDOWS_FIELDS.items()}
-    event_id, target, subject = field["event_id"], field["target_user"], field["subject_user"]
-    grouped = event_id.isin(*WINDOWS_GROUP_EVENTS)
-    field |= {k: F.when(grouped, named(v)) for k, v in WINDOWS_GROUP_FIELDS.items()}
-    when = instants.iso(field["timestamp"])
-    kind = F.coalesce(*(F.when(event_id == k, F.lit(v)) for k, v in WINDOWS_TYPES.items()), F.lit("windows_event"))
-    return _event(
-        event_id.isNotNull() & when.isNotNull(),
-        timestamp=when, log_type=F.lit("windows"), event_type=kind, src_ip=field["source_ip"], raw_line=text.redact(F.regexp_replace(raw, "[\r\n]", " ")),
-        user=F.when(grouped, target).when(event_id.isin(*WINDOWS_SUBJECT_EVENTS), subject).otherwise(F.coalesce(target, subject)),
-        status=F.when(event_id == "4624", "success").when(event_id == "4625", "failure"),
-        metadata=_metadata(*((k, text.integer_any_base(v) if k in WINDOWS_NUMBERS else v) for k, v in field.items())),
-    )
-
-
-TEXT_FORMATS: dict[str, Callable[..., Column]] = {"ssh": ssh, "firewall": firewall, "web": web}
-
-
-def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """parsed: source, file_ord, line_no, format, event, reject. (events, rejects)"""
-    held = [f"event.{x}" if x not in ("source", "file_ord", "line_no") else x for x in EVENT.fieldNames()]
-    events = parsed.where("event is not null").select(*(F.col(x) for x in held))
-    bad = parsed.where("event is null").select(F.col("source").alias("path"), F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), F.col("reject")).alias("message"), "format", "file_ord", "line_no")
+Columns = dict[str, Column]
+Stage = Callable[[Columns], Columns]
+
+
+def at_once(stages: Sequence[Stage], **given: Column) -> Columns:
+    """The columns of all stages as expressions of the given ones."""
+    for stage in stages:
+        given |= stage(given)
+    return given
+
+
+def staged(df: DataFrame, stages: Sequence[Stage], *given: str) -> tuple[DataFrame, Columns]:
+    """df with the columns of all stages, and how they are named."""
+    cols = {x: F.col(x) for x in given}
+    for stage in stages:
+        made = stage(cols)
+        df = df.withColumns({f"__{k}": v for k, v in made.items()})
+        cols |= {k: F.col(f"__{k}") for k in made}
+    return df, cols
+
+
+def _fields(ok: Column, **columns: Column) -> Columns:
+    """ok (whether the line is accepted) and all columns of an event but its place."""
+    return {"ok": F.coalesce(ok, F.lit(False))} | {f.name: columns.get(f.name, F.lit(None)).cast(f.dataType) for f in EVENT.fields if f.name not in PLACE}
+
+
+PLACE = ("source", "file_ord", "line_no")
+# What each SSH message says, in the order in which they are tried: pattern, event type, status, way, service.
+SSH_SAYS = (
+    (FAILED, "login_failure", "failure", "password", "sshd"), (ACCEPTED_PASSWORD, "login_success", "success", "password", "sshd"), (ACCEPTED_KEY, "login_success", "success", "publickey", "sshd"),
+    (INVALID_USER, "login_failure", "failure", None, "sshd"), (SUDO, "privilege_action", "executed", None, "sudo"), (SU, "privilege_action", "executed", None, "su"),
+)
+
+
+def ssh(year: int = DEFAULT_YEAR) -> list[Stage]:
+    def said(message: Column) -> Column:
+        """Number, user and address of the first pattern that fits."""
+        cases = [F.when(message.rlike(p), F.struct(F.lit(i).alias("i"), F.regexp_extract(message, p, 1).alias("user"), (F.regexp_extract(message, p, 2) if kind.startswith("login") else F.lit(None).cast("string")).alias("ip"))) for i, (p, kind, *_) in enumerate(SSH_SAYS)]
+        return F.coalesce(*cases)
+
+    of = lambda c, k: F.get(F.array(*(F.lit(x[k]).cast("string") for x in SSH_SAYS)), c["said"]["i"])
+    return [
+        lambda c: {"parts": text.cut(c["line"], instants.SYSLOG, 3), "raw": text.collapsed(c["line"])},
+        lambda c: {"when": instants.syslog(c["parts"], year), "rest": instants.after_syslog(c["parts"])},
+        lambda c: {"message": F.when(c["when"].isNotNull(), text.stripped(F.when(c["rest"].rlike(SSHD), F.regexp_extract(c["rest"], SSHD, 1)).otherwise(c["rest"])))},
+        lambda c: {"said": said(c["message"])},
+        lambda c: _fields(
+            c["said"].isNotNull(), timestamp=c["when"], log_type=F.lit("ssh"), raw_line=text.redact(c["raw"]), event_type=of(c, 1), status=of(c, 2), user=c["said"]["user"], src_ip=c["said"]["ip"],
+            metadata=_metadata(("action", F.when(of(c, 1) == "privilege_action", of(c, 4))), ("service", of(c, 4)), ("authentication_method", of(c, 3))),
+        ),
+    ]
+
+
+def firewall(year: int = DEFAULT_YEAR) -> list[Stage]:
+    def event(c: Columns) -> Columns:
+        def value(key: str) -> Column:  # of the last pair with the key
+            at = F.array_position(c["keys"], key)
+            return F.substring(F.get(c["pairs"], F.when(at > 0, at - 1).cast("int")), len(key) + 2, 1 << 30)
+
+        def number(first: str, second: str) -> Column:  # zero counts as missing in favour of the second
+            a, b = text.integer(value(first)), text.integer(value(second))
+            return F.when(a != 0, a).otherwise(b)
+
+        some, rest = lambda x: F.when(x != "", x), c["rest"]
+        return _fields(
+            c["when"].isNotNull() & F.arrays_overlap(c["keys"], F.array(*map(F.lit, IDENTIFYING))), timestamp=c["when"], log_type=F.lit("firewall"), event_type=F.lit("network_connection"), raw_line=text.redact(c["raw"]),
+            src_ip=value("SRC"), dst_ip=value("DST"), dst_port=text.integer(value("DPT")).try_cast("int"), protocol=F.upper(some(value("PROTO"))),
+            status=F.when(rest.rlike(ACCEPT), "accepted").when(rest.rlike(DENY), "denied").when(rest.rlike(DROP), "dropped").otherwise("unknown"), bytes_sent=number("LEN", "BYTES"),
+            metadata=_metadata(("in_interface", some(value("IN"))), ("out_interface", some(value("OUT"))), ("src_port", text.integer(value("SPT"))), ("packet_count", number("PKTS", "COUNT"))),
+        )
+
+    return [
+        lambda c: {"parts": text.cut(c["line"], instants.SYSLOG, 3), "raw": text.collapsed(c["line"])},
+        lambda c: {"when": instants.syslog(c["parts"], year), "rest": instants.after_syslog(c["parts"])},
+        lambda c: {"pairs": F.reverse(F.regexp_extract_all(c["rest"], F.lit(PAIR), 0))},
+        lambda c: {"keys": F.transform(c["pairs"], lambda x: F.upper(F.substring_index(x, "=", 1)))},
+        event,
+    ]
+
+
+def web() -> list[Stage]:
+    part = lambda c, i: F.get(c["parts"], i - 1)
+    asked = lambda c, i: F.when(F.size(c["asked"]) == 4, F.nullif(F.get(c["asked"], i - 1), F.lit("")))
+    return [
+        lambda c: {"own": text.stripped(c["line"]), "raw": text.collapsed(c["line"])},
+        lambda c: {"parts": text.cut(c["own"], COMBINED, 9)},
+        lambda c: {"when": F.when(F.size(c["parts"]) == 10, instants.common_log(part(c, 4))), "asked": text.cut(text.stripped(part(c, 5)), REQUEST, 3)},
+        lambda c: {"path": asked(c, 2), "referrer": text.present(part(c, 8)), "agent": text.present(part(c, 9))},
+        lambda c: _fields(
+            c["when"].isNotNull(), timestamp=c["when"], log_type=F.lit("web"), event_type=F.lit("http_request"), raw_line=text.redact(c["raw"]),
+            src_ip=part(c, 1), user=text.present(part(c, 3)), status=text.present(part(c, 6)), bytes_sent=text.present(part(c, 7)).try_cast("bigint"), path=text.redact(c["path"]),
+            metadata=_metadata(("ident", text.present(part(c, 2))), ("protocol_version", asked(c, 3)), ("referrer", text.redact(c["referrer"])), ("user_agent", text.redact(c["agent"])), ("method", asked(c, 1))),
+        ),
+    ]
+
+
+def windows() -> list[Stage]:
+    """cells: a map of normalized header to cell; raw: the record's text; extra: whether it has more cells than headers."""
+    aliases = WINDOWS_FIELDS | WINDOWS_GROUP_FIELDS
+    known = [F.lit(x) for own in aliases.values() for x in own]
+    named = lambda c, own: F.coalesce(*(F.try_element_at(c["clean"], F.lit(x)) for x in own))
+
+    def event(c: Columns) -> Columns:
+        grouped, event_id, target, subject = c["event_id"].isin(*WINDOWS_GROUP_EVENTS), c["event_id"], c["target_user"], c["subject_user"]
+        field = {k: F.when(grouped, c[k]) if k in WINDOWS_GROUP_FIELDS else c[k] for k in aliases}
+        kind = F.coalesce(*(F.when(event_id == k, F.lit(v)) for k, v in WINDOWS_TYPES.items()), F.lit("windows_event"))
+        return _fields(
+            event_id.isNotNull() & c["when"].isNotNull() & ~c["extra"], timestamp=c["when"], log_type=F.lit("windows"), event_type=kind, src_ip=c["source_ip"], raw_line=text.redact(c["flat"]),
+            user=F.when(grouped, target).when(event_id.isin(*WINDOWS_SUBJECT_EVENTS), subject).otherwise(F.coalesce(target, subject)),
+            status=F.when(event_id == "4624", "success").when(event_id == "4625", "failure"),
+            metadata=_metadata(*((k, text.integer_any_base(v) if k in WINDOWS_NUMBERS else v) for k, v in field.items())),
+        )
+
+    return [
+        lambda c: {"some": F.map_filter(c["cells"], lambda k, v: k.isin(*known) & v.isNotNull()), "flat": F.regexp_replace(c["raw"], "[\r\n]", " ")},
+        lambda c: {"filled": F.map_filter(F.transform_values(c["some"], lambda k, v: text.stripped(v)), lambda k, v: (v != "") & (v != "-"))},
+        lambda c: {"clean": F.transform_values(c["filled"], lambda k, v: text.redact(v))},
+        lambda c: {k: named(c, own) for k, own in aliases.items()},
+        lambda c: {"when": instants.iso(c["timestamp"])},
+        event,
+    ]
+
+
+TEXT_FORMATS: dict[str, Callable[..., list[Stage]]] = {"ssh": ssh, "firewall": firewall, "web": lambda year=DEFAULT_YEAR: web()}
+
+
+def accepts(log_format: str, line: Column) -> Column:
+    """Whether a text format accepts a line."""
+    return at_once(TEXT_FORMATS[log_format](), line=line)["ok"]
+
+
+def _split(df: DataFrame, stages: Sequence[Stage], log_format: str, reject: Column, *given: str) -> tuple[DataFrame, DataFrame]:
+    df, c = staged(df, stages, *given)
+    # A filter would be pushed down through all stages and repeat them; an array of one or no element is not.
+    keep = lambda ok: df.withColumn("__one", F.explode(F.when(ok, F.array(F.lit(1)))))
+    events = keep(c["ok"]).select(*(F.col(x) if x in PLACE else c[x].alias(x) for x in EVENT.fieldNames()))
+    bad = keep(~c["ok"]).select(F.col("source").alias("path"), F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(": "), reject).alias("message"), F.lit(log_format).alias("format"), "file_ord", "line_no")
     return events, bad
 
 
 def parse(lines: DataFrame, log_format: str, year: int = DEFAULT_YEAR) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of a line frame in a text format."""
-    f = TEXT_FORMATS[log_format]
-    event = f(F.col("line")) if log_format == "web" else f(F.col("line"), year)
-    return split_parsed(lines.select("source", "file_ord", "line_no", F.lit(log_format).alias("format"), event.alias("event"), F.lit(REJECTS[log_format]).alias("reject")))
+    return _split(lines.select(*PLACE, "line"), TEXT_FORMATS[log_format](year), log_format, F.lit(REJECTS[log_format]), "line")
 
 
 def parse_windows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) of records: source, file_ord, line_no, cells (map), raw, extra (more cells than headers)."""
-    event = F.when(~F.col("extra"), windows(F.col("cells"), F.col("raw")))
     reject = F.when(F.col("extra"), REJECTS["windows_csv"]).otherwise(REJECTS["windows"])
-    return split_parsed(rows.select("source", "file_ord", "line_no", F.lit("windows").alias("format"), event.alias("event"), reject.alias("reject")))
+    return _split(rows, windows(), "windows", reject, "cells", "raw", "extra")
 
 
 def parse_lines(spark, log_format: str, lines, source: str = "<memory>", year: int = DEFAULT_YEAR) -> tuple[DataFrame, DataFrame]:

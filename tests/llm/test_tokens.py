@@ -28,6 +28,18 @@ def test_spliced_windows_match_the_library(window, overlap):
     assert one.widened > 0  # long runs without a stable position
 
 
+def test_long_texts_without_white_space_end():
+    """The number of encodings grows with the logarithm of the text, not with its characters."""
+    rng = random.Random(5)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    one, library = token_counts.Counter(path, 256, 16), token_counts.load(path)
+    calls, starts = [], one._starts
+    one._starts = lambda *a: calls.append(a) or starts(*a)
+    text = "".join(rng.choice("abcdef0123") for _ in range(20_000)) + " and words again" * 50
+    assert one.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert len(calls) < 40
+
+
 def test_counts_refuse_other_tokenizers():
     with pytest.raises(ValueError, match="proven"):
         token_counts.Counter(WORD)

@@ -6,7 +6,8 @@ that is a token start in both and *stable*: the character before p is no white s
 the one at p is. The byte-level pre-tokenizer never matches across such a position in any
 context, and what follows it is matched from p alone, so the tokens before p (from the left
 window) and those from p on (from the right one) are those of the whole text. If an overlap
-holds no such p, it is doubled, up to the whole left window.
+holds no such p, it is doubled, up to the whole left window, which then doubles itself: a text
+without white space is encoded in whole.
 
 Texts up to one window are cut at all their stable positions; each distinct piece is
 encoded once per worker.
@@ -96,18 +97,19 @@ class Counter:
         a, b = 0, min(len(text), self.window)
         left = self._starts(text, a, b)
         while b < len(text):
-            overlap = self.overlap
-            while True:
-                start = max(a, b - overlap)
-                end = min(len(text), max(b + 1, start + self.window))
-                right = self._starts(text, start, end)
-                at = self._common(text, left, right, max(start, cut), b) if start > a else None
-                if at is not None or start == a:
-                    break
-                overlap *= 2
-                self.widened += 1
-            if at is None:  # the right window holds the whole left one
-                left, b = right, end
+            overlap, at = self.overlap, None
+            while at is None and (start := max(a, b - overlap)) > a:
+                low = max(start, cut)
+                if STABLE.search(text, low + 1, b):
+                    end = min(len(text), b + self.window)
+                    right = self._starts(text, start, end)
+                    at = self._common(text, left, right, low, b)
+                if at is None:
+                    overlap *= 2
+                    self.widened += 1
+            if at is None:  # the overlap is the whole left window: it is encoded again with as much text again
+                b = min(len(text), b + max(b - a, self.window))
+                left = self._starts(text, a, b)
                 continue
             total += int(np.searchsorted(left, at) - np.searchsorted(left, cut))
             left, a, b, cut = right, start, end, at
@@ -123,7 +125,8 @@ class Counter:
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, overlap: int = OVERLAP, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of each row.
 
-    A null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows are kept as they
+    Texts over a window are counted by splicing, shorter ones by their distinct pieces, and those of
+    one window with white space beyond ASCII at once. A null text counts as empty: 0 bytes, 0 tokens. Null ids and repeated rows are kept as they
     are, an empty table gives no rows, other columns are not read. Nothing is shuffled.
     """
     kind = df.schema[id_col].dataType.simpleString()

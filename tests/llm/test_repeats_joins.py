@@ -59,6 +59,16 @@ def test_repeats_against_brute_force(spark, length, gram, step, most):
     assert got(suffix_dedup.digest(df, length=length, gram=gram, step=step, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == wanted(want)
 
 
+def test_cover_of_arrays():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(300):
+        own = [(x, x + rng.randrange(0, 4)) for x in (rng.randrange(60) for _ in range(rng.randrange(0, 12)))]
+        first, last = (np.array([x[i] for x in own], np.int64) for i in (0, 1))
+        assert suffix_dedup.covered(first, last, 5) == suffix_dedup.cover(own, 5)
+
+
 def test_words_of_passages(spark):
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 7)))

@@ -34,7 +34,6 @@ GRAM = 64
 STEP = 16
 #: Words of a window where passages are found by words: a passage of over 50 words has so many whole ones even if both its ends touch other letters.
 WINDOW = 49
-WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of a word's symbol.
 UNIT = 8
 #: Distinct strings about one core that a task sorts together; beyond it, single windows are counted instead.
@@ -142,15 +141,16 @@ def anchored(texts: DataFrame, length: int, gram: int, unit: int = 1) -> DataFra
                     seen.add((t1, t2))
                 if len(data) < length:
                     continue
-                for key, *places in runs(np.frombuffer(data, kind), length // unit, gram // unit):
-                    a, low, high = (x * unit for x in places)
-                    own = (key, digest64(data[low : high + length]))
-                    row = (*own, t1, t2, a, low, high)
+                for key, a, low, high in runs(np.frombuffer(data, kind), length // unit, gram // unit):
+                    low *= unit
+                    high *= unit
+                    mark = digest64(data[low : high + length])
+                    own = (key, mark)
                     if own in held:
                         many.add(own)
-                        rows.append((*row, True, True))
+                        rows.append((key, mark, t1, t2, a * unit, low, high, True, True))
                     else:
-                        held[own] = row
+                        held[own] = (key, mark, t1, t2, a * unit, low, high)
                 if len(held) > HELD:
                     yield flush()
                 if len(rows) > 20_000:
@@ -336,6 +336,24 @@ def cover(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     return out
 
 
+def covered(first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int]]:
+    """cover() of arrays."""
+    if not len(first):
+        return []
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate(last[order]) + length
+    opens = np.append(True, first[1:] > end[:-1])
+    return list(zip(first[opens].tolist(), end[np.append(opens[1:], True)].tolist()))
+
+
+def ranges(column: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """first and last of the windows of each row; none for a null."""
+    at, own = column.offsets.to_numpy(), column.values
+    first, last = own.field("first").to_numpy(), own.field("last").to_numpy()
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        yield first[a:b], last[a:b]
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The union of ranges [start, end)."""
     out: list[tuple[int, int]] = []
@@ -348,7 +366,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, step: int = STEP, most: int = MOST, work: Work | None = None, words: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(texts, windows): texts has doc_id, t1, t2 (digest of the text) and n (rows with that text);
+    """(texts, windows): texts has rep (an id), t1, t2 (digest of the text), n (rows with that text) and, with words, n_words;
     windows has t1, t2 and windows, an array of (first, last) ranges of window starts that repeat, for texts that occur once.
     With words, windows are so many words, and their starts are numbers of words."""
     unit = UNIT if words else 1
@@ -364,7 +382,7 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     known = work.write(by_text, "texts")
     found = work.write(anchored(texts.select("t1", "t2", "raw"), length, gram, unit), "runs")
     if words:  # not all of those texts have so many words
-        known = work.write(known.join(found.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi"), "known")
+        known = work.write(known.join(found.groupBy("t1", "t2").agg((F.max("high") / unit + words).cast("long").alias("n_words")), ["t1", "t2"]), "known")
     lists = found.where("not again").select(*(x for x, _ in RUN), F.col("many").cast("long").alias("many"))
     further = found.where("again").select(*(x for x, _ in RUN), F.col("bytes").alias("head"), F.lit(False).alias("first"), F.lit(True).alias("twin"))
     alive = work.write(live(lists.repartition("key").sortWithinPartitions("key", "bytes", "t1", "t2", "low", F.col("many").desc())).unionByName(further), "live")
@@ -422,10 +440,10 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     known, windows = find_repeats(df, id_col, text_col, length, gram, step, most, work)
     also, by_words = find_repeats(df, id_col, text_col, most=most, work=Work(df.sparkSession, "repeats-words"), words=words)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = _keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)), text_col).select("doc_id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
+    rows = _keyed(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias(text_col)), text_col).select("doc_id", F.col("__t1").alias("t1"), F.col("__t2").alias("t2"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(F.encode(text, "UTF-8"), 256).alias("sha"))
     cut = removed(df, windows, text_col, length).select("t1", "t2", "n_removed", "n_spans", "kept_sha256")
     often = known.where("n > 1").select("t1", "t2", F.lit(True).alias("copied"))
-    passages = by_words.select("t1", "t2", passage_words("windows", words).alias("n_passage_words")).unionByName(also.where("n > 1").select("t1", "t2", F.lit(-1).cast("long").alias("n_passage_words")))
+    passages = by_words.select("t1", "t2", passage_words("windows", words).alias("n_passage_words")).unionByName(also.where("n > 1").select("t1", "t2", F.col("n_words").alias("n_passage_words")))
     told = often.join(cut, ["t1", "t2"], "full_outer").join(passages, ["t1", "t2"], "full_outer")
     out = rows.join(told, ["t1", "t2"], "left")
     copied = F.coalesce("copied", F.lit(False))
@@ -434,7 +452,7 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copied, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copied, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        F.when(F.col("n_passage_words") < 0, F.col("n_words")).otherwise(F.coalesce("n_passage_words", F.lit(0))).alias("n_passage_words"),
+        F.coalesce("n_passage_words", F.lit(0)).alias("n_passage_words"),
     )
 
 
@@ -451,13 +469,12 @@ def removed(df: DataFrame, windows: DataFrame, text_col: str, length: int, words
         table = shingler() if words else None
         for batch in batches:
             rows = []
-            for t1, t2, raw, *own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:]):
+            for t1, t2, raw, *own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), *map(ranges, batch.columns[3:])):
                 data = raw.as_py()
-                ranges = [[(x["first"], x["last"]) for x in y.as_py() or ()] for y in own]
-                spans = cover(ranges[0], length)
-                if table and ranges[1]:
+                spans = covered(*own[0], length)
+                if table and len(own[1][0]):
                     start, end, _ = table.words([data])  # after a space
-                    spans = merged(spans + [(int(start[x]) - 1, int(end[y - 1]) - 1) for x, y in cover(ranges[1], words)])
+                    spans = merged(spans + [(int(start[x]) - 1, int(end[y - 1]) - 1) for x, y in covered(*own[1], words)])
                 edges = [0, *(y for x in spans for y in x), len(data)]
                 left = [data[x:y] for x, y in zip(edges[::2], edges[1::2])]
                 kept = b"".join(left)

@@ -5,9 +5,11 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.model import EVENT
 from tidewatch.operators import alerts as A
+from tidewatch.operators import frames
 from tidewatch.operators.detectors import BruteForce, ImpossibleTravel, PortScan, SuspiciousLogin, UnusualTraffic
 from tidewatch.operators.privilege import PRIVILEGED_GROUPS, PrivilegeEscalation
 
@@ -333,3 +335,32 @@ def test_copies_and_order(spark):
     made = spark.createDataFrame([(s, str(i), "", "{}", [], [], a, b, "d", None, [i]) for s, a, b, i in rows], A.ALERT)
     assert [x.title for x in A.to_driver(made)] == ["5", "4", "2", "1", "0", "3"]
     assert [x.title for x in A.to_driver(A.at_least(made, "MEDIUM"))] == ["5", "4", "2", "1"]
+
+
+# -- rolling figures --
+
+
+@pytest.mark.parametrize(("window", "seed"), [(0, 1), (1, 2), (7, 3), (40, 4), (1000, 5)])
+def test_rolling_against_brute_force(spark, window, seed):
+    """A hot key, ties, repeated rows, nulls, instants before 1970 and at bucket borders."""
+    rng = random.Random(seed)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(-30, 60), i, rng.choice([1, 2, 3, 4, None]), rng.choice([True, False, None])) for i in range(160)]
+    df = spark.createDataFrame(rows, "g string, us long, i long, v int, ok boolean")
+    got = {
+        r["i"]: tuple(r[x] for x in ("n", "good", "values", "last", "first_us") if r["n"] or x == "n")
+        for r in frames.rolling(df, ["g"], ["us", "i"], window, {"n": F.lit(True), "good": F.col("v") > 2}, {"values": F.col("v")}, {"last": F.col("v")}, F.col("ok")).collect()
+    }
+    want = {}
+    for g, us, i, _, _ in rows:
+        held = sorted(((u, j, v) for h, u, j, v, ok in rows if ok and h == g and us - window <= u and (u, j) <= (us, i)), key=lambda x: x[:2])
+        values = {v for _, _, v in held if v is not None}
+        want[i] = (len(held), sum(v is not None and v > 2 for _, _, v in held), len(values), held[-1][2], held[0][0]) if held else (0,)
+    assert got == want
+
+
+def test_hot_source_of_many_ports(spark):
+    """Each frame of one source holds thousands of rows: figures come from sums, not from collected rows."""
+    events = [event(i / 2000, i, log_type="firewall", event_type="network_connection", src_ip="192.0.2.9", dst_ip=f"10.0.0.{i % 3}", dst_port=i % 60, status="denied") for i in range(6000)]
+    (out,) = found(spark, PortScan(), events)
+    assert out.severity == "CRITICAL"
+    assert (out.evidence["distinct_destination_ports"], out.evidence["distinct_destination_hosts"], out.evidence["denied_rejected_count"]) == (50, 3, 50)

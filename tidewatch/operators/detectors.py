@@ -80,17 +80,10 @@ class BruteForce:
 
 def port_frames(df: DataFrame, source: str, port: str, host: str, status: str, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = ()) -> DataFrame:
     """Rows whose frame holds at least `least` distinct ports, with ports, hosts, accepted, denied, n and first_us of the frame."""
-    some = frames.groups_with(df, [source], least, F.col(port))
-    framed = frames.with_frame(some, [source], order, window_us, [order[0], port, host, status])
-    count = lambda *s: F.size(F.filter("frame", lambda x: x[status].isin(*s)))
-    out = framed.select(
-        source, *order, *extra, "rn",
-        F.size(F.array_distinct(F.transform("frame", lambda x: x[port]))).alias("ports"),
-        F.size(F.array_distinct(F.filter(F.transform("frame", lambda x: x[host]), lambda h: h.isNotNull() & (h != "")))).alias("hosts"),
-        count("accepted").alias("accepted"), count("denied", "rejected", "dropped").alias("denied"),
-        F.size("frame").alias("n"), F.element_at(F.col("frame"), 1)[order[0]].alias("first_us"),
-    )
-    return out.where(F.col("ports") >= least)
+    some = frames.groups_with(df.select(source, *order, *extra, port, host, status), [source], least, F.col(port))
+    counts = {"accepted": F.col(status) == "accepted", "denied": F.col(status).isin("denied", "rejected", "dropped"), "n": F.lit(True)}
+    framed = frames.rolling(some, [source], order, window_us, counts, {"ports": F.col(port), "hosts": F.nullif(host, F.lit(""))})
+    return framed.where(F.col("ports") >= least).select(source, *order, *extra, "ports", "hosts", "accepted", "denied", "n", "first_us")
 
 
 @dataclass(frozen=True)
@@ -132,19 +125,23 @@ class PortScan:
 
 def failures_before(df: DataFrame, source: str, user: str, failed: Column, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = ()) -> DataFrame:
     """Rows that are not failures and have at least `least` failures in their frame, with failures, first_us and last_user of those."""
-    some = frames.groups_with(df, [source], least + 1)
-    framed = frames.with_frame(some.withColumn("__failed", failed), [source], order, window_us, [order[0], user], only=F.col("__failed"), strictly_before=True)
-    hit = framed.where(~F.col("__failed") & (F.size("frame") >= least))
-    return hit.select(source, user, *order, *extra, F.size("frame").alias("failures"), F.element_at("frame", 1)[order[0]].alias("first_us"), F.element_at("frame", -1)[user].alias("last_user"))
+    some = frames.groups_with(df.select(source, user, *order, *extra, failed.alias("__failed")), [source], least + 1)
+    framed = frames.rolling(some, [source], order, window_us, {"failures": F.lit(True)}, latest={"last_user": F.col(user)}, of=F.col("__failed"))
+    hit = framed.where(~F.col("__failed") & (F.col("failures") >= least))
+    return hit.select(source, user, *order, *extra, "failures", "first_us", "last_user")
 
 
 def many_users(df: DataFrame, source: str, user: str, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Of each source the first row whose frame holds at least `least` distinct users, with users (sorted) and first_us."""
-    some = frames.groups_with(df, [source], least, F.col(user))
-    framed = frames.with_frame(some, [source], order, window_us, [order[0], user])
-    users = F.array_sort(F.array_distinct(F.transform("frame", lambda x: x[user])))
-    hit = framed.select(source, *order, *extra, users.alias("users"), F.element_at("frame", 1)[order[0]].alias("first_us")).where(F.size("users") >= least)
-    return frames.best_first(hit, [source], [], order)
+    """Of each source the first row whose frame holds at least `least` distinct users (nulls are none), with users (sorted) and first_us.
+
+    Their number grows by one a row at most, so it equals `least` there: only the users of that one frame are collected."""
+    some = frames.groups_with(df.select(source, *order, *extra, user), [source], least, F.col(user))
+    framed = frames.rolling(some, [source], order, window_us, distinct={"n_users": F.col(user)}).where(F.col("n_users") >= least)
+    first = frames.best_first(framed.drop(user), [source], [], order)
+    ends = F.struct(*(F.col(f"h.{x}") for x in order))
+    inside = (F.col("e.__source") == F.col(f"h.{source}")) & (F.col(f"e.{order[0]}") >= F.col("h.first_us")) & (F.struct(*(F.col(f"e.{x}") for x in order)) <= ends)
+    theirs = some.withColumnRenamed(source, "__source").alias("e").join(first.alias("h"), inside).groupBy(F.col("e.__source")).agg(F.array_sort(F.collect_set(f"e.{user}")).alias("users"))
+    return first.join(theirs, F.col(source) == F.col("__source")).select(source, *order, *extra, "users", "first_us")
 
 
 def off_hours(t: Column, start: int, end: int) -> Column:

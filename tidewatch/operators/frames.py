@@ -7,7 +7,7 @@ the row itself: later rows with the same instant are outside.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,16 +28,38 @@ def first_crossing(df: DataFrame, keys: Sequence[str], order: Sequence[str], thr
     return hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def with_frame(df: DataFrame, keys: Sequence[str], order: Sequence[str], window_us: int, values: Sequence[str], out: str = "frame", only: Column | None = None, strictly_before: bool = False) -> DataFrame:
-    """df with an array of structs (rn and the values) of the rows in each row's frame, in order; `only` limits what
-    is collected. A frame holds what a window holds, whatever the group's size."""
-    w = ordered(keys, order)
-    numbered = df.withColumn("rn", F.row_number().over(w))
-    item = F.struct("rn", *values)
-    span = Window.partitionBy(*keys).orderBy(order[0]).rangeBetween(-window_us, 0)
-    held = F.collect_list(item if only is None else F.when(only, item)).over(span)
-    inside = (lambda x: x["rn"] < F.col("rn")) if strictly_before else (lambda x: x["rn"] <= F.col("rn"))
-    return numbered.withColumn("__held", held).withColumn(out, F.array_sort(F.filter("__held", inside))).drop("__held")
+def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], window_us: int, counts: Mapping[str, Column] | None = None, distinct: Mapping[str, Column] | None = None, latest: Mapping[str, Column] | None = None, of: Column | None = None) -> DataFrame:
+    """df with figures of each row's frame: for each of `counts` the rows for which the condition holds, for each of
+    `distinct` the number of distinct non-null values, for each of `latest` the value in its last row, and first_us,
+    the instant of its earliest row. `of` limits what a frame holds; what is said of its first and last row has
+    a meaning only if it holds any.
+
+    Nothing is collected: a row enters at its instant and leaves window_us later, and running sums over entries and
+    exits are the figures. A value enters with a row that no equal one precedes within the window, and leaves with
+    one that none follows. Groups are cut by time, in buckets a little longer than the window; each row goes to its
+    bucket and, to be looked back at, to the next one. So a busy key is spread over tasks and work is linear."""
+    us, span = F.col(order[0]), window_us + 1
+    counts, distinct, latest = counts or {}, distinct or {}, latest or {}
+    home = F.floor(us / span)
+    cut = [*keys, "__b"]
+    held = df.withColumn("__of", F.lit(True) if of is None else F.coalesce(of, F.lit(False))).withColumn("__home", home)
+    spread = held.withColumn("__b", F.explode(F.array("__home", F.col("__home") + 1))).where("__of or __b = __home").repartition(*(F.col(c) for c in cut))
+    near = ordered([*cut, "__of"], order)
+    out = spread.withColumn("__next", F.lead(us).over(near))
+    for n, condition in counts.items():
+        weight = (F.col("__of") & F.coalesce(condition, F.lit(False))).cast("int")
+        out = out.withColumn(f"__in_{n}", weight).withColumn(f"__out_{n}", weight)
+    for n, value in distinct.items():
+        same = ordered([*cut, "__of", f"__v_{n}"], order)
+        alone = lambda gap: (F.col("__of") & F.col(f"__v_{n}").isNotNull() & (gap.isNull() | (gap > window_us))).cast("int")  # noqa: B023, E731
+        out = out.withColumn(f"__v_{n}", value).withColumn(f"__in_{n}", alone(us - F.lag(us).over(same))).withColumn(f"__out_{n}", alone(F.lead(us).over(same) - us))
+    moves = out.withColumn("__exit", F.explode(F.array(F.lit(0), F.lit(1)))).where("__exit = 0 or __of").withColumn("__t", us + F.col("__exit") * window_us)
+    so_far = ordered(cut, ["__t", "__exit", *order]).rowsBetween(Window.unboundedPreceding, 0)
+    live = lambda n: F.sum(F.when(F.col("__exit") == 0, F.col(f"__in_{n}")).otherwise(-F.col(f"__out_{n}"))).over(so_far).cast("int")
+    first = F.coalesce(F.max(F.when(F.col("__exit") == 1, F.col("__next"))).over(so_far), F.min(F.when(F.col("__of"), us)).over(so_far))
+    last = lambda v: F.last(F.when((F.col("__exit") == 0) & F.col("__of"), F.struct(v.alias("v"))), ignorenulls=True).over(so_far)["v"]
+    told = moves.select("__exit", "__home", "__b", *df.columns, *(live(n).alias(n) for n in (*counts, *distinct)), *(last(v).alias(n) for n, v in latest.items()), first.alias("first_us"))
+    return told.where("__exit = 0 and __b = __home").drop("__exit", "__home", "__b")
 
 
 def groups_with(df: DataFrame, keys: Sequence[str], least: int, of: Column | None = None) -> DataFrame:

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tests.test_detectors import T0, connection, event, failed, frame, passed, requests
 from tidewatch.functions.text import redact, redact_text
 from tidewatch.model import Alert
-from tidewatch.operators.features import FEATURES, features
-from tidewatch.operators.forest import AnomalyDetector, Forest, Settings
+from tidewatch.operators.features import FEATURES, features, in_order
+from tidewatch.operators.forest import AnomalyDetector, Forest, Settings, quantile
 from tidewatch.plans import anomalies, cli, summaries
 from tidewatch.sources import synthetic
 
@@ -24,7 +24,7 @@ def test_feature_vector(spark):
     ip = "192.0.2.1"
     events = [failed(0, ip), passed(0.2, ip, user="al"), connection(20, 80, ip=ip), connection(30, 80, "", ip=ip), connection(40, 443, ip=ip)]
     events += [event(0.5, log_type="web", event_type="http_request", src_ip=ip, status=s, bytes_sent=b) for s, b in (("200", 5), ("404", None), ("99", 6), ("1x0", 1), (None, 2))]
-    rows = features(frame(spark, events), 60).collect()
+    rows = in_order(features(frame(spark, events), 60)).collect()
     assert len(rows) == 1 and rows[0].log_types == ["firewall", "ssh", "web"] and rows[0].bucket_start == T0
     assert vector(rows[0]) == [10.0, 0.5, 2.0, 1.0, 2.0, 14.0, 0.0, 0.25, 0.0, 0.25, 0.0, 0.5]
 
@@ -32,7 +32,7 @@ def test_feature_vector(spark):
 def test_feature_buckets(spark):
     edge = timedelta(microseconds=1)
     events = [failed(0, None), failed(0, ""), connection(0, 1, ip=None), failed(0, "b"), failed(0, "a") | {"timestamp": T0 + timedelta(seconds=30)}, failed(0, "a") | {"timestamp": T0 + timedelta(seconds=30) - edge}, failed(0, "a") | {"timestamp": datetime(1969, 12, 31, 23, 59, 59)}]
-    rows = features(frame(spark, events), 30).collect()
+    rows = in_order(features(frame(spark, events), 30)).collect()
     assert [(r.source_ip, r.log_types) for r in rows[:2]] == [(None, ["firewall"]), (None, ["ssh"])] and rows[1].events_per_minute == 4.0
     assert [(r.source_ip, r.bucket_start) for r in rows[2:]] == [("a", datetime(1969, 12, 31, 23, 59, 30)), ("a", T0), ("a", T0 + timedelta(seconds=30)), ("b", T0)]
     assert vector(rows[0])[1] == 0.0 and features(frame(spark, [])).count() == 0
@@ -87,6 +87,15 @@ def test_trees_isolate_what_is_apart():
     assert s.argmin() == 200 and (s < 0).all() and (s >= -1).all()
 
 
+def test_quantile_as_sorting_all(spark):
+    """Ties across the rank, neighbours in different cells, one cell, two rows."""
+    rng = np.random.default_rng(5)
+    for values in ([-0.5] * 9 + [-0.25], [-0.9, -0.1], [-0.5 - i * 1e-9 for i in range(50)], list(-rng.random(501)), [-1.0, 0.0, 0.0]):
+        df = spark.createDataFrame([(float(v),) for v in values], "score double")
+        for share in (0.001, 0.05, 0.33, 0.5):
+            assert quantile(df, share, len(values)) == pytest.approx(np.quantile(values, share), abs=1e-15)
+
+
 def test_workflow(spark, tmp_path, capsys):
     good, bad = tmp_path / "good", tmp_path / "bad"
     good.mkdir(), bad.mkdir()

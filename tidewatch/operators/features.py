@@ -26,8 +26,8 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def features(events: DataFrame, bucket_seconds: int = 60) -> DataFrame:
-    """source_ip (null: grouped by log type instead), log_types (sorted), bucket_start and the features, in order of
-    source, log type and bucket. One aggregation with partial sums; distinct counts are exact."""
+    """source_ip (null: grouped by log type instead), log_types (sorted), bucket_start and the features. One
+    aggregation with partial sums; distinct counts are exact. Rows are in no order: see in_order."""
     if isinstance(bucket_seconds, bool) or not isinstance(bucket_seconds, int) or bucket_seconds <= 0:
         raise ValueError("bucket_seconds must be a positive integer")
     ip = F.when(truthy(F.col("src_ip")), F.col("src_ip"))
@@ -44,4 +44,9 @@ def features(events: DataFrame, bucket_seconds: int = 60) -> DataFrame:
         double(F.count_distinct("who")), double(F.coalesce(F.sum("bytes_sent"), F.lit(0))), *(ratio(F.count_if(F.col("class") == i), web) for i in range(1, 7)),
     ]
     out = own.groupBy("source_ip", "apart", "bucket_start").agg(F.array_sort(F.collect_set("log_type")).alias("log_types"), *(v.alias(n) for v, n in zip(values, FEATURES)))
-    return out.orderBy(F.coalesce("source_ip", F.lit("")), F.coalesce("apart", F.lit("")), "bucket_start").select("source_ip", "log_types", "bucket_start", *FEATURES)
+    return out.select("source_ip", "log_types", "bucket_start", *FEATURES)
+
+
+def in_order(vectors: DataFrame) -> DataFrame:
+    """Vectors by source, log type (of those without a source) and bucket; for what is shown or written."""
+    return vectors.orderBy(F.coalesce("source_ip", F.lit("")), F.when(F.col("source_ip").isNull(), F.array_join("log_types", ",")).otherwise(""), "bucket_start")

@@ -64,13 +64,19 @@ def expected_path(n: np.ndarray | float) -> np.ndarray:
 
 
 class Forest:
-    """Trees as flat arrays: feature (-1 at leaves), cut, children, and a leaf's depth plus its expected rest."""
+    """Trees as flat arrays: feature, cut, children, and a leaf's depth plus its expected rest."""
 
     def __init__(self, rows: np.ndarray, settings: Settings) -> None:
         rng = np.random.default_rng(settings.random_state)
         limit = DEFAULT_SAMPLES if settings.max_samples == "auto" else settings.max_samples
         self.sample = min(limit, len(rows))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], rng) for _ in range(settings.n_estimators)]
+        trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], rng) for _ in range(settings.n_estimators)]
+        # All trees lie in one set of arrays, in which children are numbered from a tree's root; leaves lead to themselves.
+        self.roots = np.cumsum([0, *(len(t[0]) for t in trees[:-1])])
+        joined = [np.concatenate(x) for x in zip(*trees)]
+        offsets = np.repeat(self.roots, [len(t[0]) for t in trees])
+        self.feature, self.cut, self.left, self.right, self.depth = np.maximum(joined[0], 0), joined[1], joined[2] + offsets, joined[3] + offsets, joined[4]
+        self.levels = math.ceil(math.log2(max(self.sample, 2)))
 
     def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         most = math.ceil(math.log2(max(self.sample, 2)))
@@ -95,17 +101,42 @@ class Forest:
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """-2 ** (-mean path / expected path): lower is more unusual."""
-        total = np.zeros(len(rows))
-        for feature, cut, left, right, depth in self.trees:
-            at = np.zeros(len(rows), np.int64)
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                f = np.where(inner, feature[at], 0)
-                at = np.where(inner, np.where(rows[np.arange(len(rows)), f] <= cut[at], left[at], right[at]), at)
-            total += depth[at]
-        return -(2.0 ** (-total / len(self.trees) / max(float(expected_path(self.sample)), 1e-12)))
+        out = np.zeros(len(rows))
+        block = max(1, 1_000_000 // len(self.roots))  # rows that go down all trees together
+        for a in range(0, len(rows), block):
+            own = rows[a : a + block]
+            each = np.arange(len(own))[:, None]
+            at = np.broadcast_to(self.roots, (len(own), len(self.roots)))
+            for _ in range(self.levels):
+                at = np.where(own[each, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
+            out[a : a + block] = self.depth[at].sum(axis=1)
+        return -(2.0 ** (-out / len(self.roots) / max(float(expected_path(self.sample)), 1e-12)))
+
+
+#: Scores lie in [-1, 0]; the quantile is looked for in one of so many cells of that range.
+CELLS = 1 << 16
+
+
+def quantile(scores: DataFrame, share: float, count: int) -> float:
+    """The quantile of a column `score` of `count` rows, interpolated between its two neighbours, as sorting all would
+    give it. Cells of the range are counted first; then only the scores of the one or two cells that hold the
+    neighbours are put in order, equal ones together. No task gathers all scores."""
+    position = share * (count - 1)
+    low, high = math.floor(position), math.ceil(position)
+    cell = F.floor(F.col("score") * CELLS)
+    seen, chosen, before = 0, [], 0
+    for c, n in sorted(scores.groupBy(cell.alias("c")).count().collect()):  # bounded by CELLS
+        if seen <= high and seen + n > low:
+            before = before if chosen else seen
+            chosen.append(c)
+        seen += n
+    found: dict[int, float] = {}
+    for value, n in scores.where(cell.isin(chosen)).groupBy("score").count().orderBy("score").toLocalIterator():
+        found |= {i: value for i in (low, high) if i not in found and before <= i < before + n}
+        before += n
+        if high in found:
+            break
+    return found[low] if low == high else (high - position) * found[low] + (position - low) * found[high]
 
 
 class AnomalyDetector:
@@ -122,7 +153,16 @@ class AnomalyDetector:
         return self._metadata
 
     def fit(self, training: DataFrame, names: Sequence[str] = FEATURES) -> AnomalyDetector:
-        """Trains on a sample that holds as many rows as the trees can use; the threshold is the quantile of all training rows' scores."""
+        """Trains on a sample that holds as many rows as the trees can use; the threshold is the quantile of all training
+        rows' scores. What is read several times here is held until the model is ready."""
+        held = [] if training.is_cached else [training.persist()]
+        try:
+            return self._fit(training, tuple(names), held)
+        finally:
+            for x in held:
+                x.unpersist()
+
+    def _fit(self, training: DataFrame, names: tuple[str, ...], held: list[DataFrame]) -> AnomalyDetector:
         finite = F.lit(True)
         for n in names:
             finite = finite & F.col(n).isNotNull() & ~F.isnan(n) & (F.abs(F.col(n)) != float("inf"))
@@ -134,11 +174,14 @@ class AnomalyDetector:
         most = self.settings.n_estimators * (DEFAULT_SAMPLES if self.settings.max_samples == "auto" else self.settings.max_samples)
         seed = self.settings.random_state
         order = F.xxhash64(F.lit(seed if seed is not None else int(np.random.default_rng().integers(1 << 31))), *names)
-        rows = training.select(*(F.col(n).cast("double") for n in names)).orderBy(order, *names).limit(most).collect() if count > most else training.select(*(F.col(n).cast("double") for n in names)).orderBy(*names).collect()
+        vectors = training.select(*(F.col(n).cast("double") for n in names))
+        rows = vectors.orderBy(order, *names).limit(most).collect() if count > most else vectors.orderBy(*names).collect()
         self.forest = Forest(np.array([tuple(r) for r in rows], float), self.settings)
-        self.training, self.names = training, tuple(names)
-        c = self.settings.contamination
-        offset = -0.5 if c == "auto" else self._scored(training).agg(F.percentile("score", F.lit(float(c)))).first()[0]
+        self.training, self.names = training, names
+        c, offset = self.settings.contamination, -0.5
+        if c != "auto":
+            held.append(self._scored(vectors).select("score").persist())
+            offset = quantile(held[-1], float(c), count)
         self._metadata = Metadata(MODEL, self.names, self.settings, count, self.forest.sample, float(offset))
         return self
 

@@ -303,6 +303,20 @@ def deviations(counts: DataFrame, keys: Sequence[str], at: str, n: str, method:
     return based.where(F.col("base_n") >= least).withColumn("score", (F.col(n) - F.col("base")) / spread).drop("spread")
 
 
+def bucket_metrics(events: DataFrame, keys: Sequence[str], seconds: int) -> DataFrame:
+    """Of each group and bucket n events, their bytes, distinct paths, the order columns of its first event, and the
+    counts of statuses as JSON text, statuses in the order in which they occur. Needs the order's columns."""
+    at = [*keys, "bucket"]
+    seen = events.withColumn("bucket", bucket(F.col("timestamp"), seconds))
+    per_status = seen.groupBy(*at, "status").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), F.min(F.struct(*ORDER)).alias("first"))
+    paths = seen.where(truthy(F.col("path"))).groupBy(*at).agg(F.count_distinct("path").alias("paths"))
+    named = F.array_sort(F.collect_list(F.when(truthy(F.col("status")), F.struct("first", "status", "n"))))
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    text = F.concat(F.lit("{"), F.array_join(F.transform(named, lambda x: F.concat(quoted(x["status"]), F.lit(":"), x["n"].cast("string"))), ","), F.lit("}"))
+    counts = per_status.groupBy(*at).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), text.alias("statuses"), F.min("first").alias("first"))
+    return counts.join(paths, at, "left").select(*at, "n", "bytes", F.coalesce("paths", F.lit(0)).alias("paths"), "statuses", *(F.col(f"first.{x}").alias(x) for x in ORDER))
+
+
 @dataclass(frozen=True)
 class UnusualTraffic:
     """Buckets of traffic far above what the group's earlier buckets show."""
@@ -337,23 +351,15 @@ class UnusualTraffic:
         seen = _timed(events).where(F.col("event_type").isin(*self.event_types))
         for k in keys:
             seen = seen.where(truthy(F.col(k)))
-        seen = seen.withColumn("bucket", bucket(F.col("timestamp"), self.bucket_seconds))
-        first = F.min(F.struct(*ORDER))
-        per_status = seen.groupBy(*keys, "bucket", "status").agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes"), first.alias("first"))
-        paths = seen.where(truthy(F.col("path"))).groupBy(*keys, "bucket").agg(F.count_distinct("path").alias("paths"))
-        # The distribution lists statuses in the order in which they occur.
-        ranked = F.array_sort(F.collect_list(F.when(truthy(F.col("status")), F.struct("first", "status", "n"))))
-        text = F.concat(F.lit("{"), F.array_join(F.transform(ranked, lambda x: F.concat(F.regexp_replace(F.to_json(F.array(x["status"])), r"^\[|\]$", ""), F.lit(":"), x["n"].cast("string"))), ","), F.lit("}"))
-        counts = per_status.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), text.alias("statuses"), F.min("first").alias("first"))
-        counts = frames.first_seen(counts.select("*", *(F.col(f"first.{x}").alias(x) for x in ORDER)), keys, ORDER)
+        counts = frames.first_seen(bucket_metrics(seen, keys, self.bucket_seconds), keys, ORDER)
         limit = self.zscore_threshold if self.statistical_method == "zscore" else self.iqr_multiplier
         hit = deviations(counts, keys, "bucket", "n", self.statistical_method, self.min_baseline_buckets).where((F.col("n") >= self.min_observed_volume) & (F.col("score") >= limit))
-        hit = hit.join(paths, [*keys, "bucket"], "left").withColumn("ends", F.timestamp_micros(F.unix_micros("bucket") + self.bucket_seconds * 1_000_000))
+        hit = hit.withColumn("ends", F.timestamp_micros(F.unix_micros("bucket") + self.bucket_seconds * 1_000_000))
         ratio = F.col("score") / limit
         names = {"source_ip": F.col("src_ip")} if self.grouping == "source_ip" else {"service": F.col("log_type")} if self.grouping == "service" else {"source_ip": F.col("src_ip"), "service": F.col("log_type")}
         facts = evidence(
             **names, grouping=F.lit(self.grouping), time_bucket_start=F.col("bucket"), time_bucket_end=F.col("ends"), bucket_seconds=F.lit(self.bucket_seconds), observed_count=F.col("n"), baseline_statistic=F.col("base"), baseline_sample_count=F.col("base_n"),
-            statistical_method=F.lit(self.statistical_method), score=F.col("score"), threshold=F.lit(limit), bytes_sent_total=F.col("bytes"), distinct_paths=F.coalesce("paths", F.lit(0)),
+            statistical_method=F.lit(self.statistical_method), score=F.col("score"), threshold=F.lit(limit), bytes_sent_total=F.col("bytes"), distinct_paths=F.col("paths"),
         )
         whole = F.concat(F.regexp_replace(facts, r"\}$", ""), F.lit(',"status_code_distribution":'), "statuses", F.lit("}"))
         return alerts(

@@ -81,7 +81,7 @@ def security_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = {
         "timestamp": F.timestamp_micros("us"), "source": F.lit("events"), "log_type": log, "src_ip": F.concat(F.lit("10.0.0."), F.col("ip").cast("string")), "dst_port": F.when(kind == "purchase", F.col("k")),
         "event_type": F.when(kind == "error", "login_failure").when(kind == "signup", "login_success").when(kind == "purchase", "network_connection").otherwise("http_request"),
-        "user": F.concat(F.lit("u"), F.col("user_id").cast("string")), "status": F.when(kind == "error", "failure").when(kind == "signup", "success").when(kind == "purchase", F.when(F.col("k") % 3 == 0, "accepted").otherwise("denied")).otherwise("200"),
+        "user": F.concat(F.lit("u"), F.col("user_id").cast("string")), "status": F.when(kind == "error", "failure").when(kind == "signup", "success").when(kind == "purchase", F.when(F.col("k") % 3 == 0, "accepted").otherwise("denied")).otherwise((F.lit(100) + F.col("k") * 37 % 600).cast("string")),
         "dst_ip": F.when(kind == "purchase", F.concat(F.lit("10.1.0."), (F.col("k") % 5).cast("string"))), "bytes_sent": F.round(F.col("value") * 100).cast("long"), "path": F.when(kind.isin("click", "view"), F.concat(F.lit("/"), F.col("k").cast("string"))),
         "metadata": F.create_map().cast("map<string,string>"), "file_ord": F.lit(0), "line_no": F.col("event_id"),
     }
@@ -208,6 +208,19 @@ def d6_traffic_iqr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("user_id", F.col("day").cast("timestamp_ntz").alias("day"), F.col("n").alias("observed"), F.col("base_n").alias("samples"), "base", F.round("score", 6).alias("score"))
 
 
+@query(f"""
+with c as (select ip, event_type = 'purchase' as fw, date_trunc('day', make_timestamp(cast(us as bigint))) as day, count(*) as n from {ROWS} where event_type in ('click', 'view', 'purchase') group by all),
+b as (select *, count(*) over w as k, sum(n) over w as s1, sum(n * n) over w as s2 from c window w as (partition by ip, fw order by day rows between unbounded preceding and 1 preceding)),
+s as (select *, (n - s1 / k) / greatest(sqrt(cast(k * s2 - s1 * s1 as double)) / k, 1e-9) as score from b where k >= 5 and n >= 2)
+select '10.0.0.' || ip as source_ip, case when fw then 'firewall' else 'web' end as service, day as time_start, day + interval 1 day as time_end, case when score >= 2.5 then 'CRITICAL' when score >= 1.5 then 'HIGH' else 'MEDIUM' end as severity,
+ cast(n as bigint) as observed, cast(k as bigint) as samples, round(score, 6) as score from s where score >= 1""")
+def d6_traffic_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of days with unusual traffic of a source and service, with a least volume and severities by the score."""
+    found = D.UnusualTraffic(bucket_seconds=86_400, zscore_threshold=1.0, grouping="source_ip_service", min_observed_volume=2).detect(security_events(spark, sf_dir))
+    fact = lambda name, kind: F.get_json_object("evidence", f"$.{name}").cast(kind)
+    return found.select(F.element_at("source_ips", 1).alias("source_ip"), fact("service", "string").alias("service"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"), "severity", fact("observed_count", "long").alias("observed"), fact("baseline_sample_count", "long").alias("samples"), F.round(fact("score", "double"), 6).alias("score"))
+
+
 def windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as account, group and process events of Windows logs and as SSH logins."""
     e = rows(spark, sf_dir)
@@ -268,28 +281,38 @@ def j4_asof_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- aggregations, sets and orders --
 
 
+_SEEN = f"""(select event_id, us, ip, user_id, event_type, k, date_trunc('day', make_timestamp(cast(us as bigint))) as day, cast(round(value * 100) as bigint) as sent,
+ case event_type when 'error' then 'failure' when 'signup' then 'success' when 'purchase' then case when k % 3 = 0 then 'accepted' else 'denied' end else cast(100 + k * 37 % 600 as varchar) end as status from {ROWS})"""
+
+
 @query(f"""
-with t as (select ip, date_trunc('day', ts) as day, event_type, value, k from {ROWS} r join events e using (event_id, user_id, event_type, value))
-select ip, day, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as bytes_total, count(distinct k) as distinct_paths, count(*) filter (event_type = 'click') as clicks, count(*) filter (event_type = 'view') as views from t where event_type in ('click', 'view') group by ip, day""")
+with w as (select * from {_SEEN} where event_type in ('click', 'view')),
+s as (select ip, day, status, count(*) as n, min((us, event_id)) as first from w where status is not null group by all),
+t as (select ip, day, '{{' || string_agg('"' || status || '":' || n, ',' order by first) || '}}' as statuses from s group by all)
+select '10.0.0.' || ip as source_ip, day, count(*) as n, cast(sum(sent) as bigint) as bytes_total, count(distinct k) as distinct_paths, coalesce(any_value(t.statuses), '{{}}') as statuses from w left join t using (ip, day) group by ip, day""")
 def a3_bucket_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    web = security_events(spark, sf_dir).where("log_type = 'web'").join(rows(spark, sf_dir).select(F.col("event_id").alias("line_no"), F.col("event_type").alias("kind"), "ip"), "line_no")
-    out = web.groupBy("ip", instants.bucket(F.col("timestamp"), 86_400).alias("b")).agg(F.count("*").alias("n"), F.sum("bytes_sent").alias("bytes_total"), F.count_distinct("path").alias("distinct_paths"), F.count_if(F.col("kind") == "click").alias("clicks"), F.count_if(F.col("kind") == "view").alias("views"))
-    return out.select("ip", F.col("b").cast("timestamp_ntz").alias("day"), "n", "bytes_total", "distinct_paths", "clicks", "views")
+    """Requests of a source and day, with the counts of their statuses in order of occurrence."""
+    web = security_events(spark, sf_dir).where("log_type = 'web'").withColumn("us", F.unix_micros("timestamp"))
+    out = D.bucket_metrics(web, ["src_ip"], 86_400)
+    return out.select(F.col("src_ip").alias("source_ip"), F.col("bucket").cast("timestamp_ntz").alias("day"), "n", F.col("bytes").alias("bytes_total"), F.col("paths").alias("distinct_paths"), "statuses")
 
 
-_E1 = f"""
-with e as (select r.*, date_trunc('day', e.ts) as bucket_start from {ROWS} r join events e using (event_id))
-select '10.0.0.' || ip as source_ip, bucket_start, count(*) * 60.0 / 86400 as events_per_minute,
- case when count(*) filter (event_type in ('error', 'signup')) > 0 then count(*) filter (event_type = 'error') / count(*) filter (event_type in ('error', 'signup')) else 0.0 end as failed_login_ratio,
- cast(count(distinct case when event_type = 'purchase' then k end) as double) as distinct_ports, cast(count(distinct case when event_type = 'purchase' then k % 5 end) as double) as distinct_destination_hosts, cast(count(distinct user_id) as double) as distinct_users,
- cast(sum(cast(round(value * 100) as bigint)) as double) as bytes_sent_total, case when count(*) filter (event_type in ('click', 'view')) > 0 then 1.0 else 0.0 end as status_2xx_ratio, 0.0 as status_4xx_ratio
-from e group by ip, bucket_start"""
+def _class_ratio(name: str, among: str) -> str:
+    web = "event_type in ('click', 'view') and status is not null"
+    return f"case when count(*) filter ({web}) > 0 then cast(count(*) filter ({web} and {among}) as double) / count(*) filter ({web}) else cast(0 as double) end as {name}"
 
 
-@query(_E1.replace("count(*) * 60.0 / 86400 as", "cast(count(*) * 60.0 / 86400 as double) as").replace("1.0 else 0.0 end as status_2xx", "cast(1.0 as double) else cast(0.0 as double) end as status_2xx").replace("0.0 as status_4xx", "cast(0.0 as double) as status_4xx").replace("else 0.0 end as failed", "else cast(0.0 as double) end as failed"))
+@query(f"""
+select '10.0.0.' || ip as source_ip, day as bucket_start, cast(count(*) as double) * 60 / 86400 as events_per_minute,
+ case when count(*) filter (event_type in ('error', 'signup')) > 0 then cast(count(*) filter (event_type = 'error') as double) / count(*) filter (event_type in ('error', 'signup')) else cast(0 as double) end as failed_login_ratio,
+ cast(count(distinct case when event_type = 'purchase' then k end) as double) as distinct_ports, cast(count(distinct case when event_type = 'purchase' then k % 5 end) as double) as distinct_destination_hosts,
+ cast(count(distinct user_id) as double) as distinct_users, cast(sum(sent) as double) as bytes_sent_total,
+ {", ".join(_class_ratio(f"status_{i}xx_ratio", f"status like '{i}%'") for i in range(1, 6))}, {_class_ratio("status_other_ratio", "status like '6%'")}
+from {_SEEN} group by ip, day""")
 def e1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twelve features of each source and day."""
     f = E.features(security_events(spark, sf_dir), 86_400)
-    return f.select("source_ip", F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), *E.FEATURES[:6], "status_2xx_ratio", "status_4xx_ratio")
+    return f.select("source_ip", F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), *E.FEATURES)
 
 
 @query()
@@ -318,7 +341,31 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(security_events(spark, sf_dir), wide)
 
 
-@query()
+_ALERTS = f"""
+with e as (select *, '10.0.0.' || ip as src, 'u' || user_id as who from {_SEEN}),
+bf as (select *, lag(us, 2) over (partition by src, who order by us, event_id) as first_us from e where event_type = 'error'),
+bn as (select *, row_number() over (partition by src, who order by us, event_id) as n from bf where us - first_us <= {DAY}),
+p as (select * from e where event_type = 'purchase' and k is not null),
+pf as (select a.src, a.us, a.event_id, count(distinct b.k) as ports, min(b.us) as first_us from p a join p b on a.src = b.src and b.us >= a.us - {12 * HOUR} and (b.us < a.us or (b.us = a.us and b.event_id <= a.event_id)) group by all),
+pl as (select *, case when ports >= 7 then 'CRITICAL' when ports >= 5 then 'HIGH' else 'MEDIUM' end as severity from pf where ports >= 3),
+pn as (select *, row_number() over (partition by src order by case severity when 'CRITICAL' then 0 when 'HIGH' then 1 else 2 end, us, event_id) as n from pl),
+s as (select * from e where event_type = 'signup'),
+lf as (select a.src, a.who, a.us, a.event_id, count(*) as failures, min(b.us) as first_us from s a join e b on a.src = b.src and b.event_type = 'error' and b.us >= a.us - {DAY} and (b.us < a.us or (b.us = a.us and b.event_id < a.event_id)) group by all having count(*) >= 2),
+mf as (select a.src, a.us, a.event_id, count(distinct b.who) as users, min(b.us) as first_us from s a join s b on a.src = b.src and b.us >= a.us - {6 * HOUR} and (b.us < a.us or (b.us = a.us and b.event_id <= a.event_id)) group by all having count(distinct b.who) >= 3),
+mn as (select *, row_number() over (partition by src order by us, event_id) as n from mf),
+a as (
+ select 0 as i, event_id, us, first_us, src, 'brute_force' as detector, 'HIGH' as severity, 'Potential brute-force attack detected' as title, '3 failed SSH login attempts were observed from ' || src || '.' as summary from bn where n = 1
+ union all select 1, event_id, us, first_us, src, 'port_scan', severity, 'Potential port scan detected', ports || ' distinct destination ports were contacted by ' || src || '.' from pn where n = 1
+ union all select 2, event_id, us, first_us, src, 'suspicious_login', case when failures >= 4 then 'CRITICAL' else 'HIGH' end, 'Successful login after failure burst',
+  'A successful login for user ' || chr(39) || who || chr(39) || ' was observed from ' || src || ' following ' || failures || ' failed authentication attempts.' from lf
+ union all select 3, event_id, us, first_us, src, 'suspicious_login', 'HIGH', 'Multiple account logins from single source', 'Source ' || src || ' successfully logged into ' || users || ' distinct accounts within 360 minutes.' from mn where n = 1
+ union all select 4, event_id, us, us, src, 'suspicious_login', 'MEDIUM', 'Off-hours login detected', 'User ' || chr(39) || who || chr(39) || ' logged in outside normal business hours from ' || src || '.' from s
+  where dayofweek({_made('us')}) in (0, 6) or hour({_made('us')}) < 8 or hour({_made('us')}) >= 18),
+d as (select *, row_number() over (partition by detector, severity, title, src, first_us, us order by i, event_id) as n from a)
+select detector, severity, title, src as source_ips, {_made('first_us')} as time_start, {_made('us')} as time_end, summary from d where n = 1"""
+
+
+@query(_ALERTS)
 def u3_distinct_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts of several detectors on one event frame, without copies."""
     f = _found(spark, sf_dir)

@@ -8,6 +8,7 @@ few events a user and day.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -409,6 +410,20 @@ def _stamp() -> Column:
     return F.date_format(F.timestamp_micros("us"), "MMM d HH:mm:ss")
 
 
+def _ssh_line() -> Column:
+    said = F.when(F.col("event_type") == "error", "Failed password for invalid user u").otherwise("Accepted publickey for u")
+    return F.concat(_stamp(), F.lit(" host sshd["), F.col("k").cast("string"), F.lit("]: "), said, F.col("user_id").cast("string"), F.lit(" from 10.0.0."), F.col("ip").cast("string"), F.lit(" port 22 ssh2"))
+
+
+def _firewall_line() -> Column:
+    text_of = lambda c: F.col(c).cast("string")
+    return F.concat(_stamp(), F.lit(" fw kernel: "), F.when(F.col("user_id") % 2 == 0, "DROP").otherwise("ACCEPT"), F.lit(" IN=eth0 OUT= DPT=1 SRC=10.0.0."), text_of("ip"), F.lit(" DST=10.1.0.1 LEN="), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit(" PROTO=tcp SPT=4000 DPT="), text_of("k"))
+
+
+def _web_line() -> Column:
+    return F.concat(F.lit("10.0.0."), F.col("ip").cast("string"), F.lit(" - u"), F.col("user_id").cast("string"), F.lit(" ["), F.date_format(F.timestamp_micros(F.col("us") + 2 * HOUR), "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0200] "GET /p/'), F.col("k").cast("string"), F.lit(' HTTP/1.1" 200 '), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit(' "-" "agent"'))
+
+
 def _year(t: str) -> str:
     return f"make_timestamp(2026, month({t}), day({t}), hour({t}), minute({t}), floor(second({t})))"
 
@@ -418,8 +433,7 @@ select event_id, {_year('ts')} as at, case event_type when 'error' then 'login_f
  case event_type when 'error' then 'failure' else 'success' end as status from events where event_type in ('error', 'signup')""")
 def s9_ssh(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rows(spark, sf_dir).where("event_type in ('error', 'signup')")
-    said = F.when(F.col("event_type") == "error", "Failed password for invalid user u").otherwise("Accepted publickey for u")
-    line = F.concat(_stamp(), F.lit(" host sshd["), F.col("k").cast("string"), F.lit("]: "), said, F.col("user_id").cast("string"), F.lit(" from 10.0.0."), F.col("ip").cast("string"), F.lit(" port 22 ssh2"))
+    line = _ssh_line()
     good, _ = parsers.parse(_lines(e, line), "ssh")
     return good.select(F.col("line_no").alias("event_id"), F.col("timestamp").cast("timestamp_ntz").alias("at"), "event_type", "user", "src_ip", "status")
 
@@ -429,8 +443,7 @@ select event_id, {_year('ts')} as at, '10.0.0.' || (user_id % {SOURCES}) as src_
 from events where event_type = 'purchase'""")
 def s10_firewall(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rows(spark, sf_dir).where("event_type = 'purchase'")
-    text_of = lambda c: F.col(c).cast("string")
-    line = F.concat(_stamp(), F.lit(" fw kernel: "), F.when(F.col("user_id") % 2 == 0, "DROP").otherwise("ACCEPT"), F.lit(" IN=eth0 OUT= DPT=1 SRC=10.0.0."), text_of("ip"), F.lit(" DST=10.1.0.1 LEN="), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit(" PROTO=tcp SPT=4000 DPT="), text_of("k"))
+    line = _firewall_line()
     good, _ = parsers.parse(_lines(e, line), "firewall")
     return good.select(F.col("line_no").alias("event_id"), F.col("timestamp").cast("timestamp_ntz").alias("at"), "src_ip", "dst_port", "protocol", "status", "bytes_sent")
 
@@ -440,7 +453,7 @@ select event_id, date_trunc('second', ts) as at, '10.0.0.' || (user_id % {SOURCE
 from events where event_type in ('click', 'view')""")
 def s11_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = rows(spark, sf_dir).where("event_type in ('click', 'view')")
-    line = F.concat(F.lit("10.0.0."), F.col("ip").cast("string"), F.lit(" - u"), F.col("user_id").cast("string"), F.lit(" ["), F.date_format(F.timestamp_micros(F.col("us") + 2 * HOUR), "dd/MMM/yyyy:HH:mm:ss"), F.lit(' +0200] "GET /p/'), F.col("k").cast("string"), F.lit(' HTTP/1.1" 200 '), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit(' "-" "agent"'))
+    line = _web_line()
     good, _ = parsers.parse(_lines(e, line), "web")
     return good.select(F.col("line_no").alias("event_id"), F.col("timestamp").cast("timestamp_ntz").alias("at"), "src_ip", "user", "path", "status", "bytes_sent", F.try_element_at("metadata", F.lit("method")).alias("method"))
 
@@ -459,12 +472,21 @@ def s12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select doc_id, 'malformed or unsupported SSH line' as reject from documents""")
+with f as (select * from (values ('ssh', 'malformed or unsupported SSH line', 1), ('ssh', 'malformed or unsupported SSH line', 3), ('firewall', 'malformed or unsupported firewall line', 1), ('firewall', 'malformed or unsupported firewall line', 3),
+ ('web', 'malformed or unsupported web line', 1), ('web', 'malformed or unsupported web line', 3), ('windows', 'malformed Windows CSV row', 1), ('windows', 'malformed Windows Event Log row', 3)) as t(format, reason, rest))
+select event_id, format, 'line ' || event_id || ': ' || reason as reject from events join f on event_id % 4 = rest""")
 def s13_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts that are no SSH lines, as rejects with the reason."""
-    d = table(spark, sf_dir, "documents").select(F.lit("made").alias("source"), F.lit(0).cast("long").alias("file_ord"), F.col("doc_id").alias("line_no"), F.col("text").alias("line"))
-    _, bad = parsers.parse(d, "ssh")
-    return bad.select(F.col("line_no").alias("doc_id"), F.regexp_extract("message", "^line \\d+: (.*)$", 1).alias("reject"))
+    """Each second line of each format is broken, in two ways for Windows records; the rejects tell which and why."""
+    e = rows(spark, sf_dir)
+    rest = F.col("event_id") % 4
+    out = []
+    for name, line in (("ssh", _ssh_line()), ("firewall", _firewall_line()), ("web", _web_line())):
+        out.append(parsers.parse(_lines(e, F.when(rest % 2 == 0, line).when(rest == 1, F.concat(F.lit("? "), F.col("user_id").cast("string"))).otherwise("")), name)[1])
+    stamp = F.concat(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    cells = F.create_map(F.lit("event id"), F.lit("4625"), F.lit("timecreated"), F.when(rest == 3, "no time").otherwise(stamp))
+    made = e.select(F.lit("made").alias("source"), F.lit(0).cast("long").alias("file_ord"), F.col("event_id").alias("line_no"), cells.alias("cells"), F.lit("").alias("raw"), (rest == 1).alias("extra"))
+    out.append(parsers.parse_windows(made)[1])
+    return reduce(lambda a, b: a.unionByName(b), out).select(F.col("line_no").alias("event_id"), "format", F.col("message").alias("reject"))
 
 
 # -- scalar functions --

@@ -71,6 +71,27 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || {text}
 from t group by conv_id"""
 
 
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes: a byte's table entry is the sum without carry of the entries of its bits."""
+    entries = [1 << i for i in range(8)]
+    for _ in range(8):
+        entries = [e >> 1 ^ (0xEDB88320 if e & 1 else 0) for e in entries]
+    step = "(acc >> 8)"
+    for i, e in enumerate(entries):
+        step = f"xor({step}, ((xor(acc, b) >> {i}) & 1) * {e}::bigint)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {octets}), lambda acc, b: {step}), 4294967295::bigint)"
+
+
+def _shards_sql(n: int = 8) -> str:
+    score = lambda k: f"{{'score': ('0x' || substr(md5(key || ':{k}'), 1, 13))::bigint, 'shard': {k}}}"
+    best = lambda shards: f"cast(list_max([{', '.join(map(score, range(shards)))}]).shard as integer)"
+    return f"""
+with d as (select doc_id, coalesce(cast(doc_id as varchar), '') as key, coalesce(text, '') as x from documents),
+s as (select doc_id, cast(octet_length(encode(x)) + 1 as bigint) as size, {_crc_sql('x')} as text_crc32, 'key' as law, {best(n)} as shard, {best(n + 1)} as grown_shard from d)
+select *, row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot from s"""
+
+
 def _repeats_sql(length: int = suffix_dedup.LENGTH, words: int = suffix_dedup.WINDOW) -> str:
     return f"""
 with d as (select doc_id, encode(coalesce(text, '')) as x, octet_length(encode(coalesce(text, ''))) as n from documents),
@@ -129,5 +150,5 @@ def _pages_sql(rounds: int = url_filters.ROUNDS) -> str:
     return f"with recursive {', '.join([*ctes, bad])} select page_id, host, path, rule, coalesce(own, {verdict}) as verdict, {verdict} as host_verdict from r"
 
 
-#: Tokens, edit distances and CRC-32 sums are beyond SQL; those queries are tested against the libraries and brute force.
-ORACLE_SQL: dict[str, str] = {op3_chat_format.__name__: _chat_sql(), op8_lyndon_dedup.__name__: _repeats_sql(), op9_jaccard_join.__name__: _links_sql(), op10_link_trust.__name__: _pages_sql()}
+#: Tokens and edit distances are beyond SQL; those queries are tested against the libraries and brute force.
+ORACLE_SQL: dict[str, str] = {op3_chat_format.__name__: _chat_sql(), op5_rendezvous_shards.__name__: _shards_sql(), op8_lyndon_dedup.__name__: _repeats_sql(), op9_jaccard_join.__name__: _links_sql(), op10_link_trust.__name__: _pages_sql()}

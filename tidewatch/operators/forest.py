@@ -15,7 +15,7 @@ from numbers import Real
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -139,6 +139,18 @@ def quantile(scores: DataFrame, share: float, count: int) -> float:
     return found[low] if low == high else (high - position) * found[low] + (position - low) * found[high]
 
 
+def standing(values: DataFrame, asked: DataFrame) -> DataFrame:
+    """i, v, n, low, high, total of each distinct asked (i, v): of the values with the same i, how many are at or below
+    v, the least, the greatest and how many there are. Values are counted first; counts and asked values are summed
+    as one sorted stream an i, and no value meets each asked one."""
+    steps = values.groupBy("i", "v").count()
+    marked = asked.select("i", "v").distinct().select("i", "v", F.lit(0).cast("long").alias("count"), F.lit(True).alias("ask"))
+    stream = steps.select("i", "v", "count", F.lit(False).alias("ask")).unionByName(marked)
+    below = stream.withColumn("n", F.sum("count").over(Window.partitionBy("i").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))).where("ask").select("i", "v", "n")
+    span = steps.groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("count").alias("total"))
+    return below.join(span, "i")
+
+
 class AnomalyDetector:
     def __init__(self, *, n_estimators: int = 100, max_samples: int | str = DEFAULT_SAMPLES, contamination: float | str = 0.05, random_state: int | None = 42) -> None:
         self.settings = Settings(n_estimators, max_samples, contamination, random_state)
@@ -214,15 +226,7 @@ class AnomalyDetector:
         long = lambda df, *keep: df.select(*keep, F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("name"), F.col(n).cast("double").alias("v")) for i, n in enumerate(self.names)))).alias("f")).select(*keep, "f.*")
         marked = found.withColumn("__row", F.xxhash64("source_group", "bucket_start", *self.names))
         asked = long(marked, "__row").distinct()
-        values = asked.select("i", F.col("v").alias("x")).distinct()
-        steps = long(self.training).groupBy("i", "v").count()
-        # Cumulative counts at the found values: training values and found ones in one sorted stream a feature.
-        from pyspark.sql import Window
-
-        stream = steps.select("i", "v", "count", F.lit(0).alias("ask")).unionByName(values.select("i", F.col("x").alias("v"), F.lit(0).cast("long").alias("count"), F.lit(1).alias("ask")))
-        below = stream.withColumn("n", F.sum("count").over(Window.partitionBy("i").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))).where("ask = 1").select("i", F.col("v").alias("x"), "n")
-        span = steps.groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("count").alias("total"))
-        told = asked.join(below, (asked.i == below.i) & (asked.v == below.x)).drop(below.i).join(F.broadcast(span), "i")  # span is a row a feature
+        told = asked.join(standing(long(self.training), asked), ["i", "v"])
         outside = (F.col("v") < F.col("low")) | (F.col("v") > F.col("high"))
         item = F.struct("i", "name", F.col("v").alias("observed_value"), F.col("low").alias("reference_minimum"), F.col("high").alias("reference_maximum"), (F.lit(100.0) * F.col("n") / F.col("total")).alias("reference_percentile"), outside.alias("outside_reference_range"))
         context = told.groupBy("__row").agg(F.array_sort(F.collect_list(item)).alias("context"))

@@ -19,7 +19,7 @@ from tidewatch.operators import alerts as A
 from tidewatch.operators import detectors as D
 from tidewatch.operators import features as E
 from tidewatch.operators import frames
-from tidewatch.operators.forest import AnomalyDetector
+from tidewatch.operators.forest import AnomalyDetector, standing
 from tidewatch.operators.privilege import PrivilegeEscalation
 from tidewatch.plans.analyze import detect, prepare
 from tidewatch.plans.summaries import IPV4
@@ -327,14 +327,10 @@ def e2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 select event_id, k, (select cast(count(*) as double) from {ROWS} b where b.k <= a.k) * 100.0 / (select count(*) from {ROWS} c where c.k is not null) as percentile from {ROWS} a where event_type = 'signup' and k is not null""")
 def a9_ecdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of all values at or below each asked one: values are counted once and summed in order."""
-    from pyspark.sql import Window
-
-    e = rows(spark, sf_dir).where("k is not null")
-    counts = e.groupBy("k").count()
-    below = counts.select("k", F.sum("count").over(Window.orderBy("k")).alias("n"))  # a row for each distinct value
-    total = e.agg(F.count("*").alias("total"))
-    return e.where("event_type = 'signup'").join(below, "k").crossJoin(F.broadcast(total)).select("event_id", "k", (F.col("n").cast("double") * 100.0 / F.col("total")).alias("percentile"))
+    """The share of all values at or below each asked one, as the anomaly context tells it."""
+    e = rows(spark, sf_dir).where("k is not null").select("event_id", "event_type", "k", F.lit(0).alias("i"), F.col("k").cast("double").alias("v"))
+    asked = e.where("event_type = 'signup'")
+    return asked.join(standing(e, asked), ["i", "v"]).select("event_id", "k", (F.col("n").cast("double") * 100.0 / F.col("total")).alias("percentile"))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:

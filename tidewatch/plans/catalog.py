@@ -516,11 +516,20 @@ def n6_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("text").rlike(pattern)).select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(pattern), 0), ",").alias("ips"))
 
 
-@query()
+# The oracle's engine lacks look-arounds: an address can only begin a run of word characters and points, and what follows
+# it in the run must be nothing, a last point, or a point and no digit.
+_RUN, _DIGITS = r"[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}.]+", r"(?:\p{Nd}{1,3}\.){3}\p{Nd}{1,3}"
+
+
+@query(f"""
+with r as (select doc_id, unnest(regexp_extract_all(text, '{_RUN}')) as run from documents),
+f as (select distinct doc_id, regexp_extract(run, '^{_DIGITS}') as ip from r where regexp_matches(run, '^{_DIGITS}(?:\\.?$|\\.\\P{{Nd}})'))
+select doc_id, string_agg(ip, ',' order by ip) as ips from f group by doc_id""")
 def n6_ipv4_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The grounding pattern with its look-arounds, which the oracle's engine lacks."""
+    """The addresses that the grounding pattern, with its look-arounds, finds in each document."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(?U)" + IPV4.pattern), 0))).alias("ips")).where(F.size("ips") > 0)
+    found = d.select("doc_id", F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("(?U)" + IPV4.pattern), 0))).alias("ips"))
+    return found.where(F.size("ips") > 0).select("doc_id", F.array_join("ips", ",").alias("ips"))
 
 
 @query("select event_id, time_bucket(interval 300 seconds, ts, timestamp '1970-01-01') as bucket, hour(ts) as hour, (dayofweek(ts) + 6) % 7 as weekday, cast(strftime(ts, '%Y-%m-%dT%H:%M:%S') as varchar) as iso from events")

@@ -72,6 +72,51 @@ def test_routing(spark, tmp_path):
     ]
 
 
+def test_odd_names_and_stores(spark, tmp_path):
+    line = "Mar 10 02:00:00 h sshd[1]: Invalid user b from 1.1.1.1\n"
+    names = ["a b.log", "c%20d.log", "e[f]{g}*.log", "h,i?.log", "é.log"]
+    for name in names:
+        (tmp_path / name).write_text(line)
+    (tmp_path / "w x.csv").write_text('"Event ID",TimeCreated\n4624,2026-03-10T02:00:00Z\n')
+    paths = files.discover(tmp_path)
+    routed = files.route(spark, [*paths, paths[0]])
+    assert [r.format for r in routed] == [*("windows" if p.suffix == ".csv" else "ssh" for p in paths), "ssh"]
+    events, _ = files.read(spark, routed)
+    assert sorted((r.file_ord, r.source) for r in events.collect()) == [(r.ordinal, str(r.path)) for r in routed]
+    uris = files.discover(f"file://{tmp_path}")
+    assert [u.removeprefix("file:") for u in uris] == [str(p) for p in paths]
+    again, bad = files.read(spark, files.route(spark, [*uris, f"file://{tmp_path}/gone.log"]))
+    assert again.count() == len(uris) and [r.message for r in bad.collect()] == ["path is not a file"]
+    for uri, error in ((f"file://{tmp_path}/none", FileNotFoundError), (uris[0], NotADirectoryError)):
+        with pytest.raises(error):
+            files.discover(uri)
+
+
+def test_own_parser(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidewatch.model import DIAGNOSTIC, EVENT
+
+    def colons(lines):
+        """user:kind lines, a minute each."""
+        ok = F.col("line").rlike("^[a-z]+:[a-z_]+$")
+        known = {"timestamp": F.timestamp_seconds(F.col("line_no") * 60), "log_type": F.lit("ssh"), "event_type": F.split_part("line", F.lit(":"), F.lit(2)), "user": F.split_part("line", F.lit(":"), F.lit(1))}
+        kept = {x: F.col(x) for x in ("source", "file_ord", "line_no")}
+        good = lines.where(ok).select(*((known | kept).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields))
+        told = {"path": F.col("source"), "message": F.lit("no colon"), "format": F.lit("colons"), "file_ord": F.col("file_ord"), "line_no": F.col("line_no")}
+        return good, lines.where(~ok).select(*(told[f.name].cast(f.dataType).alias(f.name) for f in DIAGNOSTIC.fields))
+
+    p = tmp_path / "own.log"
+    p.write_text("ann:login_failure\nwhat\nbob:login_success\n")
+    result = analyze_paths(spark, [p], formats={p: "colons"}, own={"colons": colons}, detectors=[])
+    assert [(r.user, r.event_type, r.line_no) for r in ordered_events(result.events).collect()] == [("ann", "login_failure", 1), ("bob", "login_success", 3)]
+    assert [d.message for d in result.diagnostic_list()] == ["no colon"]
+    result.release()
+    assert not result.events.is_cached and analyze_paths(spark, [p], formats={p: "colons"}).files_skipped == (p,)
+    replaced = analyze_paths(spark, [p], formats={p: "ssh"}, own={"ssh": colons}, detectors=[])
+    assert replaced.event_count == 2
+
+
 @pytest.mark.parametrize(("name", "kind"), [("SSHD.log", "ssh"), ("secure.txt", "ssh"), ("fw1.log", "firewall"), ("auth_fw.log", "ssh"), ("nginx.log", "web"), ("plain.log", None)])
 def test_name_hints(name, kind):
     assert files.name_hint(Path(name)) == kind

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from datetime import datetime
 from pathlib import Path
@@ -65,6 +66,16 @@ INSTANTS = frozenset({
 })
 
 
+#: A file or folder: a path on this machine, or a URI in a store that Spark reads ("hdfs://…", "s3a://…").
+Place = Path | str
+_URI = re.compile(r"[A-Za-z][A-Za-z0-9+.-]+:/")
+
+
+def located(place: Place) -> Place:
+    """URIs stay texts; everything else is a path."""
+    return place if isinstance(place, str) and _URI.match(place) else Path(place)
+
+
 @dataclass(frozen=True)
 class Alert:
     """An alert on the driver, for rendering."""
@@ -83,7 +94,7 @@ class Alert:
 
 @dataclass(frozen=True)
 class Diagnostic:
-    path: Path
+    path: Place
     message: str
     format: str | None = None
 
@@ -95,10 +106,14 @@ class Analysis:
     events: DataFrame
     alerts: DataFrame
     diagnostics: DataFrame
-    files_processed: tuple[Path, ...]
-    files_skipped: tuple[Path, ...]
+    files_processed: tuple[Place, ...]
+    files_skipped: tuple[Place, ...]
     shown: tuple[Alert, ...] | None = field(default=None, repr=False)
 
+    def release(self) -> None:
+        """Gives up the cached events. The frames stay usable; they are computed anew."""
+        self.events.unpersist()
+
     @property
     def event_count(self) -> int:
         return self.events.count()
@@ -110,4 +125,4 @@ class Analysis:
 
     def diagnostic_list(self) -> tuple[Diagnostic, ...]:
         rows = self.diagnostics.orderBy("file_ord", "line_no").toLocalIterator()
-        return tuple(Diagnostic(Path(r["path"]), r["message"], r["format"]) for r in rows)
+        return tuple(Diagnostic(located(r["path"]), r["message"], r["format"]) for r in rows)

@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.model import ALERT, Alert, Analysis
+from tidewatch.model import ALERT, Alert, Analysis, Place, located
 from tidewatch.operators import alerts as A
 from tidewatch.operators.detectors import SYNTHETIC_LOCATIONS, BruteForce, Detector, ImpossibleTravel, PortScan, SuspiciousLogin, UnusualTraffic
 from tidewatch.operators.privilege import PrivilegeEscalation
@@ -39,24 +39,29 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
-def analyze_paths(spark: SparkSession, paths: Iterable[Path | str], *, formats: Mapping[Path, str] | None = None, detectors: Sequence[Detector] | None = None, locations: Mapping | DataFrame | None = None, config: Config | None = None) -> Analysis:
-    """Each file is read on its own; one that cannot be read or told is a diagnostic and doesn't stop the others."""
+def analyze_paths(
+    spark: SparkSession, paths: Iterable[Place], *, formats: Mapping[Place, str] | None = None, detectors: Sequence[Detector] | None = None,
+    locations: Mapping | DataFrame | None = None, config: Config | None = None, own: Mapping[str, parsers.LogParser] | None = None,
+) -> Analysis:
+    """Each file is read on its own; one that cannot be read or told is a diagnostic and doesn't stop the others.
+    `own` names parsers of further formats, or ones that stand in for built-in ones; `formats` gives files to them.
+    release() of the result gives up the cached events."""
     prepare(spark)
-    routed = files.route(spark, [Path(p) for p in paths], formats, config.input_limits if config else None)
-    events, bad = files.read(spark, routed)
+    routed = files.route(spark, list(paths), formats, config.input_limits if config else None, own)
+    events, bad = files.read(spark, routed, own)
     events = events.persist(StorageLevel.MEMORY_AND_DISK)  # six detectors read them
     found = detect(events, detectors, config, locations)
     return Analysis(events, found, bad, tuple(r.path for r in routed if r.format), tuple(r.path for r in routed if not r.format))
 
 
-def analyze_directory(spark: SparkSession, directory: Path | str, **options) -> Analysis:
-    return analyze_paths(spark, files.discover(Path(directory)), **options)
+def analyze_directory(spark: SparkSession, directory: Place, **options) -> Analysis:
+    return analyze_paths(spark, files.discover(directory), **options)
 
 
-def analyze_ssh_file(spark: SparkSession, path: Path | str, **brute_force) -> tuple[Alert, ...]:
+def analyze_ssh_file(spark: SparkSession, path: Place, parser: parsers.LogParser | None = None, **brute_force) -> tuple[Alert, ...]:
     """Brute-force alerts of one SSH log."""
     prepare(spark)
-    events, _ = files.read(spark, [files.Routed(0, Path(path), "ssh")])
+    events, _ = files.read(spark, [files.Routed(0, located(path), "ssh")], {"ssh": parser} if parser else None)
     return A.to_driver(BruteForce(**brute_force).detect(events))
 
 

@@ -23,8 +23,8 @@ from tidewatch.operators.forest import AnomalyDetector, standing
 from tidewatch.operators.privilege import PrivilegeEscalation
 from tidewatch.plans.analyze import detect, prepare
 from tidewatch.plans.summaries import IPV4
-from tidewatch.session import ship
-from tidewatch.sources import parsers
+from tidewatch.session import scratch, ship
+from tidewatch.sources import files, parsers
 
 DAY, HOUR = 86_400_000_000, 3_600_000_000
 Query = Callable[[SparkSession, str], DataFrame]
@@ -485,6 +485,38 @@ def s13_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), out).select(F.col("line_no").alias("event_id"), "format", F.col("message").alias("reject"))
 
 
+#: Events a log file.
+FILE_EVENTS = 5_000
+#: The kinds of events of each format's files, in the order in which the files are given.
+FILE_KINDS = {"ssh": ("error", "signup"), "firewall": ("purchase",), "web": ("click", "view"), "windows": ("error", "signup", "click", "view", "purchase")}
+_FILE_KINDS = ", ".join(f"({i}, '{name}', '{kind}')" for i, (name, kinds) in enumerate(FILE_KINDS.items()) for kind in kinds)
+
+
+@query(f"""
+with k as (select * from (values {_FILE_KINDS}) as t(place, log_type, event_type)),
+e as (select place, log_type, event_id // {FILE_EVENTS} as part, event_id, user_id from events join k using (event_type))
+select log_type, cast(dense_rank() over (order by place, part) - 1 as bigint) as file_ord, cast(part as bigint) as part,
+ row_number() over (partition by place, part order by event_id) + case log_type when 'windows' then 1 else 0 end as line_no,
+ case log_type when 'firewall' then '10.0.0.' || (user_id % {SOURCES}) else 'u' || user_id end as who from e""")
+def s1_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files of all formats, written to the shared folder, then found, told apart by their first lines or header, and read with their places."""
+    folder = scratch(spark, "logs")
+    e = rows(spark, sf_dir).withColumn("part", F.floor(F.col("event_id") / FILE_EVENTS))
+    texts = {"ssh": _ssh_line(), "firewall": _firewall_line(), "web": _web_line()}
+    record = {"Event_ID": F.lit("4625"), "TimeCreated": F.concat(F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")), "TargetUserName": F.concat(F.lit("u"), F.col("user_id").cast("string"))}
+    found = []
+    for name, kinds in FILE_KINDS.items():
+        own = e.where(F.col("event_type").isin(*kinds)).repartition("part").sortWithinPartitions("part", "event_id")
+        cells = [texts[name].alias("value")] if name in texts else [c.alias(k) for k, c in record.items()]
+        to = own.select("part", *cells).write.partitionBy("part")
+        to.text(f"{folder}/{name}") if name in texts else to.option("header", True).csv(f"{folder}/{name}")
+        parts = sorted(r["part"] for r in own.select("part").distinct().toLocalIterator())
+        found += [p for i in parts for p in files.discover(f"{folder}/{name}/part={i}")]
+    events, _ = files.read(spark, files.route(spark, found))
+    part = F.regexp_extract("source", r"part=(\d+)", 1).cast("long")
+    return events.select("log_type", "file_ord", part.alias("part"), "line_no", F.when(F.col("log_type") == "firewall", F.col("src_ip")).otherwise(F.col("user")).alias("who"))
+
+
 # -- scalar functions --
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import io
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +29,24 @@ def ship(spark: SparkSession) -> None:
     to.write_bytes(data.getvalue())
     spark.sparkContext.addPyFile(str(to))
     _SHIPPED.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on one machine (tests), and a ValueError on a cluster."""
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if held.isEmpty():
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='tidewatch-')}")
+        held = context._jsc.sc().getCheckpointDir()
+    return (configured or held.get()).rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """The URI of a new folder in the shared one, which goes when the driver ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    atexit.register(lambda: spark.sparkContext._jsc is not None and store.delete(path, True))
+    return store.makeQualified(path).toString()

@@ -5,15 +5,19 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
-from pathlib import Path
+from functools import reduce
+from pathlib import Path, PurePosixPath
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
-from tidewatch.model import DIAGNOSTIC, EVENT, LOG_TYPES
+from tidewatch.model import DIAGNOSTIC, EVENT, LOG_TYPES, Place, located
 from tidewatch.session import ship
 from tidewatch.sources import parsers
 
@@ -40,24 +44,47 @@ class Routed:
     """What is to be done with one file: its format, or why it is skipped."""
 
     ordinal: int
-    path: Path
+    path: Place
     format: str | None = None
     reason: str | None = None
 
 
-def discover(directory: Path) -> list[Path]:
-    """The supported files of a directory (not of those below it), sorted."""
-    directory = Path(directory)
-    if not directory.exists():
+def _store(spark: SparkSession, uri: str) -> tuple:
+    """The store of a URI, and its qualified path there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return store, store.makeQualified(path)
+
+
+def _name(place: Place) -> PurePosixPath:
+    return PurePosixPath(str(place))
+
+
+def _supported(place: Place) -> bool:
+    return _name(place).suffix.lower() in SUFFIXES
+
+
+def discover(directory: Place) -> list[Place]:
+    """The supported files of a directory (not of those below it), sorted. That of a URI is listed by its store, with the active session."""
+    directory = located(directory)
+    if isinstance(directory, str):
+        store, path = _store(SparkSession.active(), directory)
+        there = store.exists(path)
+        is_folder = there and store.getFileStatus(path).isDirectory()
+    else:
+        there, is_folder = directory.exists(), directory.is_dir()
+    if not there:
         raise FileNotFoundError(f"input directory does not exist: {directory}")
-    if not directory.is_dir():
+    if not is_folder:
         raise NotADirectoryError(f"input path is not a directory: {directory}")
+    if isinstance(directory, str):
+        return sorted(x for s in store.listStatus(path) if s.isFile() and _supported(x := s.getPath().toString()))
     with os.scandir(directory) as entries:
-        return sorted(Path(directory, e.name) for e in entries if e.is_file() and Path(e.name).suffix.lower() in SUFFIXES)
+        return sorted(Path(directory, e.name) for e in entries if e.is_file() and _supported(e.name))
 
 
-def name_hint(path: Path) -> str | None:
-    stem = Path(path).stem.lower()
+def name_hint(path: Place) -> str | None:
+    stem = _name(path).stem.lower()
     return next((kind for kind, words in NAME_HINTS if any(w in stem for w in words)), None)
 
 
@@ -83,11 +110,15 @@ def csv_records(text: str) -> Iterator[tuple[int, dict[str, str], str, bool]]:
         yield number, {h: v for h, v in named.items() if v is not None}, " ".join(f"{h}={v}" for h, v in by_header.items() if v), len(cells) > len(headers)
 
 
-def _contents(spark: SparkSession, files: Sequence[tuple[int, Path]]) -> DataFrame:
-    """file_ord, source (as given), length, content of each file; one row a file, which the size limit bounds."""
-    names = {p.resolve().as_uri(): (i, str(p)) for i, p in files}
-    known = spark.createDataFrame([(k.replace("file:///", "file:/"), i, p) for k, (i, p) in names.items()], "uri string, file_ord long, source string")
-    read = spark.read.format("binaryFile").load(list(names))
+#: What Spark takes for a pattern in a path.
+PATTERN = re.compile(r"([\\\[\]{}*?])")
+
+
+def _contents(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> DataFrame:
+    """file_ord, source (as given), length, content of each file; one row for each time that a file is given, which the size limit bounds."""
+    own = [(_store(spark, p)[1].toString() if isinstance(p, str) else f"file:{p.resolve()}", i, str(p)) for i, p in files]
+    known = spark.createDataFrame(own, "uri string, file_ord long, source string")
+    read = spark.read.format("binaryFile").load([PATTERN.sub(r"\\\1", uri) for uri in dict.fromkeys(x[0] for x in own)])
     uri = F.regexp_replace("path", "^file:/+", "file:/")
     return read.select(uri.alias("uri"), "length", "content").join(F.broadcast(known), "uri")  # a row a file, from the driver's own list
 
@@ -120,27 +151,37 @@ def scan_csv(contents: DataFrame) -> DataFrame:
     return contents.select("source", "file_ord", "content").mapInArrow(run, kind)
 
 
-def _probe(spark: SparkSession, files: Sequence[tuple[int, Path]], limits: Limits) -> dict[int, dict]:
-    """Size, longest line in bytes, CSV header and sniffing scores of each file, from one pass over them in the executors."""
-    contents = _contents(spark, files)
-    raw = contents.select("file_ord", "source", "length", "content", F.col("content").cast("string").alias("text"))
-    longest = F.array_max(F.transform(F.split(F.col("text"), "\n"), lambda x: F.octet_length(x)))
-    facts = raw.select("file_ord", "length", F.when(F.col("length") <= limits.max_file_size_bytes, longest).alias("longest"))
-    lines = scan_lines(contents.where(F.col("length") <= limits.max_file_size_bytes)).where((F.col("line_no") <= SNIFF_LINES) & (F.trim("line") != ""))
-    scores = lines.groupBy("file_ord").agg(*(F.count_if(parsers.accepts(k, F.col("line"))).alias(k) for k in parsers.TEXT_FORMATS))
-    out = {r["file_ord"]: r.asDict() for r in facts.join(scores, "file_ord", "left").collect()}  # a row a file
-    return out
-
-
-def windows_header(path: Path) -> bool:
+def windows_header(content: bytes | None) -> bool:
+    """Whether the first CSV record of a file names an event id."""
     try:
-        with Path(path).open("r", encoding="utf-8-sig", errors="replace", newline="") as f:
-            headers = next(csv.reader(f), None) or []
-    except (OSError, csv.Error):
+        headers = next(csv.reader(io.StringIO((content or b"").decode("utf-8-sig", "replace"), newline="")), None) or []
+    except csv.Error:
         return False
     return bool({"event id", "eventid"} & {normal_header(h) for h in headers})
 
 
+@F.pandas_udf(BooleanType())
+def _windows(content: pd.Series) -> pd.Series:
+    return content.map(windows_header).astype(bool)
+
+
+def _is_csv(path: Place) -> bool:
+    return _name(path).suffix.lower() == ".csv"
+
+
+def _probe(spark: SparkSession, files: Sequence[tuple[int, Place]], limits: Limits) -> dict[int, dict]:
+    """Size, longest line in bytes, CSV header and sniffing scores of each file, from one pass over them in the executors."""
+    ship(spark)
+    contents = _contents(spark, files)
+    small = F.col("length") <= limits.max_file_size_bytes
+    longest = F.array_max(F.transform(F.split(F.col("content").cast("string"), "\n"), lambda x: F.octet_length(x)))
+    windows = _windows(F.when(small & F.lower("source").endswith(".csv"), F.col("content"))) if any(_is_csv(p) for _, p in files) else F.lit(False)
+    facts = contents.select("file_ord", "length", F.when(small, longest).alias("longest"), windows.alias("windows"))
+    lines = scan_lines(contents.where(small)).where((F.col("line_no") <= SNIFF_LINES) & (F.trim("line") != ""))
+    scores = parsers.acceptance(lines).groupBy("file_ord").agg(*(F.count_if(k).alias(k) for k in parsers.TEXT_FORMATS))
+    return {r["file_ord"]: r.asDict() for r in facts.join(scores, "file_ord", "left").toLocalIterator()}  # a row a file
+
+
 def sniffed(scores: Mapping) -> str | None:
     """The format whose parser accepts the most of the first lines, if it is one alone."""
     n = {k: scores.get(k) or 0 for k in parsers.TEXT_FORMATS}
@@ -149,57 +190,68 @@ def sniffed(scores: Mapping) -> str | None:
     return best[0] if most and len(best) == 1 else None
 
 
-def choose(path: Path, explicit: str | None, scores: Mapping) -> tuple[str | None, str | None]:
+def choose(path: Place, explicit: str | None, facts: Mapping, known: Iterable[str] = LOG_TYPES) -> tuple[str | None, str | None]:
     """(format, reason why there is none)."""
     if explicit is not None:
-        return (explicit, None) if explicit in LOG_TYPES else (None, f"unknown explicit format '{explicit}'")
-    if path.suffix.lower() == ".csv":
-        return ("windows", None) if windows_header(path) else (None, "CSV file does not match the Windows Security Event Log schema")
-    kind = name_hint(path) or sniffed(scores)
+        return (explicit, None) if explicit in known else (None, f"unknown explicit format '{explicit}'")
+    if _is_csv(path):
+        return ("windows", None) if facts.get("windows") else (None, "CSV file does not match the Windows Security Event Log schema")
+    kind = name_hint(path) or sniffed(facts)
     return (kind, None) if kind else (None, "unable to determine log format from filename or content")
 
 
-def route(spark: SparkSession, paths: Sequence[Path], formats: Mapping[Path, str] | None = None, limits: Limits | None = None) -> list[Routed]:
-    """What to do with each file, in the order given."""
-    limits, formats = limits or Limits(), {Path(k): v for k, v in (formats or {}).items()}
-    numbered = [(i, Path(p)) for i, p in enumerate(paths)]
-    there = [(i, p) for i, p in numbered if p.is_file()]
-    unreadable = {i: f"could not inspect input file: [Errno 13] Permission denied: '{p}'" for i, p in there if not os.access(p, os.R_OK)}
-    seen = _probe(spark, [x for x in there if x[0] not in unreadable], limits) if len(there) > len(unreadable) else {}
-    out = []
-    for i, p in numbered:
+def _closed(spark: SparkSession, place: Place) -> str | None:
+    """Why a place can't be read at all."""
+    if isinstance(place, str):
+        store, path = _store(spark, place)
+        return None if store.exists(path) and store.getFileStatus(path).isFile() else "path is not a file"
+    if not place.is_file():
+        return "path is not a file"
+    return None if os.access(place, os.R_OK) else f"could not inspect input file: [Errno 13] Permission denied: '{place}'"
+
+
+def route(spark: SparkSession, paths: Sequence[Place], formats: Mapping[Place, str] | None = None, limits: Limits | None = None, own: Mapping[str, parsers.LogParser] | None = None) -> list[Routed]:
+    """What to do with each file, in the order given. `own` are further formats that files can be given explicitly."""
+    limits, formats = limits or Limits(), {located(k): v for k, v in (formats or {}).items()}
+    numbered = [(i, located(p)) for i, p in enumerate(paths)]
+    closed = {i: why for i, p in numbered if (why := _closed(spark, p))}
+    there = [x for x in numbered if x[0] not in closed]
+    seen = _probe(spark, there, limits) if there else {}
+
+    def told(i: int, p: Place) -> tuple[str | None, str | None]:
         facts = seen.get(i, {})
-        if not p.is_file():
-            out.append(Routed(i, p, reason="path is not a file"))
-        elif i in unreadable:
-            out.append(Routed(i, p, reason=unreadable[i]))
-        elif facts.get("length", 0) > limits.max_file_size_bytes:
-            out.append(Routed(i, p, reason=f"file exceeds maximum size of {limits.max_file_size_bytes} bytes"))
-        elif (facts.get("longest") or 0) > limits.max_line_length:
-            out.append(Routed(i, p, reason=f"line exceeds maximum length of {limits.max_line_length} bytes"))
-        else:
-            kind, reason = choose(p, formats.get(p), facts)
-            out.append(Routed(i, p, kind, reason))
-    return out
+        if i in closed:
+            return None, closed[i]
+        if facts.get("length", 0) > limits.max_file_size_bytes:
+            return None, f"file exceeds maximum size of {limits.max_file_size_bytes} bytes"
+        if (facts.get("longest") or 0) > limits.max_line_length:
+            return None, f"line exceeds maximum length of {limits.max_line_length} bytes"
+        return choose(p, formats.get(p), facts, {*LOG_TYPES, *(own or {})})
 
+    return [Routed(i, p, *told(i, p)) for i, p in numbered]
 
-def select_parser(spark: SparkSession, path: Path, explicit: str | None = None) -> tuple[str | None, str | None]:
+
+def select_parser(spark: SparkSession, path: Place, explicit: str | None = None) -> tuple[str | None, str | None]:
     """(format, reason why there is none) of one file."""
-    path = Path(path)
-    if explicit is not None or path.suffix.lower() == ".csv":
-        return choose(path, explicit, {})
-    return choose(path, None, {} if name_hint(path) else _probe(spark, [(0, path)], Limits()).get(0, {}))
+    path = located(path)
+    told = explicit is not None or (name_hint(path) and not _is_csv(path))
+    return choose(path, explicit, {} if told else _probe(spark, [(0, path)], Limits()).get(0, {}))
 
 
-def read(spark: SparkSession, routed: Sequence[Routed]) -> tuple[DataFrame, DataFrame]:
-    """(events, diagnostics) of all files with a format, and the reasons of those without one."""
+def read(spark: SparkSession, routed: Sequence[Routed], own: Mapping[str, parsers.LogParser] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events, diagnostics) of all files with a format, and the reasons of those without one. A parser in `own` reads the files of its format."""
+    own = own or {}
     events, bad = [], [spark.createDataFrame([(str(r.path), r.reason, None, r.ordinal, 0) for r in routed if r.reason], DIAGNOSTIC)]
-    for kind in LOG_TYPES:
-        own = [(r.ordinal, r.path) for r in routed if r.format == kind]
-        if own:
-            contents = _contents(spark, own)
+    for kind in dict.fromkeys((*LOG_TYPES, *own)):
+        chosen = [(r.ordinal, r.path) for r in routed if r.format == kind]
+        if not chosen:
+            continue
+        contents = _contents(spark, chosen)
+        if kind in own:
+            good, rejects = own[kind](scan_lines(contents))
+        else:
             good, rejects = parsers.parse_windows(scan_csv(contents)) if kind == "windows" else parsers.parse(scan_lines(contents), kind)
-            events.append(good)
-            bad.append(rejects)
-    union = lambda frames: frames[0] if len(frames) == 1 else union([frames[0].unionByName(frames[1]), *frames[2:]])
+        events.append(good.select(*EVENT.fieldNames()))
+        bad.append(rejects.select(*DIAGNOSTIC.fieldNames()))
+    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
     return union(events) if events else spark.createDataFrame([], EVENT), union(bad)

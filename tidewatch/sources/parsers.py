@@ -10,6 +10,7 @@ projection of its own, so what many fields share (a match, a message, a cell) is
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,14 @@ from tidewatch.model import EVENT
 
 DEFAULT_YEAR = 2026
 
+
+class LogParser(Protocol):
+    """A format of a user's own: (events, rejects) of a line frame, in the columns of model.EVENT and model.DIAGNOSTIC.
+    The lines' file_ord and line_no must be carried on; they make the order of events total."""
+
+    def __call__(self, lines: DataFrame) -> tuple[DataFrame, DataFrame]: ...
+
+
 # The patterns of the formats.
 SSHD = r"(?Ud)sshd(?:\[[^\]]+\])?:\s+(.*?)(?:\s+port\s+\d+)?(?:\s+ssh\S*)?$"
 FAILED = r"(?U)Failed password for (?:invalid user )?(\S+) from ([^\s]+)"
@@ -92,13 +101,6 @@ Columns = dict[str, Column]
 Stage = Callable[[Columns], Columns]
 
 
-def at_once(stages: Sequence[Stage], **given: Column) -> Columns:
-    """The columns of all stages as expressions of the given ones."""
-    for stage in stages:
-        given |= stage(given)
-    return given
-
-
 def staged(df: DataFrame, stages: Sequence[Stage], *given: str) -> tuple[DataFrame, Columns]:
     """df with the columns of all stages, and how they are named."""
     cols = {x: F.col(x) for x in given}
@@ -214,9 +216,12 @@ def windows() -> list[Stage]:
 TEXT_FORMATS: dict[str, Callable[..., list[Stage]]] = {"ssh": ssh, "firewall": firewall, "web": lambda year=DEFAULT_YEAR: web()}
 
 
-def accepts(log_format: str, line: Column) -> Column:
-    """Whether a text format accepts a line."""
-    return at_once(TEXT_FORMATS[log_format](), line=line)["ok"]
+def acceptance(lines: DataFrame) -> DataFrame:
+    """lines with a column for each text format, named after it: whether it accepts the line."""
+    for log_format, stages in TEXT_FORMATS.items():
+        df, c = staged(lines, stages(), "line")
+        lines = df.select(*lines.columns, c["ok"].alias(log_format))
+    return lines
 
 
 def _split(df: DataFrame, stages: Sequence[Stage], log_format: str, reject: Column, *given: str) -> tuple[DataFrame, DataFrame]:

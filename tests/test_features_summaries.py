@@ -218,3 +218,32 @@ def test_alert_order_numbers_all_rows(spark, tmp_path):
     high = sorted((r[3] == "error", r[1], r[0]) for r in rows if r[3] in ("purchase", "error"))
     have = catalog.queries()["o3_alert_order"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, have)) == [(i, r[2], "HIGH" if r[0] else "CRITICAL") for i, r in enumerate(high, 1)] and len(have) == 1200
+
+
+def test_restated_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.model import ALERT
+    from tidewatch.operators.alerts import to_driver
+    from tidewatch.plans.summaries import restated, restated_columns
+
+    at = datetime(2026, 3, 10, 2, tzinfo=timezone.utc)
+    odd = ['{"user_name":"a: \\"b\\", c","n":3,"ratio":1.5,"none":null,"yes":true,"no":"true","window_start":"2026-03-10T02:00:00+00:00"}', '{"hosts":["a,b","c:d"],"counts":[1,2],"of":{"a":[{"b":1}]}}', "{}", None]
+    rows = [("HIGH", f"T{i}", "S.", x, ["Do."] * (i % 2), ["1.1.1.1"], at, at, "d", "low", [i]) for i, x in enumerate(odd)]
+    frame = spark.createDataFrame(rows, ALERT)
+    told = restated_columns(frame).orderBy(F.col("ord")[0]).collect()
+    for row, alert in zip(told, to_driver(frame), strict=True):
+        own = restated(alert)
+        assert (row.incident_summary, row.explanation) == (own.incident_summary, own.explanation)
+        assert (tuple(row.recommendations), tuple(row.investigation_questions)) == (own.recommendations, own.investigation_questions)
+
+
+def test_fact_columns(spark):
+    from pyspark.sql import functions as F
+
+    from tidewatch.plans.summaries import fact_columns
+
+    texts = ["From 10.0.0.1 (10.0.0.1) at 2026-03-10T02:00:00Z, 7:30: -3 of 4.5 are high, HIGH or low.", "v1.2.3.4 x5 é6", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [tuple(r)[1:] for r in df.select("i", *(c.alias(k) for k, c in fact_columns(F.col("t")).items())).orderBy("i").collect()]
+    assert got == [(["10.0.0.1"], ["2026-03-10T02:00:00Z"], ["7:30"], ["-3", "4.5"], ["HIGH", "LOW"]), ([], [], [], [], []), ([], [], [], [], []), (None,) * 5]

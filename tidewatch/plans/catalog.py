@@ -22,7 +22,7 @@ from tidewatch.operators import frames
 from tidewatch.operators.forest import AnomalyDetector, standing
 from tidewatch.operators.privilege import PrivilegeEscalation
 from tidewatch.plans.analyze import detect, prepare
-from tidewatch.plans.summaries import IPV4
+from tidewatch.plans.summaries import CLOCK, IPV4, SEVERITY, STAMP, fact_columns, restated_columns
 from tidewatch.session import scratch, ship
 from tidewatch.sources import files, parsers
 
@@ -369,6 +369,26 @@ def u3_distinct_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("detector", "severity", "title", F.array_join("source_ips", ",").alias("source_ips"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"), "summary")
 
 
+@query("""
+select event_id, 'Odd ' || event_type || ' (HIGH).' as incident_summary,
+ 'Seen ' || user_id || '. Evidence recorded by the detector: account: u' || user_id || '; observed count: ' || event_id || '; note: ' || case event_type when 'error' then 'None' else 'a,"b":' || event_type end
+  || '; timestamp: ' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || case when epoch_us(ts) % 1000000 <> 0 then strftime(ts, '.%f') else '' end || '+00:00; late: ' || case when event_id % 2 = 0 then 'True' else 'False' end
+  || '; ports: ["' || event_id % 7 || '", "p:' || user_id || '"]' as explanation,
+ case when event_id % 2 = 0 then 'Look at it.' else 'No response actions were supplied by the deterministic detector.' end as recommendations from events""")
+def l1_restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prose of an alert made of each event, from evidence of every type."""
+    e = rows(spark, sf_dir)
+    n, who = F.col("event_id"), F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    note = F.when(F.col("event_type") != "error", F.concat(F.lit('a,"b":'), "event_type"))
+    ports = F.array((n % 7).cast("string"), F.concat(F.lit("p:"), F.col("user_id").cast("string")))
+    told = A.evidence(account=who, observed_count=n, note=note, timestamp=F.timestamp_micros("us"), late=n % 2 == 0, ports=ports)
+    made = A.alerts(
+        e, severity=F.lit("HIGH"), title=F.concat(F.lit("Odd "), "event_type"), summary=F.concat(F.lit("Seen "), F.col("user_id").cast("string"), F.lit(".")), evidence=told, actions=(),
+        source_ips=F.array(F.lit("1.1.1.1")), start=F.timestamp_micros("us"), end=F.timestamp_micros("us"), detector="odd", confidence="low", ord=F.array(n),
+    ).withColumn("recommended_actions", F.when(F.col("ord")[0] % 2 == 0, F.array(F.lit("Look at it."))).otherwise(F.array().cast("array<string>")))
+    return restated_columns(made).select(F.col("ord")[0].alias("event_id"), "incident_summary", "explanation", F.array_join("recommendations", "|").alias("recommendations"))
+
+
 @query("""
 with a as (select event_id, case event_type when 'error' then 'HIGH' when 'signup' then 'LOW' when 'purchase' then 'CRITICAL' else 'MEDIUM' end as severity, ts from events)
 select cast(row_number() over (order by case severity when 'CRITICAL' then 0 when 'HIGH' then 1 when 'MEDIUM' then 2 else 3 end, ts, event_id) as integer) as place, event_id, severity from a where severity in ('CRITICAL', 'HIGH')""")
@@ -564,6 +584,22 @@ def n6_ipv4_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.size("ips") > 0).select("doc_id", F.array_join("ips", ",").alias("ips"))
 
 
+_LINE = "'At 2026-03-10T02:00:00Z and 23:59, ' || doc_id || ' alerts of critical and High kind; '"
+
+
+@query(f"""
+with d as (select doc_id, {_LINE} || text as text from documents where text is not null),
+s as (select *, regexp_extract_all(text, '{STAMP.pattern}') as stamps, regexp_extract_all(regexp_replace(text, '{STAMP.pattern}', ' ', 'g'), '{CLOCK.pattern}') as clocks,
+ regexp_extract_all(upper(text), '{SEVERITY.pattern}') as severities from d)
+select doc_id, array_to_string(list_sort(list_distinct(stamps)), ',') as stamps, array_to_string(list_sort(list_distinct(clocks)), ',') as clocks, array_to_string(list_sort(list_distinct(severities)), ',') as severities from s""")
+def n6_prose_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants, times of day and severities that each document states, behind a line that has some of each."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    line = F.concat(F.lit("At 2026-03-10T02:00:00Z and 23:59, "), F.col("doc_id").cast("string"), F.lit(" alerts of critical and High kind; "))
+    facts = fact_columns(F.concat(line, "text"))
+    return d.select("doc_id", *(F.array_join(facts[k], ",").alias(k) for k in ("stamps", "clocks", "severities")))
+
+
 @query("select event_id, time_bucket(interval 300 seconds, ts, timestamp '1970-01-01') as bucket, hour(ts) as hour, (dayofweek(ts) + 6) % 7 as weekday, cast(strftime(ts, '%Y-%m-%dT%H:%M:%S') as varchar) as iso from events")
 def t4_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.timestamp_micros("us")

@@ -222,16 +222,15 @@ def d6_traffic_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at("source_ips", 1).alias("source_ip"), fact("service", "string").alias("service"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"), "severity", fact("observed_count", "long").alias("observed"), fact("baseline_sample_count", "long").alias("samples"), F.round(fact("score", "double"), 6).alias("score"))
 
 
-def windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as account, group and process events of Windows logs and as SSH logins."""
-    e = rows(spark, sf_dir)
+def windows_events(e: DataFrame, *account: str) -> DataFrame:
+    """The events as account, group and process events of Windows logs and as logins. The account is the user, with what else is given."""
     kind = {"signup": "user_created", "purchase": "privileged_group_membership", "click": "process_creation", "view": "privilege_assignment", "error": "login_failure"}
     ids = {"signup": "4720", "purchase": "4732", "click": "4688", "view": "4672", "error": "4625"}
     pick = lambda d: F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in d.items()))
     meta = F.create_map(F.lit("event_id"), pick(ids), F.lit("computer"), F.concat(F.lit("pc"), (F.col("k") % 3).cast("string")), F.lit("group_name"), F.when(F.col("k") % 2 == 0, "Administrators").otherwise("Users"))
     own = {
         "timestamp": F.timestamp_micros("us"), "source": F.lit("events"), "log_type": F.lit("windows"), "event_type": pick(kind), "src_ip": F.concat(F.lit("10.0.0."), F.col("ip").cast("string")),
-        "user": F.concat(F.lit("u"), F.col("user_id").cast("string")), "metadata": meta, "file_ord": F.lit(0), "line_no": F.col("event_id"),
+        "user": F.concat(F.lit("u"), F.concat_ws("x", *(F.col(x).cast("string") for x in ("user_id", *account)))), "metadata": meta, "file_ord": F.lit(0), "line_no": F.col("event_id"),
     }
     return e.select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields))
 
@@ -239,10 +238,51 @@ def windows_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def d4_privilege_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The correlation consumes records one by one, which SQL can't express; it is tested against another fold."""
-    found = PrivilegeEscalation(correlation_window_minutes=24 * 60, process_correlation_window_minutes=12 * 60).detect(windows_events(spark, sf_dir))
+    found = PrivilegeEscalation(correlation_window_minutes=24 * 60, process_correlation_window_minutes=12 * 60).detect(windows_events(rows(spark, sf_dir)))
     return found.select("severity", "title", "time_start", "time_end", "confidence", F.get_json_object("evidence", "$.rule").alias("rule"), F.get_json_object("evidence", "$.username").alias("username"))
 
 
+def _meets(a: str, b: str, hours: int) -> str:
+    """Whether record b comes at a's instant or at most so many hours after it, in its context (sources are equal in one account)."""
+    return f"coalesce({b} between {a} and {a} + {hours * HOUR} and coalesce({a}h = {b}h, true), false)"
+
+
+# Records of an account: c(reated), g(roup), a(ssignment), p(rocess), f(ailure), each its instant, with h its host; t… tells that one is taken.
+_CHAINS = f"""
+with o as (select *, us // {2 * DAY} as span from {ROWS}),
+n as (select *, row_number() over (partition by user_id, span, event_type order by us, event_id) as n from o),
+w as (select 'u' || user_id || 'x' || span as username, """ + ", ".join(
+    f"max(us) filter (event_type = '{kind}'{also}) as {x}, max(k % 3) filter (event_type = '{kind}'{also}) as {x}h"
+    for x, kind, also in (("c", "signup", ""), ("g", "purchase", " and k % 2 = 0"), ("a", "view", ""), ("p", "click", ""), ("f", "error", ""))
+) + f""" from n where n = 1 group by user_id, span),
+s0 as (select *, {_meets('c', 'g', 24)} as cg, case when {_meets('g', 'a', 24)} and not ({_meets('g', 'p', 24)} and p < a) then 'a' when {_meets('g', 'p', 24)} then 'p' else '' end as gx from w),
+s1 as (select *, cg or gx <> '' as tg, cg as tc, gx = 'a' as ta, gx = 'p' as tp from s0),
+s2 as (select *, case when tc then '' when not ta and {_meets('c', 'a', 24)} and not (not tp and {_meets('c', 'p', 24)} and p < a) then 'a' when not tp and {_meets('c', 'p', 24)} then 'p' else '' end as cx from s1),
+s3 as (select *, case when p is null or tp or cx = 'p' then '' when {_meets('f', 'p', 12)} and not ({_meets('a', 'p', 12)} and a > f) then 'f' when {_meets('a', 'p', 12)} then 'a' else '' end as px from s2),
+s4 as (select *, a is not null and not ta and cx <> 'a' and px <> 'a' as free, {_meets('f', 'a', 12)} as fa from s3),
+r as (
+ select username, 'CRITICAL' as severity, 'high' as confidence, 'New account escalated to privileged activity' as title, 'privilege_escalation_chain' as rule, c as first_us, case gx when 'a' then a else p end as last_us from s4 where cg and gx <> ''
+ union all select username, 'HIGH', 'high', 'New account added to a privileged group', 'account_created_then_privileged_group_membership', c, g from s4 where cg and gx = ''
+ union all select username, 'HIGH', 'high', 'Privileged activity following group membership change', 'privileged_group_membership_followed_by_activity', g, case gx when 'a' then a else p end from s4 where not cg and gx <> ''
+ union all select username, 'HIGH', 'high', 'Privileged activity following new account creation', 'privileged_activity_following_new_account', c, case cx when 'a' then a else p end from s4 where cx <> ''
+ union all select username, 'HIGH', 'medium', 'Process creation following a suspicious login or privileged event', 'process_creation_after_suspicious_login', case px when 'a' then a else f end, p from s4 where px <> ''
+ union all select username, 'HIGH', 'medium', 'Special privileges assigned following a suspicious login', 'privilege_assignment_after_suspicious_login', f, a from s4 where free and fa
+ union all select username, 'LOW', 'low', 'New user account created', 'isolated_account_created', c, c from s4 where c is not null and not tc and cx = ''
+ union all select username, 'MEDIUM', 'medium', 'Account added to a privileged group', 'isolated_privileged_group_membership', g, g from s4 where g is not null and not tg
+ union all select username, 'LOW', 'low', 'Special privileges assigned to a new logon', 'isolated_privilege_assignment', a, a from s4 where free and not fa)
+select username, severity, confidence, title, rule, {_made('first_us')} as time_start, {_made('last_us')} as time_end from r"""
+
+
+@query(_CHAINS)
+def d4_single_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation over accounts with at most one record of each kind, where SQL can follow all stages: a user's first of each kind in each two days."""
+    e = rows(spark, sf_dir).withColumn("span", F.floor(F.col("us") / (2 * DAY)))
+    first = frames.best_first(e, ["user_id", "event_type", "span"], [], ["us", "event_id"])
+    found = PrivilegeEscalation(correlation_window_minutes=24 * 60, process_correlation_window_minutes=12 * 60).detect(windows_events(first, "span"))
+    fact = lambda k: F.get_json_object("evidence", f"$.{k}").alias(k)
+    return found.select(fact("username"), "severity", "confidence", "title", fact("rule"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"))
+
+
 # -- joins --
 
 _ASOF = """select s.event_id, s.user_id, e.event_id as other_id, cast(abs(s.us - e.us) as bigint) as gap_us from (select * from {rows} where event_type = 'signup') s

@@ -6,8 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -17,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.session import ship
+from tidewatch.session import shared_dir, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,19 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a temporary one on one machine (tests), and a ValueError on a cluster."""
-    context = spark.sparkContext
-    held = context._jsc.sc().getCheckpointDir()
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if held.isEmpty():
-        if not configured and not re.match(r"local(\[|$)", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(configured or f"file://{tempfile.mkdtemp(prefix='tidewatch-')}")
-        held = context._jsc.sc().getCheckpointDir()
-    return (configured or held.get()).rstrip("/")
-
-
 #: Rows of a narrow table (a few numbers each, so a few MB) up to which it is broadcast, or worked on in one task.
 SMALL = 50_000
 

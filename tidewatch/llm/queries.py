@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import chat_format, decontam, jaccard_join, pieces, quality, sharding, suffix_dedup, token_counts, token_records, url_filters
+from tidewatch.llm import ann, chat_format, decontam, jaccard_join, merkle, pieces, quality, sharding, suffix_dedup, token_counts, token_records, url_filters
 from tidewatch.llm.common import table
 
 
@@ -61,7 +61,17 @@ def op10_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op4_qgram_decontamination, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op8_lyndon_dedup, op9_jaccard_join, op10_link_trust)}
+def op11_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and whether a copy, in half of the cases without newlines, still gives the root."""
+    return merkle.prove(table(spark, sf_dir, "documents"), changed=merkle.newline_free())
+
+
+def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors nearest to every fiftieth one."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op4_qgram_decontamination, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op8_lyndon_dedup, op9_jaccard_join, op10_link_trust, op11_merkle_proofs, op12_projection_forest)}
 
 
 def _chat_sql() -> str:
@@ -160,5 +170,28 @@ def _pages_sql(rounds: int = url_filters.ROUNDS) -> str:
     return f"with recursive {', '.join([*ctes, bad])} select page_id, host, path, rule, coalesce(own, {verdict}) as verdict, {verdict} as host_verdict from r"
 
 
+def _merkle_sql(run: int = merkle.ARITY) -> str:
+    value = lambda c: f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(value, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+    up = lambda name, base: f"{name} as (select 0 as l, s, i, n, h from {base} union all select l + 1, s, i // {run}, (n - 1) // {run} + 1, sha256(string_agg(h, '' order by i)) from {name} where n > 1 group by l, s, i // {run}, n)"
+    height = lambda n: f"(select count(*) from range(40) as u(e) where {run}::hugeint ** e < {n})"
+    above = lambda i, l: f"{i} // ({run} ** {l})::bigint"  # noqa: E731, E741
+    steps = lambda base, nodes, first: f"select b.k, {first} + v.l as step, coalesce(string_agg(x.h, '' order by x.i) filter (x.i < {above('b.i', 'v.l')}), '') as before, coalesce(string_agg(x.h, '' order by x.i) filter (x.i > {above('b.i', 'v.l')}), '') as after from {base} b, unnest(range(b.height)) as v(l) join {nodes} x on x.l = v.l and x.s is not distinct from b.s and x.i // {run} = {above('b.i', '(v.l + 1)')} group by b.k, v.l, b.low"
+    crc = _crc_sql("doc_id::varchar")
+    return f"""
+with recursive d as (select doc_id, source, {leaf('text')} as leaf, case when {crc} % 2 = 0 then {leaf("replace(text, chr(10), '')")} else {leaf('text')} end as held from documents),
+e as (select *, source as s, leaf as h, row_number() over (order by source nulls first, doc_id nulls first, leaf) as k, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from d),
+{up('low', 'e')},
+r as (select null::varchar as s, s as of, h, row_number() over (order by s nulls first) - 1 as i, count(*) over () as n from low where n = 1),
+{up('top', 'r')},
+b as (select e.k, e.s, e.i, {height('e.n')} as height, 0 as low from e),
+t as (select e.k, r.s, r.i, {height('r.n')} as height, b.height as low from e join r on r.of is not distinct from e.s join b using (k)),
+p as ({steps('b', 'low', 'b.low')} union all {steps('t', 'top', 'b.low')}),
+f as (select k, 0::bigint as step, held as h from e union all select f.k, f.step + 1, sha256(before || h || after) from f join p on p.k = f.k and p.step = f.step),
+o as (select k, string_agg(before || after, '' order by step) as proof from p group by k)
+select e.doc_id, e.leaf, r.h as subroot, z.h as root, sha256(coalesce(o.proof, '')) as proof_sha256, f.h as folded_root, f.h = z.h as verified
+from e join r on r.of is not distinct from e.s join (select h from top where n = 1) z on true left join o using (k) join t using (k) join f on f.k = e.k and f.step = t.low + t.height"""
+
+
 #: Tokens and edit distances are beyond SQL; those queries are tested against the libraries and brute force.
-ORACLE_SQL: dict[str, str] = {op3_chat_format.__name__: _chat_sql(), op5_rendezvous_shards.__name__: _shards_sql(), op8_lyndon_dedup.__name__: _repeats_sql(), op9_jaccard_join.__name__: _links_sql(), op10_link_trust.__name__: _pages_sql()}
+ORACLE_SQL: dict[str, str] = {op3_chat_format.__name__: _chat_sql(), op5_rendezvous_shards.__name__: _shards_sql(), op8_lyndon_dedup.__name__: _repeats_sql(), op9_jaccard_join.__name__: _links_sql(), op10_link_trust.__name__: _pages_sql(), op11_merkle_proofs.__name__: _merkle_sql()}

@@ -168,7 +168,7 @@ ODD = ["\n  two\n\n three", "a b 　c d", "▁", "x ▁y", "tab\tand  \n", "
 @pytest.mark.parametrize("hot", [alignment.HOT, 5, 0])
 def test_alignment(spark, hot):
     table = [(r[0], r[1]) for r in rows()] + [(2000 + i, x) for i, x in enumerate(ODD)]
-    have = alignment.align(documents(spark, [(k, t, None, None, None, "clash", "clash", None, None) for k, t in table]), A, B, hot=hot)
+    have = alignment.align(documents(spark, [(k, t, None, None, None, "clash", "clash", None, None) for k, t in table]), A, B, ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken") if hot else None, hot=hot)
     key = lambda r: tuple((x is not None, x) for x in r)
     assert sorted(map(tuple, have.collect()), key=key) == sorted(aligned(table), key=key)
 

@@ -73,7 +73,7 @@ def op12_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of two tokenizers that cover the same bytes of every whole text, and how common their links are."""
-    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_token_records, op3_chat_format, op4_qgram_decontamination, op5_rendezvous_shards, op6_token_fertility, op7_piece_codec, op8_lyndon_dedup, op9_jaccard_join, op10_link_trust, op11_merkle_proofs, op12_projection_forest, op13_token_alignment)}

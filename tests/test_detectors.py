@@ -305,22 +305,52 @@ def plain_privileges(events, window, process_window):
     return out
 
 
-def test_privileges_against_plain_python(spark):
-    rng = random.Random(12)
+def privilege_events(n, minutes, seed=12, accounts=("a", "A", "b", "c", None)):
+    rng = random.Random(seed)
     events = []
-    for i in range(220):
+    for i in range(n):
         kind = rng.choice(["user_created", "privileged_group_membership", "privilege_assignment", "process_creation", "login_failure", "privilege_action"])
         own = {"event_id": f"e{i}"} | ({"computer": c} if (c := rng.choice(["pc", "PC", "lab", None])) else {})
         if kind == "privileged_group_membership":
-            own |= {"group_name": rng.choice(["Administrators", "Users"]), "member_name": rng.choice(["a", "B", "c"])}
+            own |= {"group_name": rng.choice(["Administrators", "Users"]), "member_name": rng.choice([x for x in ("a", "B", "c") if x in (*accounts, "B")])}
         if kind == "privilege_action":
             own |= {"action": "sudo"}
-        events.append(event(rng.randrange(0, 400), log_type="ssh" if kind == "privilege_action" else "windows", event_type=kind, user=rng.choice(["a", "A", "b", "c", None]), src_ip=rng.choice(["1.1.1.1", "2.2.2.2", None]), metadata=own))
-    out = found(spark, PrivilegeEscalation(10, 5), events)
+        events.append(event(rng.randrange(0, minutes), log_type="ssh" if kind == "privilege_action" else "windows", event_type=kind, user=rng.choice(accounts), src_ip=rng.choice(["1.1.1.1", "2.2.2.2", None]), metadata=own))
+    return events
+
+
+def same_privileges(spark, events, **blocks):
+    out = found(spark, PrivilegeEscalation(10, 5, **blocks), events)
     naive = lambda t: t.replace(tzinfo=None)
     have = [(x.evidence["rule"], naive(x.time_start), naive(x.time_end), (x.evidence["username"] or "").lower()) for x in out]
     want = [(r, s, e, (a or "").lower()) for r, s, e, a in plain_privileges(events, 10, 5)]
-    assert sorted(have) == sorted(want) and len({x[0] for x in have}) == 10
+    assert sorted(have) == sorted(want)
+    return {x[0] for x in have}
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_windows": 5, "margin_windows": 7}, {"block_windows": 9, "margin_windows": 20}])
+def test_privileges_against_plain_python(spark, blocks):
+    assert len(same_privileges(spark, privilege_events(220, 400), **blocks)) == 10
+
+
+def test_an_account_that_never_pauses(spark, monkeypatch):
+    """One account holds nearly all records, without a gap over the window: blocks of it are folded apart and agree."""
+    folds = []
+    monkeypatch.setattr(PrivilegeEscalation, "_folded", lambda self, spread, own=PrivilegeEscalation._folded: folds.append(own(self, spread)) or folds[-1])
+    events = privilege_events(500, 1500, seed=3, accounts=("a", "A", "a"))
+    assert len(same_privileges(spark, events, block_windows=5, margin_windows=18)) == 10
+    parts = folds[0].where("at_start is not null").count()
+    assert parts >= 30
+
+
+def test_blocks_that_disagree_are_widened(spark, monkeypatch):
+    """A queue that is never worked off: an action more or less at the start shifts all later matches."""
+    folds = []
+    monkeypatch.setattr(PrivilegeEscalation, "_folded", lambda self, spread, own=PrivilegeEscalation._folded: folds.append(1) or own(self, spread))
+    group = lambda m: event(m, log_type="windows", event_type="privileged_group_membership", user="a", metadata={"group_name": "Administrators", "event_id": f"g{m}"})
+    act = lambda m: event(m, log_type="windows", event_type="privilege_assignment", user="a", metadata={"event_id": f"a{m}"})
+    same_privileges(spark, [group(0), group(1)] + [x for m in range(2, 600, 4) for x in (act(m), group(m + 2))], block_windows=5, margin_windows=7)
+    assert len(folds) > 2
 
 
 # -- alerts --

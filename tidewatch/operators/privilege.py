@@ -1,14 +1,19 @@
 """Correlation of account creation, group membership and privileged activity.
 
 Records match only if their accounts are equal (ignoring case) and their times at most the
-larger window apart. So the sequential part, which hands each record to one finding at most,
-runs apart for each account and each run of its records without a longer gap: groups stay
-small however long the logs are. What has no account can match nothing and is handled by
-expressions of its own through the same fold, one record at a time.
+larger window apart. The sequential part, which hands each record to one finding at most, runs
+apart for each account and block of time, over the block's records and those of a margin on either
+side. Decisions about a lead follow from what leads within two windows of it have taken, so two
+neighbouring blocks that decide all alike within four windows of their border can be joined
+there: each decision of the two halves follows from those around it, and only the sequential result
+has that property. Blocks that disagree are done again with wider margins, in the end over all that
+can reach them. So an account that never pauses is spread over tasks, and none is ever sorted
+as a whole. What has no account can match nothing and goes through the same fold, one record at a time.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
@@ -16,13 +21,14 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidewatch.model import ALERT
 from tidewatch.operators.detectors import ORDER, _check, _timed
-from tidewatch.session import ship
+from tidewatch.session import scratch, ship
 
 # Fixed values.
 PRIVILEGED_GROUPS = ("administrators", "domain admins", "enterprise admins", "schema admins", "backup operators", "server operators", "account operators", "print operators")
@@ -118,7 +124,7 @@ def _number(x: str | None) -> int | str | None:
 
 
 class Fold:
-    """The stages over the records of one account and run, in order."""
+    """The stages over the records of one account and block, in order."""
 
     def __init__(self, records: Sequence[Record], window: int, process_window: int, minutes: float, process_minutes: float, trusted: frozenset[str]) -> None:
         self.of = {k: [r for r in records if r.kind == k] for k in KINDS.values()}
@@ -127,6 +133,7 @@ class Fold:
         self.activity, self.logins = Timeline(r for k in ACTIVITY for r in self.of[k]), Timeline(self.of["failure"] + self.of["assignment"])
         self.window, self.process_window, self.minutes, self.process_minutes, self.trusted = window, process_window, minutes, process_minutes, trusted
         self.out: list[tuple] = []
+        self.decisions: list[tuple] = []  # the lead's instant, the stage and the records of each finding
 
     def run(self) -> list[tuple]:
         for stage, group in ((s, g) for s in (1, 2, 3) for g in self.of["group"]):
@@ -164,9 +171,15 @@ class Fold:
         ips = sorted({r.src_ip for r in records if r.src_ip})
         start, end = records[0].us, records[-1].us
         self.out.append((severity, title or rule.title, summary, json.dumps(facts), list(actions), ips, start, end, "privilege_escalation", rule.confidence, [start, stage, *lead.seq]))
+        self.decisions.append((lead.us, stage, tuple(r.seq for r in records)))
         for r in records if stage < 5 else [lead]:
             r.taken = True
 
+    def digest(self, start: int, end: int) -> int:
+        """Of all decisions about leads from start up to end."""
+        some = sorted(x for x in self.decisions if start <= x[0] < end)
+        return int.from_bytes(hashlib.blake2b(repr(some).encode(), digest_size=8).digest(), "big", signed=True)
+
     @staticmethod
     def ids(records: Sequence[Record]) -> list[str]:
         return [r.event_id for r in records if r.event_id]
@@ -238,19 +251,33 @@ def record(kind: str, us: int, file_ord: int, line_no: int, *rest: str | None) -
     return Record(kind, us, (us, file_ord, line_no), *rest)
 
 
+#: Windows on either side of a border within which two blocks must decide alike (each decision looks two windows far, to what again was decided within two).
+AGREE = 4
+
+
 @dataclass(frozen=True)
 class PrivilegeEscalation:
+    """block_windows and margin_windows: the length of a block and of its margins in windows; results don't depend on them. A margin of
+    18 windows is never too short for what comes after a block; what came before may reach as far as its matches are chained."""
+
     correlation_window_minutes: float = 30
     process_correlation_window_minutes: float = 15
     privileged_groups: Sequence[str] | None = None
     known_administrative_accounts: Sequence[str] | None = None
+    block_windows: int = 80
+    margin_windows: int = 20
 
     def __post_init__(self) -> None:
         _check(self.correlation_window_minutes > 0, "correlation_window_minutes must be positive")
         _check(self.process_correlation_window_minutes > 0, "process_correlation_window_minutes must be positive")
+        _check(self.block_windows > AGREE and self.margin_windows >= AGREE + 3, "blocks need over 4 windows and margins 7")
+
+    @property
+    def far(self) -> int:
+        return round(max(self.correlation_window_minutes, self.process_correlation_window_minutes) * 60_000_000)
 
     def records(self, events: DataFrame) -> DataFrame:
-        """The columns of COLUMNS, with run: the number of the account's run of records without a gap over the larger window."""
+        """The columns of COLUMNS."""
         kind = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in KINDS.items()))
         meta = lambda k: F.try_element_at("metadata", F.lit(k))
         full = lambda *c: F.coalesce(*(F.when(x != "", x) for x in c))
@@ -258,41 +285,84 @@ class PrivilegeEscalation:
         names = [x.lower() for x in (self.privileged_groups or PRIVILEGED_GROUPS)]
         is_group, is_process = F.col("event_type") == "privileged_group_membership", F.col("event_type") == "process_creation"
         r = _timed(events).where(kind.isNotNull() & ((F.col("event_type") != "privilege_action") | (F.col("log_type") == "ssh")) & (~is_group | F.coalesce(F.lower(group).isin(names), F.lit(False))))
-        r = r.select(
+        return r.select(
             kind.alias("kind"), *ORDER, F.when(is_group, full(meta("member_name"), F.col("user"))).otherwise(F.col("user")).alias("account"), meta("computer").alias("host"), "src_ip",
             F.coalesce(meta("event_id"), F.when(F.col("event_type") == "privilege_action", meta("action"))).alias("event_id"), F.when(is_group, group).alias("group_name"),
             F.when(is_process, meta("new_process_name")).alias("process"), F.when(is_process, meta("new_process_id")).alias("pid"), meta("privileges").alias("privileges"), meta("action").alias("action"),
         )
-        far = round(max(self.correlation_window_minutes, self.process_correlation_window_minutes) * 60_000_000)
-        w = Window.partitionBy(F.lower("account")).orderBy(*ORDER)
-        opens = F.when(F.col("us") - F.lag("us").over(w) <= far, 0).otherwise(1)
-        return r.where("account is not null").withColumn("opens", opens).withColumn("run", F.sum("opens").over(w)).drop("opens").unionByName(r.where("account is null").withColumn("run", F.xxhash64(*ORDER)))
 
-    def detect(self, events: DataFrame) -> DataFrame:
-        ship(events.sparkSession)
+    def spread(self, records: DataFrame, margin: int) -> DataFrame:
+        """Each record in its block and in those whose margins hold it: key, alone (for records without an account, apart), block and whether it is its home."""
+        length, reach = self.block_windows * self.far, margin * self.far
+        block = lambda us: F.floor(us / F.lit(length)).cast("long")
+        known = F.col("account").isNotNull()
+        near = F.sequence(block(F.col("us") - reach), block(F.col("us") + reach))
+        own = F.when(known, near).otherwise(F.array(block(F.col("us"))))
+        return records.select(F.lower("account").alias("key"), F.when(known, F.lit(0).cast("long")).otherwise(F.xxhash64(*ORDER)).alias("alone"), F.explode(own).alias("block"), (block(F.col("us"))).alias("home"), *COLUMNS)
+
+    def _folded(self, spread: DataFrame) -> DataFrame:
+        """Alerts of each block's own leads, and for a block with records beyond it a row with digests of what was decided about its borders."""
         minutes, process_minutes = self.correlation_window_minutes, self.process_correlation_window_minutes
         trusted = frozenset(x.lower() for x in (self.known_administrative_accounts or ()))
         windows = round(minutes * 60_000_000), round(process_minutes * 60_000_000), minutes, process_minutes
-        schema = to_arrow_schema(ALERT)
+        length, near = self.block_windows * self.far, AGREE * self.far
+        schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in ALERT)}, key string, block long, at_start long, at_end long"
+        arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+        def block_of(key: tuple, records: list[Record], inner: bool) -> Iterator[tuple]:
+            if not inner:
+                return
+            name, _, block = key
+            fold, start, end = Fold(records, *windows, trusted), block * length, (block + 1) * length
+            for alert, (us, *_) in zip(fold.run(), fold.decisions):
+                if start <= us < end:
+                    yield *alert, name, block, None, None
+            if records[0].us < start or records[-1].us >= end:
+                yield *[None] * len(ALERT), name, block, fold.digest(start - near, start + near), fold.digest(end - near, end + near)
 
         def fold(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Runs follow each other in order, so one is held at a time."""
+            """Blocks follow each other in order, so one is held at a time."""
             held: list[Record] = []
-            last: tuple | None = None
+            last, inner = None, False
 
-            def batch_of(alerts: list[tuple]) -> pa.RecordBatch:
-                cols = list(zip(*alerts)) or [()] * len(schema)
-                return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, schema)], schema=schema)
+            def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+                cols = list(zip(*rows)) or [()] * len(arrow)
+                return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cols, arrow)], schema=arrow)
 
             for batch in batches:
                 out: list[tuple] = []
-                for key, run, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                    if (key, run) != last:
-                        out += Fold(held, *windows, trusted).run()
-                        held, last = [], (key, run)
+                for key, alone, block, home, *values in zip(*(c.to_pylist() for c in batch.columns)):
+                    if (key, alone, block) != last:
+                        out += block_of(last, held, inner)
+                        held, last, inner = [], (key, alone, block), False
                     held.append(record(*values))
+                    inner |= home == block
                 yield batch_of(out)
-            yield batch_of(Fold(held, *windows, trusted).run())
+            yield batch_of(list(block_of(last, held, inner)))
 
-        keyed = self.records(events).select(F.lower("account").alias("key"), "run", *COLUMNS)
-        return keyed.repartition("key", "run").sortWithinPartitions("key", "run", *ORDER).mapInArrow(fold, ALERT)
+        return spread.repartition("key", "alone", "block").sortWithinPartitions("key", "alone", "block", *ORDER).mapInArrow(fold, schema)
+
+    def detect(self, events: DataFrame) -> DataFrame:
+        """The alerts. Blocks are folded and written to the shared folder when this is called, as it must be known whether they agree."""
+        spark = events.sparkSession
+        ship(spark)
+        at, margin, n = scratch(spark, "privilege"), self.margin_windows, 0
+        records = self.records(events)
+
+        def written(df: DataFrame) -> DataFrame:
+            nonlocal n
+            n += 1
+            df.write.parquet(f"{at}/{n}")
+            return spark.read.parquet(f"{at}/{n}")
+
+        now = written(self._folded(self.spread(records, margin)))
+        while True:
+            borders = now.where("at_start is not null").select("key", "block", "at_start", "at_end")
+            after = borders.select("key", (F.col("block") - 1).alias("block"), F.col("at_start").alias("told"))
+            apart = borders.join(after, ["key", "block"]).where("at_end <> told").select("key", F.explode(F.array("block", F.col("block") + 1)).alias("block")).distinct()
+            apart = written(apart)
+            if apart.isEmpty():
+                return now.where("at_start is null").select(*ALERT.names)
+            margin *= 2
+            again = written(self._folded(self.spread(records, margin).join(apart, ["key", "block"], "left_semi").select("key", "alone", "block", "home", *COLUMNS)))
+            now = now.join(apart, [now["key"].eqNullSafe(apart["key"]), now["block"] == apart["block"]], "left_anti").unionByName(again)

@@ -235,11 +235,46 @@ def windows_events(e: DataFrame, *account: str) -> DataFrame:
     return e.select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields))
 
 
-@query()
+# Each step of the recursion looks at one lead of an account, in the order of stages and of records. Records of an account: c(reated),
+# g(roup), a(ssignment), p(rocess), f(ailure); of partners as near as each other the first counts, assignments before processes, failures before assignments.
+_NEAR = "(x.h = lead.h or x.h is null or lead.h is null) and not ({free} and list_contains(taken, x.i))"
+_STAGES = {
+    1: ("CRITICAL", "high", "New account escalated to privileged activity", "privilege_escalation_chain"),
+    2: ("HIGH", "high", "New account added to a privileged group", "account_created_then_privileged_group_membership"),
+    3: ("HIGH", "high", "Privileged activity following group membership change", "privileged_group_membership_followed_by_activity"),
+    4: ("HIGH", "high", "Privileged activity following new account creation", "privileged_activity_following_new_account"),
+    5: ("HIGH", "medium", "Process creation following a suspicious login or privileged event", "process_creation_after_suspicious_login"),
+    6: ("HIGH", "medium", "Special privileges assigned following a suspicious login", "privilege_assignment_after_suspicious_login"),
+    7: ("LOW", "low", "New user account created", "isolated_account_created"),
+    8: ("MEDIUM", "medium", "Account added to a privileged group", "isolated_privileged_group_membership"),
+    9: ("LOW", "low", "Special privileges assigned to a new logon", "isolated_privilege_assignment"),
+}
+
+
+@query(f"""
+with recursive e as (select coalesce(user_id::varchar, '') as u, us, event_id, k % 3 as h, case event_type when 'signup' then 'c' when 'purchase' then 'g' when 'click' then 'p' when 'view' then 'a' when 'error' then 'f' end as t from {ROWS} where event_type <> 'purchase' or k % 2 = 0),
+q as (select *, row_number() over (partition by u order by us, event_id) as i from e where t is not null),
+l as (select u, list({{'i': i, 't': t, 'us': us, 'h': h}} order by i) as recs from q group by u),
+p as (select u, list({{'s': s, 'i': i}} order by s, i) as steps from (select u, i, unnest(case t when 'g' then [1, 2, 3] when 'c' then [4] when 'p' then [5] when 'a' then [6] else [] end) as s from q) group by u),
+r as (
+ select u, 0 as n, []::bigint[] as taken, null::integer as stage, null::bigint as first_us, null::bigint as last_us from p
+ union all
+ select u, n + 1, case when not hit then taken else list_concat(taken, [x for x in [lead.i, -c.j, a.j, case when s = 5 then -b.j end] if x is not null]) end, case when hit then s end, coalesce(c.us, b.us, lead.us), coalesce(a.us, lead.us)
+ from (select *, not list_contains(taken, lead.i) and case s when 1 then c is not null and a is not null when 2 then c is not null when 3 then a is not null when 4 then a is not null else b is not null end as hit
+ from (select u, n, s, taken, lead,
+ case when s < 3 then list_max([{{'us': x.us, 'j': -x.i}} for x in recs if x.t = 'c' and x.us between lead.us - {24 * HOUR} and lead.us and {_NEAR.format(free='true')}]) end as c,
+ case when s in (1, 3, 4) then list_min([{{'us': x.us, 'p': x.t = 'p', 'j': x.i}} for x in recs if x.t in ('a', 'p') and x.us between lead.us and lead.us + {24 * HOUR} and {_NEAR.format(free='true')}]) end as a,
+ case when s > 4 then list_max([{{'us': x.us, 'p': x.t = 'f', 'j': -x.i}} for x in recs if (x.t = 'f' or x.t = 'a' and s = 5) and x.us between lead.us - {12 * HOUR} and lead.us and {_NEAR.format(free='false')}]) end as b
+ from (select r.u, r.n, r.taken, l.recs, p.steps[r.n + 1].s as s, l.recs[p.steps[r.n + 1].i] as lead from r join l on r.u = l.u join p on r.u = p.u where r.n < len(p.steps))))),
+o as (select u, stage, first_us, last_us from r where stage is not null
+ union all select q.u, case t when 'c' then 7 when 'g' then 8 else 9 end, us, us from q join p on q.u = p.u join r on r.u = q.u and r.n = len(p.steps) where t in ('c', 'g', 'a') and not list_contains(r.taken, q.i)),
+w(stage, severity, confidence, title, rule) as (values {', '.join(f"({k}, {', '.join(repr(x) for x in v)})" for k, v in _STAGES.items())})
+select severity, title, {_made('first_us')} as time_start, {_made('last_us')} as time_end, confidence, rule, 'u' || u as username from o join w using (stage)""")
 def d4_privilege_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The correlation consumes records one by one, which SQL can't express; it is tested against another fold."""
+    """All stages of the correlation over accounts with any number of records of each kind."""
     found = PrivilegeEscalation(correlation_window_minutes=24 * 60, process_correlation_window_minutes=12 * 60).detect(windows_events(rows(spark, sf_dir)))
-    return found.select("severity", "title", "time_start", "time_end", "confidence", F.get_json_object("evidence", "$.rule").alias("rule"), F.get_json_object("evidence", "$.username").alias("username"))
+    at = lambda name: F.col(name).cast("timestamp_ntz").alias(name)
+    return found.select("severity", "title", at("time_start"), at("time_end"), "confidence", F.get_json_object("evidence", "$.rule").alias("rule"), F.get_json_object("evidence", "$.username").alias("username"))
 
 
 def _meets(a: str, b: str, hours: int) -> str:

@@ -2,8 +2,10 @@
 
 import json
 import random
+import time
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,3 +396,46 @@ def test_hot_source_of_many_ports(spark):
     (out,) = found(spark, PortScan(), events)
     assert out.severity == "CRITICAL"
     assert (out.evidence["distinct_destination_ports"], out.evidence["distinct_destination_hosts"], out.evidence["denied_rejected_count"]) == (50, 3, 50)
+
+
+# -- prefixes --
+
+
+@pytest.mark.parametrize("kind", ["long", "double"])
+def test_prefix_quantiles(spark, kind):
+    rng = random.Random(9)
+    table = [(k, i, rng.choice([None, *range(6)]) if k else rng.randrange(10**6)) for k in (0, 1, None) for i in range(3000 if k == 0 else 60)]
+    rng.shuffle(table)
+    df = spark.createDataFrame(table, "k long, i long, v long").withColumn("v", F.col("v").cast(kind))
+    have = {(r.k, r.i): r.q for r in frames.prefix_quantiles(df, ["k"], ["i"], "v", (0.25, 0.5, 0.75)).collect()}
+    for k in (0, 1, None):
+        values = [v for _, v in sorted((i, v) for a, i, v in table if a == k and v is not None)] if k == 0 else None
+        seen = []
+        for i, v in sorted(((i, v) for a, i, v in table if a == k), key=lambda x: x[0]):
+            if k != 0 or i % 100 == 0:
+                want = [float(np.percentile(seen, s)) for s in (25, 50, 75)] if seen else None
+                assert have[k, i] == (pytest.approx(want) if want else None)
+            seen += [v] if v is not None else []
+        assert values is None or len(values) == 3000
+
+
+def test_prefix_quantiles_of_a_long_group_are_near_linear(spark):
+    df = spark.range(100_000).select(F.lit("hot").alias("k"), "id", F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("v"))
+    began = time.perf_counter()
+    last = frames.prefix_quantiles(df, ["k"], ["id"], "v", (0.25, 0.5, 0.75)).where("id = 99999").first()
+    assert time.perf_counter() - began < 60
+    values = np.array([r.v for r in df.where("id < 99999").collect()])
+    assert last.q == pytest.approx(np.percentile(values, (25, 50, 75)).tolist())
+
+
+def test_running_sums_are_carried(spark):
+    rng = random.Random(4)
+    table = [(rng.choice(["hot", "hot", "hot", "b", None]), float(rng.choice([rng.randrange(50), rng.random() * 1000])), rng.randrange(5)) for _ in range(900)]
+    df = spark.createDataFrame(table, "k string, v double, n long")
+    for parts in (2, 32):
+        out = frames.running(df, ["k"], "v", "n", "total", parts).collect()
+        assert len(out) == len(table)
+        for r in out:
+            assert r.total == sum(n for k, v, n in table if k == r.k and v <= r.v)
+    plan = frames.running(df, ["k"], "v", "n", "total")._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "BroadcastNestedLoop" not in plan

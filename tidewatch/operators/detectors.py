@@ -297,8 +297,8 @@ def deviations(counts: DataFrame, keys: Sequence[str], at: str, n: str, method:
         s1, s2 = F.sum(n).over(w), F.sum(F.col(n) * F.col(n)).over(w)
         based = counts.select("*", k.alias("base_n"), (s1 / k).alias("base"), (F.sqrt((k * s2 - s1 * s1).cast("double")) / k).alias("spread"))
     else:
-        q = F.expr(f"percentile({n}, array(0.25, 0.5, 0.75))").over(w)
-        based = counts.select("*", k.alias("base_n"), q.alias("q")).select("*", F.col("q")[1].alias("base"), (F.col("q")[2] - F.col("q")[0]).alias("spread")).drop("q")
+        ranked = frames.prefix_quantiles(counts, keys, [at], n, (0.25, 0.5, 0.75)).withColumn("base_n", F.row_number().over(frames.ordered(keys, [at])) - 1)
+        based = ranked.select("*", F.col("q")[1].alias("base"), (F.col("q")[2] - F.col("q")[0]).alias("spread")).drop("q")
     spread = F.when(F.col("spread") > 0, F.col("spread")).otherwise(LEAST_SPREAD)
     return based.where(F.col("base_n") >= least).withColumn("score", (F.col(n) - F.col("base")) / spread).drop("spread")
 

@@ -15,10 +15,11 @@ from numbers import Real
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tidewatch.operators import frames
 from tidewatch.operators.features import FEATURES
 from tidewatch.session import ship
 
@@ -142,11 +143,11 @@ def quantile(scores: DataFrame, share: float, count: int) -> float:
 def standing(values: DataFrame, asked: DataFrame) -> DataFrame:
     """i, v, n, low, high, total of each distinct asked (i, v): of the values with the same i, how many are at or below
     v, the least, the greatest and how many there are. Values are counted first; counts and asked values are summed
-    as one sorted stream an i, and no value meets each asked one."""
+    as one sorted stream an i, in ranges whose sums are carried, and no value meets each asked one."""
     steps = values.groupBy("i", "v").count()
     marked = asked.select("i", "v").distinct().select("i", "v", F.lit(0).cast("long").alias("count"), F.lit(True).alias("ask"))
     stream = steps.select("i", "v", "count", F.lit(False).alias("ask")).unionByName(marked)
-    below = stream.withColumn("n", F.sum("count").over(Window.partitionBy("i").orderBy("v").rangeBetween(Window.unboundedPreceding, 0))).where("ask").select("i", "v", "n")
+    below = frames.running(stream, ["i"], "v", "count", "n").where("ask").select("i", "v", "n")
     span = steps.groupBy("i").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("count").alias("total"))
     return below.join(span, "i")
 

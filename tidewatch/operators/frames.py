@@ -7,10 +7,16 @@ the row itself: later rows with the same instant are outside.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from bisect import bisect_left, insort
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tidewatch.session import ship
 
 
 def ordered(keys: Sequence[str], order: Sequence[str]):
@@ -106,6 +112,75 @@ def asof(targets: DataFrame, candidates: DataFrame, keys: Sequence[str], window_
     return pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__id", "t_b", "c_b")
 
 
+class Ranked:
+    """Numbers in order, in blocks of bounded length: adding one, or looking up a place, costs no more than the number of blocks."""
+
+    BLOCK = 1000
+
+    def __init__(self) -> None:
+        self.blocks: list[list] = []
+        self.n = 0
+
+    def add(self, x: float) -> None:
+        i = bisect_left(self.blocks, x, key=lambda b: b[-1])
+        if i == len(self.blocks):
+            i -= 1 if i else 0
+            self.blocks = self.blocks or [[]]
+        insort(self.blocks[i], x)
+        self.n += 1
+        if len(self.blocks[i]) > 2 * self.BLOCK:
+            self.blocks[i : i + 1] = [self.blocks[i][: self.BLOCK], self.blocks[i][self.BLOCK :]]
+
+    def at(self, place: int) -> float:
+        for b in self.blocks:
+            if place < len(b):
+                return b[place]
+            place -= len(b)
+        raise IndexError(place)
+
+    def quantile(self, share: float) -> float:
+        """Interpolated between the inclusive ranks."""
+        position = share * (self.n - 1)
+        low, high = math.floor(position), math.ceil(position)
+        return float(self.at(low)) if low == high else (high - position) * self.at(low) + (position - low) * self.at(high)
+
+
+def prefix_quantiles(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, shares: Sequence[float], out: str = "q") -> DataFrame:
+    """df with out (array of double, null in a group's first row): the quantiles of value in the rows before each row of its group.
+
+    Groups stream through their tasks in order, each value is put in place once: near-linear in a group's rows, of which the task
+    holds the values alone. Null values are counted nowhere; null keys are a group."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
+    ship(df.sparkSession)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ranked = None, Ranked()
+        for batch in batches:
+            found = []
+            for key, x in zip(zip(*(batch.column(k).to_pylist() for k in keys)), batch.column(value).to_pylist()):
+                if key != last:
+                    last, ranked = key, Ranked()
+                found.append([ranked.quantile(s) for s in shares] if ranked.n else None)
+                if x is not None:
+                    ranked.add(x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float64()))], schema.names)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def running(df: DataFrame, keys: Sequence[str], by: str, value: str, out: str, parts: int = 32) -> DataFrame:
+    """df with out: the sum of value over the rows of the group whose `by` is at most the row's own.
+
+    Groups are cut into ranges of by at estimated quantiles; each range's sum is carried to the ranges after it, and
+    rows are summed inside their range alone. So no task holds a whole group, unless one value of by does. Null keys are a group."""
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 1000).alias("__cuts")).select(F.struct(*keys).alias("__key"), "__cuts")
+    ranged = df.withColumn("__key", F.struct(*keys)).join(cuts, "__key").withColumn("__part", F.size(F.filter("__cuts", lambda x: x < F.col(by)))).drop("__cuts")
+    sums = ranged.groupBy("__key", "__part").agg(F.sum(value).alias("__held"))
+    before = sums.select("__key", "__part", F.coalesce(F.sum("__held").over(Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__key", "__part").orderBy(by).rangeBetween(Window.unboundedPreceding, 0)
+    return ranged.join(before, ["__key", "__part"]).withColumn(out, F.sum(value).over(inside) + F.col("__before")).drop("__key", "__part", "__before")
+
+
 def expanding(df: DataFrame, keys: Sequence[str], order: Sequence[str]):
     """The rows before the current one in its group."""
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

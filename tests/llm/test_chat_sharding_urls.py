@@ -67,6 +67,18 @@ def test_shards(spark):
     assert sharding.assign(empty(spark), 8).count() == 0
 
 
+def test_shards_of_text_keys(spark):
+    """Text keys take any shard they would by their text; a key that a third of the rows have, nulls and repeated rows."""
+    table = [(f"k{i % 97:03}" if i % 3 else "hot", f"t{i % 50}") for i in range(600)] + [(None, "x"), (None, None), ("é", ""), ("é", "")]
+    out = sharding.assign(spark.createDataFrame(table, "name string, text string"), 5, id_col="name", ranges=16).collect()
+    assert len(out) == len(table) and len({(r.shard, r.slot) for r in out}) == len(table)
+    by_shard = {}
+    for r in sorted(out, key=lambda r: (r.shard, r.slot)):
+        by_shard.setdefault(r.shard, []).append((r.doc_id is not None, r.doc_id or "", r.size))
+    assert all(x == sorted(x) for x in by_shard.values())
+    assert all(len({r.shard for r in out if r.doc_id == k}) == 1 for k in {r.doc_id for r in out})
+
+
 def test_weighted_shards(spark):
     from pyspark.sql import functions as F
 

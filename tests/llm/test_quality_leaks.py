@@ -3,8 +3,9 @@ import random
 import re
 from collections import Counter
 
-import pytest
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.fixtures import documents, empty, got, prose, rows, wanted
 from tidewatch.llm import decontam, pieces, quality
@@ -68,7 +69,7 @@ def test_repeated_words():
 # -- benchmark leaks --
 
 
-def test_bands_reject_what_the_vocabulary_cannot_spell(spark):
+def test_bands_reject_junk_and_keep_prose(spark):
     import base64
 
     rng = random.Random(6)
@@ -145,12 +146,29 @@ def test_leak_edges(spark):
 def test_short_null_and_repeated_items(spark):
     items = [(None, "a wholly nameless item of forty and more characters"), (None, "too short"), (7, "Why?"), (7, "who is the man there"), (8, "who is the man there"), (9, ""), (10, " \n"), (7, "Why?")]
     docs = [(1, "so why? because"), (2, "so whywhy? because"), (3, "who is  the man\nthere"), (4, "who is the man thereof"), (5, "who is the men there"), (6, "TOO SHORT"), (7, "it is a wholly nameless item of forty and more characters and too short, why?"), (8, None), (8, "why?")]
-    want = [(1, True, 1, 7, 0), (2, False, 0, None, None), (3, True, 2, 7, 0), (4, False, 0, None, None), (5, False, 0, None, None), (6, True, 1, None, 0), (7, True, 2, 7, 0), (8, False, 0, None, None), (8, True, 1, 7, 0)]
+    want = [(1, True, 1, 7, 0), (2, False, 0, None, None), (3, True, 2, 7, 0), (4, True, 2, 7, 0), (5, True, 2, 7, 1), (6, True, 1, None, 0), (7, True, 2, 7, 0), (8, False, 0, None, None), (8, True, 1, 7, 0)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     held = spark.createDataFrame(items, "item_id long, text string")
     for limit in (decontam.BLOCK, 30):
         assert got(decontam.find_leaks(df, held, limit=limit), "doc_id", "contaminated", "n_items", "item_id", "edits") == wanted(want)
-    assert got(decontam.find_leaks(df, held, keep=True), "doc_id") == [(2,), (4,), (5,), (8,)]
+    assert got(decontam.find_leaks(df, held, keep=True), "doc_id") == [(2,), (8,)]
+
+
+def test_short_items_have_their_edits(spark):
+    """All items of 10 to 60 characters with as many edits as the rule allows, glued to letters or not, and none with one more."""
+    rng = random.Random(8)
+    items = [(f"i{n:02}", "".join(rng.choice("abcdefghijklmnop") for _ in range(n))) for n in range(10, 61)]
+    docs = [(f"{k}{glue}{over}", f"{'some text before':>30}{glue}{body}{glue}and after it") for k, t in items for glue in (" ", "q") for over in (0, 1) for body in ["".join("z" if i in set(range(3, len(t), 7)[: len(t) * 5 // 100 + over]) else c for i, c in enumerate(t))]]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    out = decontam.find_leaks(df, spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert {r.doc_id: r.item_id for r in out} == {d: (d[:3] if d.endswith("0") else None) for d, _ in docs}
+
+
+def test_places_do_not_depend_on_the_order_of_rows(spark):
+    text = "x" * 40 + " the river of stones ran slowly past the tall old mill house " + "y" * 40 + " a second text of the same item that is here as well for all to see"
+    both = ["the river of stones ran slowly past the tall old mill house", "a second text of the same item that is here as well for all to see"]
+    found = [decontam.Patterns([(1, x) for x in some]).find(text) for some in (both, both[::-1])]
+    assert found[0] == found[1] == [(1, 0, 41, 100)]
 
 
 @pytest.mark.parametrize("q", [1, 2, 3, 5, 8, 12, 13])
@@ -171,3 +189,14 @@ def test_align():
         found = decontam.align(decontam.codes(pattern), decontam.codes(text), -30, 100, 25)
         assert found and found[0] == least_edits(pattern, text)
         assert least_edits(pattern, text[found[1] : found[2]]) == found[0]
+
+
+def test_columns_of_our_own_names_stay(spark):
+    from tidewatch.llm import suffix_dedup
+
+    long = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(1, long, "keepme", "a", "b", "c"), (2, long + " more", "this", "d", "e", "f"), (3, "short", "too", "g", "h", "i")], "doc_id long, text string, __lang string, __t1 string, __t2 string, __KEPT string")
+    own = ["doc_id", "__lang", "__t1", "__t2", "__KEPT"]
+    assert got(suffix_dedup.cut_repeats(df), *own) == got(df, *own)
+    kept = quality.score(df.withColumn("text", F.lit(long)), PIECE, keep=True)
+    assert kept.columns == df.columns and got(kept, *own) in (got(df, *own), [])

@@ -27,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL = 50_000
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until df has no such column (of any case)."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Work:
     """A folder in the shared one for the written tables and files of one operator call.
 

@@ -5,27 +5,27 @@ m - q + 1 - k*q of its q-grams with it, at diagonals (place in the text less pla
 pattern) that differ by at most k to either side. Shared q-grams are counted in overlapping
 bands of diagonals, each of which holds every such run whole; bands that reach the bound are
 verified by an alignment limited to the band. Texts and patterns are compared in lower case
-with runs of white space as one space. Items of any length are found whole, within their edits;
-those under LEAST characters exactly and between word boundaries, and those too short for a
-q-gram by the hash of all of their characters.
+with runs of white space as one space. One rule holds for items of all lengths: they are found whole,
+within EDITS edits in a hundred characters (rounded down). Those too short for a q-gram, which are
+words rather than passages, are found by the hash of all of their characters, between word boundaries.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewatch.llm.common import groups, no_table
 
 #: Characters of a q-gram; edits allowed, per hundred characters of the pattern.
-Q, EDITS = 12, 5
-#: Shorter items must occur without an edit, and neither follow nor precede a letter or digit.
-LEAST = 32
+Q, EDITS = 10, 5  # 20 characters, the fewest with an edit, keep 20 - 10 + 1 - 10 q-grams
 #: Characters of patterns that one pass over the texts compares with (an item is never split); a larger benchmark takes more passes.
 BLOCK = 4_000_000
 TABLE_BITS = 22
@@ -61,14 +61,14 @@ def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
 class Patterns:
     """The benchmark's patterns and an index of their q-grams; about BLOCK characters and a table of fixed size."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], q: int = Q, edits: int = EDITS) -> None:
+    def __init__(self, items: list[tuple[Any, str | None]], q: int = Q, edits: int = EDITS) -> None:
         self.q = q
-        all_ = [(key, codes(normal(text or ""))) for key, text in items]
+        all_ = [(key, codes(text)) for key, text in sorted({(key, normal(text or "")) for key, text in items}, key=by_item)]
         long = [(key, c) for key, c in all_ if len(c) >= q]
         self.item, self.codes = [k for k, _ in long], [c for _, c in long]
         size = np.array([len(x) for x in self.codes], np.int64)
         self.far = int(size.max(initial=0))
-        self.budget = np.where(size < LEAST, 0, np.minimum(size * edits // 100, np.maximum((size - q) // q, 0)))
+        self.budget = np.minimum(size * edits // 100, np.maximum((size - q) // q, 0))
         self.least = size - q + 1 - self.budget * q
         all_grams = [grams(x, q) for x in self.codes]
         flat = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
@@ -85,10 +85,10 @@ class Patterns:
             if 0 < len(c) < q:
                 self.tiny.setdefault(len(c), {}).setdefault(int(grams(c, len(c))[0]), []).append((key, c))
 
-    def find(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
+    def find(self, text: str | None) -> list[tuple[Any, int, int, int]]:
         """(item, edits, start, end) of the best match of each item, nulls last; places are in the normalized text."""
         c = codes(normal(text or ""))
-        best: dict[int | None, tuple] = {}
+        best: dict[Any, tuple] = {}
         for key, *found in chain(self._tiny(c), self._banded(c)):
             if key not in best or found < best[key]:
                 best[key] = found
@@ -123,17 +123,12 @@ class Patterns:
         low = (diagonal - band * step < step - 1) & (band > 0)  # it also lies in the overlap with the band before
         key = np.concatenate([which, which[low]]) * np.int64(1 << 40) + np.concatenate([band, band[low] - 1])
         key, n = np.unique(key, return_counts=True)
-        exact: set = set()  # items found without an edit
         for x in key[n >= self.least[key >> 40]]:
             p, b = int(x >> 40), int(x & ((1 << 40) - 1))
             k_ = int(self.budget[p])
-            if self.item[p] in exact:
-                continue
             found = align(self.codes[p], c, b * (2 * k_ + 1) - self.far - k_, 4 * k_ + 1 + 2 * k_, k_)
-            if found and (len(self.codes[p]) >= LEAST or apart(c, *found[1:])):
+            if found:
                 yield self.item[p], *found
-                if not found[0]:
-                    exact.add(self.item[p])
 
 
 def apart(c: np.ndarray, start: int, end: int) -> bool:
@@ -143,7 +138,7 @@ def apart(c: np.ndarray, start: int, end: int) -> bool:
 
 def by_item(x: tuple) -> tuple:
     """Orders matches by item, null last."""
-    return x[0] is None, x[0] or 0, *x[1:]
+    return x[0] is None, () if x[0] is None else (x[0],), *x[1:]
 
 
 def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: int) -> tuple[int, int, int] | None:
@@ -177,12 +172,31 @@ def align(pattern: np.ndarray, text: np.ndarray, low: int, width: int, budget: i
 NAMES = ("contaminated", "n_items", "item_id", "edits", "start", "end")
 
 
-def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[int, str]]]:
+class Blocks:
+    """The benchmark's blocks, as broadcasts. A worker holds one of several at a time, over texts of many batches."""
+
+    def __init__(self, held: list) -> None:
+        self.held = held
+        self.chars = 1 << (20 if len(held) < 2 else 25)
+
+    def find(self, texts: list[str]) -> list[list[tuple]]:
+        """All items in each text; every item is in one block."""
+        found: list[list[tuple]] = [[] for _ in texts]
+        for i in range(len(self.held)):
+            one = self.held[i].value
+            for own, text in zip(found, texts):
+                own += one.find(text)
+            if len(self.held) > 1:
+                self.held[i].__dict__.pop("_value", None)  # what the handle has read; the next use reads it again
+        return found
+
+
+def blocks(benchmark: DataFrame, id_col: str, text_col: str, limit: int) -> Iterator[list[tuple[Any, str]]]:
     """The benchmark in parts of about `limit` characters, each collected on its own; all texts of an id are in one part."""
     total = benchmark.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-total // limit))
     for i in range(n):
-        part = benchmark.select(F.col(id_col).cast("long"), F.col(text_col)).where(F.pmod(F.xxhash64(id_col), F.lit(n)) == i)
+        part = benchmark.select(id_col, text_col).where(F.pmod(F.xxhash64(id_col), F.lit(n)) == i)
         yield [tuple(x) for x in part.distinct().collect()]
 
 
@@ -193,39 +207,36 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     With keep, the rows of df that hold no item come back, all columns and nothing else. Null and empty texts
     and items hold and match nothing; null ids and repeated rows are kept; an empty benchmark matches
     nothing, an empty table gives no rows. An item id that repeats is one item that any of its texts
-    tells; items with a null id are one item, last in ties. No text is shuffled. A benchmark over `limit`
-    characters is compared in blocks, one pass over the texts for each; the driver holds one block at a time.
+    tells, its place is that of its best match, whatever the order of rows; items with a null id are one item,
+    last in ties. Ids are of any type that has an order. No text is shuffled. A benchmark over `limit`
+    characters is compared in blocks: the driver holds one at a time, and so do workers, for each some 30 million characters of texts.
     """
     spark, schema = df.sparkSession, df.schema
-    parts = (spark.sparkContext.broadcast(Patterns(x)) for x in blocks(benchmark, item_id, item_text, limit))
+    held = Blocks([spark.sparkContext.broadcast(Patterns(x)) for x in blocks(benchmark, item_id, item_text, limit)])
+
+    def texts_of(batches: Iterable[pa.RecordBatch], name: str) -> Iterator[tuple[pa.RecordBatch, list[list[tuple]]]]:
+        no_table("leaks")
+        for batch in batches:
+            at = 0
+            for texts in groups(batch.column(batch.schema.names.index(name)), held.chars):
+                yield batch.slice(at, len(texts)), held.find(texts)
+                at += len(texts)
+
     if keep:
-        out = df
-        for held in parts:
-
-            def kept(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-                no_table("leaks")
-                for batch in batches:
-                    i = batch.schema.names.index(text_col)
-                    yield batch.filter(pa.array([not held.value.find(x) for texts in groups(batch.column(i)) for x in texts], pa.bool_()))
-
-            out = out.mapInArrow(kept, schema)
-        return out
-    kind = schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_items"), *(F.lit(None).cast("long").alias(x) for x in NAMES[2:]))
-    for held in parts:
-
-        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            no_table("leaks")
-            for batch in batches:
-                rows = []
-                before = zip(*(batch.column(i).to_pylist() for i in range(2, 7)))
-                for text, old in zip((x for texts in groups(batch.column(1)) for x in texts), before):
-                    found = held.value.find(text)
-                    options = found + ([old[1:]] if old[0] else [])
-                    item, edits, start, end = min(options, key=lambda x: (x[1], *by_item(x))) if options else (None,) * 4
-                    rows.append((old[0] + len(found), item, edits, start, end))
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", "text", *NAMES[1:]])
-
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, n_items long, item_id long, edits long, start long, end long")
+
+        def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, found in texts_of(batches, text_col):
+                yield part.filter(pa.array([not x for x in found], pa.bool_()))
+
+        return df.mapInArrow(kept, schema)
+    kind, own = schema[id_col].dataType.simpleString(), benchmark.schema[item_id].dataType
+    types = (pa.int64(), to_arrow_type(own), *[pa.int64()] * 3)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in texts_of(batches, "text"):
+            rows = [(len(x), *(min(x, key=lambda y: (y[1], *by_item(y))) if x else (None,) * 4)) for x in found]
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, t) for x, t in zip(cols, types))], ["doc_id", *NAMES[1:]])
+
+    out = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, n_items long, item_id {own.simpleString()}, edits long, start long, end long")
     return out.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), *NAMES[1:])

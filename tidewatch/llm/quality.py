@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import groups, worker_table
+from tidewatch.llm.common import free, groups, worker_table
 from tidewatch.llm.pieces import load
 
 SPACE = " \t\n\v\f\r"
@@ -198,14 +198,14 @@ def score(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "tex
             rows = [r for texts in groups(batch.column(i)) for r in measure_all(texts, list(islice(langs, len(texts))), words, held)]
             if keep:
                 mask = pa.array([r[6] for r in rows], pa.bool_())
-                yield batch.filter(mask).select([x for x in batch.schema.names if x != lang_at or lang_at in schema.names])
+                yield batch.filter(mask).select(schema.names)
             else:
                 cols = list(zip(*rows)) or [[] for _ in COLUMNS]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, (_, t) in zip(cols, COLUMNS))], ["doc_id", *(x for x, _ in COLUMNS)])
 
     if keep:
-        text_at, lang_at = text_col, "__lang"
-        return df.withColumn("__lang", lang).mapInArrow(run, schema)
+        text_at, (lang_at,) = text_col, free(df, "__lang")
+        return df.withColumn(lang_at, lang).mapInArrow(run, schema)
     text_at, lang_at = "text", "lang"
     kind = schema[id_col].dataType.simpleString()
     given = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), lang.alias("lang"))

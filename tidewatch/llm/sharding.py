@@ -12,9 +12,12 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Ranges of the key for numbering slots; a range's rows of one shard are sorted in one task.
 RANGES = 128
+#: Keys that ranges of text keys are taken from.
+SAMPLE = 10_000
 
 
 def hashed(key: Column, shard: int) -> Column:
@@ -53,9 +56,14 @@ def slots(df: DataFrame, shard: str, key: str, ties: list[str], ranges: int = RA
     """df with slot: each row's place in its shard, gapless from 0, by key (nulls first) and ties.
 
     Rows are counted by shard and key range first (partial sums, key column alone); a row's slot is
-    its rank inside its range plus the rows of the ranges before, so no task sorts a whole shard.
+    its rank inside its range plus the rows of the ranges before, so no task sorts a whole shard. Keys of
+    types without quantiles, such as text, are cut at those of a bounded sample (the SAMPLE keys of least hash); they only tell how even ranges are.
     """
-    cuts = df.agg(F.percentile_approx(F.col(key), [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
+    if isinstance(df.schema[key].dataType, T.NumericType):
+        cuts = df.agg(F.percentile_approx(F.col(key), [i / ranges for i in range(1, ranges)], 10_000).alias("q")).first()["q"]
+    else:
+        some = sorted(r[0] for r in df.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(SAMPLE).collect())
+        cuts = [some[len(some) * i // ranges] for i in range(1, ranges)] if some else []
     ranged = df.withColumn("__range", range_of(F.col(key), sorted(set(cuts or []))))
     before = Window.partitionBy(shard).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy(shard, "__range").count().select(shard, "__range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Work, among, no_table, picked
+from tidewatch.llm.common import Work, among, free, no_table, picked
 from tidewatch.llm.jaccard_join import shingler
 from tidewatch.llm.lyndon import repeated
 
@@ -415,10 +415,10 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return known, windows
 
 
-def _keyed(df: DataFrame, text_col: str) -> DataFrame:
+def _keyed(df: DataFrame, text_col: str, one: str = "__t1", two: str = "__t2") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     half = lambda i: F.conv(F.substring(F.md5(text), i, 15), 16, 10).cast("long")
-    return df.withColumn("__t1", half(1)).withColumn("__t2", half(17))
+    return df.withColumn(one, half(1)).withColumn(two, half(17))
 
 
 def passage_words(windows: str, words: int) -> Column:
@@ -495,14 +495,14 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         also, by_words = find_repeats(df, id_col, text_col, work=Work(df.sparkSession, "cut-words"), words=words)
         windows = work.write(windows.join(by_words.withColumnRenamed("windows", "by_words"), ["t1", "t2"], "full_outer"), "all-windows")
         known = known.where("n > 1").select("t1", "t2", "n").unionByName(also.where("n > 1").select("t1", "t2", "n")).distinct()
-    cut = removed(df, windows, text_col, length, words).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("kept").alias("__kept"))
-    often = known.where("n > 1").select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.lit("").alias("__kept"))
-    keyed, names = _keyed(df, text_col), ["__t1", "__t2"]
+    *names, now = free(df, "__t1", "__t2", "__kept")
+    cut = removed(df, windows, text_col, length, words).select(F.col("t1").alias(names[0]), F.col("t2").alias(names[1]), F.col("kept").alias(now))
+    often = known.where("n > 1").select(F.col("t1").alias(names[0]), F.col("t2").alias(names[1]), F.lit("").alias(now))
+    keyed = _keyed(df, text_col, *names)
     ids = windows.select("t1", "t2").unionByName(known.where("n > 1").select("t1", "t2"))
     some = among(ids, ["t1", "t2"], [F.col(x) for x in names])
     out = keyed.where(some).join(cut.unionByName(often), names, "left")
-    now = F.when(F.col(text_col).isNull() | F.col("__kept").isNull(), F.col(text_col)).otherwise(F.col("__kept"))
-    out = out.withColumn(text_col, now)
+    out = out.withColumn(text_col, F.when(F.col(text_col).isNull() | F.col(now).isNull(), F.col(text_col)).otherwise(F.col(now)))
     if size_col and size_col in df.columns:
-        out = out.withColumn(size_col, F.when(F.col("__kept").isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(df.schema[size_col].dataType))
+        out = out.withColumn(size_col, F.when(F.col(now).isNull(), F.col(size_col)).otherwise(F.length(text_col)).cast(df.schema[size_col].dataType))
     return keyed.where(~some).select(df.columns).unionByName(out.select(df.columns))

@@ -15,9 +15,9 @@ from tidewatch.sources import config, files, synthetic
 
 
 @pytest.fixture(scope="module")
-def logs(tmp_path_factory):
+def logs(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("logs")
-    synthetic.generate(folder)
+    synthetic.generate(spark, folder)
     return folder
 
 
@@ -29,7 +29,7 @@ def analysis(spark, logs):
 def test_all_detectors_fire(analysis):
     alerts = analysis.alert_list()
     assert {a.detector for a in alerts} == {"brute_force", "port_scan", "suspicious_login", "privilege_escalation", "impossible_travel", "unusual_traffic"}
-    assert analysis.event_count == 78 and not analysis.diagnostic_list()
+    assert analysis.event_count == 103 and not analysis.diagnostic_list()
     ranks = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
     keys = [(ranks.index(a.severity), a.time_start) for a in alerts]
     assert keys == sorted(keys)
@@ -37,7 +37,7 @@ def test_all_detectors_fire(analysis):
 
 
 def test_clean_log(spark, tmp_path):
-    synthetic.generate(tmp_path, "ssh_normal")
+    synthetic.generate(spark, tmp_path, "key_logins")
     assert analyze_directory(spark, tmp_path).alert_list() == ()
 
 
@@ -152,8 +152,8 @@ def test_own_detectors_and_locations(spark, logs):
     assert [a.title for a in analyze_directory(spark, logs, detectors=[Own(), BruteForce()]).alert_list()] == ["Potential brute-force attack detected"] * 2 + ["own"]
     assert not [a for a in analyze_directory(spark, logs, locations={"9.9.9.9": (0, 0, "x")}).alert_list() if a.detector == "impossible_travel"]
     assert [a for a in analyze_directory(spark, logs, locations={}).alert_list() if a.detector == "impossible_travel"]
-    assert len(analyze_ssh_file(spark, logs / "ssh_bruteforce.log")) == 1
-    assert len(analyze_ssh_file(spark, logs / "ssh_bruteforce.log", threshold=6)) == 0
+    assert len(analyze_ssh_file(spark, logs / "guessing.log")) == 1
+    assert len(analyze_ssh_file(spark, logs / "guessing.log", threshold=10)) == 0
 
 
 def test_sink(spark, analysis, tmp_path):
@@ -220,7 +220,7 @@ def test_cli(spark, logs, tmp_path, capsys):
     data = json.loads(out.read_text())
     assert {a["severity"] for a in data["alerts"]} == {"HIGH", "CRITICAL"} and data["alerts"][0]["time_start"].endswith("+09:00")
     assert len(data["llm_summaries"]) == len(data["alerts"]) and {s["source"] for s in data["llm_summaries"]} == {"fallback"}
-    assert run(spark, "--logs", logs / "ssh_bruteforce.log") == 0
+    assert run(spark, "--logs", logs / "guessing.log") == 0
     assert "Number of alerts: 1" in capsys.readouterr().out
 
 
@@ -243,9 +243,10 @@ def test_cli_failures(spark, logs, tmp_path, capsys):
     assert run(spark, "--logs", tmp_path / "nothing") == 1
 
 
-def test_synthetic(tmp_path):
-    one, two = synthetic.generate(tmp_path / "a", seed=5), synthetic.generate(tmp_path / "b", seed=5)
-    assert [p.read_bytes() for p in one.values()] == [p.read_bytes() for p in two.values()]
-    assert {k: len(p.read_text().splitlines()) for k, p in one.items()} == {"ssh_normal": 3, "ssh_bruteforce": 8, "ssh_post_burst_success": 6, "firewall_port_scan": 10, "web_baseline": 12, "web_spike": 30, "windows_security": 10}
+def test_synthetic(spark, tmp_path):
+    one, two, three = (synthetic.generate(spark, tmp_path / str(i), units=2, seed=s) for i, s in enumerate((5, 5, 6)))
+    assert [p.read_bytes() for p in one.values()] == [p.read_bytes() for p in two.values()] != [p.read_bytes() for p in three.values()]
+    assert {k: len(p.read_text().splitlines()) for k, p in one.items()} == {k: 2 * x.lines + (x.kind == "windows") for k, x in synthetic.scenarios().items()}
+    assert synthetic.lines(spark, "port_sweep", units=3000).count() == 48_000
     with pytest.raises(ValueError):
-        synthetic.generate(tmp_path, "odd")
+        synthetic.generate(spark, tmp_path, "odd")

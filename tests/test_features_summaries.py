@@ -206,7 +206,7 @@ def test_catalog_has_sql_with_the_same_columns(spark, tmp_path):
             assert columns == sorted(want.columns), name
             text = lambda df: sorted(map(tuple, df[columns].astype(str).values.tolist()))
             assert text(have) == text(want), name
-    assert requests([1]) and synthetic.SCENARIOS
+    assert requests([1]) and synthetic.scenarios()
 
 
 def test_alert_order_numbers_all_rows(spark, tmp_path):

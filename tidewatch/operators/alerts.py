@@ -35,9 +35,9 @@ def union(spark: SparkSession, frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def distinct(df: DataFrame) -> DataFrame:
-    """Of alerts with equal detector, severity, title, set of sources and time range, the one found first."""
-    identity = Window.partitionBy("detector", "severity", "title", F.array_sort("source_ips"), "time_start", "time_end").orderBy("ord")
-    return df.withColumn("__n", F.row_number().over(identity)).where("__n = 1").drop("__n")
+    """Of alerts with equal detector, severity, title, set of sources and time range, the one found first. Copies are merged before they are moved."""
+    identity = ("detector", "severity", "title", F.array_sort("source_ips").alias("ips"), "time_start", "time_end")
+    return df.groupBy(*identity).agg(F.min_by(F.struct(*df.columns), "ord").alias("first")).select("first.*")
 
 
 def rank(severity: str | Column = "severity") -> Column:

@@ -158,7 +158,7 @@ def test_own_detectors_and_locations(spark, logs):
 
 def test_sink(spark, analysis, tmp_path):
     write(analysis, str(tmp_path))
-    assert spark.read.parquet(f"{tmp_path}/events").where("log_type = 'web'").count() == 42
+    assert spark.read.parquet(f"{tmp_path}/events").where("log_type = 'web'").count() == 60
     assert spark.read.parquet(f"{tmp_path}/alerts").count() == len(analysis.alert_list())
 
 

@@ -64,7 +64,7 @@ def test_stages_keep_the_columns(spark, folder):
 
 
 def test_every_operator_has_a_query():
-    assert {x.split("_")[0] for x in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {x.split("_")[0] for x in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 

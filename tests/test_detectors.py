@@ -372,15 +372,15 @@ def test_copies_and_order(spark):
 # -- rolling figures --
 
 
-@pytest.mark.parametrize(("window", "seed"), [(0, 1), (1, 2), (7, 3), (40, 4), (1000, 5)])
-def test_rolling_against_brute_force(spark, window, seed):
-    """A hot key, ties, repeated rows, nulls, instants before 1970 and at bucket borders."""
+@pytest.mark.parametrize(("window", "seed", "pieces"), [(0, 1, 1), (1, 2, 1), (7, 3, 1), (40, 4, 1), (1000, 5, 1), (1, 2, 2), (7, 3, 3), (40, 4, 7), (1000, 5, 256), (90, 6, 91)])
+def test_rolling_against_brute_force(spark, window, seed, pieces):
+    """A hot key, ties, repeated rows, nulls, instants before 1970 and at bucket borders; windows whole and in pieces."""
     rng = random.Random(seed)
     rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(-30, 60), i, rng.choice([1, 2, 3, 4, None]), rng.choice([True, False, None])) for i in range(160)]
     df = spark.createDataFrame(rows, "g string, us long, i long, v int, ok boolean")
     got = {
         r["i"]: tuple(r[x] for x in ("n", "good", "values", "last", "first_us") if r["n"] or x == "n")
-        for r in frames.rolling(df, ["g"], ["us", "i"], window, {"n": F.lit(True), "good": F.col("v") > 2}, {"values": F.col("v")}, {"last": F.col("v")}, F.col("ok")).collect()
+        for r in frames.rolling(df, ["g"], ["us", "i"], window, {"n": F.lit(True), "good": F.col("v") > 2}, {"values": F.col("v")}, {"last": F.col("v")}, F.col("ok"), pieces).collect()
     }
     want = {}
     for g, us, i, _, _ in rows:
@@ -398,6 +398,24 @@ def test_hot_source_of_many_ports(spark):
     assert (out.evidence["distinct_destination_ports"], out.evidence["distinct_destination_hosts"], out.evidence["denied_rejected_count"]) == (50, 3, 50)
 
 
+def test_one_busy_window_is_spread(spark):
+    """All rows of one source, half of them with one port, lie within one window: no task has them all, and the figures stay."""
+    df = spark.range(20_000).select(F.lit("s").alias("g"), (F.col("id") * 3).alias("us"), F.col("id").alias("i"), F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id") % 97).alias("v"))
+    window = 80_000
+    pieces = frames.pieces_for(df, ["g"], "us", window, 1000)
+    assert pieces > 1 and frames.pieces_for(df, ["g"], "us", window) == 1
+    assert frames.pieces_for(df.withColumn("us", F.lit(5)), ["g"], "us", window, 1000) == window + 1  # one instant can't be cut
+    made = lambda n: frames.rolling(df, ["g"], ["us", "i"], window, {"n": F.lit(True)}, {"values": F.col("v")}, {"last": F.col("v")}, pieces=n)
+    assert made(pieces).exceptAll(made(1)).isEmpty() and made(pieces).count() == 20_000
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = {n: made(n).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] for n in (1, pieces)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert held[1] == 20_000 and held[pieces] < 10_000
+
+
 # -- prefixes --
 
 

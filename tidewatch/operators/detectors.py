@@ -78,11 +78,13 @@ class BruteForce:
         )
 
 
-def port_frames(df: DataFrame, source: str, port: str, host: str, status: str, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = ()) -> DataFrame:
-    """Rows whose frame holds at least `least` distinct ports, with ports, hosts, accepted, denied, n and first_us of the frame."""
+def port_frames(df: DataFrame, source: str, port: str, host: str, status: str, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
+    """Rows whose frame holds at least `least` distinct ports, with ports, hosts, accepted, denied, n and first_us of the frame.
+
+    pieces (here and below): into how many a window is cut; None: as many as the busiest source needs, counted first."""
     some = frames.groups_with(df.select(source, *order, *extra, port, host, status), [source], least, F.col(port))
     counts = {"accepted": F.col(status) == "accepted", "denied": F.col(status).isin("denied", "rejected", "dropped"), "n": F.lit(True)}
-    framed = frames.rolling(some, [source], order, window_us, counts, {"ports": F.col(port), "hosts": F.nullif(host, F.lit(""))})
+    framed = frames.rolling(some, [source], order, window_us, counts, {"ports": F.col(port), "hosts": F.nullif(host, F.lit(""))}, pieces=pieces or frames.pieces_for(df, [source], order[0], window_us))
     return framed.where(F.col("ports") >= least).select(source, *order, *extra, "ports", "hosts", "accepted", "denied", "n", "first_us")
 
 
@@ -123,20 +125,20 @@ class PortScan:
         )
 
 
-def failures_before(df: DataFrame, source: str, user: str, failed: Column, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = ()) -> DataFrame:
+def failures_before(df: DataFrame, source: str, user: str, failed: Column, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
     """Rows that are not failures and have at least `least` failures in their frame, with failures, first_us and last_user of those."""
     some = frames.groups_with(df.select(source, user, *order, *extra, failed.alias("__failed")), [source], least + 1)
-    framed = frames.rolling(some, [source], order, window_us, {"failures": F.lit(True)}, latest={"last_user": F.col(user)}, of=F.col("__failed"))
+    framed = frames.rolling(some, [source], order, window_us, {"failures": F.lit(True)}, latest={"last_user": F.col(user)}, of=F.col("__failed"), pieces=pieces or frames.pieces_for(df, [source], order[0], window_us))
     hit = framed.where(~F.col("__failed") & (F.col("failures") >= least))
     return hit.select(source, user, *order, *extra, "failures", "first_us", "last_user")
 
 
-def many_users(df: DataFrame, source: str, user: str, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = ()) -> DataFrame:
+def many_users(df: DataFrame, source: str, user: str, order: Sequence[str], window_us: int, least: int, extra: Sequence[str] = (), pieces: int | None = None) -> DataFrame:
     """Of each source the first row whose frame holds at least `least` distinct users (nulls are none), with users (sorted) and first_us.
 
     Their number grows by one a row at most, so it equals `least` there: only the users of that one frame are collected."""
     some = frames.groups_with(df.select(source, *order, *extra, user), [source], least, F.col(user))
-    framed = frames.rolling(some, [source], order, window_us, distinct={"n_users": F.col(user)}).where(F.col("n_users") >= least)
+    framed = frames.rolling(some, [source], order, window_us, distinct={"n_users": F.col(user)}, pieces=pieces or frames.pieces_for(df, [source], order[0], window_us)).where(F.col("n_users") >= least)
     first = frames.best_first(framed.drop(user), [source], [], order)
     ends = F.struct(*(F.col(f"h.{x}") for x in order))
     inside = (F.col("e.__source") == F.col(f"h.{source}")) & (F.col(f"e.{order[0]}") >= F.col("h.first_us")) & (F.struct(*(F.col(f"e.{x}") for x in order)) <= ends)

@@ -34,7 +34,23 @@ def first_crossing(df: DataFrame, keys: Sequence[str], order: Sequence[str], thr
     return hit.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], window_us: int, counts: Mapping[str, Column] | None = None, distinct: Mapping[str, Column] | None = None, latest: Mapping[str, Column] | None = None, of: Column | None = None) -> DataFrame:
+#: Rows of one key that one task is given in a rolling frame before time is cut finer.
+ROWS = 1_000_000
+
+
+def pieces_for(df: DataFrame, keys: Sequence[str], us: str, window_us: int, rows: int = ROWS) -> int:
+    """Into how many pieces `rolling` has to cut a window so that no key has more than `rows` rows in one: 1 for most tables.
+
+    Counts are summed before they are shuffled; a busier piece is cut by 16 until none is left or a piece is one microsecond."""
+    span, pieces = window_us + 1, 1
+    while True:
+        held = df.groupBy(*keys, F.floor(F.col(us) / (span / pieces)).alias("__p")).agg(F.count("*").alias("__n")).agg(F.max("__n")).first()[0] or 0
+        if held <= rows or pieces >= span:
+            return min(pieces, span)
+        pieces *= 16
+
+
+def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], window_us: int, counts: Mapping[str, Column] | None = None, distinct: Mapping[str, Column] | None = None, latest: Mapping[str, Column] | None = None, of: Column | None = None, pieces: int = 1) -> DataFrame:
     """df with figures of each row's frame: for each of `counts` the rows for which the condition holds, for each of
     `distinct` the number of distinct non-null values, for each of `latest` the value in its last row, and first_us,
     the instant of its earliest row. `of` limits what a frame holds; what is said of its first and last row has
@@ -43,31 +59,80 @@ def rolling(df: DataFrame, keys: Sequence[str], order: Sequence[str], window_us:
     Nothing is collected: a row enters at its instant and leaves window_us later, and running sums over entries and
     exits are the figures. A value enters with a row that no equal one precedes within the window, and leaves with
     one that none follows. Groups are cut by time, in buckets a little longer than the window; each row goes to its
-    bucket and, to be looked back at, to the next one. So a busy key is spread over tasks and work is linear."""
+    bucket and, to be looked back at, to the next one. So a busy key is spread over tasks and work is linear.
+
+    With more than one of `pieces` each bucket is cut by time again, so a key that is busy within one window is spread
+    too: what a piece has to know of the others (the nearest equal value on either side, the next row, the sums up
+    to its start) is aggregated by piece, carried over the pieces of the bucket, and joins the piece as rows of its own.
+    The figures are the same for any number of pieces."""
     us, span = F.col(order[0]), window_us + 1
     counts, distinct, latest = counts or {}, distinct or {}, latest or {}
-    home = F.floor(us / span)
-    cut = [*keys, "__b"]
-    held = df.withColumn("__of", F.lit(True) if of is None else F.coalesce(of, F.lit(False))).withColumn("__home", home)
-    spread = held.withColumn("__b", F.explode(F.array("__home", F.col("__home") + 1))).where("__of or __b = __home").repartition(*(F.col(c) for c in cut))
-    near = ordered([*cut, "__of"], order)
-    out = spread.withColumn("__next", F.lead(us).over(near))
+    bucket = [*keys, "__b"]
+    cut = [*bucket, "__p"] if pieces > 1 else bucket
+    piece = lambda t: F.floor((t - (F.col("__b") - 1) * span) / (span / pieces))
+    held = df.withColumn("__of", F.lit(True) if of is None else F.coalesce(of, F.lit(False))).withColumn("__home", F.floor(us / span))
+    spread = held.withColumn("__b", F.explode(F.array("__home", F.col("__home") + 1))).where("__of or __b = __home")
+    spread = spread.select("*", *(v.alias(f"__v_{n}") for n, v in distinct.items()), F.lit(0).alias("__side"), F.lit(False).alias("__linked"))
+    if pieces > 1:
+        spread = spread.withColumn("__p", piece(us))
+        spread = _with_neighbours(spread, bucket, order[0], distinct)
+    spread = spread.repartition(*(F.col(c) for c in cut))
+    out = spread.withColumn("__next", F.lead(us).over(ordered([*cut, "__of", "__linked"], ["__side", *order])))
+    for n in distinct:
+        same = ordered([*cut, "__of", f"__v_{n}"], ["__side", *order])
+        alone = lambda gap: (F.col("__of") & F.col(f"__v_{n}").isNotNull() & (gap.isNull() | (gap > window_us))).cast("int")  # noqa: B023, E731
+        out = out.withColumn(f"__in_{n}", alone(us - F.lag(us).over(same))).withColumn(f"__out_{n}", alone(F.lead(us).over(same) - us))
     for n, condition in counts.items():
         weight = (F.col("__of") & F.coalesce(condition, F.lit(False))).cast("int")
         out = out.withColumn(f"__in_{n}", weight).withColumn(f"__out_{n}", weight)
-    for n, value in distinct.items():
-        same = ordered([*cut, "__of", f"__v_{n}"], order)
-        alone = lambda gap: (F.col("__of") & F.col(f"__v_{n}").isNotNull() & (gap.isNull() | (gap > window_us))).cast("int")  # noqa: B023, E731
-        out = out.withColumn(f"__v_{n}", value).withColumn(f"__in_{n}", alone(us - F.lag(us).over(same))).withColumn(f"__out_{n}", alone(F.lead(us).over(same) - us))
-    moves = out.withColumn("__exit", F.explode(F.array(F.lit(0), F.lit(1)))).where("__exit = 0 or __of").withColumn("__t", us + F.col("__exit") * window_us)
+    entry, leaves = F.col("__exit") == 0, F.col("__of") & (F.col("__home") < F.col("__b"))  # a row of the bucket itself outlasts it
+    moves = out.where("__side = 0").withColumn("__exit", F.explode(F.when(leaves, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).withColumn("__t", us + F.col("__exit") * window_us)
+    moves = moves.select(
+        "__exit", "__home", "__b", "__t", *df.columns, *([piece(F.col("__t")).alias("__p")] if pieces > 1 else []),
+        *(F.when(entry, F.col(f"__in_{n}")).otherwise(-F.col(f"__out_{n}")).cast("long").alias(f"__w_{n}") for n in (*counts, *distinct)),
+        *(F.when(entry & F.col("__of"), F.struct(v.alias("v"))).alias(f"__l_{n}") for n, v in latest.items()),
+        F.when(entry, F.lit(None)).otherwise(F.col("__next")).alias("__after"), F.when(F.col("__of"), us).alias("__first"),
+    )
+    if pieces > 1:
+        moves = _with_carries(moves, bucket, order, [f"__w_{n}" for n in (*counts, *distinct)], [f"__l_{n}" for n in latest])
     so_far = ordered(cut, ["__t", "__exit", *order]).rowsBetween(Window.unboundedPreceding, 0)
-    live = lambda n: F.sum(F.when(F.col("__exit") == 0, F.col(f"__in_{n}")).otherwise(-F.col(f"__out_{n}"))).over(so_far).cast("int")
-    first = F.coalesce(F.max(F.when(F.col("__exit") == 1, F.col("__next"))).over(so_far), F.min(F.when(F.col("__of"), us)).over(so_far))
-    last = lambda v: F.last(F.when((F.col("__exit") == 0) & F.col("__of"), F.struct(v.alias("v"))), ignorenulls=True).over(so_far)["v"]
-    told = moves.select("__exit", "__home", "__b", *df.columns, *(live(n).alias(n) for n in (*counts, *distinct)), *(last(v).alias(n) for n, v in latest.items()), first.alias("first_us"))
+    first = F.coalesce(F.max("__after").over(so_far), F.min("__first").over(so_far))
+    live = (F.sum(f"__w_{n}").over(so_far).cast("int").alias(n) for n in (*counts, *distinct))
+    last = (F.last(f"__l_{n}", ignorenulls=True).over(so_far)["v"].alias(n) for n in latest)
+    told = moves.select("__exit", "__home", "__b", *df.columns, *live, *last, first.alias("first_us"))
     return told.where("__exit = 0 and __b = __home").drop("__exit", "__home", "__b")
 
 
+def _with_neighbours(spread: DataFrame, bucket: Sequence[str], us: str, distinct: Iterable[str]) -> DataFrame:
+    """spread and, before and after the rows of each piece, the instants at which the other pieces of its bucket hold the nearest row (after it)
+    and the nearest row of each of its values. A bucket and value has a row a piece in the windows."""
+    held = spread.where("__of and __side = 0")
+
+    def nearest(at: Sequence[str], linked: bool) -> DataFrame:
+        w = Window.partitionBy(*(c for c in at if c != "__p")).orderBy("__p")
+        ends = held.groupBy(*at).agg(F.min(us).alias("__low"), F.max(us).alias("__high"))
+        sides = F.array(F.struct(F.lit(-1).alias("side"), F.lag("__high").over(w).alias("us")), F.struct(F.lit(1).alias("side"), F.lead("__low").over(w).alias("us")))
+        rows = ends.select(*at, sides.alias("__sides")).select(*at, F.explode("__sides").alias("__x")).where("__x.us is not null")
+        return rows.select(*at, F.col("__x.us").alias(us), F.col("__x.side").alias("__side"), F.lit(True).alias("__of"), F.lit(linked).alias("__linked"))
+
+    out = spread.unionByName(nearest([*bucket, "__p"], False), allowMissingColumns=True)
+    for n in distinct:
+        out = out.unionByName(nearest([*bucket, "__p", f"__v_{n}"], True).where(F.col(f"__v_{n}").isNotNull()), allowMissingColumns=True)
+    return out
+
+
+def _with_carries(moves: DataFrame, bucket: Sequence[str], order: Sequence[str], sums: Sequence[str], latest: Sequence[str]) -> DataFrame:
+    """moves and, at the start of each piece, what the pieces of its bucket before it add up to; without an instant, it comes first in its piece."""
+    at = F.when(F.col("__exit") == 0, F.struct(*order))
+    held = moves.groupBy(*bucket, "__p").agg(*(F.sum(s).alias(s) for s in sums), *(F.max_by(x, F.when(F.col(x).isNotNull(), at)).alias(x) for x in latest), F.max("__after").alias("__after"), F.min("__first").alias("__first"))
+    before = Window.partitionBy(*bucket).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(
+        *bucket, "__p", *(F.sum(s).over(before).alias(s) for s in sums), *(F.last(x, ignorenulls=True).over(before).alias(x) for x in latest),
+        F.max("__after").over(before).alias("__after"), F.min("__first").over(before).alias("__first"), F.lit(-1).alias("__exit"),
+    )
+    return moves.unionByName(carried, allowMissingColumns=True)
+
+
 def groups_with(df: DataFrame, keys: Sequence[str], least: int, of: Column | None = None) -> DataFrame:
     """Rows of groups that hold at least `least` rows, or distinct values of a column; groups that can never reach a threshold are not windowed."""
     if least <= 1:

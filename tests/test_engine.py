@@ -1,6 +1,7 @@
 """Files to report: routing, limits, diagnostics, all detectors, reports, configuration and the command line."""
 
 import json
+import random
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -72,6 +73,45 @@ def test_routing(spark, tmp_path):
     ]
 
 
+def test_large_files_are_read_in_splits(spark, tmp_path, monkeypatch):
+    """Line ends of all kinds, long, empty and broken UTF-8 lines, cuts within them, marks at the start, odd names and a file given twice: numbers and lines are those of whole files."""
+    rng = random.Random(3)
+    bits = [b"a", "\u00e4\u20ac\U0001f600".encode() * 9, b"\xff\xe2\x82", b"\n", b"\r\n", b"\r", b"\n\r", b"\r\r\n", b"word " * 40, b"", b"\xef\xbb\xbf"]
+    some = lambda n: b"".join(rng.choice(bits) for _ in range(n))
+    made = {"a b.log": some(1500), "100% [x].log": b"\xef\xbb\xbf" + some(900), "c+%20d.log": some(700) + b"\n", "d.log": b"\xef\xbb\xbfone\r", "e.log": b"", "f.log": b"\n", "g.log": b"no end"}
+    for name, content in made.items():
+        (tmp_path / name).write_bytes(content)
+    given = list(enumerate(tmp_path / n for n in [*made, "c+%20d.log"]))
+    options = {"spark.sql.files.maxPartitionBytes": "4096", "spark.sql.files.openCostInBytes": "1"}
+    was = {k: spark.conf.get(k) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
+    try:
+        split = files.split_lines(spark, given)
+        assert split.select("source").where(F.col("source").contains("100%")).count() > 0
+        have = sorted(tuple(r[x] for x in ("source", "file_ord", "line_no", "line")) for r in split.collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    want = sorted(tuple(r) for r in files.scan_lines(files._contents(spark, given)).collect())
+    assert len(have) > 1500 and have == want
+
+    ssh, fw = "Mar 10 02:00:{:02d} h sshd[1]: Invalid user b from 1.1.1.1\n", "Mar 10 02:00:00 h kernel: DROP SRC=1.1.1.1 DPT=3\n"
+    texts = {"x1.log": "".join(ssh.format(i % 60) for i in range(200)) + "what\n", "x2.txt": fw * 70, "x3.log": "is this\n" * 60, "x4.log": ssh.format(1) + "x" * 3000, "my_access.log": "none\n"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    told = {}
+    for whole in (files.WHOLE, 100):
+        monkeypatch.setattr(files, "WHOLE", whole)
+        routed = files.route(spark, [tmp_path / n for n in texts], limits=files.Limits(max_line_length=2000))
+        assert [r.large for r in routed] == [whole == 100] * 4 + [False]
+        events, bad = files.read(spark, routed)
+        told[whole] = [(r.format, r.reason) for r in routed], sorted(map(str, events.collect())), sorted(map(str, bad.collect()))
+    a, b = told.values()
+    assert a == b and len(a[1]) == 270 and len(a[2]) == 4
+    assert a[0] == [("ssh", None), ("firewall", None), (None, "unable to determine log format from filename or content"), (None, "line exceeds maximum length of 2000 bytes"), ("web", None)]
+
+
 def test_odd_names_and_stores(spark, tmp_path):
     line = "Mar 10 02:00:00 h sshd[1]: Invalid user b from 1.1.1.1\n"
     names = ["a b.log", "c%20d.log", "e[f]{g}*.log", "h,i?.log", "é.log"]

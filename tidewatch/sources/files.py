@@ -13,18 +13,22 @@ from pathlib import Path, PurePosixPath
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from tidewatch.model import DIAGNOSTIC, EVENT, LOG_TYPES, Place, located
-from tidewatch.session import ship
+from tidewatch.session import scratch, ship
 from tidewatch.sources import parsers
 
 SUFFIXES = (".log", ".txt", ".csv")
 #: Parts of a file's name that tell its format, in the order in which they count.
 NAME_HINTS = (("ssh", ("ssh", "auth", "secure")), ("firewall", ("firewall", "iptables", "netfilter", "fw")), ("web", ("web", "access", "nginx", "apache", "http")))
 SNIFF_LINES = 50
+#: Text files above this size are read in splits, not as a row.
+WHOLE = 32 * 1024 * 1024
+#: What a row can hold: a CSV file, which has to be read in whole, is refused beyond it.
+LONGEST_ROW = (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,7 @@ class Routed:
     path: Place
     format: str | None = None
     reason: str | None = None
+    large: bool = False
 
 
 def _store(spark: SparkSession, uri: str) -> tuple:
@@ -114,19 +119,35 @@ def csv_records(text: str) -> Iterator[tuple[int, dict[str, str], str, bool]]:
 PATTERN = re.compile(r"([\\\[\]{}*?])")
 
 
-def _contents(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> DataFrame:
-    """file_ord, source (as given), length, content of each file; one row for each time that a file is given, which the size limit bounds."""
+def _given(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> tuple[DataFrame, list[str]]:
+    """(uri, file_ord, source as given) of each file, and the paths to load; one row for each time that a file is given. The list is the driver's own."""
     own = [(_store(spark, p)[1].toString() if isinstance(p, str) else f"file:{p.resolve()}", i, str(p)) for i, p in files]
-    known = spark.createDataFrame(own, "uri string, file_ord long, source string")
-    read = spark.read.format("binaryFile").load([PATTERN.sub(r"\\\1", uri) for uri in dict.fromkeys(x[0] for x in own)])
-    uri = F.regexp_replace("path", "^file:/+", "file:/")
-    return read.select(uri.alias("uri"), "length", "content").join(F.broadcast(known), "uri")  # a row a file, from the driver's own list
+    return F.broadcast(spark.createDataFrame(own, "uri string, file_ord long, source string")), [PATTERN.sub(r"\\\1", uri) for uri in dict.fromkeys(x[0] for x in own)]
 
 
-def _text(content) -> object:
+def _text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def _uri(path: str | Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "file:/").alias("uri")
+
+
+def _contents(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> DataFrame:
+    """file_ord, source (as given), length, content of each file, which the size limit bounds."""
+    known, paths = _given(spark, files)
+    return spark.read.format("binaryFile").load(paths).select(_uri("path"), "length", "content").join(known, "uri")
+
+
+def _records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """uri, start of the split, size of the file, at and line of text files: what stands between \\n, cut at \\r (at = 0 for the first of a record) but for one before the \\n."""
+    text = _text(F.col("value"))
+    lines = F.split(F.regexp_replace(text, r"\r\z", ""), "\r")
+    read = spark.read.option("lineSep", "\n").text(paths)
+    path = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))  # it is encoded there; a plus is not
+    return read.select(_uri(path), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.octet_length("value").alias("bytes"), F.posexplode(lines).alias("at", "line"))
+
+
 def scan_lines(contents: DataFrame) -> DataFrame:
     """source, file_ord, line_no, line; line ends are \\n, \\r\\n or \\r, and the one at the end of the file opens no line."""
     parts = F.split(_text(F.col("content")), "\r\n|\r|\n")
@@ -134,6 +155,25 @@ def scan_lines(contents: DataFrame) -> DataFrame:
     return contents.select("source", "file_ord", F.posexplode(kept).alias("at", "line")).select("source", "file_ord", (F.col("at") + 1).cast("long").alias("line_no"), "line")
 
 
+def split_lines(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> DataFrame:
+    """What scan_lines gives, of files of any size: none is read by one task, or as a row.
+
+    Lines go once to a table in the shared folder, numbered as their task reads them, so a split's numbers are without gaps. The splits'
+    first numbers and counts, a row a split, give by prefix sums what stands before each; they are written too, so Spark knows
+    their size when it joins them. A byte order mark, which readers of lines drop, shows as bytes that no record has and is put back."""
+    known, paths = _given(spark, files)
+    folder = scratch(spark, "lines")
+    _records(spark, paths).select("uri", "start", "size", F.when(F.col("at") == 0, F.col("bytes") + 1).alias("bytes"), "line", F.monotonically_increasing_id().alias("id")).write.parquet(f"{folder}/lines")
+    lines = spark.read.parquet(f"{folder}/lines")
+    splits = lines.groupBy("uri", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.first("size").alias("size"))
+    whole, before = Window.partitionBy("uri"), Window.partitionBy("uri").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    marked = F.col("size") - F.sum("bytes").over(whole) > 1
+    splits.select("uri", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), marked.alias("marked")).write.parquet(f"{folder}/splits")
+    numbered = lines.join(spark.read.parquet(f"{folder}/splits"), ["uri", "start"]).withColumn("line_no", F.col("before") + F.col("id") - F.col("first") + 1)
+    line = F.when(F.col("marked") & (F.col("line_no") == 1), F.concat(F.lit("\ufeff"), "line")).otherwise(F.col("line"))
+    return numbered.join(known, "uri").select("source", "file_ord", "line_no", line.alias("line"))
+
+
 def scan_csv(contents: DataFrame) -> DataFrame:
     """Records of Windows CSV files. Quoting and record numbers need a CSV reader's state, so files are read by Python's in Arrow batches."""
     ship(contents.sparkSession)
@@ -170,16 +210,38 @@ def _is_csv(path: Place) -> bool:
 
 
 def _probe(spark: SparkSession, files: Sequence[tuple[int, Place]], limits: Limits) -> dict[int, dict]:
-    """Size, longest line in bytes, CSV header and sniffing scores of each file, from one pass over them in the executors."""
+    """Size, longest line in bytes, CSV header and sniffing scores of each file within the limit, from passes over them in the executors."""
     ship(spark)
+    known, paths = _given(spark, files)
+    sizes = spark.read.format("binaryFile").load(paths).select(_uri("path"), "length").join(known, "uri")
+    facts = {r["file_ord"]: {"length": r["length"]} for r in sizes.select("file_ord", "length").toLocalIterator()}  # a row a file, here and below
+    inside = [(i, p) for i, p in files if i in facts and facts[i]["length"] <= (min(limits.max_file_size_bytes, LONGEST_ROW) if _is_csv(p) else limits.max_file_size_bytes)]
+    large = [(i, p) for i, p in inside if facts[i]["length"] > WHOLE and not _is_csv(p)]
+    for told, some in ((_whole_facts, [x for x in inside if x not in large]), (_split_facts, large)):
+        for r in told(spark, some).toLocalIterator() if some else ():
+            facts[r["file_ord"]] |= {**r.asDict(), "large": told is _split_facts}
+    return facts
+
+
+def _scores(lines: DataFrame, by: str) -> DataFrame:
+    return parsers.acceptance(lines.where((F.col("line_no") <= SNIFF_LINES) & (F.trim("line") != ""))).groupBy(by).agg(*(F.count_if(k).alias(k) for k in parsers.TEXT_FORMATS))
+
+
+def _whole_facts(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> DataFrame:
     contents = _contents(spark, files)
-    small = F.col("length") <= limits.max_file_size_bytes
     longest = F.array_max(F.transform(F.split(F.col("content").cast("string"), "\n"), lambda x: F.octet_length(x)))
-    windows = _windows(F.when(small & F.lower("source").endswith(".csv"), F.col("content"))) if any(_is_csv(p) for _, p in files) else F.lit(False)
-    facts = contents.select("file_ord", "length", F.when(small, longest).alias("longest"), windows.alias("windows"))
-    lines = scan_lines(contents.where(small)).where((F.col("line_no") <= SNIFF_LINES) & (F.trim("line") != ""))
-    scores = parsers.acceptance(lines).groupBy("file_ord").agg(*(F.count_if(k).alias(k) for k in parsers.TEXT_FORMATS))
-    return {r["file_ord"]: r.asDict() for r in facts.join(scores, "file_ord", "left").toLocalIterator()}  # a row a file
+    windows = _windows(F.when(F.lower("source").endswith(".csv"), F.col("content"))) if any(_is_csv(p) for _, p in files) else F.lit(False)
+    return contents.select("file_ord", longest.alias("longest"), windows.alias("windows")).join(_scores(scan_lines(contents), "file_ord"), "file_ord", "left")
+
+
+def _split_facts(spark: SparkSession, files: Sequence[tuple[int, Place]]) -> DataFrame:
+    """The same of large text files: the longest line by splits, the scores from the first lines of the first split (a byte order mark aside)."""
+    known, paths = _given(spark, files)
+    records = _records(spark, paths)
+    longest = records.groupBy("uri").agg(F.max("bytes").alias("longest"))
+    first = records.where("start = 0").select("uri", "line", F.monotonically_increasing_id().alias("id"))
+    lines = first.withColumn("line_no", F.row_number().over(Window.partitionBy("uri").orderBy("id"))).where(F.col("line_no") <= SNIFF_LINES)
+    return longest.join(_scores(lines, "uri"), "uri", "left").join(known, "uri").drop("uri", "source").withColumn("windows", F.lit(False))
 
 
 def sniffed(scores: Mapping) -> str | None:
@@ -222,13 +284,14 @@ def route(spark: SparkSession, paths: Sequence[Place], formats: Mapping[Place, s
         facts = seen.get(i, {})
         if i in closed:
             return None, closed[i]
-        if facts.get("length", 0) > limits.max_file_size_bytes:
-            return None, f"file exceeds maximum size of {limits.max_file_size_bytes} bytes"
+        most = min(limits.max_file_size_bytes, LONGEST_ROW) if _is_csv(p) else limits.max_file_size_bytes
+        if facts.get("length", 0) > most:
+            return None, f"file exceeds maximum size of {most} bytes"
         if (facts.get("longest") or 0) > limits.max_line_length:
             return None, f"line exceeds maximum length of {limits.max_line_length} bytes"
         return choose(p, formats.get(p), facts, {*LOG_TYPES, *(own or {})})
 
-    return [Routed(i, p, *told(i, p)) for i, p in numbered]
+    return [Routed(i, p, *told(i, p), bool(seen.get(i, {}).get("large"))) for i, p in numbered]
 
 
 def select_parser(spark: SparkSession, path: Place, explicit: str | None = None) -> tuple[str | None, str | None]:
@@ -243,15 +306,16 @@ def read(spark: SparkSession, routed: Sequence[Routed], own: Mapping[str, parser
     own = own or {}
     events, bad = [], [spark.createDataFrame([(str(r.path), r.reason, None, r.ordinal, 0) for r in routed if r.reason], DIAGNOSTIC)]
     for kind in dict.fromkeys((*LOG_TYPES, *own)):
-        chosen = [(r.ordinal, r.path) for r in routed if r.format == kind]
-        if not chosen:
-            continue
-        contents = _contents(spark, chosen)
-        if kind in own:
-            good, rejects = own[kind](scan_lines(contents))
-        else:
-            good, rejects = parsers.parse_windows(scan_csv(contents)) if kind == "windows" else parsers.parse(scan_lines(contents), kind)
-        events.append(good.select(*EVENT.fieldNames()))
-        bad.append(rejects.select(*DIAGNOSTIC.fieldNames()))
+        for large in (False, True):
+            chosen = [(r.ordinal, r.path) for r in routed if r.format == kind and r.large == large]
+            if not chosen:
+                continue
+            if kind == "windows" and kind not in own:
+                good, rejects = parsers.parse_windows(scan_csv(_contents(spark, chosen)))
+            else:
+                lines = split_lines(spark, chosen) if large else scan_lines(_contents(spark, chosen))
+                good, rejects = own[kind](lines) if kind in own else parsers.parse(lines, kind)
+            events.append(good.select(*EVENT.fieldNames()))
+            bad.append(rejects.select(*DIAGNOSTIC.fieldNames()))
     union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
     return union(events) if events else spark.createDataFrame([], EVENT), union(bad)

@@ -444,6 +444,45 @@ def u3_distinct_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("detector", "severity", "title", F.array_join("source_ips", ",").alias("source_ips"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"), "summary")
 
 
+_NONE = "cast(null as varchar)"
+_NO_PORTS = "cast(null as bigint) as hosts, cast(null as bigint) as accepted, cast(null as bigint) as denied, cast(null as varchar) as crossed"
+
+
+@query(f"""
+with e as (select *, '10.0.0.' || ip as src, 'u' || user_id as who from {_SEEN}),
+bf as (select *, lag(us, 2) over (partition by src, who order by us, event_id) as first_us from e where event_type = 'error'),
+bn as (select *, row_number() over (partition by src, who order by us, event_id) as n from bf where us - first_us <= {DAY}),
+p as (select * from e where event_type = 'purchase' and k is not null),
+pf as (select a.src, a.us, a.event_id, count(distinct b.k) as ports, count(distinct b.k % 5) as hosts, count(*) filter (b.k % 3 = 0) as accepted, count(*) filter (b.k % 3 <> 0) as denied, min(b.us) as first_us
+       from p a join p b on a.src = b.src and b.us >= a.us - {12 * HOUR} and (b.us < a.us or (b.us = a.us and b.event_id <= a.event_id)) group by all),
+pl as (select *, case when ports >= 7 then 'critical' when ports >= 5 then 'high' else 'medium' end as crossed from pf where ports >= 3),
+pn as (select *, row_number() over (partition by src order by case crossed when 'critical' then 0 when 'high' then 1 else 2 end, us, event_id) as n from pl),
+s as (select * from e where event_type = 'signup'),
+lf as (select a.src, a.who, a.us, a.event_id, count(*) as failures, min(b.us) as first_us from s a join e b on a.src = b.src and b.event_type = 'error' and b.us >= a.us - {DAY} and (b.us < a.us or (b.us = a.us and b.event_id < a.event_id)) group by all having count(*) >= 2),
+mf as (select a.src, a.us, a.event_id, list_sort(list(distinct b.who)) as users, min(b.us) as first_us from s a join s b on a.src = b.src and b.us >= a.us - {6 * HOUR} and (b.us < a.us or (b.us = a.us and b.event_id <= a.event_id)) group by all having count(distinct b.who) >= 3),
+mn as (select *, row_number() over (partition by src order by us, event_id) as n from mf),
+w as (select *, dayofweek({_made('us')}) in (0, 6) as weekend from s),
+a as (
+ select 0 as i, event_id, us, first_us, src, 'brute_force' as detector, 'high' as confidence, {_NONE} as signal, who as username, 3 as observed, {_NO_PORTS}, {_NONE} as users, {_NONE} as weekend, 'HIGH' as severity from bn where n = 1
+ union all select 1, event_id, us, first_us, src, 'port_scan', 'high', null, null, ports, hosts, accepted, denied, crossed, null, null, upper(crossed) from pn where n = 1
+ union all select 2, event_id, us, first_us, src, 'suspicious_login', 'high', 'post_burst_success', who, failures, null, null, null, null, null, null, case when failures >= 4 then 'CRITICAL' else 'HIGH' end from lf
+ union all select 3, event_id, us, first_us, src, 'suspicious_login', 'high', 'multi_account_login', null, len(users), null, null, null, null, '["' || array_to_string(users, '","') || '"]', null, 'HIGH' from mn where n = 1
+ union all select 4, event_id, us, us, src, 'suspicious_login', 'medium', 'off_hours_login', who, null, null, null, null, null, null, cast(weekend as varchar), 'MEDIUM' from w where weekend or hour({_made('us')}) < 8 or hour({_made('us')}) >= 18),
+d as (select *, row_number() over (partition by i, severity, src, first_us, us order by event_id) as n from a)
+select detector, confidence, signal, src, username, cast(observed as integer) as observed, cast(hosts as integer) as hosts, cast(accepted as integer) as accepted, cast(denied as integer) as denied,
+ cast(denied as double) / (accepted + denied) as denied_ratio, crossed, users, weekend, {_made('first_us')} as time_start, {_made('us')} as time_end from d where n = 1""")
+def u3_alert_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The confidence and the facts in the evidence of the same alerts."""
+    fact = lambda k: F.get_json_object("evidence", f"$.{k}")
+    observed = F.coalesce(*map(fact, ("observed_count", "distinct_destination_ports", "failed_attempts_count", "distinct_users_count")))
+    numbers = {"observed": observed, "hosts": fact("distinct_destination_hosts"), "accepted": fact("accepted_count"), "denied": fact("denied_rejected_count")}
+    words = {"signal": fact("signal"), "src": fact("source_ip"), "username": fact("username"), "crossed": fact("threshold_crossed"), "users": fact("users"), "weekend": fact("is_weekend")}
+    return _found(spark, sf_dir).select(
+        "detector", "confidence", *(v.cast("int").alias(k) for k, v in numbers.items()), fact("denied_ratio").cast("double").alias("denied_ratio"), *(v.alias(k) for k, v in words.items()),
+        *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("time_start", "time_end")),
+    )
+
+
 @query("""
 select event_id, 'Odd ' || event_type || ' (HIGH).' as incident_summary,
  'Seen ' || user_id || '. Evidence recorded by the detector: account: u' || user_id || '; observed count: ' || event_id || '; note: ' || case event_type when 'error' then 'None' else 'a,"b":' || event_type end
@@ -477,7 +516,7 @@ def o3_alert_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = top.groupBy("severity", "hour").count()
     before = counts.select(F.col("severity").alias("s"), F.col("hour").alias("h"), (F.sum("count").over(Window.orderBy(A.rank(), "hour")) - F.col("count")).alias("before"))  # a row for each severity and hour
     own = F.row_number().over(Window.partitionBy("severity", "hour").orderBy("us", "event_id"))
-    placed = top.withColumn("own", own).join(F.broadcast(before), (F.col("severity") == F.col("s")) & F.col("hour").eqNullSafe(F.col("h")))
+    placed = top.withColumn("own", own).join(before, (F.col("severity") == F.col("s")) & F.col("hour").eqNullSafe(F.col("h")))
     return placed.select((F.col("before") + F.col("own")).cast("int").alias("place"), "event_id", "severity")
 
 

@@ -469,16 +469,16 @@ a as (
  union all select 3, event_id, us, first_us, src, 'suspicious_login', 'high', 'multi_account_login', null, len(users), null, null, null, null, '["' || array_to_string(users, '","') || '"]', null, 'HIGH' from mn where n = 1
  union all select 4, event_id, us, us, src, 'suspicious_login', 'medium', 'off_hours_login', who, null, null, null, null, null, null, cast(weekend as varchar), 'MEDIUM' from w where weekend or hour({_made('us')}) < 8 or hour({_made('us')}) >= 18),
 d as (select *, row_number() over (partition by i, severity, src, first_us, us order by event_id) as n from a)
-select detector, confidence, signal, src, username, cast(observed as integer) as observed, cast(hosts as integer) as hosts, cast(accepted as integer) as accepted, cast(denied as integer) as denied,
+select detector, confidence, signal, src, username, cast(observed as varchar) as observed, cast(hosts as varchar) as hosts, cast(accepted as varchar) as accepted, cast(denied as varchar) as denied,
  cast(denied as double) / (accepted + denied) as denied_ratio, crossed, users, weekend, {_made('first_us')} as time_start, {_made('us')} as time_end from d where n = 1""")
 def u3_alert_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The confidence and the facts in the evidence of the same alerts."""
+    """The confidence and the facts in the evidence of the same alerts; counts as the evidence's text has them, null where an alert has none."""
     fact = lambda k: F.get_json_object("evidence", f"$.{k}")
     observed = F.coalesce(*map(fact, ("observed_count", "distinct_destination_ports", "failed_attempts_count", "distinct_users_count")))
     numbers = {"observed": observed, "hosts": fact("distinct_destination_hosts"), "accepted": fact("accepted_count"), "denied": fact("denied_rejected_count")}
     words = {"signal": fact("signal"), "src": fact("source_ip"), "username": fact("username"), "crossed": fact("threshold_crossed"), "users": fact("users"), "weekend": fact("is_weekend")}
     return _found(spark, sf_dir).select(
-        "detector", "confidence", *(v.cast("int").alias(k) for k, v in numbers.items()), fact("denied_ratio").cast("double").alias("denied_ratio"), *(v.alias(k) for k, v in words.items()),
+        "detector", "confidence", *(v.alias(k) for k, v in numbers.items()), fact("denied_ratio").cast("double").alias("denied_ratio"), *(v.alias(k) for k, v in words.items()),
         *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("time_start", "time_end")),
     )
 

@@ -11,7 +11,7 @@ from tests.test_detectors import T0, connection, event, failed, frame, passed, r
 from tidewatch.functions.text import redact, redact_text
 from tidewatch.model import Alert
 from tidewatch.operators.features import FEATURES, features, in_order
-from tidewatch.operators.forest import AnomalyDetector, Forest, Settings, quantile
+from tidewatch.operators.forest import NODES, AnomalyDetector, Forest, grow, planted, quantile, samples
 from tidewatch.plans import anomalies, cli, summaries
 from tidewatch.sources import synthetic
 
@@ -83,10 +83,47 @@ def test_model_settings(spark):
 
 def test_trees_isolate_what_is_apart():
     rows = np.vstack([np.random.default_rng(0).normal(0, 1, (200, 2)), [[9.0, 9.0]]])
-    s = Forest(rows, Settings(n_estimators=50)).scores(rows)
+    s = Forest([n for t in range(50) for n in grow(rows, t, 1)], len(rows)).scores(rows)
     assert s.argmin() == 200 and (s < 0).all() and (s >= -1).all()
 
 
+@pytest.mark.parametrize("count, trees, most", [(40, 7, 16), (40, 7, 64), (40, 3, 4), (2, 3, 256), (33, 5, 32)])
+def test_samples_and_nodes(spark, count, trees, most):
+    """Trees have samples of one size without a row twice, whatever the partitions; a table of nodes gives the forest again."""
+    vectors = spark.createDataFrame([(float(i), float(i * i % 7)) for i in range(count)], "a double, b double")
+    dealt, size = samples(vectors, ["a", "b"], count, trees, most, 3)
+    rows = dealt.collect()
+    assert size == min(count, most) and sorted({r.tree for r in rows}) == list(range(trees))
+    own = {t: sorted(r.a for r in rows if r.tree == t) for t in range(trees)}
+    assert all(len(set(x)) == size == len(x) for x in own.values())
+    if size < count:
+        assert len({tuple(x) for x in own.values()}) > 1
+    other, _ = samples(vectors.repartition(5, "b"), ["a", "b"], count, trees, most, 3)
+    nodes = sorted(planted(dealt, ["a", "b"], 3).collect(), key=lambda r: r[:2])
+    assert nodes == sorted(planted(other, ["a", "b"], 3).collect(), key=lambda r: r[:2])
+    data = np.array([tuple(r) for r in vectors.collect()])
+    forest = Forest(nodes, size)
+    again = Forest(spark.createDataFrame(forest.nodes, NODES).collect(), size)
+    assert (forest.scores(data) == again.scores(data)).all()
+    leaf = {(n.tree, n.node): n for n in nodes}
+
+    def path(v, tree):  # one step after another
+        node = 1
+        while leaf[tree, node].feature is not None:
+            n = leaf[tree, node]
+            node = 2 * node + (v[n.feature] > n.cut)
+        return leaf[tree, node].path
+
+    means = np.array([np.mean([path(v, t) for t in range(trees)]) for v in data])
+    assert (np.argsort(forest.scores(data), kind="stable") == np.argsort(means, kind="stable")).all()
+
+
+def test_rows_that_are_alike_make_a_tree_of_one_leaf(spark):
+    training = baseline(spark, 1).union(baseline(spark, 1)).union(baseline(spark, 1))
+    model = AnomalyDetector(n_estimators=3).fit(training)
+    assert model.nodes(spark).count() == 3 and not model.score(training).where("is_anomaly").count()
+
+
 def test_quantile_as_sorting_all(spark):
     """Ties across the rank, neighbours in different cells, one cell, two rows."""
     rng = np.random.default_rng(5)

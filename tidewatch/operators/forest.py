@@ -1,21 +1,25 @@
 """Isolation forest (Liu, Ting and Zhou 2008) over feature vectors.
 
-A tree isolates each of a sample's rows by random cuts; rows that need few cuts are unusual.
-The training sample that trees need is bounded (trees times rows a tree), so trees are grown
-on the driver from it and scored in Arrow batches; training ranges and percentiles are exact
-over all training rows.
+A tree isolates each of a sample's rows by random cuts; rows that need few cuts are unusual. Every
+draw is a digest of the seed, the tree and the node, or of a row's values, so trees depend on the
+data and the seed alone, not on tasks or partitions, and any engine with md5 grows the same ones.
+Each tree is grown in a task of its own from its bounded sample; together they are one table of
+nodes (trees times twice the rows a tree at most), which scores any number of rows in Arrow
+batches. Training ranges, percentiles and the threshold are exact over all training rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from numbers import Real
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -64,41 +68,82 @@ def expected_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(big - 1) + np.euler_gamma) - 2 * (big - 1) / big, np.where(n == 2, 1.0, 0.0))
 
 
+#: Leaves hold paths in steps of 2 ** -20, so their sums are the same in any order.
+STEPS = 1 << 20
+NODES = "tree int, node long, feature int, cut double, path double"
+
+
+def drawn(seed: int, tree: int, node: int, what: str) -> float:
+    """A number in [0, 1) of a node of a tree."""
+    return int(hashlib.md5(f"{seed}:{tree}:{node}:{what}".encode()).hexdigest()[:13], 16) / (1 << 52)
+
+
+def grow(rows: np.ndarray, tree: int, seed: int) -> list[tuple]:
+    """The nodes of a tree of at least one row, as NODES says. The root is 1, the children of i are 2i (values up to
+    the cut) and 2i + 1; a leaf has no feature, and as its path its level plus what its rows would need yet."""
+    most = math.ceil(math.log2(max(len(rows), 2)))
+    out, left = [], [(1, 0, rows)]
+    while left:
+        node, level, own = left.pop()
+        low, high = own.min(axis=0), own.max(axis=0)
+        wide = np.flatnonzero(high > low)
+        if level == most or not len(wide):
+            out.append((tree, node, None, None, round((level + float(expected_path(len(own)))) * STEPS) / STEPS))
+            continue
+        f = int(wide[int(drawn(seed, tree, node, "feature") * len(wide))])
+        cut = float(low[f] + drawn(seed, tree, node, "cut") * (high[f] - low[f]))
+        cut = cut if cut < high[f] else float(low[f])
+        out.append((tree, node, f, cut, None))
+        side = own[:, f] <= cut
+        left += [(2 * node, level + 1, own[side]), (2 * node + 1, level + 1, own[~side])]
+    return out
+
+
+def shuffled(names: Sequence[str], seed: int, turn: Column) -> list[Column]:
+    """An order of rows by their values that looks random; equal rows are next to each other."""
+    units = [F.floor(F.col(n) % float(1 << 30) * float(STEPS)).cast("string") for n in names]
+    return [F.md5(F.concat_ws(":", F.lit(str(seed)), turn.cast("string"), *units)), *(F.col(n) for n in names)]
+
+
+def samples(vectors: DataFrame, names: Sequence[str], count: int, trees: int, most: int, seed: int) -> tuple[DataFrame, int]:
+    """Rows of vectors (count in all) with the tree that each is for, and how many a tree has. A row is in a tree's
+    sample once at most. All trees draw from the first (trees times most) rows of one order; in each turn these are
+    ordered anew and dealt to as many trees as they suffice for, so no more than twice what the trees need is sorted."""
+    held = min(count, trees * most)
+    size = min(most, held)
+    each = held // size
+    pool = vectors.orderBy(*shuffled(names, seed, F.lit(-1))).limit(held) if count > held else vectors
+    turns = pool.select(*names, F.explode(F.sequence(F.lit(0), F.lit(-(-trees // each) - 1))).alias("turn"))
+    at = F.row_number().over(Window.partitionBy("turn").orderBy(*shuffled(names, seed, F.col("turn")))) - 1
+    dealt = turns.withColumn("at", at).where(F.col("at") < each * size).withColumn("tree", F.col("turn") * each + F.floor(F.col("at") / size).cast("int"))
+    return dealt.where(F.col("tree") < trees).select("tree", *names), size
+
+
+def planted(sampled: DataFrame, names: Sequence[str], seed: int) -> DataFrame:
+    """The table of nodes of all trees; each is grown in a task of its own from its sample."""
+    names = list(names)
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        out = grow(rows[names].to_numpy(float), int(rows["tree"].iloc[0]), seed)
+        return pd.DataFrame(out, columns=["tree", "node", "feature", "cut", "path"]).astype({"feature": "Int32"})
+
+    return sampled.groupBy("tree").applyInPandas(one, NODES)
+
+
 class Forest:
-    """Trees as flat arrays: feature, cut, children, and a leaf's depth plus its expected rest."""
-
-    def __init__(self, rows: np.ndarray, settings: Settings) -> None:
-        rng = np.random.default_rng(settings.random_state)
-        limit = DEFAULT_SAMPLES if settings.max_samples == "auto" else settings.max_samples
-        self.sample = min(limit, len(rows))
-        trees = [self._grow(rows[rng.choice(len(rows), self.sample, replace=False)], rng) for _ in range(settings.n_estimators)]
-        # All trees lie in one set of arrays, in which children are numbered from a tree's root; leaves lead to themselves.
-        self.roots = np.cumsum([0, *(len(t[0]) for t in trees[:-1])])
-        joined = [np.concatenate(x) for x in zip(*trees)]
-        offsets = np.repeat(self.roots, [len(t[0]) for t in trees])
-        self.feature, self.cut, self.left, self.right, self.depth = np.maximum(joined[0], 0), joined[1], joined[2] + offsets, joined[3] + offsets, joined[4]
-        self.levels = math.ceil(math.log2(max(self.sample, 2)))
-
-    def _grow(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
-        most = math.ceil(math.log2(max(self.sample, 2)))
-        feature, cut, left, right, depth = [], [], [], [], []
-
-        def add(own: np.ndarray, level: int) -> int:
-            i = len(feature)
-            for x, v in ((feature, -1), (cut, 0.0), (left, i), (right, i), (depth, level + float(expected_path(len(own))))):
-                x.append(v)
-            low, high = (own.min(axis=0), own.max(axis=0)) if len(own) else (np.zeros(1), np.zeros(1))
-            wide = np.flatnonzero(high > low)
-            if level < most and len(own) > 1 and len(wide):
-                f = int(rng.choice(wide))
-                at = float(rng.uniform(low[f], high[f]))
-                side = own[:, f] <= at
-                feature[i], cut[i] = f, at
-                left[i], right[i] = add(own[side], level + 1), add(own[~side], level + 1)
-            return i
-
-        add(rows, 0)
-        return np.array(feature), np.array(cut), np.array(left), np.array(right), np.array(depth)
+    """All trees' nodes as flat arrays, ordered by tree and node: feature, cut, children, and a leaf's path."""
+
+    def __init__(self, nodes: Sequence[tuple], sample: int) -> None:
+        self.nodes, self.sample = sorted(tuple(x) for x in nodes), sample
+        tree, node = (np.array([x[i] for x in self.nodes], np.int64) for i in (0, 1))
+        self.levels = int(node.max()).bit_length() - 1
+        key = (tree << (self.levels + 2)) + node
+        inner = np.array([x[2] is not None for x in self.nodes])
+        child = lambda right: np.where(inner, np.searchsorted(key, key + node + right), np.arange(len(key)))  # noqa: E731 (leaves lead to themselves)
+        self.roots = np.flatnonzero(node == 1)
+        self.feature = np.array([x[2] or 0 for x in self.nodes], np.int64)
+        self.cut, self.path = (np.array([x[i] if x[i] is not None else 0.0 for x in self.nodes], float) for i in (3, 4))
+        self.left, self.right = child(0), child(1)
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """-2 ** (-mean path / expected path): lower is more unusual."""
@@ -110,7 +155,7 @@ class Forest:
             at = np.broadcast_to(self.roots, (len(own), len(self.roots)))
             for _ in range(self.levels):
                 at = np.where(own[each, self.feature[at]] <= self.cut[at], self.left[at], self.right[at])
-            out[a : a + block] = self.depth[at].sum(axis=1)
+            out[a : a + block] = self.path[at].sum(axis=1)
         return -(2.0 ** (-out / len(self.roots) / max(float(expected_path(self.sample)), 1e-12)))
 
 
@@ -137,7 +182,7 @@ def quantile(scores: DataFrame, share: float, count: int) -> float:
         before += n
         if high in found:
             break
-    return found[low] if low == high else (high - position) * found[low] + (position - low) * found[high]
+    return found[low] + (found[high] - found[low]) * (position - low)
 
 
 def standing(values: DataFrame, asked: DataFrame) -> DataFrame:
@@ -166,7 +211,7 @@ class AnomalyDetector:
         return self._metadata
 
     def fit(self, training: DataFrame, names: Sequence[str] = FEATURES) -> AnomalyDetector:
-        """Trains on a sample that holds as many rows as the trees can use; the threshold is the quantile of all training
+        """Trains each tree on its sample of the rows; the threshold is the quantile of all training
         rows' scores. What is read several times here is held until the model is ready."""
         held = [] if training.is_cached else [training.persist()]
         try:
@@ -184,12 +229,13 @@ class AnomalyDetector:
             raise ValueError("training features must be finite numbers")
         if count < 2:
             raise ValueError(f"IsolationForest requires at least 2 training observations; received {count}")
-        most = self.settings.n_estimators * (DEFAULT_SAMPLES if self.settings.max_samples == "auto" else self.settings.max_samples)
-        seed = self.settings.random_state
-        order = F.xxhash64(F.lit(seed if seed is not None else int(np.random.default_rng().integers(1 << 31))), *names)
+        own = self.settings
+        limit = DEFAULT_SAMPLES if own.max_samples == "auto" else own.max_samples
+        seed = own.random_state if own.random_state is not None else int(np.random.default_rng().integers(1 << 31))
         vectors = training.select(*(F.col(n).cast("double") for n in names))
-        rows = vectors.orderBy(order, *names).limit(most).collect() if count > most else vectors.orderBy(*names).collect()
-        self.forest = Forest(np.array([tuple(r) for r in rows], float), self.settings)
+        ship(training.sparkSession)
+        sampled, size = samples(vectors, names, count, own.n_estimators, limit, seed)
+        self.forest = Forest(planted(sampled, names, seed).collect(), size)  # bounded by trees and rows a tree
         self.training, self.names = training, names
         c, offset = self.settings.contamination, -0.5
         if c != "auto":
@@ -198,6 +244,12 @@ class AnomalyDetector:
         self._metadata = Metadata(MODEL, self.names, self.settings, count, self.forest.sample, float(offset))
         return self
 
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """The trees as a table (NODES); Forest(rows, sample) makes them of its rows again."""
+        if self.forest is None:
+            raise RuntimeError("IsolationForest model has not been fitted")
+        return spark.createDataFrame(self.forest.nodes, NODES)
+
     def _scored(self, df: DataFrame) -> DataFrame:
         if self.forest is None:
             raise RuntimeError("IsolationForest model has not been fitted")

@@ -378,25 +378,71 @@ def _class_ratio(name: str, among: str) -> str:
     return f"case when count(*) filter ({web}) > 0 then cast(count(*) filter ({web} and {among}) as double) / count(*) filter ({web}) else cast(0 as double) end as {name}"
 
 
-@query(f"""
+_FEATURES = f"""
 select '10.0.0.' || ip as source_ip, day as bucket_start, cast(count(*) as double) * 60 / 86400 as events_per_minute,
  case when count(*) filter (event_type in ('error', 'signup')) > 0 then cast(count(*) filter (event_type = 'error') as double) / count(*) filter (event_type in ('error', 'signup')) else cast(0 as double) end as failed_login_ratio,
  cast(count(distinct case when event_type = 'purchase' then k end) as double) as distinct_ports, cast(count(distinct case when event_type = 'purchase' then k % 5 end) as double) as distinct_destination_hosts,
  cast(count(distinct user_id) as double) as distinct_users, cast(sum(sent) as double) as bytes_sent_total,
  {", ".join(_class_ratio(f"status_{i}xx_ratio", f"status like '{i}%'") for i in range(1, 6))}, {_class_ratio("status_other_ratio", "status like '6%'")}
-from {_SEEN} group by ip, day""")
+from {_SEEN} group by ip, day"""
+
+
+@query(_FEATURES)
 def e1_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve features of each source and day."""
     f = E.features(security_events(spark, sf_dir), 86_400)
     return f.select("source_ip", F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), *E.FEATURES)
 
 
-@query()
-def e2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trees are random; scores are tested for their properties."""
+def _grown(source: str) -> str:
+    """Rows of trees' nodes (tree, node, level, v) with the feature and cut that their node gets, and how many it has."""
+    w = "over (partition by tree, node)"
+    draw = lambda what: f"cast('0x' || substr(md5('{SEED}:' || tree || ':' || node || ':{what}'), 1, 13) as bigint) / 4503599627370496.0"
+    least, most = (", ".join(f"{f}(v[{i}]) {w}" for i in range(1, len(E.FEATURES) + 1)) for f in ("min", "max"))
+    return f"""(select tree, node, level, v, n, feature, case when c < hi[feature] then c else lo[feature] end as cut from
+ (select *, lo[feature] + {draw('cut')} * (hi[feature] - lo[feature]) as c from
+  (select *, case when level < (select levels from z) and len(wide) > 0 then wide[1 + cast(floor({draw('feature')} * len(wide)) as bigint)] end as feature from
+   (select *, list_filter(range(1, {len(E.FEATURES) + 1}), lambda i: hi[i] > lo[i]) as wide from
+    (select *, [{least}] as lo, [{most}] as hi, count(*) {w} as n from {source})))))"""
+
+
+#: The forest's seed, trees and rows a tree, and the share of outliers.
+SEED, TREES, A_TREE, OUTLIERS = 42, 100, 256, 0.05
+_shuffled = lambda turn: f"md5('{SEED}:' || {turn} || ':' || array_to_string(list_transform(v, lambda x: cast(floor(x % 1073741824.0 * 1048576.0) as bigint)), ':')), v"
+_FOREST = f"""
+with recursive f as (select *, [{", ".join(E.FEATURES)}]::double[] as v from ({_FEATURES})),
+held as (select least(count(*), {TREES * A_TREE}) as p, least(count(*), {A_TREE}) as s from f),
+z as (select p, s, p // s as each, cast(ceil(log2(greatest(s, 2))) as int) as levels from held),
+pool as (select v from (select v, row_number() over (order by {_shuffled(-1)}) as i from f) where i <= (select p from z)),
+dealt as (select v, turn, row_number() over (partition by turn order by {_shuffled('turn')}) - 1 as i from pool, (select unnest(range(0, cast(ceil({TREES}.0 / each) as bigint))) as turn from z)),
+sampled as (select turn * each + i // s as tree, 1::bigint as node, 0 as level, v from dealt, z where i < each * s and turn * each + i // s < {TREES}),
+g as (select * from {_grown('sampled')} union all select * from {_grown("(select tree, 2 * node + case when v[feature] > cut then 1 else 0 end as node, level + 1 as level, v from g where feature is not null)")}),
+expected as (select i as n, case when i > 2 then 2 * (ln(i - 1) + 0.5772156649015329) - 2.0 * (i - 1) / i when i = 2 then 1.0 else 0.0 end as e from (select unnest(range(1, {A_TREE + 1})) as i)),
+nodes as (select distinct tree, node, feature, case when feature is not null then cut end as cut, case when feature is null then round((level + e) * 1048576) / 1048576 end as path from g join expected using (n))"""
+
+
+def _fitted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, AnomalyDetector]:
     f = E.features(security_events(spark, sf_dir), 86_400)
-    model = AnomalyDetector().fit(f)
-    return model.score(f).select("source_ip", F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), "model_score", "decision_score", "is_anomaly")
+    return f, AnomalyDetector(n_estimators=TREES, max_samples=A_TREE, contamination=OUTLIERS, random_state=SEED).fit(f)
+
+
+@query(f"""{_FOREST},
+walk as (select source_ip, bucket_start, v, tree, 1::bigint as node from f, (select unnest(range(0, {TREES})) as tree)
+ union all select source_ip, bucket_start, v, tree, 2 * node + case when v[feature] > cut then 1 else 0 end from walk join nodes using (tree, node) where feature is not null),
+scored as (select source_ip, bucket_start, -power(2, -sum(path) / {TREES} / (select e from expected, z where n = s)) as score from walk join nodes using (tree, node) where path is not null group by all),
+edge as (select quantile_cont(score, {OUTLIERS}) as q from scored)
+select source_ip, bucket_start, round(score, 9) as model_score, round(score - q, 9) as decision_score, score < q as is_anomaly from scored, edge""")
+def e2_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of each source and day by a forest that is grown from them, and who is beyond the quantile."""
+    f, model = _fitted(spark, sf_dir)
+    score = lambda n: F.round(n, 9).alias(n)
+    return model.score(f).select("source_ip", F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), score("model_score"), score("decision_score"), "is_anomaly")
+
+
+@query(f"{_FOREST} select cast(tree as int) as tree, node, cast(coalesce(feature, 0) - 1 as int) as feature, cut, path from nodes")
+def e2_forest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same forest as a table of its nodes; a leaf's feature is -1."""
+    return _fitted(spark, sf_dir)[1].nodes(spark).withColumn("feature", F.coalesce("feature", F.lit(-1)))
 
 
 @query(f"""

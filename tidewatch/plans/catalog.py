@@ -29,10 +29,10 @@ from tidewatch.sources import files, parsers
 DAY, HOUR = 86_400_000_000, 3_600_000_000
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str | Callable[[], str]] = {}  # by a function where what it needs comes later
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | Callable[[], str] | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             prepare(spark)
@@ -52,7 +52,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE_SQL)
+    return {k: v if isinstance(v, str) else v() for k, v in ORACLE_SQL.items()}
 
 
 # -- the tables --
@@ -182,6 +182,27 @@ def d5_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hit.select("user_id", "event_id", F.col("first_label").alias("first_place"), F.col("second_label").alias("second_place"), F.round("km", 6).alias("distance_km"), F.col("elapsed").alias("elapsed_seconds"))
 
 
+@query(f"""
+with p as (select range as i, -60 + 7.5 * range as lat, -170 + 21.0 * range as lon from range({_PLACES})),
+l as (select user_id, us, k % {_PLACES} as i, lag(k % {_PLACES}) over w as j, lag(us) over w as before from {ROWS} where event_type = 'signup' and user_id is not null and k % {_PLACES} >= 4 window w as (partition by user_id order by us, event_id)),
+d as (select l.*, (us - before) / 1000000.0 as elapsed, 6371.0088 * 2 * asin(sqrt(least(1.0, pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) as km
+      from l join p a on a.i = l.j join p b on b.i = l.i where before is not null)
+select 'u' || user_id as username, 'MEDIUM' as severity, 'low' as confidence, 'Potential impossible travel detected' as title, '8.8.4.' || j || ',8.8.4.' || i as source_ips, {_made('before')} as time_start, {_made('us')} as time_end, round(km, 6) as distance_km,
+ 'User ' || chr(39) || 'u' || user_id || chr(39) || ' logged in from approximate locations place ' || j || ' and place ' || i || ' at an implied speed of ' || printf('%.1f', km / (elapsed / 3600)) || ' km/h.' as summary
+from d where elapsed >= 3600 and km >= 2500 and km / (elapsed / 3600) > 300""")
+def d5_travel_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of the travel detector; places 0 to 3 have private addresses, which are passed over."""
+    e = rows(spark, sf_dir).select("event_id", (F.col("k") % _PLACES).alias("i"))
+    address = lambda i: F.concat(F.when(i < 4, "10.0.0.").otherwise("8.8.4."), i.cast("string"))
+    i = F.col("id")
+    places = spark.range(_PLACES).select(address(i).alias("ip"), (F.lit(-60) + F.lit(7.5) * i).alias("lat"), (F.lit(-170) + F.lit(21.0) * i).alias("lon"), F.concat(F.lit("place "), i.cast("string")).alias("label"))
+    logins = security_events(spark, sf_dir).join(e, F.col("line_no") == F.col("event_id")).withColumn("src_ip", address(F.col("i"))).drop("i", "event_id")
+    found = D.ImpossibleTravel(places, 300.0, 60.0, 2_500.0, True).detect(logins)
+    fact = lambda k: F.get_json_object("evidence", f"$.{k}")
+    at = lambda name: F.col(name).cast("timestamp_ntz").alias(name)
+    return found.select(fact("username").alias("username"), "severity", "confidence", "title", F.array_join("source_ips", ",").alias("source_ips"), at("time_start"), at("time_end"), F.round(fact("distance_km").cast("double"), 6).alias("distance_km"), "summary")
+
+
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     web = rows(spark, sf_dir).where("event_type in ('click', 'view')")
     return web.groupBy("user_id", instants.bucket(F.timestamp_micros("us"), 86_400).alias("day")).agg(F.count("*").alias("n"))
@@ -222,14 +243,20 @@ def d6_traffic_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.element_at("source_ips", 1).alias("source_ip"), fact("service", "string").alias("service"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"), "severity", fact("observed_count", "long").alias("observed"), fact("baseline_sample_count", "long").alias("samples"), F.round(fact("score", "double"), 6).alias("score"))
 
 
-def windows_events(e: DataFrame, *account: str) -> DataFrame:
-    """The events as account, group and process events of Windows logs and as logins. The account is the user, with what else is given."""
+def windows_events(e: DataFrame, *account: str, sparse: bool = False) -> DataFrame:
+    """The events as account, group and process events of Windows logs and as logins. The account is the user, with what else is given.
+    If sparse, some have no host or no address, hosts are in either case, and addresses differ within an account."""
+    host, ip = F.concat(F.lit("pc"), (F.col("k") % 3).cast("string")), F.concat(F.lit("10.0.0."), F.col("ip").cast("string"))
+    if sparse:
+        n = F.floor("value")
+        host = F.when(F.col("k") % 4 != 0, F.when(F.col("event_id") % 2 == 0, F.upper(host)).otherwise(host))
+        ip = F.when(n % 3 != 0, F.concat(F.lit("10.0.0."), (n % 2).cast("string")))
     kind = {"signup": "user_created", "purchase": "privileged_group_membership", "click": "process_creation", "view": "privilege_assignment", "error": "login_failure"}
     ids = {"signup": "4720", "purchase": "4732", "click": "4688", "view": "4672", "error": "4625"}
     pick = lambda d: F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in d.items()))
-    meta = F.create_map(F.lit("event_id"), pick(ids), F.lit("computer"), F.concat(F.lit("pc"), (F.col("k") % 3).cast("string")), F.lit("group_name"), F.when(F.col("k") % 2 == 0, "Administrators").otherwise("Users"))
+    meta = F.create_map(F.lit("event_id"), pick(ids), F.lit("computer"), host, F.lit("group_name"), F.when(F.col("k") % 2 == 0, "Administrators").otherwise("Users"))
     own = {
-        "timestamp": F.timestamp_micros("us"), "source": F.lit("events"), "log_type": F.lit("windows"), "event_type": pick(kind), "src_ip": F.concat(F.lit("10.0.0."), F.col("ip").cast("string")),
+        "timestamp": F.timestamp_micros("us"), "source": F.lit("events"), "log_type": F.lit("windows"), "event_type": pick(kind), "src_ip": ip,
         "user": F.concat(F.lit("u"), F.concat_ws("x", *(F.col(x).cast("string") for x in ("user_id", *account)))), "metadata": meta, "file_ord": F.lit(0), "line_no": F.col("event_id"),
     }
     return e.select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVENT.fields))
@@ -278,16 +305,16 @@ def d4_privilege_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _meets(a: str, b: str, hours: int) -> str:
-    """Whether record b comes at a's instant or at most so many hours after it, in its context (sources are equal in one account)."""
-    return f"coalesce({b} between {a} and {a} + {hours * HOUR} and coalesce({a}h = {b}h, true), false)"
+    """Whether record b comes at a's instant or at most so many hours after it, in its context."""
+    return f"coalesce({b} between {a} and {a} + {hours * HOUR} and case when {a}h is not null and {b}h is not null then {a}h = {b}h when {a}ip is not null and {b}ip is not null then {a}ip = {b}ip else {a}h is null and {b}h is null end, false)"
 
 
-# Records of an account: c(reated), g(roup), a(ssignment), p(rocess), f(ailure), each its instant, with h its host; t… tells that one is taken.
-_CHAINS = f"""
-with o as (select *, us // {2 * DAY} as span from {ROWS}),
+# Records of an account: c(reated), g(roup), a(ssignment), p(rocess), f(ailure), each its instant, with h its host and ip its address; t… tells that one is taken.
+_CHAINS = """
+with o as (select *, us // """ + f"{2 * DAY} as span, {{host}} as h, {{address}} as s from {ROWS}" + """),
 n as (select *, row_number() over (partition by user_id, span, event_type order by us, event_id) as n from o),
 w as (select 'u' || user_id || 'x' || span as username, """ + ", ".join(
-    f"max(us) filter (event_type = '{kind}'{also}) as {x}, max(k % 3) filter (event_type = '{kind}'{also}) as {x}h"
+    f"max(us) filter (event_type = '{kind}'{also}) as {x}, max(h) filter (event_type = '{kind}'{also}) as {x}h, max(s) filter (event_type = '{kind}'{also}) as {x}ip"
     for x, kind, also in (("c", "signup", ""), ("g", "purchase", " and k % 2 = 0"), ("a", "view", ""), ("p", "click", ""), ("f", "error", ""))
 ) + f""" from n where n = 1 group by user_id, span),
 s0 as (select *, {_meets('c', 'g', 24)} as cg, case when {_meets('g', 'a', 24)} and not ({_meets('g', 'p', 24)} and p < a) then 'a' when {_meets('g', 'p', 24)} then 'p' else '' end as gx from w),
@@ -308,16 +335,26 @@ r as (
 select username, severity, confidence, title, rule, {_made('first_us')} as time_start, {_made('last_us')} as time_end from r"""
 
 
-@query(_CHAINS)
-def d4_single_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The correlation over accounts with at most one record of each kind, where SQL can follow all stages: a user's first of each kind in each two days."""
+def _single(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
     e = rows(spark, sf_dir).withColumn("span", F.floor(F.col("us") / (2 * DAY)))
     first = frames.best_first(e, ["user_id", "event_type", "span"], [], ["us", "event_id"])
-    found = PrivilegeEscalation(correlation_window_minutes=24 * 60, process_correlation_window_minutes=12 * 60).detect(windows_events(first, "span"))
+    found = PrivilegeEscalation(correlation_window_minutes=24 * 60, process_correlation_window_minutes=12 * 60).detect(windows_events(first, "span", sparse=sparse))
     fact = lambda k: F.get_json_object("evidence", f"$.{k}").alias(k)
     return found.select(fact("username"), "severity", "confidence", "title", fact("rule"), F.col("time_start").cast("timestamp_ntz").alias("time_start"), F.col("time_end").cast("timestamp_ntz").alias("time_end"))
 
 
+@query(_CHAINS.format(host="k % 3", address="ip"))
+def d4_single_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The correlation over accounts with at most one record of each kind, where SQL can follow all stages: a user's first of each kind in each two days."""
+    return _single(spark, sf_dir, False)
+
+
+@query(_CHAINS.format(host="case when k % 4 <> 0 then k % 3 end", address="case when floor(value) % 3 <> 0 then floor(value) % 2 end"))
+def j4_sparse_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same correlation where hosts and addresses differ within an account, and some records lack the one or the other."""
+    return _single(spark, sf_dir, True)
+
+
 # -- joins --
 
 _ASOF = """select s.event_id, s.user_id, e.event_id as other_id, cast(abs(s.us - e.us) as bigint) as gap_us from (select * from {rows} where event_type = 'signup') s
@@ -634,6 +671,19 @@ def s11_web(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.select(F.col("line_no").alias("event_id"), F.col("timestamp").cast("timestamp_ntz").alias("at"), "src_ip", "user", "path", "status", "bytes_sent", F.try_element_at("metadata", F.lit("method")).alias("method"))
 
 
+@query(lambda: f"""
+select event_id, {_redacted('line')} as raw_line, {_redacted("'/p?session=tok' || k")} as path, {_redacted("'agent   one' || chr(9) || 'with token=' || k")} as user_agent, 'HTTP/1.1' as protocol_version
+from (select event_id, k, '10.0.0.' || ip || ' - u' || user_id || ' [' || strftime(make_timestamp(us + {2 * HOUR}), '%d/%b/%Y:%H:%M:%S') || ' +0200] "GET /p?session=tok' || k || ' HTTP/1.1" 200 ' || cast(round(value * 100) as bigint) || ' "-" "agent one with token=' || k || '"' as line
+ from {ROWS} where event_type in ('click', 'view'))""")
+def r2_raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as events keep them, with runs of space as one and secrets redacted, beside the fields that are redacted but not collapsed."""
+    e = rows(spark, sf_dir).where("event_type in ('click', 'view')")
+    agent = F.concat(F.lit('"agent   one\twith token='), F.col("k").cast("string"), F.lit('"'))
+    line = F.concat(F.lit("  "), F.replace(F.replace(_web_line(), F.lit("/p/"), F.lit("/p?session=tok")), F.lit('"agent"'), agent), F.lit("\t "))
+    good, _ = parsers.parse(_lines(e, line), "web")
+    return good.select(F.col("line_no").alias("event_id"), "raw_line", "path", *(F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("user_agent", "protocol_version")))
+
+
 @query("""
 select event_id, ts as at, case event_type when 'error' then 'login_failure' when 'signup' then 'user_created' else 'process_creation' end as event_type, 'u' || user_id as "user",
  case event_type when 'error' then 'failure' end as status, json_extract_string(props, '$.k') as process_id from events where event_type in ('error', 'signup', 'click')""")
@@ -697,6 +747,32 @@ def s1_log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("log_type", "file_ord", part.alias("part"), "line_no", F.when(F.col("log_type") == "firewall", F.col("src_ip")).otherwise(F.col("user")).alias("who"))
 
 
+#: Events a file, and the limits of its size and its lines, in bytes.
+SMALL_FILE, MOST_BYTES, MOST_LINE = 1_000, 36_500, 500
+
+
+@query(f"""
+with e as (select event_id // {SMALL_FILE} as part, strftime(make_timestamp(us), '%b %-d %H:%M:%S') || ' host sshd[' || k || ']: ' || case event_type when 'error' then 'Failed password for invalid user u' else 'Accepted publickey for u' end || user_id || ' from 10.0.0.' || ip || ' port 22 ssh2'
+  || case when event_id % {SMALL_FILE} < 5 then case (event_id // {SMALL_FILE}) % 3 when 0 then repeat('é', 250) when 1 then repeat('é', 150) else '' end else '' end as line from {ROWS} where event_type in ('error', 'signup')),
+f as (select part, sum(strlen(line) + 1) as size, max(strlen(line)) as longest, count(*) as n from e group by part)
+select cast(part as bigint) as part, case when size > {MOST_BYTES} then 'file exceeds maximum size of {MOST_BYTES} bytes' when longest > {MOST_LINE} then 'line exceeds maximum length of {MOST_LINE} bytes' end as reason,
+ case when size <= {MOST_BYTES} and longest <= {MOST_LINE} then n else 0 end as lines from f""")
+def s2_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log files within the limits and beyond them: why a file is refused, or how many of its lines were read or rejected. Limits count bytes, not characters."""
+    folder = scratch(spark, "limits")
+    part, first = F.floor(F.col("event_id") / SMALL_FILE), F.col("event_id") % SMALL_FILE < 5
+    padding = F.when(first & (part % 3 == 0), F.repeat(F.lit("é"), 250)).when(first & (part % 3 == 1), F.repeat(F.lit("é"), 150)).otherwise("")
+    e = rows(spark, sf_dir).where("event_type in ('error', 'signup')").select(part.alias("part"), F.concat(_ssh_line(), padding).alias("value"))
+    e.repartition("part").sortWithinPartitions("part").write.partitionBy("part").text(folder)
+    parts = sorted(r["part"] for r in e.select("part").distinct().toLocalIterator())
+    found = [p for i in parts for p in files.discover(f"{folder}/part={i}")]
+    events, diagnostics = files.read(spark, files.route(spark, found, limits=files.Limits(MOST_BYTES, MOST_LINE)))
+    told = events.select(F.col("source").alias("path"), F.lit(None).cast("string").alias("reason"), F.lit(1).alias("line"))
+    refused = F.col("line_no") == 0
+    told = told.unionByName(diagnostics.select("path", F.when(refused, F.col("message")).alias("reason"), F.when(refused, 0).otherwise(1).alias("line")))
+    return told.groupBy(F.regexp_extract("path", r"part=(\d+)", 1).cast("long").alias("part")).agg(F.max("reason").alias("reason"), F.sum("line").alias("lines"))
+
+
 # -- scalar functions --
 
 

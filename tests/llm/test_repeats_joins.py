@@ -249,6 +249,32 @@ def test_lists_of_the_same_sets_are_searched_once(spark):
         jaccard_join.tree_pairs, jaccard_join.Work.drop = kept, work
 
 
+def test_a_group_and_its_neighbours_meet_as_components(spark):
+    """Texts near a large group of near copies, but not linked with it, don't make a row for each of its members and each shared list."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    base = [word() for _ in range(516)]
+    texts = []
+    for changes in [1] * 40 + [13] * 12 + [10] * 4:
+        w = list(base)
+        for i in rng.sample(range(5, 511), changes):
+            w[i] = word()
+        texts.append(" ".join(w))
+    sets, group = brute_classes(texts)
+    assert len(set(group)) == 13
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    made, kept, drop = [], jaccard_join.tree_pairs, Work.drop
+    jaccard_join.tree_pairs = lambda *a, **k: made.append(kept(*a, **k)) or made[0]
+    Work.drop = lambda self, name="": None
+    try:
+        for load in (jaccard_join.LOAD, 2000):
+            out = jaccard_join.link(df, load=load)
+            assert got(out, "doc_id", "n_shingles", "component_id", "n_links") == wanted((i, len(s), g, n) for i, (s, g, n) in enumerate(zip(sets, group, brute_links(sets))))
+        assert 0 < made[0].count() <= 100
+    finally:
+        jaccard_join.tree_pairs, Work.drop = kept, drop
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)]

@@ -12,10 +12,12 @@ different sizes meet at the smaller one's bitmaps.
 
 In a first pass each set of a list is compared with the list's first one; verified links give
 components. Lists whose sets are all in one component can join no others. In the rest, the trees
-search all pairs across components; of lists with the same sets one is searched, and what is left
-is verified on the full sets. So components are known. All links lie inside them: a component's
-full sets meet once, its trees search all pairs, those left are verified, and each set's links are
-counted where they are found. Long lists and large components are dealt in pairs of blocks.
+search all pairs across components; of lists with the same sets one is searched, and a list tells
+only which components have a pair that the bounds leave. The full sets of two such components meet
+once, whatever the lists they share, until one link is verified. So components are known. All links
+lie inside them: a component's full sets meet once, its trees search all pairs, those left are
+verified, and each set's links are counted where they are found. Long lists and large components
+are dealt in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ BITS = 2048  # of a signature
 LEAF, FAN = 8, 8
 BLOCK = 2048  # sets of a list that one tree search takes on each side
 LOAD = 1 << 19  # shingles of a component's sets that one search takes on each side
+MET = 200_000  # pairs of components that a task remembers
 MIXED = np.iinfo(np.int64).min
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -435,8 +438,8 @@ def dual(one: Tree, two: Tree, similar: int, apart: bool = True) -> Iterator[tup
 
 
 def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
-    """a, b of sets that share a mixed list, lie in different components and pass the trees' bounds.
-    mixed: shingle, set, size, comp, bitmap, n (sets of the list)."""
+    """low, high: components of which two sets share a mixed list and pass the trees' bounds, once for each list at most
+    and mostly once for a task. mixed: shingle, set, size, comp, bitmap, n (sets of the list)."""
     n_blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("set"), n_blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
@@ -444,29 +447,117 @@ def tree_pairs(mixed: DataFrame, similar: int, block: int = BLOCK) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("links")
+        met: set[tuple[int, int]] = set()
 
-        def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            trees = {}
+        def search(rows: list[tuple]) -> pa.RecordBatch:
+            trees, comps = {}, {}
             for k in {r[3] for r in rows}:
                 mine = list({r[4]: r for r in rows if r[3] == k}.values())
-                trees[k] = plant(np.array([r[4] for r in mine], np.int64), np.array([r[5] for r in mine], np.int64), [r[7] for r in mine], np.array([r[6] for r in mine], np.int64))
+                comps[k] = np.array([r[6] for r in mine], np.int64)
+                trees[k] = plant(np.arange(len(mine)), np.array([r[5] for r in mine], np.int64), [r[7] for r in mine], comps[k])
             i, j = rows[0][1], rows[0][2]
+            found: set[tuple[int, int]] = set()
             if i in trees and j in trees:
                 for a, b in meet(trees[i], trees[j], similar):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+                    a, b = comps[i][a], comps[j][b]
+                    found.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+            found -= met
+            if len(met) < MET:
+                met.update(found)
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["low", "high"])
 
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[:3] != held[0][:3]:
-                    yield from search(held)
+                    yield search(held)
                     held = []
                 held.append(row)
         if held:
-            yield from search(held)
+            yield search(held)
 
     ordered = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "low long, high long")
+
+
+class Full:
+    """Full sets, numbered, and their trees."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        flat, self.code = np.unique(np.concatenate(sets), return_inverse=True)
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.maps = bitmaps([x.view(np.uint64) for x in sets])
+        self.held = np.zeros(len(flat), bool)
+
+    def trees(self, at: np.ndarray) -> list[Tree]:
+        return plant(at, self.sizes[at], [self.maps[x] for x in at], at)
+
+    def links(self, one: list[Tree], two: list[Tree], similar: int, left: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """A set of one with all those of two that link with it (of one tree with itself each pair once), of each
+        batch of pairs that the trees leave. Sets of two that are no longer left are passed over; the caller may change it."""
+        sizes, ends, code, held = self.sizes, self.ends, self.code, self.held
+        for a, b in meet(one, two, similar, apart=False):
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
+            for at, to in zip(first, [*first[1:], len(a)]):
+                x, ys = a[at], b[at:to]
+                if left is not None:
+                    ys = ys[left[ys]]
+                    if not len(ys):
+                        continue
+                held[code[ends[x] - sizes[x] : ends[x]]] = True
+                starts = np.cumsum(sizes[ys]) - sizes[ys]
+                places = np.repeat(ends[ys] - sizes[ys] - starts, sizes[ys]) + np.arange(int(sizes[ys].sum()))
+                shared = np.add.reduceat(held[code[places]].astype(np.int64), starts)
+                held[code[ends[x] - sizes[x] : ends[x]]] = False
+                yield x, ys[100 * shared >= similar * (sizes[x] + sizes[ys] - shared)]
+
+
+def join_components(pairs: DataFrame, sets: DataFrame, work: Work, similar: int, load: int = LOAD) -> DataFrame:
+    """u, v: of pairs of components (low, high) those with a link between sets of either; sets: comp, set, shingles.
+
+    Of two components the larger is the hub; its sets meet those of all its partners together. A pair of blocks of
+    either side is one search by trees; what they leave is verified on the full sets, of a partner until it is linked."""
+    totals = work.narrow(sets.groupBy("comp").agg(F.sum(F.size("shingles")).alias("total")), "more-totals")
+    one, two = (totals.select(F.col("comp").alias(x), F.struct("total", "comp").alias(f"{x}_load")) for x in ("low", "high"))
+    hub, other = F.greatest("low_load", "high_load"), F.least("low_load", "high_load")
+    sided = pairs.join(one, "low").join(two, "high").select(hub.comp.alias("hub"), hub.total.alias("total"), other.comp.alias("other"), other.total.alias("other_total"))
+    blocks = lambda total: F.ceil(F.col(total) / load).cast("int")
+    sided = work.write(sided, "more-sided")
+    hubs = work.narrow(sided.groupBy("hub", blocks("total").alias("n_i")).agg(F.sum("other_total").alias("others")).select("hub", "n_i", blocks("others").alias("n_j")), "more-hubs")
+    place = lambda n: F.pmod(F.xxhash64("set"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = sets.withColumnRenamed("comp", "hub").join(hubs, "hub").withColumn("j", every("n_j")).select("hub", place(F.col("n_i")).alias("i"), "j", F.col("hub").alias("comp"), "shingles")
+    theirs = sets.join(sided.select("hub", F.col("other").alias("comp")).join(hubs, "hub"), "comp").withColumn("i", every("n_i")).select("hub", "i", place(F.col("n_j")).alias("j"), "comp", "shingles")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_table("links")
+
+        def search(hub: int, rows: list[tuple]) -> pa.RecordBatch:
+            comps, found = np.array([r[0] for r in rows], np.int64), []
+            mine, theirs = np.flatnonzero(comps == hub), np.flatnonzero(comps != hub)
+            if len(mine) and len(theirs):
+                full, left = Full([r[1] for r in rows]), np.ones(len(rows), bool)
+                for _, ys in full.links(full.trees(mine), full.trees(theirs), similar, left):
+                    for comp in np.unique(comps[ys]):
+                        found.append(comp)
+                        left[comps == comp] = False
+            return pa.RecordBatch.from_arrays([pa.array([hub] * len(found), pa.int64()), pa.array(found, pa.int64())], ["u", "v"])
+
+        held, key = [], None
+        for batch in batches:
+            for hub, i, j, comp, shingles in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1]):
+                if key != (hub, i, j):
+                    if held:
+                        yield search(key[0], held)
+                    held, key = [], (hub, i, j)
+                held.append((comp, shingles.values.to_numpy()))
+        if held:
+            yield search(key[0], held)
+
+    return mine.unionByName(theirs).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(run, "u long, v long")
 
 
 def count_links(sets: DataFrame, similar: int, load: int = LOAD) -> DataFrame:
@@ -483,33 +574,14 @@ def count_links(sets: DataFrame, similar: int, load: int = LOAD) -> DataFrame:
 
         def search(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
             i, j = key[1:]
-            sides = [x for x in ({r[0] for r in rows} & {i, j})]
-            flat, code = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
-            sizes = np.array([len(r[3]) for r in rows], np.int64)
-            ends = np.cumsum(sizes)
-            maps = bitmaps([r[3].view(np.uint64) for r in rows])
+            full = Full([r[3] for r in rows])
             side = np.array([r[0] for r in rows])
-            trees = {}
-            for k in sides:
-                at = np.flatnonzero(side == k)
-                trees[k] = plant(at, sizes[at], [maps[x] for x in at], at)
+            trees = {k: full.trees(np.flatnonzero(side == k)) for k in {r[0] for r in rows} & {i, j}}
             copies, found = np.array([r[2] for r in rows], np.int64), np.zeros(len(rows), np.int64)
-            held = np.zeros(len(flat), bool)
             if i in trees and j in trees:
-                for a, b in meet(trees[i], trees[j], similar, apart=False):
-                    order = np.argsort(a, kind="stable")
-                    a, b = a[order], b[order]
-                    first = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else []
-                    for at, to in zip(first, [*first[1:], len(a)]):
-                        x, ys = a[at], b[at:to]
-                        held[code[ends[x] - sizes[x] : ends[x]]] = True
-                        starts = np.cumsum(sizes[ys]) - sizes[ys]
-                        places = np.repeat(ends[ys] - sizes[ys] - starts, sizes[ys]) + np.arange(int(sizes[ys].sum()))
-                        shared = np.add.reduceat(held[code[places]].astype(np.int64), starts)
-                        ys = ys[100 * shared >= similar * (sizes[x] + sizes[ys] - shared)]
-                        held[code[ends[x] - sizes[x] : ends[x]]] = False
-                        found[x] += copies[ys].sum()
-                        np.add.at(found, ys, copies[x])
+                for x, ys in full.links(trees[i], trees[j], similar):
+                    found[x] += copies[ys].sum()
+                    np.add.at(found, ys, copies[x])
             keep = np.flatnonzero(found)
             return pa.RecordBatch.from_arrays([pa.array([rows[x][1] for x in keep], pa.int64()), pa.array(found[keep])], ["set", "n"])
 
@@ -565,13 +637,20 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
     work.drop("live")
     same = [F.expr("bit_xor(xxhash64(set))").alias("h1"), F.expr("bit_xor(xxhash64(set, 7L))").alias("h2")]
     lots = member.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"), *(f("set").alias(k) for f, k in ((F.min, "a"), (F.max, "b"))), F.min("size").alias("least"), F.max("size").alias("most"), *same).where("low < high")
-    lots = work.write(lots.groupBy("n", "a", "b", "least", "most", "h1", "h2").agg(F.min("shingle").alias("shingle")), "lots")
-    two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b")  # a list of two is one pair
+    lots = work.write(lots.groupBy("n", "a", "b", "least", "most", "h1", "h2").agg(F.min("shingle").alias("shingle"), F.min("low").alias("low"), F.max("high").alias("high")), "lots")
+    two = lots.where(f"n = 2 and {near_sizes('least', 'most', similar)}").select("a", "b", "low", "high").distinct()  # a list of two is one pair
     mixed = work.narrow(member.join(lots.where("n > 2").select("shingle", "n"), "shingle"), "mixed")
     maps = work.write(picked(distinct.where("sid is not null").select("set", "wide"), mixed, "set"), "mixed-bitmaps")
-    mixed = mixed.join(maps.withColumnRenamed("wide", "bitmap"), "set")
-    pairs = work.narrow(bounded(two.unionByName(tree_pairs(mixed, similar, block)).distinct(), distinct, work, "more", similar), "pairs")
-    more = work.write(verified(pairs, distinct, rows, work, "more", similar), "more")
+    two_pairs = bounded(two.select("a", "b"), distinct, work, "two", similar).join(two, ["a", "b"]).select("low", "high")
+    pairs = two_pairs.unionByName(tree_pairs(mixed.join(maps.withColumnRenamed("wide", "bitmap"), "set"), similar, block))
+    pairs = work.narrow(pairs.distinct(), "pairs")
+    across = work.write(mixed.select("set").unionByName(two.select(F.explode(F.array("a", "b")).alias("set"))).distinct(), "across")
+    ends = pairs.select(F.explode(F.array("low", "high")).alias("comp")).distinct()
+    wanted = picked(distinct.where("sid is not null").select("set", "digest", "sid"), across, "set").join(across, "set")
+    wanted = wanted.join(comps, F.col("sid") == F.col("node"), "left").select("set", "digest", "sid", F.coalesce("component", "sid").alias("comp")).join(ends, "comp", "left_semi")
+    wanted = work.narrow(wanted, "more-wanted")
+    sets = work.write(full_sets(rows, wanted.select("set", "digest", "sid")), "more-sets")
+    more = work.write(join_components(pairs, sets.join(wanted.select("set", "comp"), "set"), work, similar, load), "more")
     every = work.write(components(edges.unionByName(more), work, "all"), "all")
     named = distinct.join(every, F.col("sid") == F.col("node"), "left").select("set", "digest", F.coalesce("component", "sid").alias("component_id"))
     columns = ["doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")]
@@ -583,7 +662,7 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar:
         linked = work.write(count_links(inside.join(totals, "comp"), similar, load), "linked")
         named = named.join(distinct.select("set", "digest", "copies"), ["set", "digest"]).join(linked, "set", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("n", F.lit(0)))
         columns.append(F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    for x in ("members", "lots", "mixed", "mixed-bitmaps", "inside", "heads-pairs", "heads-bitmaps", "heads-wanted", "heads-sets", "more-pairs", "more-bitmaps", "more-wanted", "more-sets"):
+    for x in ("members", "lots", "mixed", "mixed-bitmaps", "across", "inside", "heads-pairs", "heads-bitmaps", "heads-wanted", "heads-sets", "two-pairs", "two-bitmaps", "more-wanted", "more-sets", "more-totals", "more-sided", "more-hubs"):
         work.drop(x)
     return docs.join(named, ["set", "digest"], "left").select(columns)
 

@@ -108,6 +108,29 @@ def test_runs_across_parts(monkeypatch):
     assert [x[2] for x in whole[1:]] == [x[3] + 1 for x in whole[:-1]] and whole[-1][3] == len(b) - 60
 
 
+@pytest.mark.parametrize("part", [1, 7, 100, 1 << 22])
+@pytest.mark.parametrize("gram", [4, 16])
+def test_runs_of_many_texts_in_one_pass(monkeypatch, gram, part):
+    import numpy as np
+
+    rng = random.Random(part + gram)
+    texts = [x.encode()[: rng.choice([39, 40, 41, 400])] for x in corpus(part) if x is not None] + [b"", b"a" * 39, b"a" * 40, b"a" * 300]
+    bounds = np.cumsum([0, *map(len, texts)])
+    want = [(key, a + at, low + at, high + at) for x, at in zip(texts, bounds.tolist()) if len(x) >= 40 for key, a, low, high in suffix_dedup.runs(np.frombuffer(x, np.uint8), 40, gram)]
+    monkeypatch.setattr(suffix_dedup, "PART", part)
+    calls, hashes = [], suffix_dedup.gram_hashes
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda *x: calls.append(1) or hashes(*x))
+    assert list(zip(*(x.tolist() for x in suffix_dedup.run_columns(np.frombuffer(b"".join(texts), np.uint8), bounds, 40, gram)))) == want
+    assert part < 1 << 22 or len(calls) == 1
+
+
+def test_windows_that_repeat_are_told_as_ranges():
+    assert [suffix_dedup.stretches(x) for x in (0, 1, 0b1101110, (1 << 70) - 1)] == [[], [(0, 0)], [(1, 3), (5, 6)], [(0, 69)]]
+    same = [(b"abc", b"xyz", [(1, 2, 10), (3, 4, 0)])]  # two runs with one block, of 4 windows of 4 symbols
+    near = [(b"abc", b"xyz", [(5, 6, 0)]), (b"bbc", b"xyy", [(7, 8, 20)])]  # alike from the second window to the third
+    assert sorted(suffix_dedup.mark([same, near], 4)) == [(1, 2, 10, 13), (3, 4, 0, 3), (5, 6, 1, 2), (7, 8, 21, 22)]
+
+
 def test_cut_texts_keep_whole_characters(spark):
     same = "é" * 40
     df = spark.createDataFrame([(1, "x" + same + "end", 3, "k"), (2, "yé" + same, 4, "k"), (3, None, None, None), (4, "short", 5, "k")], "doc_id long, text string, n_chars long, __kept2 string")

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Work, among, free, no_table, picked
-from tidewatch.llm.jaccard_join import shingler
+from tidewatch.llm.jaccard_join import Shingler, shingler
 from tidewatch.llm.lyndon import repeated
 
 LENGTH = 400
@@ -48,66 +50,87 @@ PLACE = np.uint64((1 << 24) - 1)
 
 
 def gram_hashes(b: np.ndarray, gram: int) -> np.ndarray:
-    """A 64-bit hash of each string of `gram` (a power of two) bytes, doubled up from single bytes."""
-    h, size = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
+    """A 64-bit hash of each string of `gram` (a power of two) symbols, doubled up from single ones; from eight at once where symbols are bytes."""
+    if b.dtype == np.uint8 and gram >= 8:
+        h, size = np.ndarray(len(b) - 7, "<u8", b, strides=1) * np.uint64(0x9E3779B97F4A7C15), 8
+        h ^= h >> np.uint64(32)
+    else:
+        h, size = (b.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
     while size < gram:
-        h = h[:-size] * np.uint64(0xA0761D6478BD642F + 2 * size) + (h[size:] ^ (h[size:] >> np.uint64(29)))
+        right = h[size:] >> np.uint64(29)
+        right ^= h[size:]
+        h = h[:-size] * np.uint64(0xA0761D6478BD642F + 2 * size)
+        h += right
         size *= 2
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
 
 
-def runs(b: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int, int]]:
-    """(anchor's hash, its place, first and last window) of each run of windows with one anchor, for a text of at least `length` bytes."""
-    out: list[tuple[int, int, int, int]] = []
+def run_columns(b: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchor's hash, its place, first and last window of each run of windows with one anchor, for the texts that b
+    holds one after the other; bounds has the start of each and the end of the last. No window crosses texts."""
     wide = length - gram + 1
+    begin, end = bounds[:-1], bounds[1:]
+    none = np.maximum(begin, end - length + 1)  # from here on to its end a text has no windows
+    whole = none > begin
+    last = None
+    keys, places, cuts = ([np.zeros(0, x)] for x in (np.uint64, np.int64, np.int64))
     for at in range(0, len(b) - length + 1, PART):
         h = gram_hashes(b[at : at + PART + length - 1], gram)
         n = len(h)
-        x = (h & ~PLACE) | np.arange(n, dtype=np.uint64)  # of equal high bits the leftmost is least
+        x = h & ~PLACE
+        x |= np.arange(n, dtype=np.uint64)  # of equal high bits the leftmost is least
         size = 1
         while 2 * size <= wide:
             x = np.minimum(x[:-size], x[size:])
             size *= 2
         x = np.minimum(x[: n - wide + 1], x[wide - size :][: n - wide + 1])
         place = (x & PLACE).astype(np.int64)
-        cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-        last = np.append(cut[1:], len(place)) - 1
-        for key, a, low, high in zip(h[place[cut]].view(np.int64).tolist(), (place[cut] + at).tolist(), (cut + at).tolist(), (last + at).tolist()):
-            if out and out[-1][1] == a and out[-1][3] == low - 1:  # a run across two parts
-                out[-1] = (key, a, out[-1][2], high)
-            else:
-                out.append((key, a, low, high))
-    return out
+        opens = np.append(place[0] + at != last, place[1:] != place[:-1])
+        last = place[-1] + at
+        for i, j in zip(np.maximum(none - at, 0).tolist(), np.maximum(end - at, 0).tolist()):
+            opens[i:j] = False
+        opens[(begin - at)[whole & (begin >= at) & (begin < at + len(opens))]] = True
+        cut = np.flatnonzero(opens)
+        keys.append(h[place[cut]])
+        places.append(place[cut] + at)
+        cuts.append(cut + at)
+    key, place, low = np.concatenate(keys).view(np.int64), np.concatenate(places), np.concatenate(cuts)
+    high = np.minimum(np.append(low[1:], len(b)), none[np.searchsorted(begin, low, "right") - 1]) - 1 if len(low) else low
+    return key, place, low, high
 
 
-def digest64(x: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True)
+def runs(b: np.ndarray, length: int, gram: int) -> list[tuple[int, int, int, int]]:
+    """run_columns() of one text of at least `length` bytes, as rows."""
+    return list(zip(*(x.tolist() for x in run_columns(b, np.array([0, len(b)]), length, gram))))
 
 
-def symbols(column: pa.Array, unit: int) -> Iterator[bytes]:
-    """What windows are made of: the bytes of each text, or the symbols of its words (white space is not told apart)."""
-    table = shingler() if unit > 1 else None
-    for raw in _groups(column):
-        if table is None:
-            yield from raw
-            continue
-        start, _, flat = table.words(raw)
-        bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)])).tolist()
-        yield from (flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:]))
+def digests64(data: bytes, first: list[int], end: list[int]) -> np.ndarray:
+    """A 64-bit digest of each of the strings of data between first and end."""
+    return np.frombuffer(b"".join([blake2b(data[x:y], digest_size=8).digest() for x, y in zip(first, end)]), "<i8")
 
 
-def _groups(column: pa.Array, size: int = 1 << 18) -> Iterator[list[bytes]]:
-    own, n = [], 0
-    for x in column:
+def symbols(raw: list[bytes], table: Shingler | None) -> tuple[bytes, np.ndarray]:
+    """What windows are made of, and the bounds of each text in it: the bytes of texts, or the symbols of their words (white space is not told apart)."""
+    if table is None:
+        return b"".join(raw), np.cumsum([0, *map(len, raw)])
+    start, _, flat = table.words(raw)
+    return flat.tobytes(), np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in raw)]))
+
+
+def _groups(column: pa.Array, size: int = 1 << 16) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts by some `size` bytes together, each with the number of the first."""
+    own, n, at = [], 0, 0
+    for i, x in enumerate(column):
         own.append(x.as_py())
         n += len(own[-1])
         if n >= size:
-            yield own
-            own, n = [], 0
+            yield at, own
+            own, n, at = [], 0, i + 1
     if own:
-        yield own
+        yield at, own
 
 
 def anchored(texts: DataFrame, length: int, gram: int, unit: int = 1) -> DataFrame:
@@ -122,42 +145,41 @@ def anchored(texts: DataFrame, length: int, gram: int, unit: int = 1) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
+        table = shingler() if unit > 1 else None
         seen: set = set()
-        held: dict[tuple[int, int], tuple] = {}
-        many: set[tuple[int, int]] = set()
-
-        def flush() -> pa.RecordBatch:
-            out = _batch([(*row, k in many, False) for k, row in held.items()], MET)
-            held.clear()
-            many.clear()
-            return out
-
+        held: list[np.ndarray] = []  # rows of RUN, as columns
+        n = 0
         for batch in batches:
-            rows: list[tuple] = []
-            for t1, t2, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), symbols(batch.column(2), unit)):
-                if (t1, t2) in seen:
-                    continue
-                if len(seen) < HELD:
-                    seen.add((t1, t2))
-                if len(data) < length:
+            t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids = list(zip(t1.tolist(), t2.tolist()))
+            for at, raw in _groups(batch.column(2)):
+                new = []
+                for i, own in enumerate(ids[at : at + len(raw)]):
+                    if own not in seen:
+                        new.append(i)
+                        if len(seen) < HELD:
+                            seen.add(own)
+                if not new:
                     continue
-                for key, a, low, high in runs(np.frombuffer(data, kind), length // unit, gram // unit):
-                    low *= unit
-                    high *= unit
-                    mark = digest64(data[low : high + length])
-                    own = (key, mark)
-                    if own in held:
-                        many.add(own)
-                        rows.append((key, mark, t1, t2, a * unit, low, high, True, True))
-                    else:
-                        held[own] = (key, mark, t1, t2, a * unit, low, high)
-                if len(held) > HELD:
-                    yield flush()
-                if len(rows) > 20_000:
-                    yield _batch(rows, MET)
-                    rows = []
-            yield _batch(rows, MET)
-        yield flush()
+                data, bounds = symbols([raw[i] for i in new], table)
+                key, a, low, high = run_columns(np.frombuffer(data, kind), bounds, length // unit, gram // unit)
+                text = np.searchsorted(bounds, low, "right") - 1
+                mark = digests64(data, (low * unit).tolist(), (high * unit + length).tolist())
+                of, begin = np.array(new)[text] + at, bounds[text]
+                held.append(np.stack([key, mark, t1[of], t2[of], (a - begin) * unit, (low - begin) * unit, (high - begin) * unit]))
+                n += len(low)
+                if n > HELD:
+                    yield met(held)
+                    held, n = [], 0
+        if n:
+            yield met(held)
+
+    def met(held: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(held, axis=1)
+        rows = rows[:, np.lexsort((rows[1], rows[0]))]  # keeps the order of equal ones
+        again = np.append(False, (rows[:2, 1:] == rows[:2, :-1]).all(axis=0))
+        many = again | np.append(again[1:], False)
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(many), pa.array(again)], [x for x, _ in MET])
 
     return texts.where(F.octet_length("raw") >= least(length, unit)).mapInArrow(run, ddl(MET))
 
@@ -171,7 +193,7 @@ RUN = [(x, pa.int64()) for x in ("key", "bytes", "t1", "t2", "anchor", "low", "h
 MET = [*RUN, ("many", pa.bool_()), ("again", pa.bool_())]
 LIVE = [*RUN, ("head", pa.int64()), ("first", pa.bool_()), ("twin", pa.bool_())]
 BLOCK = [("c1", pa.int64()), ("c2", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("key", pa.int64()), ("bytes", pa.int64()), ("offset", pa.int64())]
-MARK = [("key", pa.int64()), ("bytes", pa.int64()), ("offset", pa.int64()), ("mask", pa.int64())]
+MARK = [("key", pa.int64()), ("bytes", pa.int64()), ("begin", pa.int64()), ("last", pa.int64())]
 KINDS = {pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary", pa.string(): "string"}
 
 
@@ -238,26 +260,36 @@ def cut_blocks(texts: DataFrame, length: int, step: int, unit: int = 1) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
+        table = shingler() if unit > 1 else None
         for batch in batches:
             rows: list[tuple] = []
-            for data, spans in zip(symbols(batch.column(0), unit), batch.column(1)):
-                for span in spans.as_py():
-                    key, own, a, low, high = (span[x] for x in ("key", "bytes", "anchor", "low", "high"))
-                    for block in range((low - a) // step, (high - a) // step + 1):
-                        b0, b1 = a + block * step, a + block * step + step - 1
-                        first, last = max(low, b0), min(high, b1)
-                        core = hashlib.blake2b(data[b1 : b0 + length], digest_size=16, key=block.to_bytes(8, "little", signed=True) + key.to_bytes(8, "little", signed=True)).digest()
-                        rows.append((int.from_bytes(core[:8], "little", signed=True), int.from_bytes(core[8:], "little", signed=True), data[first:b1], data[b0 + length : last + length], key, own, first - low))
-                if len(rows) > 20_000:
-                    yield _batch(rows, BLOCK)
-                    rows = []
-            yield _batch(rows, BLOCK)
+            cores: list[bytes] = []
+            at, spans = batch.column(1).offsets.to_pylist(), batch.column(1).values
+            all_ = list(zip(*(spans.field(x).to_pylist() for x in ("key", "bytes", "anchor", "low", "high"))))
+            for i, raw in _groups(batch.column(0)):
+                data, bounds = symbols(raw, table)
+                for start, x, y in zip((bounds[:-1] * unit).tolist(), at[i:], at[i + 1 :]):
+                    for key, own, a, low, high in all_[x:y]:
+                        person = key.to_bytes(8, "little", signed=True)
+                        for block in range((low - a) // step, (high - a) // step + 1):
+                            b0, b1 = a + block * step, a + block * step + step - 1
+                            first, last = max(low, b0), min(high, b1)
+                            cores.append(blake2b(data[start + b1 : start + b0 + length], digest_size=16, salt=block.to_bytes(8, "little", signed=True), person=person).digest())
+                            rows.append((data[start + first : start + b1], data[start + b0 + length : start + last + length], key, own, first - low))
+                    if len(rows) > 20_000:
+                        yield _blocks(cores, rows)
+                        cores, rows = [], []
+            yield _blocks(cores, rows)
+
+    def _blocks(cores: list[bytes], rows: list[tuple]) -> pa.RecordBatch:
+        c, own = np.frombuffer(b"".join(cores), "<i8").reshape(-1, 2), _batch(rows, BLOCK[2:])
+        return pa.RecordBatch.from_arrays([pa.array(c[:, 0]), pa.array(c[:, 1]), *own.columns], [x for x, _ in BLOCK])
 
     return texts.select("raw", "spans").mapInArrow(run, ddl(BLOCK))
 
 
 def sort_blocks(blocks: DataFrame, step: int, batch_symbols: int = BATCH) -> DataFrame:
-    """key, bytes, offset and a mask of the windows that repeat, of the blocks that have any. Blocks come sorted by core."""
+    """key, bytes, begin and last (of windows that repeat, counted from the run's first) of the blocks that have any. Blocks come sorted by core."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         no_table("repeats")
@@ -266,6 +298,10 @@ def sort_blocks(blocks: DataFrame, step: int, batch_symbols: int = BATCH) -> Dat
         core: tuple | None = None
         n = 0
         for batch in batches:
+            if batch.num_rows > 2:  # a core between two others is alone; what the ends of the batch are is not known yet
+                c = np.stack([batch.column(i).to_numpy() for i in (0, 1)])
+                new = (c[:, 1:] != c[:, :-1]).any(axis=0)
+                batch = batch.filter(pa.array(np.concatenate([[True], ~(new[:-1] & new[1:]), [True]])))
             for c1, c2, left, right, key, bytes_, offset in zip(*(c.to_pylist() for c in batch.columns)):
                 if (c1, c2) != core:
                     if len(own) > 1 or own and len(own[0][2]) > 1:
@@ -311,7 +347,21 @@ def mark(groups: list[list[tuple]], step: int) -> list[tuple]:
     for (k, j), hit in zip(whose, repeated(symbols, starts, step)):
         if hit:
             masks[k] = masks.get(k, 0) | 1 << j
-    return [(*owner, m) for k, m in masks.items() for owner in all_[k]]
+    return [(key, own, offset + i, offset + j) for k, m in masks.items() for i, j in stretches(m) for key, own, offset in all_[k]]
+
+
+@lru_cache(1 << 12)
+def stretches(mask: int) -> list[tuple[int, int]]:
+    """First and last of each run of set bits."""
+    out, at = [], 0
+    while mask:
+        skip = (mask & -mask).bit_length() - 1
+        mask >>= skip
+        n = (~mask & (mask + 1)).bit_length() - 1
+        out.append((at + skip, at + skip + n - 1))
+        mask >>= n
+        at += skip + n
+    return out
 
 
 def count_windows(blocks: DataFrame, step: int) -> DataFrame:
@@ -322,7 +372,8 @@ def count_windows(blocks: DataFrame, step: int) -> DataFrame:
     each = blocks.withColumn("j", j).withColumn("window", F.substring(whole, F.col("j") + 1, F.lit(step - 1))).withColumn("before", F.length("left") - F.col("j"))
     twice = each.groupBy("c1", "c2", "before", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     hits = each.join(twice, ["c1", "c2", "before", "window"])
-    return hits.groupBy("key", "bytes", "offset").agg(F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask"))
+    at = (F.col("offset") + F.col("j")).cast("long")
+    return hits.select("key", "bytes", at.alias("begin"), at.alias("last"))
 
 
 def cover(windows: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -388,29 +439,29 @@ def find_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     alive = work.write(live(lists.repartition("key").sortWithinPartitions("key", "bytes", "t1", "t2", "low", F.col("many").desc())).unionByName(further), "live")
     work.drop("runs")
     # Anchors with several different runs: one run of each kind is cut into blocks.
-    mixed = alive.where("bytes <> head").select("key").distinct()
-    reps = alive.where("first").join(mixed, "key", "left_semi").join(known.select("t1", "t2", "rep"), ["t1", "t2"])
+    mixed = work.write(alive.where("first and bytes <> head").groupBy("key").agg((F.count("*") + 1).alias("n")), "mixed")
+    reps = alive.where("first").join(mixed.select("key"), "key", "left_semi").join(known.select("t1", "t2", "rep"), ["t1", "t2"])
     spans = work.write(reps.groupBy("rep", "t1", "t2").agg(F.collect_list(F.struct("key", "bytes", "anchor", "low", "high")).alias("spans")), "spans")
     own = picked(texts.withColumnRenamed("doc_id", "rep"), spans, "rep", "t1", "t2")
     joined = own.join(spans, [own.rep.eqNullSafe(spans.rep), own.t1 == spans.t1, own.t2 == spans.t2]).select(own.t1, own.t2, "raw", "spans")
     single = joined.dropDuplicates(["t1", "t2"])
     blocks = work.write(cut_blocks(single, length, step, unit), "blocks")
-    large = work.write(blocks.groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > most).select("c1", "c2"), "large")
-    few = blocks.join(large, ["c1", "c2"], "left_anti").repartition("c1", "c2").sortWithinPartitions("c1", "c2", "left", "right")
-    marks = sort_blocks(few.select([x for x, _ in BLOCK]), step)
-    if large.limit(1).count():
-        marks = marks.unionByName(count_windows(blocks.join(large, ["c1", "c2"], "left_semi"), step))
+    few, marks = blocks, None
+    if mixed.where(F.col("n") > most).limit(1).count():  # a core's strings come from different runs with one anchor
+        large = work.write(blocks.groupBy("c1", "c2").agg(F.count("*").alias("n")).where(F.col("n") > most).select("c1", "c2"), "large")
+        few = blocks.join(large, ["c1", "c2"], "left_anti")
+        marks = count_windows(blocks.join(large, ["c1", "c2"], "left_semi"), step)
+    by_core = few.repartition("c1", "c2").sortWithinPartitions("c1", "c2", "left", "right").select([x for x, _ in BLOCK])
+    marks = sort_blocks(by_core, step) if marks is None else sort_blocks(by_core, step).unionByName(marks)
     marks = work.write(marks, "marks")
     once = alive.join(known.where("n = 1").select("t1", "t2"), ["t1", "t2"], "left_semi")
     whole = once.where("twin").select("t1", "t2", F.col("low").alias("first"), F.col("high").alias("last"))
-    bits = F.expr(f"filter(sequence(0, {step - 1}), j -> (mask & shiftleft(1L, j)) <> 0)")
-    part = once.where("not twin").join(marks, ["key", "bytes"]).select("t1", "t2", F.explode(bits).alias("j"), (F.col("low") + F.col("offset")).alias("at"))
-    part = part.select("t1", "t2", (F.col("at") + F.col("j")).alias("first"), (F.col("at") + F.col("j")).alias("last"))
+    part = once.where("not twin").join(marks, ["key", "bytes"]).select("t1", "t2", (F.col("low") + F.col("begin")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
     both = whole.unionByName(part)
     if words:  # windows of whole symbols
         both = both.select("t1", "t2", F.ceil(F.col("first") / unit).alias("first"), F.floor(F.col("last") / unit).alias("last")).where("first <= last")
     windows = work.write(both.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "windows")
-    for x in ("live", "blocks", "spans", "marks", "large"):
+    for x in ("live", "blocks", "spans", "marks", "mixed", "large"):
         work.drop(x)
     return known, windows
 
